@@ -1,10 +1,60 @@
-"""Corpus pipeline (stages are added as they are built)."""
-STAGES: list = []
+"""Corpus pipeline: five stages, each over all that its predecessor kept.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns
+the documents it keeps, with the columns of ``documents``.  The last one returns the
+tokens.  ``run`` writes every stage's result as Parquet and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.llm import mixing, near_dup, quality_rules, secret_scan, sentencepiece_tokens
+from marketloom.llm._scratch import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.judge_quality(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five words, similarity 0.8)."""
+    return near_dup.near_duplicates(docs).where("representative").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind; every document stays."""
+    clean = secret_scan.scan_secrets(docs, replace=True).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated to the target weights of their sources."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding gives the text back."""
+    coded = sentencepiece_tokens.encode_tokens(docs)
+    return coded.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "round_trip")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", tokens),
+]
+
+#: Signatures, secrets and token ids have no SQL form; the tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = materialize(stage(spark, docs, sf_dir))
     return docs
