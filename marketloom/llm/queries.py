@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    flac, language_id, mixing, near_dup, quality_model, quality_rules, secret_scan, sentencepiece_tokens, url_rules,
+    flac, language_id, mixing, near_dup, quality_model, quality_rules, secret_scan, sentencepiece_tokens, suffix_dedup,
+    url_rules,
 )
 
 
@@ -49,6 +50,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return suffix_dedup.repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return quality_rules.judge_quality(docs, carry=["doc_id"])
@@ -73,7 +79,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash_near_dedup, op2_url_filters, op3_quality_classifier, op4_media_columns, op5_language_id,
-        op7_quality_rules, op8_secret_scans, op9_source_mix, op10_sentencepiece,
+        op6_suffix_array_dedup, op7_quality_rules, op8_secret_scans, op9_source_mix, op10_sentencepiece,
     )
 }
 
