@@ -92,9 +92,9 @@ def linear_screen(df: DataFrame, features: Sequence[str], target: str, q: float
             cut = df.agg(F.percentile_approx(w, F.lit(q), F.lit(10000))).first()[0]
             p = 1 / (1 + F.exp(-sign * sharpness * (w - cut)))
             soft = df.withColumn("_p", p)
-            dates = soft.groupBy(date).agg(F.sum("_p").alias("_P"), F.sum(F.col("_p") * F.col("_t")).alias("_S"))
+            dates = soft.groupBy(date).agg(F.sum("_p").alias("_soft_n"), F.sum(F.col("_p") * F.col("_t")).alias("_soft_t"))
             g = soft.join(dates, date).agg(F.countDistinct(date).alias("n"), *[
-                F.sum((F.col("_t") - F.col("_S") / F.col("_P")) / F.col("_P") * sign * sharpness * F.col("_p") * (1 - F.col("_p")) * F.col(f)).alias(f"g{k}")
+                F.sum((F.col("_t") - F.col("_soft_t") / F.col("_soft_n")) / F.col("_soft_n") * sign * sharpness * F.col("_p") * (1 - F.col("_p")) * F.col(f)).alias(f"g{k}")
                 for k, f in enumerate(features)]).first()
             grad = -np.array([g[f"g{k}"] or 0.0 for k in range(len(a))]) / max(g["n"], 1)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2

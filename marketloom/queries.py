@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
@@ -518,4 +518,40 @@ def top_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("entry_top_tickers", top_tickers,
     _PANEL + ';;SELECT "Date", count(*) AS n_entries, exp(avg(ln(1 - drawdown_1))) AS mean_pred, exp(avg(ln(target_ratio))) AS mean_res FROM (SELECT * FROM pn QUALIFY row_number() OVER (PARTITION BY "Date" ORDER BY 1 - drawdown_1 DESC, ticker) <= 5) GROUP BY 1',
     ("Date", "n_entries"), ["mean_pred", "mean_res"])
-__all__ = ["QUERIES", "SQL", "Window"]
+
+
+# -- more scalar functions, merges and look-ups --------------------------------------
+add("f01_math", lambda s, d: views.bars(s, d).select(*KEY, X.ln("Close").alias("ln"), F.sqrt("Close").alias("sqrt"), F.hypot("Open", "Close").alias("hypot"), X.clip("Close", 500, 1500).alias("clip"), F.signum(F.col("Close") - F.col("Open")).alias("sign"), X.sigmoid(F.col("Close") - F.col("Open"), 1000).alias("sigmoid")),
+    'SELECT *, ln("Close") AS ln, sqrt("Close") AS sqrt, sqrt("Open" * "Open" + "Close" * "Close") AS hypot, greatest(500, least(1500, "Close")) AS clip, sign("Close" - "Open")::DOUBLE AS sign, 1 / (1 + exp(-("Close" - "Open") / 1000)) AS sigmoid FROM bars',
+    KEY, ["ln", "sqrt", "hypot", "clip", "sign", "sigmoid"])
+_Q = F.col("Close") / F.col("Open")
+add("f02_squashers", lambda s, d: views.bars(s, d).select(*KEY, X.tanh01(_Q, 2.0).alias("a"), X.tanh01_at_one(_Q).alias("b"), X.linear01(_Q - 1).alias("c"), X.tanh01_log(X.ln("Close"), 1000, 10).alias("e")),
+    'SELECT ticker, "Date", tanh(q / 2) / 2 + 0.5 AS a, tanh(q - 1) / 2 + 0.5 AS b, greatest(0, least(1, q / 2)) AS c, tanh((ln("Close") - ln(1000)) / ln(10)) / 2 + 0.5 AS e FROM (SELECT *, "Close" / "Open" AS q FROM bars)', KEY, ["a", "b", "c", "e"])
+add("f05_strings", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.lower(F.trim("p_name")).alias("low"), F.col("p_brand").rlike("[13]$").alias("odd"), F.regexp_extract("p_brand", "([0-9]+)", 1).alias("digits"), F.col("p_type").contains("A").alias("has_a")),
+    "SELECT p_partkey, lower(trim(p_name)) AS low, regexp_matches(p_brand, '[13]$') AS odd, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, contains(p_type, 'A') AS has_a FROM part", ("p_partkey", "low", "odd", "digits", "has_a"), ctes=())
+add("f07_maps", lambda s, d: views.asset(s, d).select("ticker", F.try_element_at("about", F.lit("nation")).alias("nation"), F.try_element_at("about", F.lit("none")).alias("none")), "SELECT ticker, nation, NULL::VARCHAR AS none FROM asset", ("ticker", "nation", "none"), ctes=("asset",))
+add("f08_arrays", lambda s, d: W.with_sequence(views.bars(s, d), "Close", 3).where("Close_seq is not null").select(*KEY, F.array_min("Close_seq").alias("lo"), F.array_max("Close_seq").alias("hi"), F.aggregate(F.zip_with("Close_seq", F.array(*map(F.lit, (1.0, 2.0, 3.0))), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("dot")),
+    f'SELECT ticker, "Date", least(a, b, "Close") AS lo, greatest(a, b, "Close") AS hi, a + 2 * b + 3 * "Close" AS dot FROM (SELECT *, {lag(_C, 2)} AS a, {lag(_C, 1)} AS b FROM bars) WHERE a IS NOT NULL', KEY, ["lo", "hi", "dot"])
+add("f09_valuation", lambda s, d: B.price_metrics(views.bars(s, d), views.fin_q(s, d)),
+    """q AS (SELECT *, ebit / nullif(lag(ebit) OVER (PARTITION BY ticker ORDER BY "fiscalDateEnding"), 0) AS eq FROM fin_q);;SELECT b.ticker, b."Date", CASE WHEN q."estimatedEPS" <= 1e-5 THEN 1e-5 WHEN q."estimatedEPS" > 0 THEN ln("Close" / (q."estimatedEPS" * 4)) END AS log_forward_pe_ratio,
+    "Close" * CASE WHEN eq IS NOT NULL THEN greatest(-30, least(30, eq)) END AS close2ebit_lagquot_qm1 FROM bars b ASOF LEFT JOIN q ON b.ticker = q.ticker AND b."Date" >= q."reportedDate" """, KEY, ["log_forward_pe_ratio", "close2ebit_lagquot_qm1"], ctes=("bars", "fin_q"), digits=4)
+add("f10_trading_cost", lambda s, d: views.bars(s, d).select(*KEY, X.trading_cost(F.col("Close") * F.col("Volume")).alias("cost")), 'SELECT ticker, "Date", "Close" * "Volume" * 0.002::DOUBLE AS cost FROM bars', KEY, ["cost"], digits=4)
+add("j06_combine_statements", lambda s, d: J.merge_new_over_old(views.fin_q(s, d), views.fin_q(s, d).where("ticker < '5'").withColumn("ebit", F.when(F.col("reportTime") == "pre-market", F.col("ebit") * 2)), ["ticker", "fiscalDateEnding"], ["ebit", "totalAssets"]),
+    """SELECT ticker, "fiscalDateEnding", CASE WHEN ticker < '5' AND "reportTime" = 'pre-market' THEN ebit * 2 ELSE ebit END AS ebit, "totalAssets" FROM fin_q""", ("ticker", "fiscalDateEnding"), ["ebit", "totalAssets"], ctes=("fin_q",), digits=3)
+add("j07_realised", lambda s, d: J.attach(predictions(s, d).where("Date < '1996-01-01'").select(*KEY, "prediction_ratio"), W.with_targets(views.bars(s, d), 5), KEY, ["target_ratio"]),
+    _PRED + """;;SELECT ticker, "Date", prediction_ratio, target_ratio FROM pred WHERE "Date" < DATE '1996-01-01'""", KEY, ["prediction_ratio", "target_ratio"])
+add("k05_best_rerun", lambda s, d: learning.best_rerun(views.bars(s, d).select(F.col("ticker").alias("cutoff"), F.year("Date").alias("rerun"), F.col("Volume").alias("score")).groupBy("cutoff", "rerun").agg(F.sum("score").alias("score")), "score"),
+    """SELECT cutoff, rerun, score FROM (SELECT ticker AS cutoff, year("Date") AS rerun, sum("Volume") AS score FROM bars GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cutoff ORDER BY score DESC, rerun) = 1""", ("cutoff", "rerun"), ["score"])
+add("u01_union_years", lambda s, d: views.bars(s, d).where(F.year("Date") == 1995).unionByName(views.bars(s, d).where(F.year("Date") == 1996)), 'SELECT * FROM bars WHERE year("Date") IN (1995, 1996)', KEY, ["Close"])
+add("u05_new_keys", lambda s, d: _old_new(s, d)[1].select("Date").exceptAll(_old_new(s, d)[0].select("Date")).distinct(), 'SELECT DISTINCT "Date" FROM bars WHERE year("Date") >= 1998', ("Date",))
+add("p02_exact_date", lambda s, d: J.attach(views.ticks(s, d).select("Date").distinct().join(views.asset(s, d).select("ticker")), views.bars(s, d), KEY, ["Close"]), 'SELECT ticker, "Date", "Close" FROM (SELECT * FROM (SELECT DISTINCT "Date" FROM ticks), (SELECT ticker FROM asset)) LEFT JOIN bars USING (ticker, "Date")', KEY, ["Close"], ctes=("bars", "ticks", "asset"))
+add("m03_importances", lambda s, d: learning.importances(s, learning.fit_trees(_panel(s, d), _FEATS, "target_ratio", rounds=3, depth=3), _FEATS, 2))
+
+
+def _screen(s: SparkSession, d: str) -> DataFrame:
+    panel = P.min_max_scale(_panel(s, d), _FEATS)
+    weights = screens.reduce_screen(panel, _FEATS, "target_ratio", iterations=2, ratio=0.7, epochs=2)
+    return screens.hard_mask(panel, panel, weights, 0.9)[0].select(*KEY, "score")
+
+
+add("m06_linear_screen", _screen)
