@@ -524,8 +524,7 @@ add("entry_top_tickers", top_tickers,
 add("f01_math", lambda s, d: views.bars(s, d).select(*KEY, X.ln("Close").alias("ln"), F.sqrt("Close").alias("sqrt"), F.hypot("Open", "Close").alias("hypot"), X.clip("Close", 500, 1500).alias("clip"), F.signum(F.col("Close") - F.col("Open")).alias("sign"), X.sigmoid(F.col("Close") - F.col("Open"), 1000).alias("sigmoid")),
     'SELECT *, ln("Close") AS ln, sqrt("Close") AS sqrt, sqrt("Open" * "Open" + "Close" * "Close") AS hypot, greatest(500, least(1500, "Close")) AS clip, sign("Close" - "Open")::DOUBLE AS sign, 1 / (1 + exp(-("Close" - "Open") / 1000)) AS sigmoid FROM bars',
     KEY, ["ln", "sqrt", "hypot", "clip", "sign", "sigmoid"])
-_Q = F.col("Close") / F.col("Open")
-add("f02_squashers", lambda s, d: views.bars(s, d).select(*KEY, X.tanh01(_Q, 2.0).alias("a"), X.tanh01_at_one(_Q).alias("b"), X.linear01(_Q - 1).alias("c"), X.tanh01_log(X.ln("Close"), 1000, 10).alias("e")),
+add("f02_squashers", lambda s, d: views.bars(s, d).withColumn("q", F.col("Close") / F.col("Open")).select(*KEY, X.tanh01("q", 2.0).alias("a"), X.tanh01_at_one("q").alias("b"), X.linear01(F.col("q") - 1).alias("c"), X.tanh01_log(X.ln("Close"), 1000, 10).alias("e")),
     'SELECT ticker, "Date", tanh(q / 2) / 2 + 0.5 AS a, tanh(q - 1) / 2 + 0.5 AS b, greatest(0, least(1, q / 2)) AS c, tanh((ln("Close") - ln(1000)) / ln(10)) / 2 + 0.5 AS e FROM (SELECT *, "Close" / "Open" AS q FROM bars)', KEY, ["a", "b", "c", "e"])
 add("f05_strings", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.lower(F.trim("p_name")).alias("low"), F.col("p_brand").rlike("[13]$").alias("odd"), F.regexp_extract("p_brand", "([0-9]+)", 1).alias("digits"), F.col("p_type").contains("A").alias("has_a")),
     "SELECT p_partkey, lower(trim(p_name)) AS low, regexp_matches(p_brand, '[13]$') AS odd, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, contains(p_type, 'A') AS has_a FROM part", ("p_partkey", "low", "odd", "digits", "has_a"), ctes=())
