@@ -19,7 +19,9 @@ from .suffix_array import suffix_array
 #: Length of a repeated string and of the seed in it that it is filed under.
 LENGTH, SEED = 50, 24
 #: Bytes of a block of documents, of a piece worked on at once, and of text per bucket.
-BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 4 << 20, 1 << 20, 12 << 20
+BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 2 << 20, 1 << 19, 12 << 20
+#: Distinct fragments (counted per block) from which on a seed is heavy.
+HEAVY = 5000
 _U, _LAST = np.uint64, np.iinfo(np.int64).max
 _CODE = mix64(np.arange(1001, 1257, dtype=np.uint64) * GOLDEN)
 _POWER = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * 127, dtype=np.uint64))
@@ -81,6 +83,13 @@ class Fragments:
         windows = _rolling(x, LENGTH)
         self.whole = mix64(windows[self.first] * GOLDEN ^ mix64(windows[last] + self.size.astype(np.uint64)))
 
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some fragments: (fragment, place, hash) of each window."""
+        n = self.size[which] - LENGTH + 1
+        owner = np.repeat(which, n)
+        at = self.first[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return owner, at, (_rolling(_CODE[self.data], LENGTH)[at] if len(at) else np.empty(0, dtype=np.uint64))
+
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     first = total = 0
@@ -137,6 +146,12 @@ def _texts(sizes: list[int], body: bytes) -> list[bytes]:
     return out
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, as each holds a block."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _ids(ids: list) -> np.ndarray:
     """Null ids come after all others: they are nobody's smaller id."""
     return np.array([_LAST if i is None else i for i in ids], dtype=np.int64)
@@ -148,65 +163,85 @@ def _all_fragments(texts: list[bytes]) -> tuple[list[Fragments], list[tuple[int,
     return parts, pieces, np.concatenate([p.seed for p in parts]) if parts else np.empty(0, dtype=np.uint64)
 
 
-def _seed_list(seeds: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct seeds (bucket bits and 32 more), sorted, and which have two owners."""
+def _seed_list(seeds: np.ndarray, bits: int, owner: np.ndarray | None = None, whole: np.ndarray | None = None):
+    """Distinct seeds (bucket bits and 32 more), sorted; with ``owner`` and ``whole``, also
+    which have two owners, and how many fragments (65,535 at most)."""
     short = seeds >> _U(32 - bits)
-    order = np.argsort(short, kind="stable")
-    short, owner = short[order], owner[order]
-    first = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else np.empty(0, dtype=np.int64)
-    if not len(first):
-        return short, np.empty(0, dtype=bool)
-    return short[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+    if owner is None:
+        return np.unique(short)
+    order = np.lexsort((whole, short))
+    short, owner, whole = short[order], owner[order], whole[order]
+    if not len(short):
+        return short, np.empty(0, dtype=bool), np.empty(0, dtype=np.uint16)
+    new = np.append(True, short[1:] != short[:-1])
+    first = np.flatnonzero(new)
+    other = (new | np.append(True, whole[1:] != whole[:-1])).astype(np.int64)
+    return (short[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first),
+            np.minimum(np.add.reduceat(other, first), 65535).astype(np.uint16))
 
 
 def _list_seeds(bits: int):
     """Per block and bucket: its seeds, and which of them two of its documents have."""
     def list_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 texts, ids = _texts(row["sizes"], row["body"]), _ids(row["ids"])
                 parts, pieces, seeds = _all_fragments(texts)
                 owner = np.concatenate([np.empty(0, dtype=np.int64), *(ids[a:b][p.owner] for p, (a, b) in zip(parts, pieces, strict=True))])
-                short, twice = _seed_list(seeds, owner, bits)
+                whole = np.concatenate([np.empty(0, dtype=np.uint64), *(p.whole for p in parts)])
+                short, twice, number = _seed_list(seeds, bits, owner, whole)
                 bucket = (short >> _U(32)).astype(np.int64)
                 edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 has = np.flatnonzero(np.diff(edge))
                 data = [_pack(np.diff(short[edge[k]:edge[k + 1]].astype(np.uint32), prepend=np.uint32(0)),
-                              np.packbits(twice[edge[k]:edge[k + 1]])) for k in has]
+                              np.packbits(twice[edge[k]:edge[k + 1]]), number[edge[k]:edge[k + 1]]) for k in has]
                 yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([row["block"]] * len(has), pa.int64()),
                                                   pa.array(data, pa.binary())], names=["bucket", "block", "data"])
     return list_seeds
 
 
-def _shared_seeds(rows: pa.Table) -> pa.Table:
-    """Of one bucket: for each block, a bit per seed: does another document have it?"""
-    lists = []
-    for data in rows.column("data").to_pylist():
-        step, twice = _unpack(data, np.uint32, np.uint8)
-        lists.append((np.cumsum(step, dtype=np.uint32), np.unpackbits(twice, count=len(step)).astype(bool)))
-    every = np.sort(np.concatenate([v for v, _ in lists]))
-    many = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(v[t] for v, t in lists)]))
-    bits = [np.packbits(np.isin(v, many, assume_unique=True)).tobytes() for v, _ in lists]
-    return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "data": pa.array(bits, pa.binary())})
+def _shared_seeds(heavy: int):
+    """Of one bucket: for each block, two bits per seed: does another document have it, and
+    is it heavy?"""
+    def shared_seeds(rows: pa.Table) -> pa.Table:
+        lists = []
+        for data in rows.column("data").to_pylist():
+            step, twice, number = _unpack(data, np.uint32, np.uint8, np.uint16)
+            lists.append((np.cumsum(step, dtype=np.uint32), np.unpackbits(twice, count=len(step)).astype(bool), number))
+        every = np.concatenate([v for v, *_ in lists])
+        order = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+        many = (np.diff(np.append(first, len(every))) > 1) | np.logical_or.reduceat(np.concatenate([t for _, t, _ in lists])[order], first)
+        large = np.add.reduceat(np.concatenate([n for *_, n in lists])[order].astype(np.int64), first) >= heavy
+        seeds = every[order][first]
+        bits = []
+        for v, *_ in lists:
+            at = np.searchsorted(seeds, v)
+            bits.append(_pack(np.packbits(many[at]), np.packbits(large[at] & many[at])))
+        return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "data": pa.array(bits, pa.binary())})
+    return shared_seeds
 
 
 def _chosen(row: dict, bits: int):
     """Fragments of a block whose seeds are shared, and their distinct (seed, whole) in
-    order: (parts, pieces, kept fragments of all parts, seed, whole, inverse)."""
+    order: (texts, parts, pieces, light fragments of all parts, seed, whole, inverse, first
+    of each, heavy fragments)."""
     texts = _texts(row["sizes"], row["body"])
     parts, pieces, seeds = _all_fragments(texts)
     whole = np.concatenate([p.whole for p in parts]) if parts else np.empty(0, dtype=np.uint64)
-    short, _ = _seed_list(seeds, np.zeros(len(seeds), dtype=np.int64), bits)
+    short = _seed_list(seeds, bits)
     edge = np.searchsorted(short >> _U(32), np.arange((1 << bits) + 1, dtype=np.uint64))
-    shared = np.zeros(len(short), dtype=bool)
+    shared, large = np.zeros((2, len(short)), dtype=bool)
     for mark in row["marks"] or []:
         a, b = edge[mark["bucket"]], edge[mark["bucket"] + 1]
-        shared[a:b] = np.unpackbits(np.frombuffer(mark["data"], dtype=np.uint8), count=b - a).astype(bool)
-    kept = np.flatnonzero(shared[np.searchsorted(short, seeds >> _U(32 - bits))]) if len(seeds) else np.empty(0, dtype=np.int64)
+        shared[a:b], large[a:b] = (np.unpackbits(x, count=b - a) for x in _unpack(mark["data"], np.uint8, np.uint8))
+    at = np.searchsorted(short, seeds >> _U(32 - bits))
+    kept = np.flatnonzero(shared[at] & ~large[at]) if len(seeds) else np.empty(0, dtype=np.int64)
+    heavy = np.flatnonzero(large[at]) if len(seeds) else np.empty(0, dtype=np.int64)
     order = kept[np.lexsort((whole[kept], seeds[kept]))]
     s, w = seeds[order], whole[order]
     new = np.append(True, (s[1:] != s[:-1]) | (w[1:] != w[:-1])) if len(s) else np.empty(0, dtype=bool)
-    return texts, parts, pieces, order, s[new], w[new], np.cumsum(new) - 1, np.flatnonzero(new)
+    return texts, parts, pieces, order, s[new], w[new], np.cumsum(new) - 1, np.flatnonzero(new), heavy
 
 
 def _send_fragments(bits: int):
@@ -214,8 +249,8 @@ def _send_fragments(bits: int):
     the bytes before and after its seed."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                texts, parts, pieces, order, s, w, group, new = _chosen(row, bits)
+            for row in _rows(batch):
+                texts, parts, pieces, order, s, w, group, new, _heavy = _chosen(row, bits)
                 if not len(s):
                     continue
                 ids = _ids(row["ids"])
@@ -241,6 +276,50 @@ def _send_fragments(bits: int):
     return send
 
 
+def _heavy_windows(parts: list[Fragments], heavy: np.ndarray) -> Iterator[tuple]:
+    """(part, fragment, place, hash) of the windows of heavy fragments, part by part."""
+    done = 0
+    for p in parts:
+        own = heavy[(heavy >= done) & (heavy < done + len(p.first))] - done
+        done += len(p.first)
+        yield p, *p.windows(own)
+
+
+def _send_windows(bits: int):
+    """Per block and bucket: the distinct windows of heavy fragments with their least ids."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                _, parts, pieces, *_rest, heavy = _chosen(row, bits)
+                ids, hashes, owners = _ids(row["ids"]), [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+                for (p, own, _, h), (a, b) in zip(_heavy_windows(parts, heavy), pieces, strict=True):
+                    hashes.append(h)
+                    owners.append(ids[a:b][p.owner[own]])
+                h, i = np.concatenate(hashes), np.concatenate(owners)
+                if not len(h):
+                    continue
+                order = np.lexsort((i, h))
+                first = np.append(True, h[order][1:] != h[order][:-1])
+                h, i = h[order][first], i[order][first]
+                edge = np.searchsorted(h >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                has = np.flatnonzero(np.diff(edge))
+                data = [_pack(h[edge[k]:edge[k + 1]], i[edge[k]:edge[k + 1]]) for k in has]
+                yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([row["block"]] * len(has), pa.int64()),
+                                                  pa.array(data, pa.binary())], names=["bucket", "block", "data"])
+    return send
+
+
+def _least_ids(rows: pa.Table) -> pa.Table:
+    """Of one bucket of windows: the least id of each, for each block in its order."""
+    sent = [_unpack(d, np.uint64, np.int64) for d in rows.column("data").to_pylist()]
+    h, i = (np.concatenate([x[k] for x in sent]) for k in (0, 1))
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    seeds, least = h[order][first], np.minimum.reduceat(i[order], first)
+    data = [_pack(x[0], least[np.searchsorted(seeds, x[0])]) for x in sent]
+    return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "data": pa.array(data, pa.binary())})
+
+
 def earlier_windows(texts: list[tuple[bytes, bytes]], least: list[int]) -> list[int]:
     """For fragments with one seed, (bytes before it, bytes after it): which windows of
     each stand in a fragment with a smaller id, as bits from its first window on.
@@ -321,8 +400,8 @@ def _solve(rows: pa.Table) -> pa.Table:
 def _remove(bits: int, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                texts, parts, pieces, order, s, w, group, _ = _chosen(row, bits)
+            for row in _rows(batch):
+                texts, parts, pieces, order, s, w, group, _, heavy = _chosen(row, bits)
                 ids, raw_ids = _ids(row["ids"]), row["ids"]
                 edge = np.searchsorted(s >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 low, masks = np.full(len(s), _LAST, dtype=np.int64), np.zeros(len(s), dtype=np.uint32)
@@ -333,7 +412,11 @@ def _remove(bits: int, with_text: bool):
                 which = np.full(sum(len(p.first) for p in parts), -1, dtype=np.int64)
                 which[order] = group
                 done, rows = 0, []
-                for p, (a, b) in zip(parts, pieces, strict=True):
+                known = [_unpack(x["data"], np.uint64, np.int64) for x in row["windows"] or []]
+                hashes = np.concatenate([np.empty(0, dtype=np.uint64), *(x[0] for x in known)])
+                order = np.argsort(hashes)
+                hashes, least = hashes[order], np.concatenate([np.empty(0, dtype=np.int64), *(x[1] for x in known)])[order]
+                for (p, owner, place, h), (a, b) in zip(_heavy_windows(parts, heavy), pieces, strict=True):
                     own, mine = which[done:done + len(p.first)], ids[a:b][p.owner]
                     done += len(p.first)
                     delta = np.zeros(len(p.data) + 1, dtype=np.int32)
@@ -345,6 +428,10 @@ def _remove(bits: int, with_text: bool):
                         hit = p.first[part[(masks[own[part]] >> np.uint32(j)) & 1 > 0]] + j
                         np.add.at(delta, hit, 1)
                         np.add.at(delta, hit + LENGTH, -1)
+                    if len(h):
+                        hit = place[least[np.searchsorted(hashes, h)] < ids[a:b][p.owner[owner]]]
+                        np.add.at(delta, hit, 1)
+                        np.add.at(delta, hit + LENGTH, -1)
                     gone = np.cumsum(delta[:-1]) > 0
                     start = 0
                     for k in range(a, b):
@@ -370,7 +457,8 @@ def _remove(bits: int, with_text: bool):
 _NAMES = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
+                   heavy: int = HEAVY) -> DataFrame:
     """Remove bytes that an earlier document has: one row per row of ``docs``.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a
@@ -383,8 +471,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fragments collapse to one with its least id, in each block of documents and then in
     the bucket of their seed; documents with larger ids lose them whole.  What differs
     around a common seed is compared by the suffix array of that seed's fragments.
-    Blocks and buckets hold bounded amounts of distinct text, and the answers go back to
-    the blocks.
+    A seed with ``heavy`` or more distinct fragments (a passage that very many documents
+    continue differently) has no group: its windows are filed under their own hashes, with
+    the least id of each block.  So blocks and buckets hold bounded amounts of distinct
+    text, and the answers go back to the blocks.
 
     Null text counts as empty.  A null id is larger than any other.  Rows with equal ids
     (repeated rows too) take nothing from each other.  Documents shorter than 50 bytes
@@ -404,11 +494,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return rows.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias(name))
 
     seeds = blocks.mapInArrow(_list_seeds(bits), packed)
-    marks = materialize(by_block(by_bucket(seeds, _shared_seeds), "marks"))
+    marks = materialize(by_block(by_bucket(seeds, _shared_seeds(heavy)), "marks"))
     marked = blocks.join(marks, "block", "left")
     sent = marked.mapInArrow(_send_fragments(bits), packed)
     answers = materialize(by_block(by_bucket(sent, _solve), "answers"))
+    windows = materialize(by_block(by_bucket(marked.mapInArrow(_send_windows(bits), packed), _least_ids), "windows"))
     kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
-    out = blocks.join(marks, "block", "left").join(answers, "block", "left").mapInArrow(
+    out = blocks.join(marks, "block", "left").join(answers, "block", "left").join(windows, "block", "left").mapInArrow(
         _remove(bits, with_text), kind + ", kept binary" * with_text)
     return out.withColumnRenamed("id", id_col)

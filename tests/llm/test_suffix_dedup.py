@@ -28,8 +28,8 @@ def brute_force(rows):
     return out
 
 
-def got(df):
-    rows = repeated_bytes(df, with_text=True).collect()
+def got(df, **options):
+    rows = repeated_bytes(df, with_text=True, **options).collect()
     for r in rows:
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.kept) == r.n_bytes - r.n_removed
     return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows)
@@ -47,7 +47,7 @@ def test_matches_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in docs.collect()]
     want = brute_force(rows)
     assert got(docs) == want
-    assert got(docs.repartition(7)) == want
+    assert got(docs.repartition(7), heavy=2) == want
 
 
 def test_matches_brute_force_on_cut_and_joined_texts(spark):
@@ -63,5 +63,6 @@ def test_matches_brute_force_on_cut_and_joined_texts(spark):
         rows.append((rng.randrange(200), "".join(parts)))
     rows += [(None, base[0]), (None, base[0]), (3, None), (4, ""), (5, base[1][:30]), (-7, base[0][10:70])]
     df = spark.createDataFrame([(*r, "extra", 1) for r in rows], "doc_id long, text string, spans string, id int")
-    assert got(df) == brute_force(rows)
+    for heavy in (1, 3, 5000):
+        assert got(df, heavy=heavy) == brute_force(rows)
     assert repeated_bytes(df.limit(0)).count() == 0
