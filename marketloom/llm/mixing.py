@@ -69,23 +69,22 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         "_src": F.col(source_col), "_size": document_size(F.col(text_col)),
         "_hex": F.sha2(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 256)})
     sizes = sized.groupBy(F.col("_src").alias("source")).agg(F.sum("_size").alias("source_size"))
-    rates = source_targets(sizes, weights, cap).withColumn(
-        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    rates = rates.withColumn("whole", F.floor("rate")).withColumn(
-        "edge", F.lower(F.lpad(F.hex(F.floor((F.col("rate") - F.col("whole")) * F.lit(2.0**32))), 8, "0")))
-    rates = rates.withColumnRenamed("source", "_src2")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rates = source_targets(sizes, weights, cap).withColumn("_rate", rate).withColumn("_whole", F.floor("_rate"))
+    edge = F.lower(F.lpad(F.hex(F.floor((F.col("_rate") - F.col("_whole")) * F.lit(2.0**32))), 8, "0"))
+    rates = rates.select(F.col("source").alias("_src2"), "source_size", "target", "_whole", edge.alias("_edge"))
     same = F.col("_src").eqNullSafe(F.col("_src2"))
     tries = sized.select("_src", "_size", "_hex").join(rates, same)
     sums = tries.groupBy("_src").agg(
         F.first("target").alias("t"),
-        F.array(*[F.sum(F.col("_size") * (F.col("whole") + F.when(F.substring("_hex", k, 8) < F.col("edge"), 1)
+        F.array(*[F.sum(F.col("_size") * (F.col("_whole") + F.when(F.substring("_hex", k, 8) < F.col("_edge"), 1)
                                           .otherwise(0))) for k in range(1, SEEDS + 1)]).alias("sums"))
     best = F.array_min(F.transform("sums", lambda s, k: F.struct(F.abs(s - F.col("t")).alias("d"), (k + 1).alias("k"))))
-    seeds = sums.select(F.col("_src").alias("_src3"), best["k"].alias("seed"))
+    seeds = sums.select(F.col("_src").alias("_src3"), best["k"].alias("_seed"))
     rates = rates.join(seeds, F.col("_src2").eqNullSafe(F.col("_src3")), "left")
     out = sized.join(rates, same, "left")
-    extra = F.when(F.expr("substring(_hex, seed, 8)") < F.col("edge"), 1).otherwise(0)
-    out = out.withColumn("_copies", F.coalesce(F.col("whole") + extra, F.lit(0)).cast("long"))
+    extra = F.when(F.expr("substring(_hex, _seed, 8)") < F.col("_edge"), 1).otherwise(0)
+    out = out.withColumn("_copies", F.coalesce(F.col("_whole") + extra, F.lit(0)).cast("long"))
     return out.select(
         *[F.col(f"`{c}`") for c in columns], F.col("_size").alias("size"), "source_size", "target",
         F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))

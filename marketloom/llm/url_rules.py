@@ -79,7 +79,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     empty table stays empty.  Columns of ``pages`` with the names of added ones are
     replaced.
     """
-    pages = pages.drop("host", "path", "rule", "verdict")
+    pages = pages.drop("host", "path", "rule", "verdict", "_key", "_host", "_path")
     columns = pages.columns
     url = F.coalesce(F.col(url_col), F.lit(""))
     urls = pages.select(url.alias("_url")).distinct()
