@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -39,16 +41,26 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts whose bytes add up to about ``limit`` (one text at least)."""
-    first, total = 0, 0
-    for i, text in enumerate(texts):
-        if i > first and total + len(text) > limit:
+def ranges(sizes, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to about ``limit`` (one item at least)."""
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > limit:
             yield first, i
             first, total = i, 0
-        total += len(text) + 1
-    if first < len(texts):
-        yield first, len(texts)
+        total += n + 1
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def text_sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a text or binary column, 0 for nulls."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts whose bytes add up to about ``limit``."""
+    return ranges([len(t) for t in texts], limit)
 
 
 class Words:

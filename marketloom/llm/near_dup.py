@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import GOLDEN, Words, mix64, shingles, slices
+from ._bytes import GOLDEN, Words, mix64, ranges, shingles, slices, text_sizes
 from ._scratch import materialize
 from .components import connected_components
 
 #: Signature length and rows of a band.  Two sets of similarity 0.8 share no band of 42
 #: with probability (1 - 0.8**6)**42 = 3e-6, and those of similarity 0.85 with 2e-9.
 SLOTS, BAND_ROWS = 252, 6
+#: Further classes of a bucket that others are compared with; rows of a bucket's block.
+PICKS, BLOCK_ROWS = 8, 1024
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -80,9 +82,9 @@ def text_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 def _sketch(text_col: str, size: int, columns: list[str]):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
-            for a, b in slices(raw):
-                sets = text_sets(raw[a:b], size)
+            for a, b in ranges(text_sizes(batch.column(text_col))):
+                piece = batch.slice(a, b - a)
+                sets = text_sets([t or b"" for t in piece.column(text_col).cast(pa.binary()).to_pylist()], size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signed = super_minhash([sets[i] for i in full])
                 bands, small = _bands(signed).tolist(), (signed & np.uint64(0xFF)).astype(np.uint8)
@@ -92,7 +94,6 @@ def _sketch(text_col: str, size: int, columns: list[str]):
                 for k, i in enumerate(full):
                     prints[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     rows[i], brief[i] = bands[k], small[k].tobytes()
-                piece = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(c) for c in columns]
                     + [pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()),
@@ -105,8 +106,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, for the one shuffle that moves them."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        body = [pack(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=["_row", "body"])
+        body = [pack(t.as_buffer() or b"") for t in batch.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=["p", "body"])
 
 
 def _alike(least: float):
@@ -114,7 +115,7 @@ def _alike(least: float):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8)
-                        .reshape(batch.num_rows, -1) for c in ("_sig", "_sig_b"))
+                        .reshape(batch.num_rows, -1) for c in ("_sig_a", "_sig_b"))
                 keep = (a == b).sum(axis=1) >= least
                 yield batch.filter(pa.array(keep)).select(["a", "b"])
     return alike
@@ -122,8 +123,8 @@ def _alike(least: float):
 
 def _confirm(size: int, num: int, den: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            open_ = zstandard.ZstdDecompressor().decompress
             a, b = ([open_(x) for x in batch.column(c).to_pylist()] for c in ("body_a", "body_b"))
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(text_sets(a, size), text_sets(b, size), strict=True)):
@@ -133,6 +134,82 @@ def _confirm(size: int, num: int, den: int):
     return confirm
 
 
+def _cross(rows: pa.Table, least: float, size: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the components of one bucket (or of two of its blocks).
+
+    Pairs in different components, of like size and signature, that share no earlier
+    band (else another bucket has them) are confirmed on full sets.  A link joins its
+    components at once, so that of the links found none closes a circle.
+    """
+    block, p, root, n = (rows.column(c).to_numpy() for c in ("block", "p", "root", "n"))
+    band, first, last = rows.column("t")[0].as_py(), rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
+    sig, keys = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=d).reshape(len(p), -1)
+                 for c, d in (("sig", np.uint8), ("keys", np.int32)))
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == last)
+    body, open_ = rows.column("body"), zstandard.ZstdDecompressor().decompress
+    sets: dict[int, np.ndarray] = {}
+    above: dict[int, int] = {}
+    found = []
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = text_sets([open_(body[i].as_py())], size)[0]
+        return sets[i]
+
+    def top(r: int) -> int:
+        while r in above:
+            r = above[r]
+        return r
+
+    for k in range(0, len(left), 256):
+        i = left[k:k + 256]
+        near = root[i][:, None] != root[right][None, :]
+        near &= den * np.minimum(n[i][:, None], n[right][None, :]) >= num * np.maximum(n[i][:, None], n[right][None, :])
+        if first == last:
+            near &= p[i][:, None] > p[right][None, :]
+        at, to = np.nonzero(near)
+        for c in range(0, len(at), 1 << 14):
+            x, y = i[at[c:c + (1 << 14)]], right[to[c:c + (1 << 14)]]
+            good = (sig[x] == sig[y]).sum(axis=1) >= least
+            x, y = x[good], y[good]
+            new = ~(keys[x, :band] == keys[y, :band]).any(axis=1)
+            for u, v in zip(x[new].tolist(), y[new].tolist(), strict=True):
+                r, q = top(int(root[u])), top(int(root[v]))
+                if r != q:
+                    both = len(np.intersect1d(set_of(u), set_of(v), assume_unique=True))
+                    if den * both >= num * (int(n[u]) + int(n[v]) - both):
+                        above[max(r, q)] = min(r, q)
+                        found.append((int(max(p[u], p[v])), int(min(p[u], p[v]))))
+    return found
+
+
+def _compare(least: float, size: int, num: int, den: int):
+    """Over partitions sorted by bucket and blocks: a group is complete when the next begins."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def groups(table: pa.Table) -> list[int]:
+            h, i, j = (table.column(c).to_numpy() for c in ("h", "bi", "bj"))
+            new = (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            return [0, *(np.flatnonzero(new) + 1).tolist(), len(h)]
+
+        def pairs(table: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                if y > x + 1 and (found := _cross(table.slice(x, y - x), least, size, num, den)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+                bounds = groups(table)
+                yield from pairs(table, bounds[:-1])
+                held = table.slice(bounds[-2])
+        if held is not None:
+            yield from pairs(held, groups(held))
+    return compare
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle_words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """Group documents whose shingle sets are alike; adds four columns to ``docs``.
@@ -143,11 +220,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``den * |A & B| >= num * |A | B|`` for their sets of distinct ``shingle_words``-word
     shingles, ``threshold = (num, den)``; shorter texts have one shingle, all their words.
 
-    Steps: texts with equal sets are one class.  Classes that share a band are candidates.
-    First each class is compared with the least class of each of its buckets, then, as
-    links have joined most of a bucket by now, all classes of a bucket that are in
-    different components yet; so a large group never makes all its pairs, and no
-    candidate is left out.  Sizes and signatures reject candidates, full sets confirm them.
+    Steps: texts with equal sets are one class.  Classes that share a band are
+    candidates.  In each bucket they are first compared with the class that shares the
+    most buckets with others, then those of other components with a few more.  What is
+    left, the pairs of a bucket whose components still differ, is compared inside tasks,
+    block by block, and only links that join components leave them.  So a large group
+    never makes all its pairs, and no candidate is left out.  Links are confirmed on
+    full sets.
 
     Null or wordless texts have an empty set: linked with nothing, their own id as
     component.  A null id is no group's smallest id unless the group has no other.
@@ -171,49 +250,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = rows.where("_print is not null")
     first = sketched.groupBy("_print").agg(F.min("_row").alias("_row"))
     classes = materialize(
-        sketched.select("_row", F.col("_print").alias("p"), F.col("_n").alias("n"), "_sig", "_bands")
-        .join(first.select("_row"), "_row", "left_semi"))
-    buckets = classes.select("p", "n", F.explode("_bands").alias("h"))
-    least = (buckets.groupBy("h").agg(F.min(F.struct("p", "n")).alias("m"), F.count("*").alias("k"))
-             .where("k > 1").select("h", F.col("m.p").alias("least"), F.col("m.n").alias("n_b")))
-    buckets = materialize(buckets.join(least, "h"))  # only those of two classes or more
-    wanted = classes.join(buckets.select("p").distinct(), "p", "left_semi").select("_row", "p", "_sig")
-    packed = rows.select("_row", text_col).mapInArrow(_pack, "_row long, body binary")
-    bodies = materialize(packed.join(wanted, "_row").select("p", "_sig", "body"))
+        sketched.select(F.col("_row").alias("p"), F.col("_n").alias("n"), "_sig", "_bands")
+        .join(first.select(F.col("_row").alias("p")), "p", "left_semi"))
+    bands = classes.select("p", F.posexplode("_bands").alias("t", "h"))
+    counts = bands.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    shared = materialize(bands.join(counts, "h"))  # buckets of two classes or more
+    degrees = shared.groupBy("p").agg(F.sum("k").alias("deg"))
+    packed = rows.select("_row", text_col).mapInArrow(_pack, "p long, body binary")
+    nodes = materialize(packed.join(classes.join(degrees, "p"), "p"))
+    buckets = materialize(shared.join(nodes.select("p", "n", "deg"), "p").select("h", "t", "p", "n", "deg"))
     like = (F.col("n") * den >= num * F.col("n_b")) & (F.col("n_b") * den >= num * F.col("n"))
-    slack = 5.5 * math.sqrt(SLOTS * (num / den) * (1 - num / den))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sig, body = bodies.select("p", "_sig"), bodies.select("p", "body")
-        brief = (pairs.join(sig.withColumnRenamed("p", "a"), "a")
-                 .join(sig.select(F.col("p").alias("b"), F.col("_sig").alias("_sig_b")), "b"))
-        near = brief.select("a", "b", "_sig", "_sig_b").mapInArrow(
-            _alike(SLOTS * num / den - slack), "a binary, b binary")
-        whole = (near.join(body.select(F.col("p").alias("a"), F.col("body").alias("body_a")), "a")
-                 .join(body.select(F.col("p").alias("b"), F.col("body").alias("body_b")), "b"))
-        return materialize(whole.select("a", "b", "body_a", "body_b").mapInArrow(
-            _confirm(shingle_words, num, den), "a binary, b binary"))
-
-    stars = materialize(buckets.where((F.col("p") != F.col("least")) & like)
-                        .select(F.col("p").alias("a"), F.col("least").alias("b")).distinct())
-    links = verified(stars)
+    least = SLOTS * num / den - 4.5 * math.sqrt(SLOTS * (num / den) * (1 - num / den))
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return nodes.select(F.col("p").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a", "_sig"), "a").join(side("b", "_sig"), "b")
+        return both.select("a", "b", "_sig_a", "_sig_b").mapInArrow(_alike(least), "a long, b long")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a", "body"), "a").join(side("b", "body"), "b")
+        return materialize(both.select("a", "b", "body_a", "body_b").mapInArrow(
+            _confirm(shingle_words, num, den), "a long, b long"))
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        named = (buckets.join(roots.withColumnRenamed("node", "p"), "p", "left")
+                 .withColumn("root", F.coalesce("root", "p")))
+        mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"))
+        return materialize(named.join(mixed.where("x <> y").select("h", "k"), "h"))
+
+    hubs = buckets.groupBy("h").agg(F.min(F.struct((-F.col("deg")).alias("d"), "p", "n")).alias("m"))
+    stars = materialize(
+        buckets.join(hubs.select("h", F.col("m.p").alias("b"), F.col("m.n").alias("n_b")), "h")
+        .where((F.col("p") != F.col("b")) & like).select(F.col("p").alias("a"), "b").distinct())
+    links = confirmed(alike(stars))
+    roots = connected_components(links)
+
+    rest = still_open(roots)
+    picks = rest.groupBy("h").agg(F.array_distinct(F.array(*[
+        F.min(F.struct(F.xxhash64("p", F.lit(k)).alias("r"), "p", "n", "root"))
+        .getField("p").alias(f"p{k}") for k in range(PICKS)])).alias("picks"))
+    picked = (picks.select("h", F.explode("picks").alias("b"))
+              .join(rest.select("h", F.col("p").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), ["h", "b"]))
+    tries = (rest.join(picked, "h").where((F.col("root") != F.col("root_b")) & like)
+             .select(F.greatest("p", "b").alias("a"), F.least("p", "b").alias("b")).distinct())
+    links = links.unionByName(confirmed(alike(tries)))
+    roots = connected_components(links)
+
+    rest = (still_open(roots).withColumn("nb", F.ceil(F.col("k") / F.lit(BLOCK_ROWS)).cast("long"))
+            .withColumn("block", F.pmod(F.xxhash64("p"), "nb")))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    keyed = nodes.select("p", "body", F.col("_sig").alias("sig"), F.expr(
+        "array_join(transform(_bands, x -> lpad(hex(x & 4294967295), 8, '0')), '')").alias("keys"))
+    blocks = rest.join(keyed, "p").select(
+        "h", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
+        "block", "t", "p", "root", "n", "sig", F.unhex("keys").alias("keys"), "body")
+    blocks = blocks.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj")
+    links = links.unionByName(materialize(
+        blocks.mapInArrow(_compare(least, shingle_words, num, den), "a long, b long")))
     roots = connected_components(links)
 
-    named = (buckets.select("h", "p", "n").join(roots.withColumnRenamed("node", "p"), "p", "left")
-             .withColumn("root", F.coalesce("root", "p")))
-    mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    open_rows = materialize(named.join(mixed, "h", "left_semi"))
-    other = open_rows.select("h", F.col("p").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    cross = (open_rows.join(other, "h").where((F.col("p") > F.col("b")) & (F.col("root") != F.col("root_b")) & like)
-             .select(F.col("p").alias("a"), "b").distinct()
-             .join(stars, ["a", "b"], "left_anti"))
-    more = verified(cross)
-    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-                                 .unionByName(links).unionByName(more))
-
-    brief_rows = rows.select("_row", "_print", F.col(id_col).alias("_id")).join(
-        roots.select(F.col("node").alias("_print"), "root"), "_print", "left")
-    brief_rows = brief_rows.withColumn("_group", F.coalesce("root", "_print"))
+    brief_rows = rows.select("_row", "_print", F.col(id_col).alias("_id"))
+    classed = first.select("_print", F.col("_row").alias("p")).join(
+        roots.withColumnRenamed("node", "p"), "p", "left").select("_print", F.coalesce("root", "p").alias("_group"))
+    brief_rows = brief_rows.join(classed, "_print", "left")
     rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     groups = brief_rows.where("_group is not null").groupBy("_group").agg(F.min(rank).alias("_first"))
     alone = F.col("_group").isNull()
