@@ -14,6 +14,8 @@ from ._scratch import materialize
 
 #: N-grams of a profile, letters told apart, labelled documents used at most a language.
 PROFILE, LETTERS, MAX_DOCS_PER_LANG = 300, 250, 500
+#: Ids of a sample (under 10 MB) that are broadcast.
+BROADCAST_IDS = 200_000
 UNDETERMINED = "und"
 _BLANK, _OTHER = 1, 2  # symbols of the coded text; 0 ends a shorter n-gram
 
@@ -106,7 +108,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
            .select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(lang_col).alias("lang"))
            .withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs)
            .select(F.col("i").alias(id_col), F.col("lang").alias(lang_col)).distinct())
-    sample = labelled.join(ids, [id_col, lang_col], "left_semi").where(F.col(text_col).isNotNull())
+    ids = materialize(ids)
+    few = ids.count() <= BROADCAST_IDS  # max_docs a language; with very many languages, a shuffled join
+    sample = labelled.join(F.broadcast(ids) if few else ids, [id_col, lang_col], "left_semi").where(F.col(text_col).isNotNull())
     sample = materialize(sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
 
     def letters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
