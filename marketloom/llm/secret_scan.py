@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._bytes import ranges, text_sizes
+
 # The base kinds, in their order.
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -141,7 +143,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", replace: bool = False,
     columns = docs.columns if carry is None else list(carry)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(x, y - x) for b in batches for x, y in ranges(text_sizes(b.column(text_col)))):
             texts = batch.column(text_col).to_pylist()
             counts: list[list[int]] = [[], [], []]
             digests, spans, clean = [], [], []
