@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-FILE_PATTERN = r"output_prediction_TreeTime_(.+)_(\d{2}[A-Za-z]{3}\d{2})_(\d{4})(__completed)?\.parquet"
+FILE_PATTERN = r"output_prediction_[A-Za-z]+_(.+)_(\d{2}[A-Za-z]{3}\d{2})_(\d{4})(__completed)?\.parquet"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -186,7 +186,7 @@ def test_stores_and_streaming_upsert(spark, tmp_path):
 
 
 def test_outputs(spark, tmp_path):
-    name = f"{tmp_path}/output_prediction_TreeTime_g1_02Jan24_0930.parquet"
+    name = f"{tmp_path}/output_prediction_Model_g1_02Jan24_0930.parquet"
     df = spark.createDataFrame([(d("2024-01-01"), "A", 10.0, 1.1)], "date date, ticker string, Close double, prediction_ratio double")
     assert stores.write_result(df, name) and not stores.write_result(df, name)
     rows = bars(spark, [("A", f"2024-01-0{k}", 10.0 + k, 10.0 + k, 1.0, 0.0, 1.0) for k in range(1, 5)])
