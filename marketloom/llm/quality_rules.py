@@ -23,8 +23,10 @@ METRICS = ("symbols_pm", "upper_pm", "marks_pm", "dup_lines_pm", "repeats_pm", "
 #: A document is an outlier above ``median + FENCE * max(q75 - median, STEP)``.
 FENCE = 6
 STEP = {"symbols_pm": 4, "upper_pm": 30, "marks_pm": 15, "dup_lines_pm": 60, "repeats_pm": 50, "word_len_c": 60}
-#: Bins of the quantile sketch: one thousandth; longer word lengths share the last bin.
-LAST_BIN = 5000
+#: Bits of a value that its bin of the quantile sketch keeps: below ``2**BIN_BITS`` (all
+#: thousandths, and words of up to 81 code points) a bin is one value, from there on its
+#: width doubles with the value.  There is no last bin.
+BIN_BITS = 13
 
 
 def words_of(text: Column) -> Column:
@@ -89,16 +91,25 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
 
 
+def bin_of(value: Column) -> Column:
+    """The least value of the bin of a whole number from 0 on."""
+    value = value.cast("long")
+    drop = F.length(F.bin(value)) - BIN_BITS
+    wide = F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
+    return F.when(value < 2**BIN_BITS, value).otherwise(wide)
+
+
 def quantile_sketches(docs: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Mergeable sketches: how many documents of a group have a metric in each bin.
 
     Bins have fixed edges, so sketches of any parts add up to that of the whole, in any
-    order; a quantile is off by less than one bin.  A group has ``LAST_BIN`` bins a
-    metric at most, however many documents it has, and partial counts are made before
-    the shuffle.  Columns: the groups, metric, bin, n.
+    order; a quantile is off by less than one bin, at most a 4,096th of it at any length.
+    A group has ``2**BIN_BITS`` bins a metric at most, and half as many for each doubling
+    from there on, however many documents it has, and partial counts are made before the
+    shuffle.  Columns: the groups, metric, bin, n.
     """
     metrics = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.least(F.col(m), F.lit(LAST_BIN)).alias("bin")) for m in METRICS]))
+        F.struct(F.lit(m).alias("metric"), bin_of(F.col(m)).alias("bin")) for m in METRICS]))
     return (docs.select(*groups, metrics.alias("m")).groupBy(*groups, "m.metric", "m.bin")
             .agg(F.count("*").alias("n")))
 
@@ -136,7 +147,8 @@ def judge_quality(docs: DataFrame, text_col: str = "text", groups: Sequence[str]
     length) is far above what its own language and source show: above
     ``median + 6 * max(q75 - median, step)``.  The quantiles come from mergeable
     sketches of all documents that pass the base rules, or from stored ones
-    (``source_of_sketches``); the thresholds are joined back.
+    (``source_of_sketches``); the thresholds are joined back and compared with the
+    metrics' bins.
 
     Null text counts as empty and fails.  Null groups form groups of their own; a group
     without thresholds has base rules only.  Repeated rows are judged alike and count
@@ -158,6 +170,6 @@ def judge_quality(docs: DataFrame, text_col: str = "text", groups: Sequence[str]
     on = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(groups)]
     fits = F.lit(True)
     for m in METRICS:
-        fits = fits & (F.col(m) <= F.coalesce(F.col(f"max_{m}"), F.lit(2**40)))
+        fits = fits & (bin_of(F.col(m)) <= F.coalesce(F.col(f"max_{m}"), F.lit(2**40)))
     out = measured.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & fits)
     return out.select(*[F.col(f"`{c}`") for c in columns], *added[:7], *METRICS)

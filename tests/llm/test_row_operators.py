@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketloom.llm import flac, language_id, mixing, quality_model, quality_rules, secret_scan
 from marketloom.llm import sentencepiece_tokens as sp
@@ -56,6 +57,22 @@ def test_quality_rules_keep_clean_and_drop_junk(spark, sf_dir):
     assert np.mean(clean) > 0.99 and np.mean(junk) < 0.15
 
 
+def test_quality_rules_keep_what_is_typical_at_every_word_length(spark):
+    rows = []
+    for lang, size, step in ("zh", 80, 1), ("ja", 200, 2), ("th", 9_000, 100):  # texts without blanks
+        for k in range(12):
+            word = chr(0x4E00) * (size + step * k - 3)
+            rows.append((len(rows), "\n".join(f"{i:03d}{word}" for i in range(50)), lang, "a"))
+        rows.append((len(rows), "\n".join(f"{i:03d}" + chr(0x4E00) * 5 * size for i in range(50)), lang, "far"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string").withColumn("source", F.lit("s"))
+    out = quality_rules.judge_quality(df, carry=["doc_id", "lang", "kind"]).collect()
+    assert len(out) == len(rows) and not any(r.base_failed for r in out)
+    assert {(r.lang, r.kind, r.kept) for r in out} == {(x, k, k == "a") for x in ("zh", "ja", "th") for k in ("a", "far")}
+    values = [0, 1, 5001, 8191, 8192, 8193, 16383, 16385, 2**24 + 5000, 2**40 + 1]
+    bins = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.bin_of(F.col("v"))).collect()]
+    assert bins == [v >> d << d for v in values for d in [max(v.bit_length() - 13, 0)]]
+
+
 def test_quality_sketches_merge_to_the_sketch_of_all(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     measured = quality_rules.with_metrics(quality_rules.base_columns(docs))
