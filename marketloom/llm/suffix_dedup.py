@@ -22,6 +22,8 @@ LENGTH, SEED = 50, 24
 BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 2 << 20, 1 << 19, 12 << 20
 #: Distinct fragments (counted per block) from which on a seed is heavy.
 HEAVY = 5000
+#: Windows whose seeds are looked for at once: their places are packed into ``PLACE`` bits.
+SPAN, PLACE = 1 << 20, 24
 _U, _LAST = np.uint64, np.iinfo(np.int64).max
 _CODE = mix64(np.arange(1001, 1257, dtype=np.uint64) * GOLDEN)
 _POWER = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * 127, dtype=np.uint64))
@@ -66,12 +68,16 @@ class Fragments:
             return
         x = _CODE[self.data]
         seeds = _rolling(x, SEED)
-        low = _U((1 << 24) - 1)
-        least, size = (seeds & ~low) | np.arange(len(seeds), dtype=np.uint64), 1
-        while size * 2 <= width:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        at = (np.minimum(least[:n], least[width - size:width - size + n]) & low).astype(np.int64)
+        low = _U((1 << PLACE) - 1)
+        at = np.empty(n, dtype=np.int64)
+        for begin in range(0, n, SPAN):  # a text may be longer than places have bits
+            some, size = min(SPAN, n - begin), 1
+            near = seeds[begin:begin + some + width - 1]
+            least = (near & ~low) | np.arange(len(near), dtype=np.uint64)
+            while size * 2 <= width:
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            at[begin:begin + some] = (np.minimum(least[:some], least[width - size:width - size + some]) & low).astype(np.int64) + begin
         owner = np.repeat(np.arange(len(texts)), sizes)[:n]
         inside = np.arange(LENGTH, n + LENGTH) <= self.ends[owner]
         new = np.ones(n, dtype=bool)

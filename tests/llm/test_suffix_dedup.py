@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marketloom.llm.suffix_array import suffix_array
-from marketloom.llm.suffix_dedup import repeated_bytes
+from marketloom.llm.suffix_dedup import Fragments, repeated_bytes
 
 
 def brute_force(rows):
@@ -66,3 +66,17 @@ def test_matches_brute_force_on_cut_and_joined_texts(spark):
     for heavy in (1, 3, 5000):
         assert got(df, heavy=heavy) == brute_force(rows)
     assert repeated_bytes(df.limit(0)).count() == 0
+
+
+def test_passages_beyond_16_mib_of_a_text(spark):
+    long = "".join(random.Random(8).choices("abcdefghijklmnop", k=(1 << 24) + 90_000))
+    at, passage = (1 << 24) + 50_000, "".join(random.Random(9).choices("abcdefghijklmnop", k=300))
+    long = long[:at] + "C" + passage + "D" + long[at:]
+    whole, tail = Fragments([long.encode()]), Fragments([long[1 << 24:].encode()])
+    assert (whole.at >= whole.first).all() and (whole.at + 24 <= whole.first + whole.size).all()
+    inner = whole.first >= (1 << 24) + 100
+    assert set(whole.seed[inner]) <= set(tail.seed) and set(whole.at[inner] - (1 << 24)) <= set(tail.at)
+    rows = spark.createDataFrame([(1, "A" + passage + "B"), (2, long), (3, long[:400])], "doc_id long, text string")
+    out = {r.doc_id: r for r in repeated_bytes(rows).collect()}
+    assert [(s.start, s.end) for s in out[2].spans] == [(at + 1, at + 301)]
+    assert (out[1].n_removed, out[3].n_removed) == (0, 400)
