@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,14 @@ from pyspark.sql import types as T
 
 from ._scratch import materialize
 
-#: N-grams of a profile, letters told apart, labelled documents used at most a language.
-PROFILE, LETTERS, MAX_DOCS_PER_LANG = 300, 250, 500
+#: N-grams of a profile, labelled documents used at most a language.
+PROFILE, MAX_DOCS_PER_LANG = 300, 500
 #: Ids of a sample (under 10 MB) that are broadcast.
 BROADCAST_IDS = 200_000
 UNDETERMINED = "und"
-_BLANK, _OTHER = 1, 2  # symbols of the coded text; 0 ends a shorter n-gram
+#: Symbols of the coded text besides letters, which are their code points; 0 ends a shorter n-gram.
+_OTHER, _BLANK = 1, 32
+POINT_BITS, POINTS = 21, 0x110000
 
 
 def has_letter(text: str) -> bool:
@@ -31,52 +34,65 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
 
 
-def count_grams(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@functools.cache
+def _is_letter() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    return np.fromiter((chr(p).isalpha() for p in range(POINTS)), dtype=bool, count=POINTS)
+
+
+def count_grams(texts: list[str], letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, code, count) of every 1- to 3-gram of each text, by number and code.
 
-    Whatever is no letter is a blank, blanks are joined, letters outside the alphabet
-    are one symbol.
+    Whatever is no letter is a blank, blanks are joined.  A code is the n-gram's code
+    points of ``POINT_BITS`` each.  With ``letters``, all others are one symbol.
     """
     points, owner = _codes(texts)
-    at = np.searchsorted(letters, points)
-    known = np.zeros(len(points), dtype=bool)
-    inside = at < len(letters)
-    known[inside] = letters[at[inside]] == points[inside]
-    symbol = np.where(known, at + 3, _BLANK).astype(np.uint8)
-    rest = np.flatnonzero(~known & (points != 32))
-    kinds, which = np.unique(points[rest], return_inverse=True)
-    is_letter = np.array([chr(p).isalpha() for p in kinds.tolist()], dtype=bool)
-    symbol[rest[is_letter[which]]] = _OTHER
+    is_letter = _is_letter()[points]
+    symbol = np.where(is_letter, points, np.uint32(_BLANK))
+    if letters is not None:
+        symbol[is_letter & ~np.isin(points, letters)] = _OTHER
     keep = np.ones(len(symbol), dtype=bool)
     keep[1:] = (symbol[1:] != _BLANK) | (symbol[:-1] != _BLANK) | (owner[1:] != owner[:-1])
-    symbol, owner = symbol[keep].astype(np.uint64), owner[keep]
-    owned = owner.astype(np.uint64) << np.uint64(24)
-    letter = symbol != _BLANK
-    two = owned[:-1] | symbol[:-1] << np.uint64(16) | symbol[1:] << np.uint64(8)
+    symbol, owner = symbol[keep], owner[keep]
+    # Sorted by short codes, the ranks of these texts' own symbols, in the same order.
+    seen = np.zeros(POINTS, dtype=bool)
+    seen[symbol] = True
+    kinds = np.append(0, np.flatnonzero(seen))
+    bits = np.uint64((len(kinds) - 1).bit_length())
+    if 3 * int(bits) + len(texts).bit_length() > 64 and len(texts) > 1:
+        half = len(texts) // 2
+        one, two = count_grams(texts[:half], letters), count_grams(texts[half:], letters)
+        return np.concatenate((one[0], two[0] + half)), np.concatenate((one[1], two[1])), np.concatenate((one[2], two[2]))
+    rank = np.zeros(POINTS, dtype=np.uint32)
+    rank[kinds] = np.arange(len(kinds))
+    letter, symbol = symbol != _BLANK, rank[symbol].astype(np.uint64)
+    one = (owner.astype(np.uint64) << bits | symbol) << bits + bits
+    two = one[:-1] | symbol[1:] << bits
     three = two[:-1] | symbol[2:]
     every = np.sort(np.concatenate([
-        owned[letter] | symbol[letter] << np.uint64(16), two[owner[1:] == owner[:-1]],
-        three[(owner[2:] == owner[:-2]) & letter[1:-1]]]))
+        one[letter], two[owner[1:] == owner[:-1]], three[(owner[2:] == owner[:-2]) & letter[1:-1]]]))
     first = np.flatnonzero(np.concatenate((np.ones(min(len(every), 1), dtype=bool), every[1:] != every[:-1])))
-    count = np.diff(np.append(first, len(every)))
-    return (every[first] >> np.uint64(24)).astype(np.int64), (every[first] & np.uint64(0xFFFFFF)).astype(np.int64), count
+    count, every = np.diff(np.append(first, len(every))), every[first]
+    gram, mask = np.zeros(len(every), dtype=np.int64), (np.uint64(1) << bits) - np.uint64(1)
+    for shift in (bits + bits, bits, np.uint64(0)):
+        gram = gram << POINT_BITS | kinds[(every >> shift & mask).astype(np.int64)]
+    return (every >> np.uint64(3) * bits).astype(np.int64), gram, count
 
 
-def top_grams(texts: list[str], letters: np.ndarray, size: int = PROFILE) -> list[np.ndarray]:
+def top_grams(texts: list[str], letters: np.ndarray | None = None, size: int = PROFILE) -> list[np.ndarray]:
     """The most frequent n-grams of each text, best first (of equals the least code)."""
     whose, gram, count = count_grams(texts, letters)
-    top = (1 << 24) - 1
-    ranked = np.sort((whose << 48 | (top - np.minimum(count, top)) << 24 | gram).astype(np.uint64))
-    bounds = np.searchsorted(ranked >> np.uint64(48), np.arange(len(texts) + 1, dtype=np.uint64))
-    grams = (ranked & np.uint64(0xFFFFFF)).astype(np.int64)
-    return [grams[bounds[i]:min(bounds[i] + size, bounds[i + 1])] for i in range(len(texts))]
+    top = int(count.max(initial=0))
+    gram = gram[np.argsort(whose * (top + 1) + (top - count), kind="stable")]
+    bounds = np.searchsorted(whose, np.arange(len(texts) + 1))
+    return [gram[bounds[i]:min(bounds[i] + size, bounds[i + 1])] for i in range(len(texts))]
 
 
 class Profiles:
     """Rank of each n-gram in each language; out-of-place distance of documents."""
 
-    def __init__(self, letters: np.ndarray, grams: dict[str, np.ndarray]):
-        self.letters, self.grams, self.langs = letters, grams, sorted(grams)
+    def __init__(self, grams: dict[str, np.ndarray]):
+        self.grams, self.langs = grams, sorted(grams)
         self.known = np.unique(np.concatenate([np.asarray(g, dtype=np.int64) for g in grams.values()] or [np.empty(0, np.int64)]))
         self.rank = np.full((len(self.langs), len(self.known) + 1), -1, dtype=np.int64)
         for k, lang in enumerate(self.langs):
@@ -100,8 +116,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     least id hashes; null texts and languages are left out.
 
     Each task keeps no more than ``max_docs`` rows of a language before the shuffle
-    (a row-number filter, which Spark pushes below it); letters and n-grams of the
-    sample are counted by Spark.  One row per language comes back.
+    (a row-number filter, which Spark pushes below it); n-grams of the sample, by code
+    points without an alphabet, are counted by Spark.  One row per language comes back.
     """
     order = Window.partitionBy("lang").orderBy("h", "i")
     ids = (labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -113,20 +129,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sample = labelled.join(F.broadcast(ids) if few else ids, [id_col, lang_col], "left_semi").where(F.col(text_col).isNotNull())
     sample = materialize(sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
 
-    def letters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points, _ = _codes(batch.column(1).to_pylist())
-            found, count = np.unique(points, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"point": pa.array(found, pa.int64()), "n": pa.array(count, pa.int64())})
-
-    counted = sample.mapInArrow(letters_of, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    common = [r[0] for r in counted.orderBy(F.desc("n"), "point").limit(4 * LETTERS).collect()]
-    letters = np.sort(np.array([p for p in common if chr(p).isalpha()][:LETTERS], dtype=np.uint32))
-
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            whose, gram, count = count_grams(texts, letters)
+            whose, gram, count = count_grams(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()).take(pa.array(whose)), pa.array(gram), pa.array(count, pa.int64())],
                 names=["lang", "gram", "n"])
@@ -137,7 +143,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     found: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "k").collect():  # PROFILE rows a language
         found.setdefault(r["lang"], []).append(r["gram"])
-    return Profiles(letters, {lang: np.array(g, dtype=np.int64) for lang, g in found.items()})
+    return Profiles({lang: np.array(g, dtype=np.int64) for lang, g in found.items()})
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
@@ -163,7 +169,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
                 while last < len(texts) and (last == first or total + len(texts[last]) < 500_000):
                     total += len(texts[last])
                     last += 1
-                for i, grams in enumerate(top_grams(texts[first:last], model.letters), first):
+                for i, grams in enumerate(top_grams(texts[first:last]), first):
                     if model.langs and has_letter(texts[i]):
                         d = model.distances(grams)
                         order = np.argsort(d, kind="stable")

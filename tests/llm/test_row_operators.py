@@ -245,6 +245,33 @@ def test_language_on_held_out_rows(spark, sf_dir, odd):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_languages_with_rare_letters_are_told_apart(spark):
+    rng = np.random.default_rng(5)
+
+    def text(first, letters, words):
+        return " ".join("".join(chr(first + k) for k in rng.integers(0, letters, 5)) for _ in range(words))
+
+    rows = [(k, text(0x4E00, 400, 300), "zh") for k in range(30)]  # more letters than any short alphabet
+    for lang, first in ("hy", 0x561), ("ka", 0x10D0):
+        rows += [(len(rows) + k, text(first, 30, 40), lang) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.fit(df)).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_language_grams_are_code_points():
+    texts = ["\u10d0\u10d1 \u10d0", "", "x" * 3, "\U00020000\u4e00"]
+    whose, gram, count = language_id.count_grams(texts)
+    got = Counter({(i, "".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)).rstrip("\0")): n
+                   for i, g, n in zip(whose.tolist(), gram.tolist(), count.tolist(), strict=True)})
+    want = Counter()
+    for i, t in enumerate(texts):
+        t += " " * bool(t)
+        for n in 1, 2, 3:
+            want.update((i, t[k:k + n]) for k in range(len(t) - n + 1) if t[k:k + n] != " " and (n < 3 or t[k + 1] != " "))
+    assert {k: n for k, n in got.items() if k[1] != " "} == dict(want)
+
+
 def test_language_distances_by_hand():
     letters = np.array(sorted(map(ord, "abc")), dtype=np.uint32)
     grams = language_id.top_grams(["abab c", ""], letters)
