@@ -1,4 +1,4 @@
-"""Repeated byte strings across documents, by suffix arrays over shared fragments."""
+"""Repeated byte strings across documents, by suffix arrays over shared runs of windows."""
 
 from __future__ import annotations
 
@@ -16,97 +16,138 @@ from ._bytes import GOLDEN, mix64
 from ._scratch import materialize
 from .suffix_array import suffix_array
 
-#: Length of a repeated string and of the seed in it that it is filed under.
-LENGTH, SEED = 50, 24
-#: Bytes of a block of documents, of a piece worked on at once, and of text per bucket.
-BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 2 << 20, 1 << 19, 12 << 20
-#: Distinct fragments (counted per block) from which on a seed is heavy.
-HEAVY = 5000
-#: Windows whose seeds are looked for at once: their places are packed into ``PLACE`` bits.
-SPAN, PLACE = 1 << 20, 24
+#: Length of a repeated string (a window) and of the core that windows are filed under.
+LENGTH, CORE = 50, 24
+#: Bytes of a window beside its core, and how often a core can grow: 24, 42, 48, 50 bytes.
+SIDE, LEVELS = LENGTH - CORE, 3
+#: Least and most bytes of a block of documents and of a bucket of cores.
+LEAST_PART, MOST_PART = 2 << 20, 256 << 20
+#: Distinct runs (counted per block) up to which a core has one group; beyond, it grows.
+MAX_GROUP = 2000
+#: Symbols that are sorted in one suffix array.
+BATCH = 1 << 16
+#: Windows whose places are looked for at once, and the bits of a place.
+SPAN, PLACE = 1 << 15, 16
 _U, _LAST = np.uint64, np.iinfo(np.int64).max
-_CODE = mix64(np.arange(1001, 1257, dtype=np.uint64) * GOLDEN)
-_POWER = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * 127, dtype=np.uint64))
-
-
-def _rolling(x: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes of every ``n`` consecutive values, by doubling."""
-    out, done, now, size = None, 0, x, 1
-    while n:
-        if n & 1:
-            if out is None:
-                out, done = now, size
-            else:
-                length = len(x) - done - size + 1
-                out = out[:length] * _POWER[size] + now[done:done + length]
-                done += size
-        n >>= 1
-        if n:
-            length = len(now) - size
-            now = now[:length] * _POWER[size] + now[size:size + length]
-            size *= 2
-    return mix64(out)
+_PAD = bytes(64)
 
 
-class Fragments:
-    """Fragments of some texts: longest runs of ``LENGTH``-byte windows with one seed.
+# --- runs of windows -------------------------------------------------------------------
 
-    The seed of a window is the ``SEED``-byte string in it with the least hash, the
-    first of equals, so equal windows have equal seeds at equal places.  ``seed`` and
-    ``whole`` are hashes, ``first`` and ``size`` say where the fragment is, ``at`` where
-    its seed begins, ``owner`` whose it is.
-    """
+def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[at]
+
+
+def _hash(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the strings of ``size`` bytes (eight at least) from each place."""
+    h = size.astype(np.uint64) * GOLDEN
+    for k in range(0, int(size.max(initial=0)), 8):
+        go = slice(None) if k < size.min() else k < size
+        h[go] = mix64(h[go] * GOLDEN ^ _words(data, at[go] + np.minimum(k, size[go] - 8)))
+    return h
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the strings of ``size`` bytes from the places ``a`` and ``b`` equal?"""
+    same = np.ones(len(a), dtype=bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        step = np.minimum(k, size - 8)
+        same &= _words(data, a + step) == _words(data, b + step)
+    return same
 
-    def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        self.ends = np.cumsum(sizes)
-        n, width = len(self.data) - LENGTH + 1, LENGTH - SEED + 1
-        if n <= 0:
-            self.first = self.size = self.at = self.owner = np.empty(0, dtype=np.int64)
-            self.seed = self.whole = np.empty(0, dtype=np.uint64)
-            return
-        x = _CODE[self.data]
-        seeds = _rolling(x, SEED)
-        low = _U((1 << PLACE) - 1)
-        at = np.empty(n, dtype=np.int64)
-        for begin in range(0, n, SPAN):  # a text may be longer than places have bits
-            some, size = min(SPAN, n - begin), 1
-            near = seeds[begin:begin + some + width - 1]
-            least = (near & ~low) | np.arange(len(near), dtype=np.uint64)
-            while size * 2 <= width:
-                least = np.minimum(least[:-size], least[size:])
-                size *= 2
-            at[begin:begin + some] = (np.minimum(least[:some], least[width - size:width - size + some]) & low).astype(np.int64) + begin
-        owner = np.repeat(np.arange(len(texts)), sizes)[:n]
-        inside = np.arange(LENGTH, n + LENGTH) <= self.ends[owner]
-        new = np.ones(n, dtype=bool)
-        new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-        self.first = np.flatnonzero(new & inside)
-        last = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
-        self.size, self.at, self.owner = last - self.first + LENGTH, at[self.first], owner[self.first]
-        self.seed = seeds[self.at]
-        windows = _rolling(x, LENGTH)
-        self.whole = mix64(windows[self.first] * GOLDEN ^ mix64(windows[last] + self.size.astype(np.uint64)))
-
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of some fragments: (fragment, place, hash) of each window."""
-        n = self.size[which] - LENGTH + 1
-        owner = np.repeat(which, n)
-        at = self.first[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return owner, at, (_rolling(_CODE[self.data], LENGTH)[at] if len(at) else np.empty(0, dtype=np.uint64))
-
-
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    first = total = 0
-    for i, t in enumerate(texts):
-        if i > first and total + len(t) > PIECE_BYTES:
-            yield first, i
-            first, total = i, 0
-        total += len(t)
-    if first < len(texts):
-        yield first, len(texts)
 
+class Runs:
+    """Neighbouring windows of one text around the same core.
+
+    The core of a window is chosen by its bytes alone: of its 27 places for a 24-byte
+    string, the one with the least hash of eight bytes, the first of equals.  So equal
+    windows have equal cores at equal places.  ``at`` is where the core stands in the
+    texts put together; a window is named by how far it begins before that place, and a
+    run has the windows from ``low`` to ``high``, ``part`` those of its range in
+    ``parts(level)``.  All windows of a range have the bytes from ``at - first`` to
+    ``at + 50 - last`` in common: the longer core of a deeper level.
+    """
+
+    def __init__(self, at: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray, level: int):
+        self.at, self.low, self.high, self.part, self.level = at, low, high, part, level
+        first, last = np.array(parts(level)).T
+        self.before, self.last = first[part], last[part]
+
+    def take(self, which: np.ndarray) -> Runs:
+        return Runs(self.at[which], self.low[which], self.high[which], self.part[which], self.level)
+
+    @property
+    def start(self) -> np.ndarray:
+        return self.at - self.high
+
+    @property
+    def size(self) -> np.ndarray:
+        return self.high - self.low + LENGTH
+
+    def core(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.at - self.before, LENGTH + self.before - self.last
+
+    def split(self) -> tuple[Runs, np.ndarray]:
+        """The same windows around longer cores: each range falls into three."""
+        some, level = [], self.level + 1
+        first, last = np.array(parts(level)).T
+        for third in range(3):
+            part = 3 * self.part + third
+            low, high = np.maximum(self.low, first[part]), np.minimum(self.high, last[part])
+            has = low <= high
+            some.append((self.at[has], low[has], high[has], part[has], np.flatnonzero(has)))
+        *more, origin = (np.concatenate(c) for c in zip(*some, strict=True))
+        return Runs(*more, level), origin
+
+
+def parts(level: int) -> list[tuple[int, int]]:
+    """Ranges of windows at a level: all 27, then thirds, down to single windows."""
+    size = (SIDE + 1) // 3**level
+    return [(k, k + size - 1) for k in range(0, SIDE + 1, size)]
+
+
+def find_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
+    """Runs of the texts that stand in ``data`` one after another (and 64 bytes more)."""
+    n, width = (int(ends[-1]) if len(ends) else 0) - LENGTH + 1, SIDE + 1
+    none = np.empty(0, dtype=np.int64)
+    if n <= 0:
+        return Runs(none, none, none, none, 0)
+    low, index = np.uint32((1 << PLACE) - 1), np.arange(SPAN + width, dtype=np.uint32)
+    changes, places, now = [], [], -1
+    for begin in range(0, n, SPAN):
+        some, size = min(SPAN, n - begin), 1
+        near = np.ndarray((some + width - 1,), "<u8", data, offset=begin, strides=(1,)) * GOLDEN
+        least = ((near >> _U(32)).astype(np.uint32) & ~low) | index[:len(near)]
+        while size * 2 <= width:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        at = (np.minimum(least[:some], least[width - size:width - size + some]) & low).astype(np.int64) + begin
+        new = np.flatnonzero(at[1:] != at[:-1]) + 1
+        new = new if at[0] == now else np.append(0, new)
+        changes.append(new + begin)
+        places.append(at[new])
+        now = at[-1]
+    first, at = np.concatenate(changes), np.concatenate(places)
+    begins = np.append(0, ends[:-1])
+    stops = np.maximum(ends - LENGTH + 1, begins)  # the first window that leaves its text
+    cut = np.sort(np.concatenate((begins, stops)))
+    cut = cut[np.append(True, cut[1:] != cut[:-1]) & (cut < n)]
+    to = np.searchsorted(first, cut, side="right")
+    new = first[to - 1] != cut
+    first, at = np.insert(first, to[new], cut[new]), np.insert(at, to[new], at[to[new] - 1])
+    last = np.append(first[1:], n) - 1
+    inside = first < stops[_owners(first, ends)]
+    first, last, at = first[inside], last[inside], at[inside]
+    return Runs(at, at - last, at - first, np.zeros(len(at), dtype=np.int64), 0)
+
+
+def _owners(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the texts in which some places, in order, are."""
+    return np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(places, ends), prepend=0))
+
+
+# --- blocks and packed rows ------------------------------------------------------------
 
 def _pack(*arrays: np.ndarray) -> bytes:
     body = b"".join(struct.pack("<q", a.nbytes) + a.tobytes() for a in arrays)
@@ -122,7 +163,22 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _to_blocks(id_col: str, text_col: str):
+_PACKED = "bucket int, block long, data binary"
+
+
+def _packed(bucket: np.ndarray, block: int, data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket, pa.int32()), pa.array([block] * len(bucket), pa.int64()), pa.array(data, pa.binary())],
+        names=["bucket", "block", "data"])
+
+
+def _edges(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted bucket numbers: those that occur, and where each begins (and the end)."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, dtype=np.int64)
+    return bucket[first].astype(np.int64), np.append(first, len(bucket))
+
+
+def _to_blocks(most: int):
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(ids: list, texts: list[bytes]) -> pa.RecordBatch:
             body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
@@ -132,84 +188,135 @@ def _to_blocks(id_col: str, text_col: str):
 
         ids, texts, total = [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(id_col).to_pylist(), batch.column(text_col).cast(pa.binary()).to_pylist(), strict=True):
-                if ids and total + len(t or b"") > BLOCK_BYTES:
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                t = text.as_py() or b""
+                if ids and total + len(t) > most:
                     yield block(ids, texts)
                     ids, texts, total = [], [], 0
                 ids.append(i)
-                texts.append(t or b"")
-                total += len(t or b"")
+                texts.append(t)
+                total += len(t)
         if ids:
             yield block(ids, texts)
     return to_blocks
 
 
-def _texts(sizes: list[int], body: bytes) -> list[bytes]:
-    whole, at, out = zstandard.ZstdDecompressor().decompress(body), 0, []
-    for n in sizes:
-        out.append(whole[at:at + n])
-        at += n
-    return out
-
-
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows one at a time, as each holds a block."""
     for k in range(batch.num_rows):
         yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _ids(ids: list) -> np.ndarray:
-    """Null ids come after all others: they are nobody's smaller id."""
-    return np.array([_LAST if i is None else i for i in ids], dtype=np.int64)
-
-
-def _all_fragments(texts: list[bytes]) -> tuple[list[Fragments], list[tuple[int, int]], np.ndarray]:
-    pieces = list(_pieces(texts))
-    parts = [Fragments(texts[a:b]) for a, b in pieces]
-    return parts, pieces, np.concatenate([p.seed for p in parts]) if parts else np.empty(0, dtype=np.uint64)
-
-
-def _seed_list(seeds: np.ndarray, bits: int, owner: np.ndarray | None = None, whole: np.ndarray | None = None):
-    """Distinct seeds (bucket bits and 32 more), sorted; with ``owner`` and ``whole``, also
-    which have two owners, and how many fragments (65,535 at most)."""
-    short = seeds >> _U(32 - bits)
-    if owner is None:
-        return np.unique(short)
-    order = np.lexsort((whole, short))
-    short, owner, whole = short[order], owner[order], whole[order]
-    if not len(short):
-        return short, np.empty(0, dtype=bool), np.empty(0, dtype=np.uint16)
-    new = np.append(True, short[1:] != short[:-1])
-    first = np.flatnonzero(new)
-    other = (new | np.append(True, whole[1:] != whole[:-1])).astype(np.int64)
-    return (short[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first),
-            np.minimum(np.add.reduceat(other, first), 65535).astype(np.uint16))
+class Block:
+    """A block's runs at a level: from its texts at the first one, later from a ``state``.
 
+    ``key`` has hashes of the cores, ``owner`` ids of the documents (null ids become the
+    greatest number: they are nobody's smaller id), ``place`` where a run starts in the block.
+    """
 
-def _list_seeds(bits: int):
-    """Per block and bucket: its seeds, and which of them two of its documents have."""
-    def list_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, row: dict, level: int, bits: int):
+        self.number, self.bits = row["block"], bits
+        if level:
+            self.place, self.owner, *bounds, data = _unpack(row["state"], np.int64, np.int64, np.uint8, np.uint8, np.uint8, np.uint8)
+            low, high, part = (x.astype(np.int64) for x in bounds)
+            self.data = np.frombuffer(data.tobytes() + _PAD, dtype=np.uint8)
+            size = high - low + LENGTH
+            self.runs = Runs(np.cumsum(size) - size + high, low, high, part, level)
+        else:
+            self.body = zstandard.ZstdDecompressor().decompress(row["body"])
+            self.data, self.ends = np.frombuffer(self.body + _PAD, dtype=np.uint8), np.cumsum(row["sizes"], dtype=np.int64)
+            self.runs = find_runs(self.data, self.ends)
+            ids = np.array([_LAST if i is None else i for i in row["ids"]], dtype=np.int64)
+            self.place = self.runs.start
+            self.owner = ids[_owners(self.place, self.ends)]
+        self.key = _hash(self.data, *self.runs.core()) ^ mix64(self.runs.part.astype(np.uint64))
+
+    def bytes_of(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of some runs together, and where each begins there (and the end)."""
+        edge = np.append(0, np.cumsum(runs.size))
+        return self.data[np.repeat(runs.start - edge[:-1], runs.size) + np.arange(edge[-1])], edge
+
+    def state(self, which: np.ndarray) -> bytes:
+        """Some runs around longer cores, as the next level gets them."""
+        chosen = self.runs.take(which)
+        more, origin = chosen.split()
+        return _pack(self.place[which][origin] + more.start - chosen.start[origin], self.owner[which][origin],
+                     *(x.astype(np.uint8) for x in (more.low, more.high, more.part)), self.bytes_of(more)[0])
+
+    def collapse(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Some runs in the order of (key, content), and which of these differ from the one
+        before: equal hashes are confirmed on the bytes."""
+        some = self.runs.take(which)
+        order = np.lexsort((_hash(self.data, some.start, some.size) + some.low.astype(np.uint64), self.key[which]))
+        some, which = some.take(order), which[order]
+        new = np.ones(len(which), dtype=bool)
+        if len(which) > 1:
+            size = np.minimum(some.size[1:], some.size[:-1])
+            new[1:] = ((self.key[which][1:] != self.key[which][:-1]) | (some.size[1:] != some.size[:-1])
+                       | (some.low[1:] != some.low[:-1]) | (some.part[1:] != some.part[:-1])
+                       | ~_equal(self.data, some.start[1:], some.start[:-1], size))
+        return which, new
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the keys as they are listed (the bucket's bits and 32 more), these
+        keys in it, and where each begins."""
+        short = self.key >> _U(32 - self.bits)
+        order = np.argsort(short)
+        short = short[order]
+        return order, short, np.flatnonzero(np.append(True, short[1:] != short[:-1])[:len(short)])
+
+    def buckets(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _edges(key >> _U(64 - self.bits))
+
+    def marks(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Runs whose cores other documents have: those of a group, and those whose cores grow."""
+        order, short, first = self.listed()
+        seeds = short[first]
+        shared, many = np.zeros((2, len(seeds)), dtype=bool)
+        known = {m["bucket"]: m["data"] for m in row["marks"] or []}
+        bucket, edge = _edges(seeds >> _U(32))
+        for k, b in enumerate(bucket.tolist()):
+            if b in known:
+                shared[edge[k]:edge[k + 1]], many[edge[k]:edge[k + 1]] = (
+                    np.unpackbits(x, count=edge[k + 1] - edge[k]) for x in _unpack(known[b], np.uint8, np.uint8))
+        count = np.diff(np.append(first, len(short)))
+        return order[np.repeat(shared & ~many, count)], order[np.repeat(many, count)]
+
+
+# --- steps -----------------------------------------------------------------------------
+
+def _list_cores(level: int, bits: int):
+    """Per block and bucket: its cores, which of them two of its documents have, and how
+    many distinct runs each has (65,535 at most)."""
+    def list_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                texts, ids = _texts(row["sizes"], row["body"]), _ids(row["ids"])
-                parts, pieces, seeds = _all_fragments(texts)
-                owner = np.concatenate([np.empty(0, dtype=np.int64), *(ids[a:b][p.owner] for p, (a, b) in zip(parts, pieces, strict=True))])
-                whole = np.concatenate([np.empty(0, dtype=np.uint64), *(p.whole for p in parts)])
-                short, twice, number = _seed_list(seeds, bits, owner, whole)
-                bucket = (short >> _U(32)).astype(np.int64)
-                edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                has = np.flatnonzero(np.diff(edge))
-                data = [_pack(np.diff(short[edge[k]:edge[k + 1]].astype(np.uint32), prepend=np.uint32(0)),
-                              np.packbits(twice[edge[k]:edge[k + 1]]), number[edge[k]:edge[k + 1]]) for k in has]
-                yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([row["block"]] * len(has), pa.int64()),
-                                                  pa.array(data, pa.binary())], names=["bucket", "block", "data"])
-    return list_seeds
-
-
-def _shared_seeds(heavy: int):
-    """Of one bucket: for each block, two bits per seed: does another document have it, and
-    is it heavy?"""
-    def shared_seeds(rows: pa.Table) -> pa.Table:
+                b = Block(row, level, bits)
+                order, s, first = b.listed()
+                if not len(s):
+                    continue
+                count = np.diff(np.append(first, len(s)))
+                owner = b.owner[order]
+                twice = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+                number = np.ones(len(first), dtype=np.int64)
+                several = np.flatnonzero(np.repeat(count > 1, count))
+                if len(several):  # only these can have equal runs
+                    which, new = b.collapse(order[several])
+                    at = np.searchsorted(s[first], b.key[which] >> _U(32 - bits))
+                    number = np.where(count > 1, np.bincount(at, weights=new, minlength=len(first)).astype(np.int64), 1)
+                number = np.minimum(number, 65535).astype(np.uint16)
+                s = s[first]
+                bucket, edge = _edges(s >> _U(32))
+                yield _packed(bucket, b.number, [
+                    _pack(np.diff(s[x:y].astype(np.uint32), prepend=np.uint32(0)), np.packbits(twice[x:y]), number[x:y])
+                    for x, y in zip(edge, edge[1:], strict=False)])
+    return list_cores
+
+
+def _shared_cores(most: int | None):
+    """Of one bucket: for each block, two bits per core: does another document have it, and
+    has it more than ``most`` runs?  (None at the last level, where they are all equal.)"""
+    def shared_cores(rows: pa.Table) -> pa.Table:
         lists = []
         for data in rows.column("data").to_pylist():
             step, twice, number = _unpack(data, np.uint32, np.uint8, np.uint16)
@@ -217,254 +324,223 @@ def _shared_seeds(heavy: int):
         every = np.concatenate([v for v, *_ in lists])
         order = np.argsort(every, kind="stable")
         first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
-        many = (np.diff(np.append(first, len(every))) > 1) | np.logical_or.reduceat(np.concatenate([t for _, t, _ in lists])[order], first)
-        large = np.add.reduceat(np.concatenate([n for *_, n in lists])[order].astype(np.int64), first) >= heavy
-        seeds = every[order][first]
-        bits = []
+        shared = (np.diff(np.append(first, len(every))) > 1) | np.logical_or.reduceat(np.concatenate([t for _, t, _ in lists])[order], first)
+        many = np.add.reduceat(np.concatenate([n for *_, n in lists])[order].astype(np.int64), first) > (np.inf if most is None else most)
+        cores, out, grows = every[order][first], [], []
         for v, *_ in lists:
-            at = np.searchsorted(seeds, v)
-            bits.append(_pack(np.packbits(many[at]), np.packbits(large[at] & many[at])))
-        return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "data": pa.array(bits, pa.binary())})
-    return shared_seeds
-
-
-def _chosen(row: dict, bits: int):
-    """Fragments of a block whose seeds are shared, and their distinct (seed, whole) in
-    order: (texts, parts, pieces, light fragments of all parts, seed, whole, inverse, first
-    of each, heavy fragments)."""
-    texts = _texts(row["sizes"], row["body"])
-    parts, pieces, seeds = _all_fragments(texts)
-    whole = np.concatenate([p.whole for p in parts]) if parts else np.empty(0, dtype=np.uint64)
-    short = _seed_list(seeds, bits)
-    edge = np.searchsorted(short >> _U(32), np.arange((1 << bits) + 1, dtype=np.uint64))
-    shared, large = np.zeros((2, len(short)), dtype=bool)
-    for mark in row["marks"] or []:
-        a, b = edge[mark["bucket"]], edge[mark["bucket"] + 1]
-        shared[a:b], large[a:b] = (np.unpackbits(x, count=b - a) for x in _unpack(mark["data"], np.uint8, np.uint8))
-    at = np.searchsorted(short, seeds >> _U(32 - bits))
-    kept = np.flatnonzero(shared[at] & ~large[at]) if len(seeds) else np.empty(0, dtype=np.int64)
-    heavy = np.flatnonzero(large[at]) if len(seeds) else np.empty(0, dtype=np.int64)
-    order = kept[np.lexsort((whole[kept], seeds[kept]))]
-    s, w = seeds[order], whole[order]
-    new = np.append(True, (s[1:] != s[:-1]) | (w[1:] != w[:-1])) if len(s) else np.empty(0, dtype=bool)
-    return texts, parts, pieces, order, s[new], w[new], np.cumsum(new) - 1, np.flatnonzero(new), heavy
-
-
-def _send_fragments(bits: int):
-    """Per block and bucket: its distinct shared fragments, each with its least id and
-    the bytes before and after its seed."""
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                texts, parts, pieces, order, s, w, group, new, _heavy = _chosen(row, bits)
-                if not len(s):
-                    continue
-                ids = _ids(row["ids"])
-                owner = np.concatenate([p.owner + a for p, (a, _) in zip(parts, pieces, strict=True)])[order]
-                least = np.minimum.reduceat(ids[owner], new)
-                base = np.cumsum([0, *(len(p.data) for p in parts)])[:-1]
-                shift = np.repeat(base, [len(p.first) for p in parts])
-                some = order[new]
-                first, at, size = (np.concatenate([getattr(p, c) for p in parts])[some] for c in ("first", "at", "size"))
-                left, right = at - first, first + size - at - SEED
-                data = np.concatenate([p.data for p in parts])
-                edge = np.searchsorted(s >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                has, out = np.flatnonzero(np.diff(edge)), []
-                for k in has:
-                    a, b = edge[k], edge[k + 1]
-                    n = left[a:b] + right[a:b]
-                    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    where = np.repeat((first + shift[some])[a:b], n) + within + SEED * (within >= np.repeat(left[a:b], n))
-                    out.append(_pack(np.diff(s[a:b], prepend=_U(0)), w[a:b], least[a:b],
-                                     left[a:b].astype(np.uint8), right[a:b].astype(np.uint8), data[where]))
-                yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([row["block"]] * len(has), pa.int64()),
-                                                  pa.array(out, pa.binary())], names=["bucket", "block", "data"])
-    return send
+            at = np.searchsorted(cores, v)
+            out.append(_pack(np.packbits(shared[at]), np.packbits(many[at] & shared[at])))
+            grows.append(bool((many[at] & shared[at]).any()))
+        return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "data": pa.array(out, pa.binary()),
+                         "grows": pa.array(grows, pa.bool_())})
+    return shared_cores
 
 
-def _heavy_windows(parts: list[Fragments], heavy: np.ndarray) -> Iterator[tuple]:
-    """(part, fragment, place, hash) of the windows of heavy fragments, part by part."""
-    done = 0
-    for p in parts:
-        own = heavy[(heavy >= done) & (heavy < done + len(p.first))] - done
-        done += len(p.first)
-        yield p, *p.windows(own)
+def _grow(level: int, bits: int):
+    """Per block: the runs whose cores grow, around the longer cores of the next level."""
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                b = Block(row, level, bits)
+                _, many = b.marks(row)
+                if len(many):
+                    yield pa.RecordBatch.from_arrays([pa.array([b.number], pa.int64()), pa.array([b.state(many)], pa.binary())],
+                                                     names=["block", "state"])
+    return grow
 
 
-def _send_windows(bits: int):
-    """Per block and bucket: the distinct windows of heavy fragments with their least ids."""
+def _send_runs(level: int, bits: int):
+    """Per block and bucket: its distinct shared runs, each with its least id and bytes."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                _, parts, pieces, *_rest, heavy = _chosen(row, bits)
-                ids, hashes, owners = _ids(row["ids"]), [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-                for (p, own, _, h), (a, b) in zip(_heavy_windows(parts, heavy), pieces, strict=True):
-                    hashes.append(h)
-                    owners.append(ids[a:b][p.owner[own]])
-                h, i = np.concatenate(hashes), np.concatenate(owners)
-                if not len(h):
+                b = Block(row, level, bits)
+                which, new = b.collapse(b.marks(row)[0])
+                if not len(which):
                     continue
-                order = np.lexsort((i, h))
-                first = np.append(True, h[order][1:] != h[order][:-1])
-                h, i = h[order][first], i[order][first]
-                edge = np.searchsorted(h >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                has = np.flatnonzero(np.diff(edge))
-                data = [_pack(h[edge[k]:edge[k + 1]], i[edge[k]:edge[k + 1]]) for k in has]
-                yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([row["block"]] * len(has), pa.int64()),
-                                                  pa.array(data, pa.binary())], names=["bucket", "block", "data"])
+                first = np.flatnonzero(new)
+                least = np.minimum.reduceat(b.owner[which], first)
+                r, key = b.runs.take(which[first]), b.key[which[first]]
+                data, at = b.bytes_of(r)
+                bucket, edge = b.buckets(key)
+                yield _packed(bucket, b.number, [
+                    _pack(np.diff(key[x:y], prepend=_U(0)), least[x:y], *(c[x:y].astype(np.uint8) for c in (r.low, r.high, r.part)),
+                          data[at[x]:at[y]]) for x, y in zip(edge, edge[1:], strict=False)])
     return send
 
 
-def _least_ids(rows: pa.Table) -> pa.Table:
-    """Of one bucket of windows: the least id of each, for each block in its order."""
-    sent = [_unpack(d, np.uint64, np.int64) for d in rows.column("data").to_pylist()]
-    h, i = (np.concatenate([x[k] for x in sent]) for k in (0, 1))
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-    seeds, least = h[order][first], np.minimum.reduceat(i[order], first)
-    data = [_pack(x[0], least[np.searchsorted(seeds, x[0])]) for x in sent]
-    return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "data": pa.array(data, pa.binary())})
+def earlier_windows(data: np.ndarray, runs: Runs, group: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which windows of each run stand in a run of its group with a smaller id, as bits
+    from its first window on.
+
+    Runs of one group (numbered from 0 on) have one core, which is a single symbol here,
+    so a window is that symbol and those beside it.  In the suffix array of all runs
+    equal windows are neighbours; the least id of each such stretch decides.
+    """
+    core, size = runs.core()
+    left = core - runs.start
+    n = runs.size - size + 2  # with a symbol behind each run
+    ends = np.cumsum(n)
+    begin, groups = ends - n, int(group.max()) + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(ends[-1]) - begin[owner]
+    source = np.repeat(runs.start, n) + place + np.where(place > left[owner], (size - 1)[owner], 0)
+    s = data[source].astype(np.int64) + groups + 1
+    s[begin + left] = group + 1
+    s[ends - 1] = groups + 257 + np.arange(len(n))  # between runs, each its own
+    order = np.array(suffix_array([*s.tolist(), 0]))[1:]
+    width = LENGTH - size + 1
+    order = order[place[order] + width[owner[order]] < n[owner[order]]]
+    a, b = order[:-1], order[1:]
+    wide = width[owner[a]]
+    same = wide == width[owner[b]]
+    for t in range(int(wide.max(initial=0))):
+        same &= (t >= wide) | (s[np.minimum(a + t, len(s) - 1)] == s[np.minimum(b + t, len(s) - 1)])
+    first = np.flatnonzero(np.append(True, ~same)) if len(order) else np.empty(0, dtype=np.int64)
+    masks = np.zeros(len(n), dtype=np.uint32)
+    if len(first):
+        own = least[owner[order]]
+        low = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(order))))
+        hit = order[low < own]
+        np.bitwise_or.at(masks, owner[hit], (np.uint32(1) << place[hit].astype(np.uint32)))
+    return masks
 
 
-def earlier_windows(texts: list[tuple[bytes, bytes]], least: list[int]) -> list[int]:
-    """For fragments with one seed, (bytes before it, bytes after it): which windows of
-    each stand in a fragment with a smaller id, as bits from its first window on.
+def earlier(data: np.ndarray, runs: Runs, least: np.ndarray) -> np.ndarray:
+    """Which windows of each run stand in a run with a smaller id, as bits from its first
+    window on.
 
-    The seed is one symbol here, so a window is ``LENGTH - SEED + 1`` symbols around it.
-    In the suffix array of all fragments, equal windows are neighbours; the least id of
-    each such run decides.
+    Runs with equal bytes become one with its least id.  Groups of one core that still
+    have several runs fall into those of the three longer cores that these have, which
+    leaves few; what differs around these is compared by suffix arrays.
     """
-    width = LENGTH - SEED + 1
-    s: list[int] = []
-    owner: list[tuple[int, int]] = []
-    for k, (left, right) in enumerate(texts):
-        s += [b + 2 for b in left]
-        s.append(1)
-        s += [b + 2 for b in right]
-        windows = len(left) + len(right) + 2 - width
-        owner += [(k, j) for j in range(windows)] + [(-1, 0)] * (width - 1)
-        s.append(258 + k)  # between fragments, each its own
-        owner.append((-1, 0))
-    s.append(0)
-    owner.append((-1, 0))
-    masks, last, run, best = [0] * len(texts), None, [], 0
-
-    def close() -> None:
-        for k, j in run:
-            if best < least[k]:
-                masks[k] |= 1 << j
-
-    for i in suffix_array(s):
-        k, j = owner[i]
-        if k < 0:
-            continue
-        window = s[i:i + width]
-        if window != last:
-            if len(run) > 1:
-                close()
-            last, run, best = window, [], least[k]
-        run.append((k, j))
-        if least[k] < best:
-            best = least[k]
-    if len(run) > 1:
-        close()
+    core, length = runs.core()
+    key = _hash(data, core, length) ^ mix64(runs.part.astype(np.uint64))
+    order = np.lexsort((least, _hash(data, runs.start, runs.size) + runs.low.astype(np.uint64), key))
+    r, k, core, length, ids = runs.take(order), key[order], core[order], length[order], least[order]
+    new_core = np.append(True, (k[1:] != k[:-1]) | (r.part[1:] != r.part[:-1])
+                         | ~_equal(data, core[1:], core[:-1], np.minimum(length[1:], length[:-1])))[:len(k)]
+    new = new_core | np.append(True, (r.size[1:] != r.size[:-1]) | (r.low[1:] != r.low[:-1])
+                               | ~_equal(data, r.start[1:], r.start[:-1], np.minimum(r.size[1:], r.size[:-1])))[:len(k)]
+    first, masks = np.flatnonzero(new), np.zeros(len(k), dtype=np.uint32)
+    one, low, group = r.take(first), ids[first], np.cumsum(new_core)[first] - 1
+    if new_core.sum() != (np.append(True, k[1:] != k[:-1])[:len(k)]).sum():  # cores of one hash: by their bytes
+        names: dict[tuple, int] = {}
+        group = np.array([names.setdefault((int(p), data[x:x + y].tobytes()), len(names))
+                          for p, x, y in zip(one.part, core[first].tolist(), length[first].tolist(), strict=True)])
+    number = np.bincount(group)
+    lows, highs = np.full(len(number), _LAST), np.full(len(number), np.iinfo(np.int64).min)
+    np.minimum.at(lows, group, low)
+    np.maximum.at(highs, group, low)
+    chosen = np.flatnonzero(((number > 1) & (lows < highs))[group])
+    found = np.zeros(len(first), dtype=np.uint32)
+    if runs.level == 0 and len(chosen):
+        some = one.take(chosen)
+        more, origin = some.split()
+        bits = earlier(data, more, low[chosen][origin]) << (more.start - some.start[origin]).astype(np.uint32)
+        np.bitwise_or.at(found, chosen[origin], bits)
+    elif len(chosen):
+        chosen = chosen[np.argsort(group[chosen], kind="stable")]
+        begins, edge = 0, _edges(group[chosen])[1]
+        symbols = np.append(0, np.cumsum((one.size - one.core()[1])[chosen] + 2))
+        for x in range(1, len(edge)):  # whole groups, as many as a suffix array should have
+            if x == len(edge) - 1 or symbols[edge[x + 1]] - symbols[begins] > BATCH:
+                some = chosen[begins:edge[x]]
+                begins = edge[x]
+                found[some] = earlier_windows(data, one.take(some), np.cumsum(np.diff(group[some], prepend=-1) != 0) - 1, low[some])
+    at = np.cumsum(new) - 1
+    every = ((_U(1) << (r.high - r.low + 1).astype(np.uint64)) - _U(1)).astype(np.uint32)
+    masks[order] = np.where(ids > low[at], every, found[at])
     return masks
 
 
-def _solve(rows: pa.Table) -> pa.Table:
-    """Of one bucket: for each fragment sent, its least id anywhere, and which windows of
-    that document's fragment are in an earlier one."""
-    sent = [_unpack(d, np.uint64, np.uint64, np.int64, np.uint8, np.uint8, np.uint8) for d in rows.column("data").to_pylist()]
-    counts = [len(x[0]) for x in sent]
-    seed = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent])
-    whole, least, left, right = (np.concatenate([x[c] for x in sent]) for c in (1, 2, 3, 4))
-    data = np.concatenate([x[5] for x in sent]).tobytes()
-    size = left.astype(np.int64) + right
-    at = np.cumsum(size) - size
-    order = np.lexsort((least, whole, seed))
-    s, w = seed[order], whole[order]
-    new = np.append(True, (s[1:] != s[:-1]) | (w[1:] != w[:-1]))
-    first = np.flatnonzero(new)
-    low = least[order][first]
-    other = np.flatnonzero(np.append(True, s[first][1:] != s[first][:-1]))
-    masks = np.zeros(len(first), dtype=np.uint32)
-    number = np.diff(np.append(other, len(first)))
-    lows = np.minimum.reduceat(low, other)
-    highs = np.maximum.reduceat(low, other)
-    for k in np.flatnonzero((number > 1) & (lows < highs)).tolist():
-        a, b = int(other[k]), int(other[k] + number[k])
-        own = order[first[a:b]].tolist()
-        texts = [(data[at[i]:at[i] + left[i]], data[at[i] + left[i]:at[i] + size[i]]) for i in own]
-        masks[a:b] = earlier_windows(texts, low[a:b].tolist())
-    group = np.empty(len(seed), dtype=np.int64)
-    group[order] = np.cumsum(new) - 1
-    edge = np.cumsum([0, *counts])
-    out = [_pack(low[group[edge[k]:edge[k + 1]]], masks[group[edge[k]:edge[k + 1]]]) for k in range(len(counts))]
-    return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "data": pa.array(out, pa.binary())})
+def _solve(level: int):
+    """Of one bucket: for each run sent, which of its windows stand in an earlier document."""
+    def solve(rows: pa.Table) -> pa.Table:
+        sent = [_unpack(d, np.uint64, np.int64, np.uint8, np.uint8, np.uint8, np.uint8) for d in rows.column("data").to_pylist()]
+        least, low, high, part = (np.concatenate([x[c] for x in sent]).astype(np.int64) for c in (1, 2, 3, 4))
+        data = np.frombuffer(b"".join(x[5].tobytes() for x in sent) + _PAD, dtype=np.uint8)
+        size = high - low + LENGTH
+        masks = earlier(data, Runs(np.cumsum(size) - size + high, low, high, part, level), least)
+        edge = np.cumsum([0, *(len(x[0]) for x in sent)])
+        out = [_pack(masks[x:y]) for x, y in zip(edge, edge[1:], strict=False)]
+        return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "data": pa.array(out, pa.binary())})
+    return solve
+
+
+def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal stretches that some intervals cover."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.append(True, start[1:] > end[:-1]) if len(start) else np.empty(0, dtype=bool)
+    return start[first], end[np.append(first[1:], True)] if len(start) else end
+
+
+def _covered(b: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What the answers to a block's runs take from it, as stretches of its bytes."""
+    which, new = b.collapse(b.marks(row)[0])
+    if not len(which):
+        return np.empty((2, 0), dtype=np.int64)
+    key, group = b.key[which[new]], np.cumsum(new) - 1
+    masks = np.empty(len(key), dtype=np.uint32)
+    answers = {a["bucket"]: a["data"] for a in row["answers"] or []}
+    bucket, edge = b.buckets(key)
+    for k, number in enumerate(bucket.tolist()):
+        masks[edge[k]:edge[k + 1]] = _unpack(answers[number], np.uint32)[0]
+    place, size, owner = b.place[which], b.runs.take(which).size, b.owner[which]
+    whole = np.minimum.reduceat(owner, np.flatnonzero(new))[group] < owner  # the least id of the block's has sent it
+    start, end = [place[whole]], [(place + size)[whole]]
+    part = np.flatnonzero(~whole & (masks[group] > 0))
+    for j in range(SIDE + 1):
+        hit = place[part[(masks[group[part]] >> np.uint32(j)) & 1 > 0]] + j
+        start.append(hit)
+        end.append(hit + LENGTH)
+    return _merge(np.concatenate(start), np.concatenate(end))
+
+
+def _spans(level: int, bits: int):
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                b = Block(row, level, bits)
+                start, end = _covered(b, row)
+                if len(start):
+                    yield pa.RecordBatch.from_arrays([pa.array([b.number], pa.int64()), pa.array([_pack(start, end)], pa.binary())],
+                                                     names=["block", "gone"])
+    return spans
+
+
+_NAMES = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 
 
 def _remove(bits: int, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                texts, parts, pieces, order, s, w, group, _, heavy = _chosen(row, bits)
-                ids, raw_ids = _ids(row["ids"]), row["ids"]
-                edge = np.searchsorted(s >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                low, masks = np.full(len(s), _LAST, dtype=np.int64), np.zeros(len(s), dtype=np.uint32)
-                for answer in row["answers"] or []:
-                    a, b = edge[answer["bucket"]], edge[answer["bucket"] + 1]
-                    low[a:b], masks[a:b] = _unpack(answer["data"], np.int64, np.uint32)
-                low, masks = np.append(low, _LAST), np.append(masks, np.uint32(0))  # for fragments with no answer
-                which = np.full(sum(len(p.first) for p in parts), -1, dtype=np.int64)
-                which[order] = group
-                done, rows = 0, []
-                known = [_unpack(x["data"], np.uint64, np.int64) for x in row["windows"] or []]
-                hashes = np.concatenate([np.empty(0, dtype=np.uint64), *(x[0] for x in known)])
-                order = np.argsort(hashes)
-                hashes, least = hashes[order], np.concatenate([np.empty(0, dtype=np.int64), *(x[1] for x in known)])[order]
-                for (p, owner, place, h), (a, b) in zip(_heavy_windows(parts, heavy), pieces, strict=True):
-                    own, mine = which[done:done + len(p.first)], ids[a:b][p.owner]
-                    done += len(p.first)
-                    delta = np.zeros(len(p.data) + 1, dtype=np.int32)
-                    covered = (own >= 0) & (low[own] < mine)
-                    np.add.at(delta, p.first[covered], 1)
-                    np.add.at(delta, (p.first + p.size)[covered], -1)
-                    part = np.flatnonzero((own >= 0) & (low[own] == mine) & (masks[own] > 0))
-                    for j in range(LENGTH - SEED + 1):
-                        hit = p.first[part[(masks[own[part]] >> np.uint32(j)) & 1 > 0]] + j
-                        np.add.at(delta, hit, 1)
-                        np.add.at(delta, hit + LENGTH, -1)
-                    if len(h):
-                        hit = place[least[np.searchsorted(hashes, h)] < ids[a:b][p.owner[owner]]]
-                        np.add.at(delta, hit, 1)
-                        np.add.at(delta, hit + LENGTH, -1)
-                    gone = np.cumsum(delta[:-1]) > 0
-                    start = 0
-                    for k in range(a, b):
-                        end = start + len(texts[k])
-                        g = gone[start:end]
-                        if g.any():
-                            turns = np.flatnonzero(np.diff(np.concatenate(([False], g, [False])).astype(np.int8)))
-                            kept = p.data[start:end][~g].tobytes()
-                            spans = [{"start": x, "end": y} for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
-                            rows.append((raw_ids[k], end - start, int(g.sum()), len(spans), kept, spans))
-                        else:
-                            rows.append((raw_ids[k], end - start, 0, 0, texts[k], []))
-                        start = end
-                arrays = [pa.array([r[c] for r in rows], pa.int64()) for c in range(4)]
-                arrays.append(pa.array([hashlib.sha256(r[4]).hexdigest() for r in rows], pa.string()))
-                arrays.append(pa.array([r[5] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-                if with_text:
-                    arrays.append(pa.array([r[4] for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, names=_NAMES + ["kept"] * with_text)
+                b = Block(row, 0, bits)
+                found = [_covered(b, row), *(_unpack(x, np.int64, np.int64) for x in row["gone"] or [])]
+                start, end = _merge(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                # what touches at the bound of two texts is two stretches
+                cut = np.unique(b.ends[:-1])
+                at = np.searchsorted(start, cut) - 1
+                cut = cut[(at >= 0) & (np.append(end, 0)[at] > cut)]
+                start, end = np.sort(np.append(start, cut)), np.sort(np.append(end, cut))
+                of = np.searchsorted(start, np.append(0, b.ends))
+                rows = []
+                for k, (i, begin, stop) in enumerate(zip(row["ids"], np.append(0, b.ends[:-1]).tolist(), b.ends.tolist(), strict=True)):
+                    x, y = start[of[k]:of[k + 1]].tolist(), end[of[k]:of[k + 1]].tolist()
+                    kept = b"".join(b.body[p:q] for p, q in zip([begin, *y], [*x, stop], strict=True))
+                    spans = [{"start": p - begin, "end": q - begin} for p, q in zip(x, y, strict=True)]
+                    rows.append((i, stop - begin, stop - begin - len(kept), len(x), hashlib.sha256(kept).hexdigest(), spans, kept))
+                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                kinds = [pa.int64()] * 4 + [pa.string(), span] + [pa.binary()] * with_text
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)],
+                                                 names=_NAMES + ["kept"] * with_text)
     return remove
 
 
-_NAMES = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-
-
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
-                   heavy: int = HEAVY) -> DataFrame:
+                   max_group: int = MAX_GROUP) -> DataFrame:
     """Remove bytes that an earlier document has: one row per row of ``docs``.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a
@@ -472,40 +548,55 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (removed runs in bytes, end
     exclusive) and, ``with_text``, ``kept`` (remaining bytes).
 
-    Texts are cut into fragments, runs of 50-byte windows that contain the same seed.
-    Seeds that one document only has are dropped first, by lists of hashes.  Equal
-    fragments collapse to one with its least id, in each block of documents and then in
-    the bucket of their seed; documents with larger ids lose them whole.  What differs
-    around a common seed is compared by the suffix array of that seed's fragments.
-    A seed with ``heavy`` or more distinct fragments (a passage that very many documents
-    continue differently) has no group: its windows are filed under their own hashes, with
-    the least id of each block.  So blocks and buckets hold bounded amounts of distinct
-    text, and the answers go back to the blocks.
+    Texts are cut into runs, neighbouring 50-byte windows around one core.  Cores that
+    one document only has are dropped first, by lists of hashes.  Runs with equal bytes
+    collapse to one with its least id, in each block of documents and then in the bucket
+    of their core; documents with larger ids lose them whole.  What differs around a
+    common core is compared by the suffix array of that core's runs.  A core with more
+    than ``max_group`` distinct runs (a passage that very many documents continue
+    differently) grows by the bytes next to it, and its runs are dealt out anew under the
+    longer cores, as often as needed: all windows of a core of 50 bytes are equal.  So
+    groups are bounded, and every window goes the same way.  Hashes only bring candidates
+    together; equality is decided on bytes.
 
     Null text counts as empty.  A null id is larger than any other.  Rows with equal ids
     (repeated rows too) take nothing from each other.  Documents shorter than 50 bytes
-    stay whole; an empty table gives an empty result; further columns are ignored.
+    stay whole; a text may be of any length; an empty table gives an empty result; further
+    columns are ignored.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = materialize(plain.mapInArrow(_to_blocks("id", "text"), "ids array<long>, sizes array<long>, body binary")
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a row of a block and a bucket shall have about a hundred cores at any size
+    part = min(max(LEAST_PART, int((1400 * total) ** 0.5)), MOST_PART)
+    bits = max(3, (total // part).bit_length())
+    blocks = materialize(plain.mapInArrow(_to_blocks(part), "ids array<long>, sizes array<long>, body binary")
                          .withColumn("block", F.monotonically_increasing_id()))  # stable, as it is written here
-    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    bits = max(3, (total // BUCKET_BYTES).bit_length())
-    packed = "bucket int, block long, data binary"
-
-    def by_bucket(rows: DataFrame, solve) -> DataFrame:
-        return rows.groupBy("bucket").applyInArrow(solve, packed)
 
     def by_block(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias(name))
 
-    seeds = blocks.mapInArrow(_list_seeds(bits), packed)
-    marks = materialize(by_block(by_bucket(seeds, _shared_seeds(heavy)), "marks"))
-    marked = blocks.join(marks, "block", "left")
-    sent = marked.mapInArrow(_send_fragments(bits), packed)
-    answers = materialize(by_block(by_bucket(sent, _solve), "answers"))
-    windows = materialize(by_block(by_bucket(marked.mapInArrow(_send_windows(bits), packed), _least_ids), "windows"))
+    now, first, gone = blocks, None, None
+    for level in range(LEVELS + 1):
+        listed = now.mapInArrow(_list_cores(level, bits), _PACKED)
+        shared = _shared_cores(max_group if level < LEVELS else None)
+        marks = materialize(listed.groupBy("bucket").applyInArrow(shared, _PACKED + ", grows boolean"))
+        marked = now.join(by_block(marks, "marks"), "block", "left")
+        sent = marked.mapInArrow(_send_runs(level, bits), _PACKED)
+        answers = materialize(sent.groupBy("bucket").applyInArrow(_solve(level), _PACKED))
+        answered = marked.join(by_block(answers, "answers"), "block", "left")
+        if level:
+            spans = materialize(answered.mapInArrow(_spans(level, bits), "block long, gone binary"))
+            gone = spans if gone is None else gone.unionByName(spans)
+        else:
+            first = answered
+        growing = marks.where("grows").select("block").distinct()
+        if growing.isEmpty():
+            break
+        some = marked.join(growing, "block", "left_semi")
+        now = materialize(some.mapInArrow(_grow(level, bits), "block long, state binary"))
+    if gone is None:
+        out = first.withColumn("gone", F.lit(None).cast("array<binary>"))
+    else:
+        out = first.join(gone.groupBy("block").agg(F.collect_list("gone").alias("gone")), "block", "left")
     kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
-    out = blocks.join(marks, "block", "left").join(answers, "block", "left").join(windows, "block", "left").mapInArrow(
-        _remove(bits, with_text), kind + ", kept binary" * with_text)
-    return out.withColumnRenamed("id", id_col)
+    return out.mapInArrow(_remove(bits, with_text), kind + ", kept binary" * with_text).withColumnRenamed("id", id_col)
