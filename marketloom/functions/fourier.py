@@ -1,8 +1,8 @@
-"""Fourier coefficients of a price window as dot products with fixed kernels.
+"""Fourier coefficients of price windows as products with fixed kernels.
 
 Detrending, odd extension, periodic cubic spline, Gaussian smoothing and the transform
-are all linear, so a coefficient is the window times a kernel that depends on its length
-only.  Kernels are built once on the driver (a few thousand numbers).
+are all linear, so the coefficients of all windows of a series are one matrix product
+with a kernel that depends on the windows' length only.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def periodic_spline(values: np.ndarray, factor: int) -> np.ndarray:
@@ -35,11 +33,11 @@ def smooth_wrapped(values: np.ndarray, sigma: float) -> np.ndarray:
     return sum(w * np.roll(values, k, axis=0) for w, k in zip(weight, range(-reach, reach + 1), strict=True))
 
 
-def coefficients(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def coefficients(samples: np.ndarray, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Cosine and sine coefficients of columns sampled at evenly spaced points from -pi on."""
     n = samples.shape[0]
     t = -np.pi + 2 * np.pi * np.arange(n) / n
-    k = np.arange(n // 2)[:, None]
+    k = np.arange(n // 2 if count is None else count)[:, None]
     scale = np.where(k == 0, 1.0, 2.0) / n
     return scale * (np.cos(k * t) @ samples), scale * (np.sin(k * t) @ samples)
 
@@ -54,25 +52,22 @@ def kernels(size: int, factor: int = 8, cutoff: int = 5) -> tuple[np.ndarray, np
     flat = one - line
     odd = np.concatenate([flat, -flat[:-1][::-1]])
     fine = smooth_wrapped(periodic_spline(odd, factor), max(factor // 4, 1))
-    cos, sin = (c[:cutoff] for c in coefficients(fine))
+    cos, sin = coefficients(fine, cutoff)
     t = np.linspace(-np.pi, 0, size)
     parts = [np.outer(np.cos(k * t), cos[k]) + np.outer(np.sin(k * t), sin[k]) for k in range(cutoff)]
     residual = np.cumsum(np.stack(parts), axis=0) + line[None] - one[None]
     return cos, sin, residual
 
 
-def dot(values: Column, kernel: np.ndarray) -> Column:
-    """Sum of products with a constant kernel."""
-    k = F.array(*[F.lit(float(x)) for x in kernel])
-    return F.aggregate(F.zip_with(values, k, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-
-def quadratic_form(values: Column, kernel: np.ndarray) -> Column:
-    """Root mean square of ``kernel @ values`` (through its few singular directions)."""
-    u, s, vt = np.linalg.svd(kernel, full_matrices=False)
-    keep = s > 1e-12 * max(s[0], 1e-300)
-    out = F.lit(0.0)
-    for sv, row in zip(s[keep], vt[keep], strict=True):
-        d = dot(values, sv * row)
-        out = out + d * d
-    return F.sqrt(out / kernel.shape[0])
+def window_features(values: np.ndarray, size: int, factor: int = 8, cutoff: int = 5) -> np.ndarray:
+    """For each row, of the last ``size`` values: signs of the sine coefficients 1 to
+    ``cutoff`` - 1, sizes of these coefficients, and the root mean squares of the residual
+    of all partial sums and of the line alone.  NaN where a value is missing."""
+    out = np.full((len(values), 2 * (cutoff - 1) + 2), np.nan)
+    if len(values) >= size:
+        cos, sin, residual = kernels(size, factor, cutoff)
+        window = np.lib.stride_tricks.sliding_window_view(values, size)
+        c, s = window @ cos[1:].T, window @ sin[1:].T
+        rms = [np.sqrt(np.mean((window @ residual[k].T) ** 2, axis=1))[:, None] for k in (-1, 0)]
+        out[size - 1:] = np.hstack([np.sign(s), np.hypot(c, s), *rms])
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, div, ln
+from .quantiles import quantile_row, quantile_table
 
 
 def _first(c: str, order: str) -> Column:
@@ -178,13 +179,26 @@ def mask_coverage(df: DataFrame, mask: Column, date: str = "Date") -> DataFrame:
 
 
 def trading_days(bars: DataFrame, start: str, end: str) -> DataFrame:
-    """Dates of bars that business days map to (the last at or before each)."""
-    from .joins import asof
+    """Dates of bars that business days map to (the last at or before each).
 
-    days = bars.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("day"))
-    days = days.where(F.weekday("day") < 5).crossJoin(bars.select("ticker").distinct())
-    found = asof(days, bars.select("ticker", "Date"), on="day", right_on="Date")
-    return found.where("Date is not null").select("Date").distinct()
+    A bar is found by the business days from its date up to the ticker's next bar, so one
+    window over the bars decides, without a table of days and tickers.
+    """
+    first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))
+    until = F.date_sub(F.lead("Date", 1).over(Window.partitionBy("ticker").orderBy("Date")), 1)
+    df = bars.select("ticker", "Date").distinct().select("Date", F.greatest("Date", first).alias("a"), F.least(until, last).alias("b"))
+    monday = F.when(F.weekday("a") < 5, F.col("a")).otherwise(F.date_add("a", 7 - F.weekday("a")))
+    return df.where(F.col("Date").isNotNull() & (monday <= F.coalesce("b", last))).select("Date").distinct()
+
+
+def rows_per_date(df: DataFrame, date: str = "Date") -> DataFrame:
+    """How many rows each date has."""
+    return df.groupBy(date).agg(F.count("*").alias("n"))
+
+
+def date_listing(picks: DataFrame, date: str = "Date") -> DataFrame:
+    """Mean result and prediction of each date's picks."""
+    return picks.groupBy(date).agg(F.avg("target_ratio").alias("mean_result"), F.avg("prediction_ratio").alias("mean_prediction"))
 
 
 def days_per_year(calendar: DataFrame, name: str, date: str = "Date", names: Sequence[str] | None = None) -> DataFrame:
@@ -201,6 +215,8 @@ def days_ahead(calendar: DataFrame, last, days: int, date: str = "Date") -> Data
 
 def quantiles(df: DataFrame, column: str, levels: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Linear quantiles, one row per level."""
+    if not keys:  # all rows have one key: no buffer of a single task could hold them
+        return quantile_table(df, [column], levels).select("q", "v")
     lv = F.array(*map(F.lit, levels))
     q = df.groupBy(*keys).agg(F.percentile(column, lv).alias("v"))
     return q.select(*keys, F.explode(F.arrays_zip(lv.alias("q"), F.col("v"))).alias("r")).select(*keys, "r.q", "r.v")
@@ -281,8 +297,8 @@ def first_point_line(df: DataFrame, order: str, x: str, y: str, keys: Sequence[s
 
 def prediction_fit(df: DataFrame, prediction: str, result: str) -> DataFrame:
     """Line, R2, and results above the median prediction."""
-    median = df.agg(F.percentile(prediction, F.lit(0.5)).alias("_m"))
-    above = F.when(F.col(prediction) > F.col("_m"), F.col(result))
+    median = quantile_row(df, [prediction], [0.5], ["_m"])
+    above = F.when(F.col(prediction) > F.col("_m")[0], F.col(result))
     return df.join(F.broadcast(median)).agg(
         F.regr_slope(result, prediction).alias("slope"), F.regr_intercept(result, prediction).alias("intercept"),
         F.regr_r2(result, prediction).alias("r2"), F.avg(above).alias("mean_above"), F.stddev_pop(above).alias("std_above"), F.count(above).alias("n_above"))
@@ -291,7 +307,7 @@ def prediction_fit(df: DataFrame, prediction: str, result: str) -> DataFrame:
 def threshold_table(df: DataFrame, prediction: str, result: str, levels: Sequence[float]) -> DataFrame:
     """Mean result above each quantile of the prediction, and its yearly power.  One pass per step:
     the levels' thresholds are a single row, and rows are summed under all of them at once."""
-    cuts = df.agg(F.percentile(prediction, F.array(*map(F.lit, levels))).alias("_cuts"))
+    cuts = quantile_row(df, [prediction], levels, ["_cuts"])
     means = df.join(F.broadcast(cuts)).agg(*[
         F.avg(F.when(F.col(prediction) >= F.col("_cuts")[k], F.col(result))).alias(f"m{k}") for k in range(len(levels))])
     rows = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"m{k}").alias("mean_result")) for k, q in enumerate(levels)])

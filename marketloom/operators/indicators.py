@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import clip, div, ln, sigmoid
 from .windows import by
@@ -148,11 +149,15 @@ def _psar(high: np.ndarray, low: np.ndarray, close: np.ndarray, step: float, mos
 
 
 def recursive_indicators(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, atr: int = 10, trix: int = 15, adx: int = 14,
-                         rsi: int = 14, psar: tuple[float, float] = (0.02, 0.20), force: int = 13) -> DataFrame:
+                         rsi: int = 14, psar: tuple[float, float] = (0.02, 0.20), force: int = 13, carry: bool = False) -> DataFrame:
     """One grouped pass per ticker.
 
     A group is the history of one ticker, whose length is bounded by its trading days.
+    Averages start with a ticker's first value; what needs an earlier row is NULL there.
+    ``carry`` keeps all columns of ``bars``, so that further windows need no join.
     """
+    keep = bars.columns if carry else ["ticker", "Date"]
+
     def ema(x: pd.Series, n: int) -> pd.Series:
         return x.ewm(span=n, adjust=False).mean()
 
@@ -161,12 +166,12 @@ def recursive_indicators(bars: DataFrame, fast: int = 12, slow: int = 26, signal
 
     def scaled(x: pd.Series, n: int) -> pd.Series:
         low, high = x.rolling(n, min_periods=1).min(), x.rolling(n, min_periods=1).max()
-        return ((x - low) / (high - low)).replace([np.inf, -np.inf], np.nan)
+        return (x - low) / (high - low).where(high - low > 1e-9)  # NULL where the values are all the same
 
     def compute(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("Date").reset_index(drop=True)
         h, low, c, v = (pdf[x] for x in ("High", "Low", "Close", "Volume"))
-        pc, out = c.shift(1), pdf[["ticker", "Date"]].copy()
+        pc, out = c.shift(1), pdf[keep].copy()
         out["trend_ema_fast"], out["trend_ema_slow"] = ema(c, fast), ema(c, slow)
         out["trend_macd"] = out.trend_ema_fast - out.trend_ema_slow
         out["trend_macd_signal"] = ema(out.trend_macd, signal)
@@ -177,8 +182,8 @@ def recursive_indicators(bars: DataFrame, fast: int = 12, slow: int = 26, signal
         out["trend_trix"] = 100 * (e3 - e3.shift(1)) / e3.shift(1)
         e1 = ema(h - low, 9)
         out["trend_mass_index"] = (e1 / ema(e1, 9)).rolling(25, min_periods=1).sum()
-        k1 = 100 * scaled(ema(c, 23) - ema(c, 50), 10)
-        out["trend_stc"] = ema(100 * scaled(ema(k1, 3), 10), 3)
+        k1 = 100 * scaled(ema(c, 23) - ema(c, 50), 10).ffill()  # without a range it keeps its last value
+        out["trend_stc"] = ema(100 * scaled(ema(k1, 3), 10).ffill(), 3)
         move_up, move_down = h.diff(), -low.diff()
         plus, minus = move_up.where((move_up > move_down) & (move_up > 0), 0.0), move_down.where((move_down > move_up) & (move_down > 0), 0.0)
         true = wilder(tr, adx)
@@ -210,15 +215,15 @@ def recursive_indicators(bars: DataFrame, fast: int = 12, slow: int = 26, signal
         out["volume_fi"] = ema(d * v, force)
         return out
 
-    schema = "ticker string, Date date, " + ", ".join(f"{c} double" for c in RECURSIVE)
-    need = bars.select("ticker", "Date", "High", "Low", "Close", "Volume")
+    need = bars if carry else bars.select("ticker", "Date", "High", "Low", "Close", "Volume")
+    schema = T.StructType([*[need.schema[c] for c in keep], *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
     out = need.groupBy("ticker").applyInPandas(compute, schema)
-    return out.select("ticker", "Date", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in RECURSIVE])
+    return out.select(*keep, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in RECURSIVE])
 
 
 def all_indicators(bars: DataFrame) -> DataFrame:
-    """All 85 columns; both halves are partitioned by ticker."""
-    return window_indicators(bars).join(recursive_indicators(bars), ["ticker", "Date"])
+    """All 85 columns: recursions first, with the bars carried along, then the windows over the same tickers."""
+    return window_indicators(recursive_indicators(bars, carry=True))
 
 
 def preprocess(df: DataFrame, columns: list[str] | None = None, rows: int = 252) -> DataFrame:

@@ -159,6 +159,33 @@ def split_at(panel: DataFrame, cutoff, test_end, date: str = "Date") -> DataFram
     return panel.withColumn("role", F.when(d <= F.lit(cutoff), "train").when(d <= F.lit(test_end), "test"))
 
 
+def resplit(train: DataFrame, test: DataFrame, last_train, last_test=None, start=None, date: str = "Date") -> tuple[DataFrame, DataFrame]:
+    """Move the cutoff back: training rows after ``last_train`` become test rows, in front of the old test rows up
+    to ``last_test`` (their last date by default); rows before ``start`` go.  A cutoff at or after the first test date
+    raises ``ValueError``."""
+    d = F.col(date)
+    bounds = test.agg(F.min(date).alias("a"), F.max(date).alias("b")).first()
+    if bounds.a is not None and str(last_train) >= str(bounds.a):
+        raise ValueError(f"{last_train} is not before the first test date {bounds.a}")
+    last_test = bounds.b if last_test is None else last_test
+    new = d.between(F.date_add(F.lit(last_train).cast("date"), 1), F.lit(last_test).cast("date"))
+    kept = d <= F.lit(last_train).cast("date")
+    return train.where(kept if start is None else kept & (d >= F.lit(start).cast("date"))), train.where(new).unionByName(test.where(new))
+
+
+def date_union(*tables: DataFrame, date: str = "Date") -> DataFrame:
+    """The distinct dates of all tables."""
+    out = tables[0].select(date)
+    for t in tables[1:]:
+        out = out.union(t.select(date))
+    return out.distinct()
+
+
+def new_keys(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys of the new table that the old one lacks."""
+    return missing_from(new.select(*keys).distinct(), old, keys)
+
+
 def selection_overlap(df: DataFrame, a: Column, b: Column, value: str) -> DataFrame:
     """Counts and means of rows selected by A, by B, by A only, and the share of A in B."""
     only = a & ~b

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fourier
 from ..functions.exprs import clip, div, linear01, ln, log_price_to, sigmoid, tanh01, tanh01_at_one, tanh01_log, week_part
@@ -243,26 +246,34 @@ def group_dynamics_sequence(bars: DataFrame, p: dict | None = None, **_) -> Data
 
 
 def with_fourier(bars: DataFrame, months: Sequence[int], rows: int = 21, cutoff: int = 5, factor: int = 8) -> DataFrame:
-    """Coefficients of the last ``rows * m + 1`` prices and log returns for each horizon: sign and size of the
-    coefficients, error of the partial sums and its ratio to the error of the line alone."""
-    w = by()
-    df = with_differences(bars)
-    for m in months:
-        n = rows * m + 1
-        cos, sin, residual = fourier.kernels(n, factor, cutoff)
-        for name, column in (("price", "AdjClose"), ("ret", "log_return")):
-            got = F.collect_list(F.col(column)).over(w.rowsBetween(-(n - 1), 0))
-            full = F.when(F.size(got) == n, got)
-            df = df.withColumn("_v", F.transform(full, lambda x: div(x, F.col(column))) if name == "price" else full)
-            new = {}
-            for k in range(1, cutoff):
-                c, s = fourier.dot(F.col("_v"), cos[k]), fourier.dot(F.col("_v"), sin[k])
-                new[f"{name}_sign_{k}_MH{m}"], new[f"{name}_amp_{k}_MH{m}"] = F.signum(s), F.hypot(c, s)
-            new[f"{name}_rmse_MH{m}"] = fourier.quadratic_form(F.col("_v"), residual[-1])
-            new[f"{name}_rmse0_MH{m}"] = fourier.quadratic_form(F.col("_v"), residual[0])
-            df = df.withColumns(new)
-            df = df.withColumn(f"{name}_ratio_MH{m}", div(f"{name}_rmse_MH{m}", f"{name}_rmse0_MH{m}")).drop("_v", f"{name}_rmse0_MH{m}")
-    return df.drop("elevated", *MATH[1:])
+    """Coefficients of the last ``rows * m + 1`` prices (over the current one) and log returns for each horizon:
+    sign and size of the coefficients, error of the partial sums and its ratio to the error of the line alone.
+
+    All windows of a ticker are one matrix product a horizon, in one grouped pass; a group
+    is a ticker's history, bounded by its trading days.
+    """
+    kinds = [*[f"sign_{k}" for k in range(1, cutoff)], *[f"amp_{k}" for k in range(1, cutoff)], "rmse", "ratio"]
+    names = [f"{series}_{kind}_MH{m}" for m in months for series in ("price", "ret") for kind in kinds]
+    own = bars.columns
+    df = with_differences(bars).select(*own, "log_return")
+
+    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("Date").reset_index(drop=True)
+        price, returns = (pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("AdjClose", "log_return"))
+        columns = {}
+        for m in months:
+            for series, values in (("price", price), ("ret", returns)):
+                got = fourier.window_features(values, rows * m + 1, factor, cutoff)
+                if series == "price":
+                    now = np.where(price == 0, np.nan, price)[:, None]
+                    got = np.hstack([got[:, :cutoff - 1] * np.sign(now), got[:, cutoff - 1:] / np.abs(now)])
+                got[:, -1] = np.divide(got[:, -2], got[:, -1], out=np.full(len(got), np.nan), where=got[:, -1] != 0)
+                columns |= {f"{series}_{kind}_MH{m}": got[:, k] for k, kind in enumerate(kinds)}
+        return pd.concat([pdf[own], pd.DataFrame(columns)], axis=1)
+
+    schema = T.StructType([*bars.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    out = df.groupBy("ticker").applyInPandas(compute, schema)
+    return out.select(*bars.columns, *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
 
 
 @block("fourier")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import run_summary
-from ..operators.joins import split_at
+from ..operators.joins import resplit, split_at
 from ..operators.samples import clean_samples
 from ..operators.windows import top_per_date
 
@@ -65,6 +65,7 @@ class RandomProjection:
     def __init__(self, size: int, width: int = 128, ridge: float = 1.0, seed: int = 5):
         self.size, self.width, self.ridge, self.seed = size, width, ridge, seed
         self.labels: list = []
+        self.kind = None
         self.weights: np.ndarray | None = None
 
     def _features(self, x: np.ndarray) -> np.ndarray:
@@ -73,6 +74,7 @@ class RandomProjection:
 
     def fit(self, df: DataFrame, vector: str, label: str) -> RandomProjection:
         """Each task adds up its part of the Gram matrix (``width**2`` numbers); parts are added by key."""
+        self.kind = df.schema[label].dataType
         self.labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # classes
         place, me = {v: k for k, v in enumerate(self.labels)}, self
 
@@ -99,7 +101,7 @@ class RandomProjection:
         me, w = self, self.weights
         labels = np.array(self.labels)
 
-        @F.pandas_udf("long")
+        @F.pandas_udf(self.kind)
         def best(x: pd.Series) -> pd.Series:
             return pd.Series(labels[np.argmax(me._features(np.stack(x.to_numpy()).astype(float)) @ w, axis=1)])
 
@@ -156,3 +158,21 @@ def best_rerun(runs: DataFrame, score: str, key: str = "cutoff") -> DataFrame:
 def analyse(picks: DataFrame) -> DataFrame:
     """One summary row per run."""
     return run_summary(picks, ["run_id"])
+
+
+def predict_now(panel: DataFrame, features: Sequence[str], target: str, last_train: Date, days: int = 7, top: int = 5, start: Date | None = None,
+                fit: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fit on rows up to ``last_train`` and rank those of the next ``days``, whether their target is known or not.
+
+    Gives the picks (Date, ticker, Close, prediction_ratio, rank) and per date their number, mean and greatest
+    prediction.  Raises ``ValueError`` if there is nothing to predict.
+    """
+    later = panel.where(F.col("Date") > F.lit(last_train))
+    train, test = resplit(panel.where(F.col("Date") <= F.lit(last_train)), later, last_train, last_train + timedelta(days=days), start)
+    model = (fit or fit_trees)(clean_samples(train, features, target, True), features, target)
+    scored = predict(model, clean_samples(test, features, target, False), features)
+    picks = top_per_date(scored, "prediction_ratio", top)
+    picks = picks.select("Date", "ticker", *[c for c in ("Close",) if c in panel.columns], "prediction_ratio", "rank")
+    if picks.isEmpty():
+        raise ValueError("no rows to predict")
+    return picks, picks.groupBy("Date").agg(F.count("*").alias("n_entries"), F.avg("prediction_ratio").alias("mean_pred"), F.max("prediction_ratio").alias("max_pred"))

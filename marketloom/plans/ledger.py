@@ -25,11 +25,14 @@ def cash(trades: DataFrame, start: float) -> DataFrame:
 
 
 def value(trades: DataFrame, prices: DataFrame, start: float) -> DataFrame:
-    """L3: cash and holdings at each date of ``prices`` from the first trade on; a missing price counts 0."""
+    """L3: cash and holdings at each date of ``prices`` from the first trade on; a missing price counts 0.
+
+    As only a ticker with a price adds to a date, each price takes its ticker's last position
+    (one as-of join), and dates are summed: no table of dates and tickers.
+    """
     dates = prices.select("Date").distinct()
-    held = asof(dates.crossJoin(trades.select("ticker").distinct()), positions(trades).withColumnRenamed("Date", "_at"), right_on="_at")
-    worth = held.join(prices.select("ticker", "Date", F.col("Close").alias("_p")), ["ticker", "Date"], "left")
-    worth = worth.groupBy("Date").agg(F.sum(F.coalesce("quantity", F.lit(0.0)) * F.coalesce("_p", F.lit(0.0))).alias("holdings"))
+    held = asof(prices.select("ticker", "Date", F.col("Close").alias("_p")), positions(trades).withColumnRenamed("Date", "_at"), right_on="_at")
+    worth = held.groupBy("Date").agg(F.sum(F.coalesce("quantity", F.lit(0.0)) * F.coalesce("_p", F.lit(0.0))).alias("holdings"))
     money = asof(dates.withColumn("_k", F.lit(1)), cash(trades, start).select(F.col("Date").alias("_at"), "cash", F.lit(1).alias("_k")),
                  by=("_k",), right_on="_at").where("_at is not null")
     return money.select("Date", "cash").join(worth, "Date").withColumn("value", F.col("cash") + F.col("holdings"))

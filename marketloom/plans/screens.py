@@ -8,8 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import div
-from ..operators.windows import local_minima
+from ..functions.exprs import clip, div
+from ..operators.aggregates import distribution_distance
+from ..operators.quantiles import quantile_row
+from ..operators.samples import feature_names
+from ..operators.windows import local_minima, rolling
 
 
 def unpivot(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -20,10 +23,10 @@ def unpivot(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> Data
 
 def feature_scores(df: DataFrame, features: Sequence[str], target: str, q: float, upper: bool = True, date: str = "Date") -> DataFrame:
     """M4: per feature, the mean over all dates of the mean target of its rows beyond the quantile (a date without: 0)."""
-    cuts = df.agg(*[F.percentile(f, F.lit(q)).alias(f"_c{k}") for k, f in enumerate(features)])
+    cuts = quantile_row(df, features, [q], [f"_c{k}" for k in range(len(features))])
     both, aggs = df.join(F.broadcast(cuts)), []
     for k, f in enumerate(features):
-        hit = F.col(f) > F.col(f"_c{k}") if upper else F.col(f) < F.col(f"_c{k}")
+        hit = F.col(f) > F.col(f"_c{k}")[0] if upper else F.col(f) < F.col(f"_c{k}")[0]
         aggs.append(F.coalesce(F.avg(F.when(hit, F.col(target))), F.lit(0.0)).alias(f"_m{k}"))
     per = both.groupBy(date).agg(*aggs)
     means = per.agg(*[F.avg(f"_m{k}").alias(f"_m{k}") for k in range(len(features))])
@@ -31,19 +34,39 @@ def feature_scores(df: DataFrame, features: Sequence[str], target: str, q: float
     return means.select(F.explode(rows).alias("r")).select("r.feature", "r.score")
 
 
-def quantile_screen(df: DataFrame, features: Sequence[str], target: str, levels: Sequence[float], date: str = "Date") -> DataFrame:
-    """For each feature, level and tail: rows, mean target, dates and the largest gap between them."""
-    cuts = df.agg(*[F.percentile(f, F.array(*map(F.lit, levels))).alias(f"_c{k}") for k, f in enumerate(features)])
+def quantile_screen(df: DataFrame, features: Sequence[str], target: str, levels: Sequence[float], date: str = "Date",
+                    key: str = "ticker", rows: int = 200, most_gap: int = 100) -> DataFrame:
+    """For each feature, level and tail: rows, mean target, dates and the largest gap between them; mean,
+    deviation and last value of the target's mean over ``rows`` successive hits (by date and ``key``, full windows
+    only); and a score.
+
+    The score is the last rolling mean times (1 - deviation, 0 at least), and 0 with fewer hits than the tail's share
+    of all rows or with a gap above ``most_gap`` days; both tails alike.
+    """
+    names = [f"_c{k}" for k in range(len(features))]
+    cuts = quantile_row(df, features, levels, names).crossJoin(df.agg(F.count("*").alias("_all")))  # a single row
     hits = [F.when(F.col(f) >= F.col(f"_c{k}")[i] if up else F.col(f) <= F.col(f"_c{k}")[i],
                    F.struct(F.lit(f).alias("feature"), F.lit(float(q)).alias("q"), F.lit("upper" if up else "lower").alias("tail")))
             for k, f in enumerate(features) for i, q in enumerate(levels) for up in (True, False)]
-    long = df.join(F.broadcast(cuts)).select(date, F.col(target).alias("t"), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
-    per = long.groupBy("h", date).agg(F.count("*").alias("n"), F.sum("t").alias("s"), F.avg("t").alias("m"))
+    long = df.join(F.broadcast(cuts)).select(date, key, "_all", F.col(target).alias("t"), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
+    order = Window.partitionBy("h").orderBy(date, key)
+    rolled = long.select("h", date, key, rolling(F.avg, "t", rows, order).alias("r")).where("r is not null")
+    rolled = rolled.groupBy("h").agg(F.avg("r").alias("roll_mean"), F.stddev("r").alias("roll_std"), F.max_by("r", F.struct(date, key)).alias("roll_last"))
+    per = long.groupBy("h", date).agg(F.count("*").alias("n"), F.sum("t").alias("s"), F.avg("t").alias("m"), F.first("_all").alias("all"))
     gap = F.datediff(date, F.lag(date, 1).over(Window.partitionBy("h").orderBy(date)))
     out = per.withColumn("gap", gap).groupBy("h").agg(
         F.sum("n").alias("n"), div(F.sum("s"), F.sum("n")).alias("mean_target"), F.avg("m").alias("mean_of_dates"), F.count("*").alias("n_dates"),
-        F.max("gap").alias("max_gap"))
-    return out.select("h.*", "n", "mean_target", "mean_of_dates", "n_dates", "max_gap")
+        F.max("gap").alias("max_gap"), F.first("all").alias("all")).join(rolled, "h", "left")
+    share = F.when(F.col("h.tail") == "upper", 1 - F.col("h.q")).otherwise(F.col("h.q")) * F.col("all")
+    good = (F.col("n") >= share) & (F.coalesce("max_gap", F.lit(0)) <= most_gap)
+    score = F.when(good, F.col("roll_last") * F.greatest(1 - F.col("roll_std"), F.lit(0.0))).otherwise(0.0)
+    return out.select("h.*", "n", "mean_target", "mean_of_dates", "n_dates", "max_gap", "roll_mean", "roll_std", "roll_last", score.alias("score"))
+
+
+def best_tails(screen: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """For each feature and level, the better score of its lower tail and of the upper one at ``1 - level``."""
+    q = F.round(F.when(F.col("tail") == "upper", 1 - F.col("q")).otherwise(F.col("q")), 9)
+    return screen.withColumn("q", q).where(F.col("q").isin([float(x) for x in levels])).groupBy("feature", "q").agg(F.max("score").alias("score"))
 
 
 def predicate_screen(df: DataFrame, predicates: dict[str, Column], target: str) -> DataFrame:
@@ -67,34 +90,43 @@ def minima_grid(bars: DataFrame, distances: Sequence[int], least: Sequence[int])
 
 def mean_by_score(df: DataFrame, score: str, target: str, q: float, periods: int = 1) -> DataFrame:
     """Mean target above and below a quantile of the score, and its per-period root."""
-    cut = df.agg(F.percentile(score, F.lit(q)).alias("_c"))
-    hit = F.col(score) >= F.col("_c")
+    cut = quantile_row(df, [score], [q], ["_c"])
+    hit = F.col(score) >= F.col("_c")[0]
     out = df.join(F.broadcast(cut)).agg(F.avg(F.when(hit, F.col(target))).alias("above"), F.avg(F.when(~hit, F.col(target))).alias("below"))
     return out.withColumns({"above_root": F.pow("above", 1 / periods), "below_root": F.pow("below", 1 / periods)})
 
 
 def linear_screen(df: DataFrame, features: Sequence[str], target: str, q: float = 0.9, rate: float = 0.02, epochs: int = 10, sharpness: float = 1.5,
-                  date: str = "Date", upper: bool = True) -> dict[str, float]:
+                  date: str = "Date", upper: bool = True, noise: float = 0.0, subsample: float = 1.0, init_top: int = 1, seed: int = 0) -> dict[str, float]:
     """M5: weights of a linear score whose soft upper tail has the best mean target per date.
 
     Per epoch Spark makes one pass for the threshold, one for the dates' sums and one for
     the gradient; the driver holds the weights only.  The threshold counts as constant
-    within a step.
+    within a step.  The weights begin with 1 at one of the ``init_top`` best single
+    features and 0.1 elsewhere.  Each step adds normal ``noise`` to the soft mask (cut to
+    0..1, where the gradient is 0) and uses a ``subsample`` of the rows; both are drawn
+    from ``seed``.
     """
     df = df.select(date, *features, F.col(target).alias("_t")).dropna().persist()
     try:
         scores = {r.feature: r.score for r in feature_scores(df, features, "_t", q, upper, date).collect()}
         a = np.full(len(features), 0.1)
-        a[int(np.argmax([scores[f] for f in features]))] = 1.0
+        best = sorted(range(len(features)), key=lambda k: (-scores[features[k]], k))[:max(init_top, 1)]
+        a[best[int(np.random.default_rng(seed).integers(len(best)))]] = 1.0
         m, v, sign = np.zeros(len(a)), np.zeros(len(a)), 1.0 if upper else -1.0
         for step in range(1, epochs + 1):
             w = sum((F.col(f) * float(x) for f, x in zip(features, a, strict=True)), F.lit(0.0))
             cut = df.agg(F.percentile_approx(w, F.lit(q), F.lit(10000))).first()[0]
             p = 1 / (1 + F.exp(-sign * sharpness * (w - cut)))
-            soft = df.withColumn("_p", p)
+            soft = df.withColumn("_s", p)
+            if subsample < 1:
+                soft = soft.where(F.rand(seed * 1000 + 2 * step) < subsample)
+            moved = F.col("_s") + F.lit(noise) * F.randn(seed * 1000 + 2 * step + 1) if noise else F.col("_s")
+            soft = soft.withColumn("_m", moved).withColumns({
+                "_p": clip("_m", 0, 1), "_d": F.when((F.col("_m") > 0) & (F.col("_m") < 1), F.col("_s") * (1 - F.col("_s"))).otherwise(0.0)})
             dates = soft.groupBy(date).agg(F.sum("_p").alias("_soft_n"), F.sum(F.col("_p") * F.col("_t")).alias("_soft_t"))
-            g = soft.join(dates, date).agg(F.countDistinct(date).alias("n"), *[
-                F.sum((F.col("_t") - F.col("_soft_t") / F.col("_soft_n")) / F.col("_soft_n") * sign * sharpness * F.col("_p") * (1 - F.col("_p")) * F.col(f)).alias(f"g{k}")
+            g = soft.join(dates.where("_soft_n > 0"), date).agg(F.countDistinct(date).alias("n"), *[
+                F.sum((F.col("_t") - F.col("_soft_t") / F.col("_soft_n")) / F.col("_soft_n") * sign * sharpness * F.col("_d") * F.col(f)).alias(f"g{k}")
                 for k, f in enumerate(features)]).first()
             grad = -np.array([g[f"g{k}"] or 0.0 for k in range(len(a))]) / max(g["n"], 1)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -119,39 +151,65 @@ def reduce_screen(df: DataFrame, features: Sequence[str], target: str, iteration
 def hard_mask(train: DataFrame, test: DataFrame, weights: dict[str, float], q: float) -> tuple[DataFrame, DataFrame]:
     """M6: rows whose score is above the training quantile, on both sides."""
     w = sum((F.col(f) * x for f, x in weights.items()), F.lit(0.0))
-    cut = train.agg(F.percentile(w, F.lit(q)).alias("_c"))
-    return tuple(d.withColumn("score", w).join(F.broadcast(cut)).where(F.col("score") > F.col("_c")).drop("_c") for d in (train, test))
+    cut = quantile_row(train.select(w.alias("score")), ["score"], [q], ["_c"])
+    return tuple(d.withColumn("score", w).join(F.broadcast(cut)).where(F.col("score") > F.col("_c")[0]).drop("_c") for d in (train, test))
 
 
 def matching_weights(train: DataFrame, test: DataFrame, features: Sequence[str], key: str, bins: int = 10, floor: float = 0.1, passes: int = 5) -> DataFrame:
     """M7: weights of training rows so that each feature's bins hold the test rows' shares.
 
-    Bins are training quantiles.  Each pass multiplies a row's weight by wanted / present
+    Bins are training quantiles.  Each pass multiplies a cell's weight by wanted / present
     of its bin, feature after feature (iterative proportional fitting); weights stay at
-    least ``floor`` and average 1.
+    least ``floor`` and average 1.  Passes work on the table of occupied cells (at most
+    bins ** features rows), whose bins are summed by windows; nothing of it is collected.
     """
-    levels = [k / bins for k in range(1, bins)]
-    edges = train.agg(*[F.percentile(f, F.array(*map(F.lit, levels))).alias(f"_e{k}") for k, f in enumerate(features)]).first()
+    names = [f"_e{k}" for k in range(len(features))]
+    edges = quantile_row(train, features, [k / bins for k in range(1, bins)], names)
 
     def binned(df: DataFrame) -> DataFrame:
-        new = {f"_b{k}": sum(((F.col(f) > float(e)).cast("int") for e in edges[f"_e{k}"]), F.lit(0)) for k, f in enumerate(features)}
-        return df.withColumns(new)
+        place = lambda f, e: F.aggregate(e, F.lit(0), lambda n, x: n + F.when(F.col(f) > x, 1).otherwise(0))
+        return df.join(F.broadcast(edges)).withColumns({f"_b{k}": place(f, F.col(e)) for k, (f, e) in enumerate(zip(features, names, strict=True))}).drop(*names)
 
-    tr, te = binned(train).withColumn("weight", F.lit(1.0)), binned(test)
+    tr, te = binned(train), binned(test)
     cells = [f"_b{k}" for k in range(len(features))]
-    table = tr.groupBy(*cells).agg(F.count("*").alias("n")).collect()  # occupied cells, at most bins ** features
-    shares = [{r[0]: r[1] for r in te.groupBy(c).agg(F.count("*") / F.lit(max(te.count(), 1))).collect()} for c in cells]
-    total = sum(r["n"] for r in table)
-    weight = {tuple(r[c] for c in cells): 1.0 for r in table}
+    table = tr.groupBy(*cells).agg(F.count("*").alias("_n")).withColumn("weight", F.lit(1.0))
+    every = Window.partitionBy()
+    for k, c in enumerate(cells):
+        share = te.groupBy(c).agg(F.count("*").alias("_k")).withColumn(f"_share{k}", F.col("_k") / F.sum("_k").over(every)).drop("_k")  # one row a bin
+        table = table.join(F.broadcast(share), c, "left").fillna(0.0, [f"_share{k}"])
+    total = table.agg(F.sum("_n").alias("_total"))
+    table = table.join(F.broadcast(total))
     for _ in range(passes):
-        for k in range(len(cells)):
-            now: dict[int, float] = {}
-            for r in table:
-                now[r[cells[k]]] = now.get(r[cells[k]], 0.0) + r["n"] * weight[tuple(r[c] for c in cells)]
-            for cell in weight:
-                if now[cell[k]] > 0:
-                    weight[cell] = max(weight[cell] * shares[k].get(cell[k], 0.0) * total / now[cell[k]], floor)
-    mean = sum(r["n"] * weight[tuple(r[c] for c in cells)] for r in table) / max(total, 1)
-    spark = train.sparkSession
-    rows = spark.createDataFrame([(*c, x / mean) for c, x in weight.items()], ", ".join(f"{c} int" for c in cells) + ", weight double")
-    return tr.drop("weight").join(F.broadcast(rows), cells).drop(*cells)
+        for k, c in enumerate(cells):
+            now = F.sum(F.col("_n") * F.col("weight")).over(Window.partitionBy(c))
+            table = table.withColumn("weight", F.greatest(F.col("weight") * F.col(f"_share{k}") * F.col("_total") / now, F.lit(floor)))
+    mean = table.agg((F.sum(F.col("_n") * F.col("weight")) / F.sum("_n")).alias("_mean"))
+    weights = table.join(F.broadcast(mean)).select(*cells, (F.col("weight") / F.col("_mean")).alias("weight"))
+    return tr.join(weights, cells).drop(*cells)
+
+
+#: Families of features that matching can be switched on for.
+MATCH_FAMILIES = {
+    "Pricediff": "MathFeature_Price_Diff", "FinData_quar": "FinData_quar", "FinData_metrics": "FinData_metrics", "Fourier_RSME": "Fourier_Price_RSME",
+    "Fourier_Sign": "Fourier_Price_Sign", "TA_trend": "FeatureTA_trend", "FeatureGroup_VolGrLvl": "FeatureGroup_VolGrLvl", "LSTM_Prediction": "LSTM_Prediction"}
+
+
+def matching_features(names: Sequence[str], distance: dict[str, float], patterns: Sequence[str], fallback: str, keep: int = 2) -> list[str]:
+    """Of the names with one of the ``patterns`` (else with ``fallback``), the ``keep`` whose distributions differ most."""
+    chosen = [n for n in names if any(p in n for p in patterns)] or [n for n in names if fallback in n]
+    return feature_names(chosen, without=(), distance=distance, keep=keep) if chosen else []
+
+
+def tree_weights(train: DataFrame, test: DataFrame, features: Sequence[str], key: str, match: bool = True, patterns: Sequence[str] = (),
+                 fallback: str = MATCH_FAMILIES["Pricediff"], keep: int = 2, bins: int = 15, floor: float = 0.4) -> DataFrame:
+    """A column ``weight`` for the training rows: 1 unless ``match``, else matching weights on the chosen features.
+
+    The distance of each feature between train and test is taken over all rows; one number a feature comes to the driver.
+    """
+    if not match:
+        return train.withColumn("weight", F.lit(1.0))
+    long = [unpivot(d, features, []).where("x is not null") for d in (train, test)]
+    n = long[1].groupBy("feature").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    far = {r.feature: r.distance for r in distribution_distance(long[0], long[1], "x", n).collect()}
+    chosen = matching_features(features, far, patterns, fallback, keep)
+    return matching_weights(train, test, chosen, key, bins, floor) if chosen else train.withColumn("weight", F.lit(1.0))

@@ -43,7 +43,7 @@ def add(name: str, build: Query, sql: str | None = None, keys: Sequence[str] = (
         more, _, body = sql.rpartition(";;")
         outer = ", ".join([*(f'"{k}"' for k in keys), *(f'floor("{d}" * 1e{digits}::DOUBLE + {HALF}::DOUBLE) / 1e{digits}::DOUBLE + 0.0::DOUBLE AS "{d}"' for d in doubles)])
         heads = ", ".join([*(CTES[c] for c in ctes), *([more] if more.strip() else [])])
-        SQL[name] = (f"WITH {heads} " if heads else "") + f"SELECT {outer} FROM ({body})"
+        SQL[name] = (f"WITH RECURSIVE {heads} " if heads else "") + f"SELECT {outer} FROM ({body})"
 
 
 KEY = ("ticker", "Date")
@@ -188,7 +188,7 @@ def _membership(s: SparkSession, d: str) -> DataFrame:
 
 
 add("j09_members", lambda s, d: J.members(views.bars(s, d), _membership(s, d), "sp500").select(*KEY, "Close"), 'SELECT * FROM bars WHERE ticker IN (SELECT ticker FROM asset WHERE ticker::INT % 3 = 0)', KEY, ["Close"], ctes=("bars", "asset"))
-add("j10_grid", lambda s, d: J.grid(views.bars(s, d).where(F.year("Date") == 1995), views.bars(s, d)), 'SELECT * FROM (SELECT DISTINCT "Date" FROM bars WHERE year("Date") = 1995), (SELECT DISTINCT ticker FROM bars)', KEY)
+add("j10_grid", lambda s, d: J.grid(views.bars(s, d), views.bars(s, d)), 'SELECT * FROM (SELECT DISTINCT "Date" FROM bars), (SELECT DISTINCT ticker FROM bars)', KEY)
 
 
 def _two_samples(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +205,7 @@ add("u02_split", lambda s, d: J.split_at(views.bars(s, d), "1996-06-30", "1996-1
 add("u03_overlap", lambda s, d: J.selection_overlap(views.bars(s, d), F.col("Volume") > 60, F.col("Close") > 1200, "AdjClose"),
     """SELECT count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND NOT b) AS n_only_a, avg(v) FILTER (a) AS mean_a, avg(v) FILTER (b) AS mean_b, avg(v) FILTER (a AND NOT b) AS mean_only_a,
     count(*) FILTER (a AND b) / nullif(count(*) FILTER (a), 0) AS overlap FROM (SELECT "Volume" > 60 AS a, "Close" > 1200 AS b, "AdjClose" AS v FROM bars)""", ("n_a", "n_b", "n_only_a"), ["mean_a", "mean_b", "mean_only_a", "overlap"])
-add("u05_date_union", lambda s, d: views.bars(s, d).select("Date").union(views.ticks(s, d).select("Date")).distinct(), 'SELECT "Date" FROM bars UNION SELECT "Date" FROM ticks', ("Date",), ctes=("bars", "ticks"))
+add("u05_date_union", lambda s, d: J.date_union(views.bars(s, d), views.ticks(s, d)), 'SELECT "Date" FROM bars UNION SELECT "Date" FROM ticks', ("Date",), ctes=("bars", "ticks"))
 
 # -- aggregates ----------------------------------------------------------------------
 _NUM = ["totalRevenue", "ebit"]
@@ -259,7 +259,7 @@ add("a12_all_runs", lambda s, d: A.summary_of_runs(_runs(s, d)), f"{_PRED_U}, {_
 add("a13_run_quantiles", lambda s, d: A.run_quantiles(_runs(s, d)), f"{_PRED_U}, {_PER}, {_RUNS};;" + " UNION ALL ".join(
     f"SELECT {q}::DOUBLE AS q, quantile_cont(pred_meanmean, {q}) AS pred_meanmean, quantile_cont(pred_meanlast, {q}) AS pred_meanlast, quantile_cont(pred_toplast, {q}) AS pred_toplast FROM runs" for q in (0.1, 0.25, 0.5, 0.75, 0.9)), (), ["q", "pred_meanmean", "pred_meanlast", "pred_toplast"])
 add("a13_above_median", lambda s, d: A.runs_above_median(_runs(s, d), "pred_meanmean"), f"{_PRED_U}, {_PER}, {_RUNS};;SELECT " + ", ".join(f"exp(avg(ln({c}))) AS {c}" for c in A.RUN_FIGURES) + " FROM runs WHERE pred_meanmean > (SELECT quantile_cont(pred_meanmean, 0.5) FROM runs)", (), A.RUN_FIGURES)
-add("a14_date_listing", lambda s, d: W.top_per_date(_no_ties(predictions(s, d)), "prediction_ratio", 5).groupBy("Date").agg(F.avg("target_ratio").alias("mean_result"), F.avg("prediction_ratio").alias("mean_prediction")),
+add("a14_date_listing", lambda s, d: A.date_listing(W.top_per_date(_no_ties(predictions(s, d)), "prediction_ratio", 5)),
     _PRED_U + ';;SELECT "Date", avg(target_ratio) AS mean_result, avg(prediction_ratio) AS mean_prediction FROM (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY "Date" ORDER BY prediction_ratio DESC, ticker) <= 5) GROUP BY 1', ("Date",), ["mean_result", "mean_prediction"])
 _labels = lambda s, d: s.read.parquet(f"{d}/labels.parquet")
 add("a15_label_distribution", lambda s, d: A.label_distribution(_labels(s, d), "quality"), "SELECT quality, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM labels GROUP BY 1", ("quality", "n"), ["share"], ctes=())
@@ -277,7 +277,9 @@ add("a18_coverage", lambda s, d: A.mask_coverage(predictions(s, d), F.col("predi
 add("a19_trading_days", lambda s, d: A.trading_days(views.bars(s, d), "1995-01-01", "1995-12-31"),
     """w AS (SELECT CAST(d AS DATE) AS d FROM range(DATE '1995-01-01', DATE '1996-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6), g AS (SELECT * FROM w, (SELECT DISTINCT ticker FROM bars));;
     SELECT DISTINCT b."Date" FROM g ASOF JOIN bars b ON g.ticker = b.ticker AND g.d >= b."Date" """, ("Date",))
-add("a20_days_per_year", lambda s, d: A.days_per_year(views.bars(s, d).where("ticker in ('1', '2')").withColumn("name", F.concat(F.lit("t"), "ticker")), "name", names=["t1", "t2"]), """SELECT year("Date") AS year, count(*) FILTER (ticker = '1') AS t1, count(*) FILTER (ticker = '2') AS t2 FROM bars WHERE ticker IN ('1', '2') GROUP BY 1""", ("year", "t1", "t2"))
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+add("a20_days_per_year", lambda s, d: A.days_per_year(J.attach(views.bars(s, d), views.asset(s, d), ["ticker"], ["sector"]).select("sector", "Date").distinct(), "sector", names=REGIONS),
+    'SELECT year("Date") AS year, ' + ", ".join(f"""count(DISTINCT "Date") FILTER (sector = '{r}') AS "{r}\"""" for r in REGIONS) + " FROM bars JOIN asset USING (ticker) GROUP BY 1", ("year", *REGIONS), ctes=("bars", "asset"))
 add("a21_days_ahead", lambda s, d: A.days_ahead(views.bars(s, d).select("Date").distinct(), "1996-03-01", 30), """SELECT count(DISTINCT "Date") AS n_days FROM bars WHERE "Date" > DATE '1996-03-01' AND "Date" <= DATE '1996-03-31'""", ("n_days",))
 add("a22_merge_report", lambda s, d: J.merge_report(*_old_new(s, d)).select("ticker", "n_Close", "n_Splits", "n_Volume", "n_new_rows"),
     _OLD_NEW + """;;SELECT n.ticker, count(*) FILTER (NOT (n."Close" / o."Close" BETWEEN 0.99 AND 1.01)) AS "n_Close", count(*) FILTER (NOT (n."Splits" / o."Splits" BETWEEN 0.99 AND 1.01)) AS "n_Splits",
@@ -298,8 +300,6 @@ add("a26_line_fit", lambda s, d: A.line_fit(_days(s, d), "x", "Close"),
     _DAYS + ";;SELECT ticker, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r, sqrt(regr_syy(y, x) * (1 - corr(x, y) ^ 2) / (count(*) - 2) / regr_sxx(y, x)) AS slope_err, regr_syy(y, x) * (1 - corr(x, y) ^ 2) / count(*) AS residual_var FROM x GROUP BY 1",
     ("ticker", "n"), ["slope", "intercept", "r", "slope_err", "residual_var"], digits=4)
 add("a26_p_values", lambda s, d: A.p_values(A.line_fit(_days(s, d), "x", "Close")).select("ticker", "p_value"))
-add("a27_quadratic_fit", lambda s, d: A.polynomial_fit(_days(s, d), "x", "Close", 2).select("ticker", "r2", "residual_var"))
-add("a28_cubic_fit", lambda s, d: A.polynomial_fit(_days(s, d), "x", "Close", 3).select("ticker", "r2", "residual_var"))
 add("a29_first_point_line", lambda s, d: A.first_point_line(_days(s, d), "Date", "x", "Close"),
     _DAYS + """, f AS (SELECT *, x - first_value(x) OVER w AS dx, y - first_value(y) OVER w AS dy, first_value(y) OVER w AS y0 FROM x WINDOW w AS (PARTITION BY ticker ORDER BY "Date")), g AS (SELECT *, sum(dx * dy) OVER (PARTITION BY ticker) / nullif(sum(dx * dx) OVER (PARTITION BY ticker), 0) AS slope FROM f);;
     SELECT ticker, any_value(slope) AS slope, var_pop((y - (y0 + slope * dx)) / nullif(y0 + slope * dx, 0)) AS residual_var FROM g GROUP BY 1""", ("ticker",), ["slope", "residual_var"])
@@ -309,7 +309,7 @@ add("a30_prediction_fit", lambda s, d: A.prediction_fit(predictions(s, d), "pred
 _LV = [0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95]
 add("a31_threshold_table", lambda s, d: A.threshold_table(predictions(s, d), "prediction_ratio", "target_ratio", _LV),
     _PRED + ";;" + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, avg(target_ratio) AS mean_result, ln(pow(avg(target_ratio), 52 * (1 - {q}::DOUBLE))) AS log_yearly FROM pred WHERE prediction_ratio >= (SELECT quantile_cont(prediction_ratio, {q}) FROM pred)" for q in _LV), (), ["q", "mean_result"])
-add("a32_rows_per_date", lambda s, d: views.bars(s, d).groupBy("Date").agg(F.count("*").alias("n")), 'SELECT "Date", count(*) AS n FROM bars GROUP BY 1', ("Date", "n"))
+add("a32_rows_per_date", lambda s, d: A.rows_per_date(views.bars(s, d)), 'SELECT "Date", count(*) AS n FROM bars GROUP BY 1', ("Date", "n"))
 
 # -- samples, checks, groups ---------------------------------------------------------
 add("p01_between", lambda s, d: P.between_dates(views.bars(s, d), "1995-01-15", "1995-02-15"), """SELECT * FROM bars WHERE "Date" BETWEEN DATE '1995-01-15' AND DATE '1995-02-15'""", KEY, ["Close"])
@@ -336,68 +336,28 @@ add("p15_min_max", lambda s, d: P.min_max_scale(views.bars(s, d), ["Close"]), 'S
 add("p16_target_squash", lambda s, d: predictions(s, d).select(*KEY, X.target_squash("target_ratio").alias("y"), X.target_unsquash(X.target_squash("prediction_ratio")).alias("back"), X.clip("target_ratio", 1e-2, 1e2).alias("c")),
     _PRED + ';;SELECT ticker, "Date", tanh((target_ratio - 1) * 10) / 2 + 0.5 AS y, prediction_ratio AS back, greatest(1e-2, least(1e2, target_ratio)) AS c FROM pred', KEY, ["y", "c"])
 add("p17_recent", lambda s, d: P.recent_days(views.bars(s, d), 500), 'SELECT * FROM bars WHERE "Date" >= (SELECT max("Date") FROM bars) - 500', KEY, ["Close"])
-add("p18_repair_dates", lambda s, d: P.repair_dates(s.range(400).select(F.date_add(F.lit("1995-01-01").cast("date"), F.col("id").cast("int") * 3).alias("Date")), views.bars(s, d).where("ticker = '1'")),
-    """t AS (SELECT CAST(DATE '1995-01-01' + (k * 3)::INT AS DATE) AS d FROM range(400) r(k)), o AS (SELECT DISTINCT "Date" FROM bars WHERE ticker = '1');;SELECT DISTINCT o."Date" FROM t ASOF JOIN o ON t.d >= o."Date" """, ("Date",))
+add("p18_repair_dates", lambda s, d: P.repair_dates(views.bars(s, d).select("Date").distinct(), views.fin_q(s, d).select(F.col("reportedDate").alias("Date"))),
+    """t AS (SELECT DISTINCT "Date" AS d FROM bars), o AS (SELECT DISTINCT "reportedDate" AS "Date" FROM fin_q);;SELECT DISTINCT o."Date" FROM t ASOF JOIN o ON t.d >= o."Date" """, ("Date",), ctes=("bars", "fin_q"))
 add("g02_bars_since", lambda s, d: C.bars_since(views.bars(s, d), 1996, "1998-12-05"),
     """SELECT ticker, date_diff('day', max("Date"), DATE '1998-12-05') <= 20 AND count(*) >= floor(250 * date_diff('day', DATE '1996-01-01', max("Date")) / 365.0::DOUBLE) AS ok FROM bars WHERE "Date" >= DATE '1996-01-01' GROUP BY 1""", ("ticker", "ok"))
-add("g01_statements_since", lambda s, d: C.statements_since(views.fin_q(s, d), views.fin_a(s, d), views.bars(s, d), 1997, "1998-12-05"))
 add("g03_regular", lambda s, d: C.regular_bars(views.bars(s, d)), """SELECT ticker, count(*) >= floor(250 * date_diff('day', min("Date"), max("Date")) / 365.0::DOUBLE) AS ok FROM bars GROUP BY 1""", ("ticker", "ok"))
 add("g05_groups", lambda s, d: C.generate_groups(C.check_table(views.bars(s, d), views.fin_q(s, d), views.fin_a(s, d), views.asset(s, d), "1998-12-05", _membership(s, d)), C.CRITERIA | {"thirds": lambda: F.col("sp500")}),
     "SELECT g AS \"group\", ticker FROM asset, (SELECT unnest(['snp500', 'thirds']) AS g) WHERE ticker::INT % 3 = 0", ("group", "ticker"), ctes=("asset",))
 
-# -- blocks --------------------------------------------------------------------------
-_SMALL = {"lags": (1, 5), "months": (1, 2), "steps": 5}
-add("b01_category", lambda s, d: B.category(views.bars(s, d), asset=views.asset(s, d), membership=_membership(s, d), sectors=["ASIA", "EUROPE"]),
-    "SELECT b.ticker, \"Date\", (sector = 'ASIA')::INT AS \"sector_ASIA\", (sector = 'EUROPE')::INT AS \"sector_EUROPE\", (a.ticker::INT % 3 = 0)::INT AS in_sp500, (a.ticker::INT % 4 = 0)::INT AS in_nas100 FROM bars b JOIN asset a ON a.ticker = b.ticker",
-    (*KEY, "sector_ASIA", "sector_EUROPE", "in_sp500", "in_nas100"), ctes=("bars", "asset"))
-add("b02_financial", lambda s, d: B.financial(views.bars(s, d), _SMALL, fin_q=views.fin_q(s, d), fin_a=views.fin_a(s, d), quarter_lags=2, annual_lags=1).withColumnsRenamed({"q_totalRevenue_RANK": "q_rank", "a_totalRevenue_RANK": "a_rank"}),
-    """q AS (SELECT *, ebit / nullif(lag(ebit) OVER w, 0) AS eq, ln("totalRevenue") / 100 AS rk FROM fin_q WINDOW w AS (PARTITION BY ticker ORDER BY "fiscalDateEnding")), a AS (SELECT *, ln("totalRevenue") / 100 AS rk FROM fin_a),
-    j AS (SELECT b.*, q."reportedEPS" AS eps, q."totalShareholderEquity" / nullif(q."commonStockSharesOutstanding", 0) AS bk, q.rk AS q_rank, greatest(-30, least(30, q.eq)) AS eqc FROM bars b ASOF LEFT JOIN q ON b.ticker = q.ticker AND b."Date" >= q."reportedDate"),
-    k AS (SELECT j.*, a.rk AS a_rank FROM j ASOF LEFT JOIN a ON j.ticker = a.ticker AND j."Date" >= a."fiscalDateEnding");;
-    SELECT *, CASE WHEN eps <= 1e-5 THEN 1e-5 WHEN eps > 0 THEN ln("Close" / (eps * 4)) END AS log_trailing_pe_ratio, CASE WHEN bk <= 1e-5 THEN 1e-5 WHEN bk > 0 THEN ln("Close" / bk) END AS log_pb_ratio FROM k""",
-    KEY, ["log_trailing_pe_ratio", "log_pb_ratio", "q_rank", "a_rank"], ctes=("bars", "fin_q", "fin_a"))
-add("b03_financial_sequence", lambda s, d: B.financial_sequence(views.bars(s, d), _SMALL, fin_q=views.fin_q(s, d)).select(*KEY, F.size("log_pb_ratio_seq").alias("n")))
-add("b04_mathematical", lambda s, d: B.mathematical(views.bars(s, d), _SMALL),
-    _DIFF.replace(";;", f""", x AS (SELECT *, diff - {lag("diff")} AS diff2, ln("return") + 1 AS log_return, ("AdjClose" - {full("max", '"AdjClose"', 42)}) / nullif({full("max", '"AdjClose"', 42)}, 0) AS drawdown_2 FROM m);;""")
-    + f'SELECT *, ln("Close") AS log_price, {lag("diff2", 5)} AS diff2_lag_m5, {lag("log_return", 1)} AS log_return_lag_m1, {lag("drawdown_2", 5)} AS drawdown_2_lag_m5 FROM x', KEY, ["log_price", "diff2_lag_m5", "log_return_lag_m1", "drawdown_2", "drawdown_2_lag_m5"])
-add("b05_mathematical_sequence", lambda s, d: B.mathematical_sequence(views.bars(s, d), _SMALL).select(*KEY, F.col("level_3_seq")[0].alias("first"), F.col("level_3_seq")[4].alias("last")),
-    f"""SELECT ticker, "Date", tanh(c / "AdjClose" - 1) / 2 + 0.5 AS first, CASE WHEN c IS NOT NULL THEN 0.5 END AS last FROM (SELECT *, {lag('"AdjClose"', 12)} AS c FROM bars)""", KEY, ["first", "last"])
-
-
+# -- holidays ------------------------------------------------------------------------
 def _holidays(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(f"{y}-{md}", n) for y in range(1990, 2001) for md, n in (("01-01", "new year"), ("05-01", "may day"), ("12-25", "christmas"))], "d string, name string").select(F.to_date("d").alias("Date"), "name")
+    return s.createDataFrame([(f"{y}-{md}", n) for y in range(1990, 2003) for md, n in (("01-01", "new year"), ("05-01", "may day"), ("12-25", "christmas"))], "d string, name string").select(F.to_date("d").alias("Date"), "name")
 
 
-_HOL = "hol AS (SELECT CAST(y || '-' || md AS DATE) AS h FROM (SELECT unnest(range(1990, 2001)) AS y), (SELECT unnest(['01-01', '05-01', '12-25']) AS md))"
-add("b06_seasonal", lambda s, d: B.seasonal(views.bars(s, d), _SMALL, holidays=_holidays(s), start_year=1992, end_year=1998),
-    _HOL + """, n AS (SELECT b.*, x.h AS nh FROM bars b ASOF LEFT JOIN hol x ON b."Date" <= x.h), l AS (SELECT n.*, x.h AS lh FROM n ASOF LEFT JOIN hol x ON n."Date" >= x.h);;
-    SELECT *, (year("Date") - 1992) / 7.0::DOUBLE AS seasonal_year, (month("Date") - 1) / 11.0::DOUBLE AS seasonal_month, (isodow("Date") - 1) / 6.0::DOUBLE AS seasonal_weekday, (week("Date") - 1) / 51.0::DOUBLE AS seasonal_week_of_year,
-    (week("Date" - 5) - 1) / 51.0::DOUBLE AS seasonal_week_of_year_lag_m5, greatest(date_diff('day', "Date", nh), 90) / 90.0::DOUBLE AS seasonal_days_to_next_holiday, greatest(date_diff('day', lh, "Date"), 90) / 90.0::DOUBLE AS seasonal_days_since_last_holiday FROM l""",
-    KEY, ["seasonal_year", "seasonal_month", "seasonal_weekday", "seasonal_week_of_year", "seasonal_week_of_year_lag_m5", "seasonal_days_to_next_holiday", "seasonal_days_since_last_holiday"])
+_HOL = "hol AS (SELECT CAST(y || '-' || md AS DATE) AS h FROM (SELECT unnest(range(1990, 2003)) AS y), (SELECT unnest(['01-01', '05-01', '12-25']) AS md))"
 add("f04_holiday_distance", lambda s, d: B.with_holiday_distance(views.bars(s, d).select("Date").distinct(), _holidays(s)),
     _HOL + """, b AS (SELECT DISTINCT "Date" FROM bars), n AS (SELECT b.*, x.h AS nh FROM b ASOF LEFT JOIN hol x ON b."Date" <= x.h), l AS (SELECT n.*, x.h AS lh FROM n ASOF LEFT JOIN hol x ON n."Date" >= x.h);;
     SELECT "Date", a AS days_to_holiday, z AS days_since_holiday, CASE WHEN a <= z THEN a ELSE -z END AS nearest_holiday, z = 0 AS is_holiday FROM (SELECT *, date_diff('day', "Date", nh) AS a, date_diff('day', lh, "Date") AS z FROM l)""",
     ("Date", "days_to_holiday", "days_since_holiday", "nearest_holiday", "is_holiday"))
-add("b07_seasonal_sequence", lambda s, d: B.seasonal_sequence(views.bars(s, d), _SMALL, holidays=_holidays(s)).select(*KEY, F.col("weekday_seq")[0].alias("first"), F.col("week_seq")[4].alias("week")),
-    'SELECT ticker, "Date", (isodow("Date" - 4) - 1) / 6.0::DOUBLE AS first, (week("Date") - 1) / 52.0::DOUBLE AS week FROM bars', KEY, ["first", "week"])
-_GROUP = f"""r AS (SELECT *, "AdjClose" / nullif({lag('"AdjClose"')}, 0) - 1 AS rp, {full("avg", '"Volume"', 126)} AS w FROM bars),
-i0 AS (SELECT "Date", sum("AdjClose" * w) / nullif(sum(w), 0) AS wi, avg(rp) AS avg_return FROM r GROUP BY 1), i AS (SELECT *, wi / nullif(lag(wi) OVER (ORDER BY "Date") + 1e-6, 0) - 1 AS index_pct FROM i0),
-g AS (SELECT r.*, i.wi, i.avg_return, i.index_pct, cume_dist() OVER (PARTITION BY r."Date" ORDER BY rp NULLS FIRST) AS return_rank, ("Volume" - min("Volume") OVER p) / nullif(max("Volume") OVER p - min("Volume") OVER p, 0) AS volume_level FROM r JOIN i ON r."Date" = i."Date" WINDOW p AS (PARTITION BY r."Date"))"""
-add("b08_group_dynamics", lambda s, d: B.group_dynamics(views.bars(s, d), _SMALL),
-    _GROUP + f';;SELECT *, {lag("return_rank", 5)} AS return_rank_lag_m5, {lag("wi", 1)} / nullif({lag("wi", 43 + 1)} + 1e-6, 0) - 1 AS "index_pct_lag_m1_MH_2" FROM g', KEY, ["return_rank", "volume_level", "avg_return", "index_pct", "return_rank_lag_m5", "index_pct_lag_m1_MH_2"])
-add("b09_group_sequence", lambda s, d: B.group_dynamics_sequence(views.bars(s, d), _SMALL).select(*KEY, F.col("volume_level_seq")[0].alias("first")),
-    _GROUP + f';;SELECT ticker, "Date", {lag("volume_level", 4)} AS first FROM g', KEY, ["first"])
-add("b10_fourier", lambda s, d: B.with_fourier(views.bars(s, d), [1]).select(*KEY, "price_amp_1_MH1", "price_rmse_MH1", "ret_ratio_MH1"))
-add("b11_fourier_sequence", lambda s, d: B.fourier_sequence(views.bars(s, d), _SMALL).select(*KEY, F.size("fourier_rmse_seq").alias("n")))
-add("b12_indicator_block", lambda s, d: B.indicator_block(views.bars(s, d), {"lags": (1,)}).select(*KEY, "FeatureTA_trend_sma_fast", "FeatureTA_momentum_rsi_lag_m1"))
-add("b13_indicator_sequence", lambda s, d: B.indicator_sequence(views.bars(s, d), _SMALL).select(*KEY, F.size("High_seq").alias("n")))
-add("b14_price_volume", lambda s, d: B.price_volume_sequence(views.bars(s, d), _SMALL).select(*KEY, F.col("price_seq")[0].alias("p"), F.col("volume_seq")[4].alias("v")),
-    f"""SELECT ticker, "Date", c / "AdjClose" AS p, CASE WHEN c IS NOT NULL THEN ("Volume" - min("Volume") OVER {last_rows(5)}) / nullif(max("Volume") OVER {last_rows(5)} - min("Volume") OVER {last_rows(5)}, 0) END AS v FROM (SELECT *, {lag('"AdjClose"', 4)} AS c FROM bars)""", KEY, ["p", "v"])
-add("b15_panel", lambda s, d: B.assemble(views.bars(s, d), [W.with_drawdowns(views.bars(s, d), [1])], "1996-01-01", "1996-12-31"))
 
 # -- indicators ----------------------------------------------------------------------
 _TA = lambda s, d: indicators.window_indicators(views.bars(s, d))
-_C, _H, _L, _V = '"Close"', '"High"', '"Low"', '"Volume"'
+_C, _H, _L, _V, _A = '"Close"', '"High"', '"Low"', '"Volume"', '"AdjClose"'
 
 
 def over(agg: str, x: str, n: int) -> str:
@@ -415,8 +375,6 @@ add("t12_dpo", _TA, f"SELECT *, {lag(_C, 11)} - {over('avg', _C, 20)} AS trend_d
 add("t13_kst", _TA, "k AS (SELECT *, " + ", ".join(f"({_C} - {lag(_C, r)}) / nullif({lag(_C, r)}, 0) AS r{r}" for r in (10, 15, 20, 30)) + f" FROM bars);;SELECT *, 100 * ({over('avg', 'r10', 10)} + 2 * {over('avg', 'r15', 10)} + 3 * {over('avg', 'r20', 10)} + 4 * {over('avg', 'r30', 15)}) AS trend_kst FROM k", KEY, ["trend_kst"])
 add("t14_ichimoku", _TA, "SELECT *, " + ", ".join(f"({over('max', _H, n)} + {over('min', _L, n)}) / 2 AS trend_ichimoku_{k}" for k, n in (("conv", 9), ("base", 26), ("b", 52))) + " FROM bars", KEY, ["trend_ichimoku_conv", "trend_ichimoku_base", "trend_ichimoku_b"])
 add("t15_visual_ichimoku", _TA, f"SELECT *, {lag('b', 26)} AS trend_visual_ichimoku_b FROM (SELECT *, ({over('max', _H, 52)} + {over('min', _L, 52)}) / 2 AS b FROM bars)", KEY, ["trend_visual_ichimoku_b"])
-add("t18_cci", lambda s, d: _TA(s, d).select(*KEY, "trend_cci"))
-add("t19_aroon", lambda s, d: _TA(s, d).select(*KEY, "trend_aroon_up", "trend_aroon_down", "trend_aroon_ind"))
 add("t24_ultimate", _TA, _TR + "SELECT *, 100 * (" + " + ".join(f"{k} * {over('sum', 'bp', n)} / nullif({over('sum', 'rg', n)}, 0)" for k, n in ((4, 7), (2, 14), (1, 28))) + ") / 7 AS momentum_uo FROM tr", KEY, ["momentum_uo"])
 add("t25_stochastic", _TA, f"SELECT *, {over('avg', 'momentum_stoch', 3)} AS momentum_stoch_signal FROM (SELECT *, 100 * ({_C} - {over('min', _L, 14)}) / nullif({over('max', _H, 14)} - {over('min', _L, 14)}, 0) AS momentum_stoch FROM bars)", KEY, ["momentum_stoch", "momentum_stoch_signal"])
 add("t26_williams", _TA, f"SELECT *, -100 * ({over('max', _H, 14)} - {_C}) / nullif({over('max', _H, 14)} - {over('min', _L, 14)}, 0) AS momentum_wr FROM bars", KEY, ["momentum_wr"])
@@ -434,7 +392,6 @@ add("t39_mfi", _TA, _CLV.replace(";;", f", m AS (SELECT *, {lag('tp')} AS tp1 FR
 add("t40_nvi", lambda s, d: _TA(s, d).withColumn("log_nvi", F.ln("volume_nvi")), f"SELECT *, ln(1000) + sum(CASE WHEN {_V} < pv THEN ln({_C} / pc) ELSE 0 END) OVER {_RUN} AS log_nvi FROM (SELECT *, {lag(_C)} AS pc, {lag(_V)} AS pv FROM bars)", KEY, ["log_nvi"])
 add("t42_preprocess", lambda s, d: indicators.preprocess(_TA(s, d)).select(*KEY, "trend_dpo", "momentum_roc", "volume_nvi"),
     f"SELECT *, 1 / (1 + exp(-({lag(_C, 11)} - {over('avg', _C, 20)}) / 100)) AS trend_dpo, ({_C} - {lag(_C, 12)}) / nullif({lag(_C, 12)}, 0) AS momentum_roc FROM bars", KEY, ["trend_dpo", "momentum_roc"])
-add("t02_recursive", lambda s, d: indicators.recursive_indicators(views.bars(s, d)))
 
 # -- functions, screens, ledger, gaps ------------------------------------------------
 add("f03_date_fields", lambda s, d: views.bars(s, d).select("Date").distinct().withColumns(X.date_fields("Date")),
@@ -454,57 +411,60 @@ _PANEL = f"""pn AS (SELECT * FROM (SELECT ticker, "Date", "Volume", {lag(_C)} AS
   FROM (SELECT *, {full("max", '"AdjClose"', 21)} AS h, "Open" * ("AdjClose" / "Close") AS ao FROM bars)) WHERE drawdown_1 IS NOT NULL AND target_ratio IS NOT NULL)"""
 add("m04_feature_scores", lambda s, d: screens.feature_scores(_panel(s, d), _FEATS, "target_ratio", 0.9),
     _PANEL + ";;" + " UNION ALL ".join(f"""SELECT '{f}' AS feature, avg(m) AS score FROM (SELECT "Date", coalesce(avg(target_ratio) FILTER ("{f}" > (SELECT quantile_cont("{f}", 0.9) FROM pn)), 0) AS m FROM pn GROUP BY 1)""" for f in _FEATS), ("feature",), ["score"])
-add("m10_quantile_screen", lambda s, d: screens.quantile_screen(_panel(s, d), ["Volume"], "target_ratio", [0.05, 0.95]),
-    _PANEL + ", hits AS (" + " UNION ALL ".join(f"""SELECT 'Volume' AS feature, {q}::DOUBLE AS q, '{t}' AS tail, "Date", target_ratio FROM pn WHERE "Volume" {op} (SELECT quantile_cont("Volume", {q}) FROM pn)""" for q in (0.05, 0.95) for t, op in (("upper", ">="), ("lower", "<=")))
-    + """), per AS (SELECT feature, q, tail, "Date", count(*) AS n, sum(target_ratio) AS s, avg(target_ratio) AS m FROM hits GROUP BY 1, 2, 3, 4), g AS (SELECT *, date_diff('day', lag("Date") OVER (PARTITION BY q, tail ORDER BY "Date"), "Date") AS gap FROM per);;
-    SELECT feature, q, tail, sum(n)::BIGINT AS n, sum(s) / sum(n) AS mean_target, avg(m) AS mean_of_dates, count(*) AS n_dates, max(gap) AS max_gap FROM g GROUP BY 1, 2, 3""", ("feature", "tail", "n", "n_dates", "max_gap"), ["q", "mean_target", "mean_of_dates"])
+_LEVELS = [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
+_HITS = _PANEL + ", hits AS (" + " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, {q}::DOUBLE AS q, '{t}' AS tail, ticker, "Date", target_ratio FROM pn WHERE "{f}" {op} (SELECT quantile_cont("{f}", {q}) FROM pn)"""
+    for f in _FEATS for q in _LEVELS for t, op in (("upper", ">="), ("lower", "<="))) + """), per AS (SELECT feature, q, tail, "Date", count(*) AS n, sum(target_ratio) AS s, avg(target_ratio) AS m FROM hits GROUP BY 1, 2, 3, 4),
+    g AS (SELECT *, date_diff('day', lag("Date") OVER (PARTITION BY feature, q, tail ORDER BY "Date"), "Date") AS gap FROM per), ro AS (SELECT *, avg(target_ratio) OVER h AS r, count(*) OVER h AS k FROM hits WINDOW h AS (PARTITION BY feature, q, tail ORDER BY "Date", ticker ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+    rs AS (SELECT feature, q, tail, avg(r) AS roll_mean, stddev_samp(r) AS roll_std, arg_max(r, {'a': "Date", 'b': ticker}) AS roll_last FROM ro WHERE k = 200 GROUP BY 1, 2, 3),
+    su AS (SELECT feature, q, tail, sum(n)::BIGINT AS n, sum(s) / sum(n) AS mean_target, avg(m) AS mean_of_dates, count(*) AS n_dates, max(gap) AS max_gap FROM g GROUP BY 1, 2, 3),
+    sc AS (SELECT su.*, roll_mean, roll_std, roll_last, CASE WHEN n >= (CASE tail WHEN 'upper' THEN 1 - q ELSE q END) * (SELECT count(*) FROM pn) AND coalesce(max_gap, 0) <= 100 THEN roll_last * CASE WHEN roll_std < 1 THEN 1 - roll_std WHEN roll_std >= 1 THEN 0 END ELSE 0 END AS score
+      FROM su LEFT JOIN rs USING (feature, q, tail));;"""
+_screened = lambda s, d: screens.quantile_screen(_panel(s, d), _FEATS, "target_ratio", _LEVELS)
+add("m10_quantile_screen", _screened, _HITS + "SELECT * FROM sc", ("feature", "tail", "n", "n_dates", "max_gap"), ["q", "mean_target", "mean_of_dates", "roll_mean", "roll_std", "roll_last", "score"])
+add("m10_best_tails", lambda s, d: screens.best_tails(_screened(s, d), _LEVELS[:3]),
+    _HITS + "SELECT feature, q0 AS q, max(score) AS score FROM (SELECT *, round(CASE tail WHEN 'upper' THEN 1 - q ELSE q END, 9) AS q0 FROM sc) WHERE q0 < 0.1 GROUP BY 1, 2", ("feature",), ["q", "score"])
 add("m11_predicates", lambda s, d: screens.predicate_screen(_panel(s, d), {"low": F.col("drawdown_1") < -0.4, "busy": F.col("Volume") > 60, "either": (F.col("drawdown_1") < -0.4) | (F.col("Volume") > 60)}, "target_ratio"),
     _PANEL + ";;" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, avg(target_ratio) AS mean_target FROM pn WHERE {c}" for n, c in (("low", "drawdown_1 < -0.4"), ("busy", '"Volume" > 60'), ("either", 'drawdown_1 < -0.4 OR "Volume" > 60'))), ("name", "n"), ["mean_target"])
-add("m12_minima_grid", lambda s, d: screens.minima_grid(views.bars(s, d), [5, 10], [20, 40]))
 add("m13_mean_by_score", lambda s, d: screens.mean_by_score(_panel(s, d), "drawdown_1", "target_ratio", 0.8, 4),
     _PANEL + ", c AS (SELECT quantile_cont(drawdown_1, 0.8) AS c FROM pn), m AS (SELECT avg(target_ratio) FILTER (drawdown_1 >= c) AS above, avg(target_ratio) FILTER (drawdown_1 < c) AS below FROM pn, c);;SELECT above, below, pow(above, 0.25) AS above_root, pow(below, 0.25) AS below_root FROM m", (), ["above", "below", "above_root", "below_root"])
-add("m07_matching_weights", lambda s, d: screens.matching_weights(_panel(s, d).where("year(Date) < 1997"), _panel(s, d).where("year(Date) = 1997"), ["Volume", "drawdown_1"], "ticker", 5).groupBy().agg(F.count("*").alias("n"), F.avg("weight").alias("mean_weight")))
-add("m09_leaves", lambda s, d: learning.tree_leaves(_panel(s, d), _FEATS, "target_ratio", 3))
-add("m01_trees", lambda s, d: learning.rmse(learning.predict(learning.fit_trees(_panel(s, d), _FEATS, "target_ratio", rounds=3, depth=3), _panel(s, d), _FEATS), "prediction_ratio", "target_ratio"))
-
-
-def _projection(s: SparkSession, d: str) -> DataFrame:
-    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
-    return learning.RandomProjection(64, 96).fit(e, "embedding", "label").predict(e, "embedding").select("vec_id", "label", "predicted")
-
-
-add("m08_random_projection", _projection)
-add("m14_backtest", lambda s, d: learning.analyse(learning.backtest(_panel(s, d), _FEATS, "target_ratio", learning.cutoffs("1998-06-01", 2, 60, 0), 20, 5, lambda t, f, y: learning.fit_trees(t, f, y, rounds=2, depth=2), 400)))
 
 
 def _trades(s: SparkSession, d: str) -> DataFrame:
-    t = s.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey <= 5")
+    t = s.read.parquet(f"{d}/lineitem.parquet")
     return t.select(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("Date"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
 
 
-_TRADES = "t AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS \"Date\", CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, l_extendedprice / l_quantity AS price FROM lineitem WHERE l_suppkey <= 5)"
+_TRADES = "t AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS \"Date\", CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, l_extendedprice / l_quantity AS price FROM lineitem)"
 _POS = """, ps AS (SELECT ticker, "Date", sum(sum(quantity)) OVER (PARTITION BY ticker ORDER BY "Date") AS q FROM t GROUP BY 1, 2)"""
 _CASH = """, ch AS (SELECT "Date", 1e6::DOUBLE + sum(sum(-quantity * price - 0.002::DOUBLE * abs(quantity * price))) OVER (ORDER BY "Date") AS cash FROM t GROUP BY 1)"""
 add("l01_positions", lambda s, d: ledger.positions(_trades(s, d)), _TRADES + _POS + ';;SELECT ticker, "Date", CASE WHEN q < 1e-5 THEN 0.0 ELSE q END AS quantity, q < -1e-9 AS oversold FROM ps', (*KEY, "oversold"), ["quantity"], ctes=())
-add("l02_cash", lambda s, d: ledger.cash(_trades(s, d), 1e6), _TRADES + _CASH + ';;SELECT *, cash < 0 AS overdrawn FROM ch', ("Date", "overdrawn"), ["cash"], ctes=(), digits=2)
-add("l03_value", lambda s, d: ledger.value(_trades(s, d), views.bars(s, d), 1e6),
-    _TRADES + _POS + _CASH + """, dd AS (SELECT DISTINCT "Date" FROM bars), m AS (SELECT dd."Date", ch.cash FROM dd ASOF JOIN ch ON dd."Date" >= ch."Date"), h AS (SELECT g."Date", g.ticker, CASE WHEN ps.q < 1e-5 THEN 0 ELSE ps.q END AS q FROM (SELECT dd."Date", ticker FROM dd, (SELECT DISTINCT ticker FROM t)) g ASOF LEFT JOIN ps ON g.ticker = ps.ticker AND g."Date" >= ps."Date"),
-    w AS (SELECT h."Date", sum(coalesce(q, 0) * coalesce(b."Close", 0)) AS holdings FROM h LEFT JOIN bars b ON h.ticker = b.ticker AND h."Date" = b."Date" GROUP BY 1);;SELECT m."Date", cash, holdings, cash + holdings AS value FROM m JOIN w ON m."Date" = w."Date" """, ("Date",), ["cash", "holdings", "value"], digits=2)
+
+
+
+def _millions(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c) / 1e6 for c in columns})
+
+
+add("l02_cash", lambda s, d: _millions(ledger.cash(_trades(s, d), 1e6), "cash"), _TRADES + _CASH + ';;SELECT * REPLACE (cash / 1e6 AS cash), cash < 0 AS overdrawn FROM ch', ("Date", "overdrawn"), ["cash"], ctes=(), digits=4)
+add("l03_value", lambda s, d: _millions(ledger.value(_trades(s, d), views.bars(s, d), 1e6), "cash", "holdings", "value"),
+    _TRADES + _POS + _CASH + """, dd AS (SELECT DISTINCT "Date" FROM bars), m AS (SELECT dd."Date", ch.cash FROM dd ASOF JOIN ch ON dd."Date" >= ch."Date"), w AS (SELECT b."Date", sum(CASE WHEN ps.q < 1e-5 THEN 0 ELSE coalesce(ps.q, 0) END * b."Close") AS holdings FROM bars b ASOF LEFT JOIN ps ON b.ticker = ps.ticker AND b."Date" >= ps."Date" GROUP BY 1);;
+    SELECT m."Date", cash / 1e6 AS cash, holdings / 1e6 AS holdings, (cash + holdings) / 1e6 AS value FROM m JOIN w ON m."Date" = w."Date" """, ("Date",), ["cash", "holdings", "value"], digits=4)
 add("x01_fill_business_days", lambda s, d: gaps.fill_business_days(views.ticks(s, d), noise=False),
     """s AS (SELECT ticker, CAST(unnest(generate_series(min("Date"), max("Date"), INTERVAL 1 DAY)) AS DATE) AS "Date" FROM ticks GROUP BY 1), j AS (SELECT s.*, price FROM s LEFT JOIN ticks USING (ticker, "Date") WHERE isodow(s."Date") < 6),
     k AS (SELECT *, last_value(price IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY "Date" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, first_value(price IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY "Date" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM j);;
     SELECT ticker, "Date", price IS NULL AS filled, coalesce(price, (p + n) / 2, p, n, 0) AS price FROM k""", (*KEY, "filled"), ["price"], ctes=("ticks",))
 
 # -- sources -------------------------------------------------------------------------
-add("s02_read_bars", lambda s, d: vendor.read_bars(views.bars(s, d).where("ticker = '1'").select("ticker", F.date_format("Date", "yyyy-MM-dd").alias("date"), *[F.col(v).cast("string").alias(k) for k, v in list(vendor.BAR_NAMES.items())[1:]])), "SELECT * FROM bars WHERE ticker = '1'", KEY, ["Open", "Close", "Volume"])
+add("s02_read_bars", lambda s, d: vendor.read_bars(views.bars(s, d).select("ticker", F.date_format("Date", "yyyy-MM-dd").alias("date"), *[F.col(v).cast("string").alias(k) for k, v in list(vendor.BAR_NAMES.items())[1:]])), "SELECT * FROM bars", KEY, ["Open", "Close", "Volume"])
 add("s03_overview", lambda s, d: vendor.read_overview(views.asset(s, d).select(F.col("ticker").alias("Symbol"), F.element_at(F.array(*[F.lit(x) for x in [*vendor.SECTOR_NAMES, "?"]]), F.col("ticker").cast("int") % 9 + 1).alias("Sector"))).select("ticker", "sector"),
     "SELECT ticker, [" + ", ".join(f"'{v}'" for v in vendor.SECTOR_NAMES.values()) + ", NULL][ticker::INT % 9 + 1] AS sector FROM asset", ("ticker", "sector"), ctes=("asset",))
 add("s04_symbols", lambda s, d: vendor.symbol_list(s.read.parquet(f"{d}/customer.parquet").groupBy(F.element_at(F.array(*[F.lit(x) for x in ("nyse", "Nasdaq", "AMEX", "SIX", "other")]), F.col("c_nationkey") % 5 + 1).alias("stockExchange")).agg(F.collect_list("c_name").alias("stocks")), True),
     "SELECT DISTINCT CASE c_nationkey % 5 WHEN 3 THEN CASE WHEN lower(c_name) LIKE 'ch%' OR lower(c_name) LIKE '%.sw' THEN c_name ELSE c_name || '.SW' END ELSE c_name END AS ticker FROM customer WHERE c_nationkey % 5 <> 4", ("ticker",), ctes=())
 add("s11_typed", lambda s, d: schemas.typed(views.bars(s, d).select("ticker", F.when(F.col("Volume") % 4 == 0, "no date").otherwise(F.date_format("Date", "yyyy-MM-dd")).alias("Date"), "Close"), ["Date"]), 'SELECT ticker, CASE WHEN "Volume" % 4 <> 0 THEN "Date" END AS "Date", "Close" FROM bars', KEY, ["Close"])
 add("s13_pack_unpack", lambda s, d: stores.unpack(stores.pack(views.bars(s, d))), "SELECT * FROM bars", KEY, ["Close", "Volume"])
-add("s14_meta_prices", lambda s, d: J.attach(J.grid(views.bars(s, d).where("Date between '1996-01-01' and '1996-03-31'"), views.bars(s, d)), views.bars(s, d), KEY, ["Close", "Open"]),
-    """SELECT ticker, "Date", b."Close", b."Open" FROM (SELECT * FROM (SELECT DISTINCT "Date" FROM bars WHERE "Date" BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'), (SELECT DISTINCT ticker FROM bars)) LEFT JOIN bars b USING (ticker, "Date")""", KEY, ["Close", "Open"])
+add("s14_meta_prices", lambda s, d: J.attach(J.grid(views.bars(s, d), views.bars(s, d)), views.bars(s, d), KEY, ["Close", "Open"]),
+    """SELECT ticker, "Date", b."Close", b."Open" FROM (SELECT * FROM (SELECT DISTINCT "Date" FROM bars), (SELECT DISTINCT ticker FROM bars)) LEFT JOIN bars b USING (ticker, "Date")""", KEY, ["Close", "Open"])
 
 
 # -- flagship ------------------------------------------------------------------------
@@ -537,20 +497,10 @@ add("f09_valuation", lambda s, d: B.price_metrics(views.bars(s, d), views.fin_q(
 add("f10_trading_cost", lambda s, d: views.bars(s, d).select(*KEY, X.trading_cost(F.col("Close") * F.col("Volume")).alias("cost")), 'SELECT ticker, "Date", "Close" * "Volume" * 0.002::DOUBLE AS cost FROM bars', KEY, ["cost"], digits=4)
 add("j06_combine_statements", lambda s, d: J.merge_new_over_old(views.fin_q(s, d), views.fin_q(s, d).where("ticker < '5'").withColumn("ebit", F.when(F.col("reportTime") == "pre-market", F.col("ebit") * 2)), ["ticker", "fiscalDateEnding"], ["ebit", "totalAssets"]),
     """SELECT ticker, "fiscalDateEnding", CASE WHEN ticker < '5' AND "reportTime" = 'pre-market' THEN ebit * 2 ELSE ebit END AS ebit, "totalAssets" FROM fin_q""", ("ticker", "fiscalDateEnding"), ["ebit", "totalAssets"], ctes=("fin_q",), digits=3)
-add("j07_realised", lambda s, d: J.attach(predictions(s, d).where("Date < '1996-01-01'").select(*KEY, "prediction_ratio"), W.with_targets(views.bars(s, d), 5), KEY, ["target_ratio"]),
-    _PRED + """;;SELECT ticker, "Date", prediction_ratio, target_ratio FROM pred WHERE "Date" < DATE '1996-01-01'""", KEY, ["prediction_ratio", "target_ratio"])
+add("j07_realised", lambda s, d: J.attach(predictions(s, d).select(*KEY, "prediction_ratio"), W.with_targets(views.bars(s, d), 5), KEY, ["target_ratio"]),
+    _PRED + ';;SELECT ticker, "Date", prediction_ratio, target_ratio FROM pred', KEY, ["prediction_ratio", "target_ratio"])
 add("k05_best_rerun", lambda s, d: learning.best_rerun(views.bars(s, d).select(F.col("ticker").alias("cutoff"), F.year("Date").alias("rerun"), F.col("Volume").alias("score")).groupBy("cutoff", "rerun").agg(F.sum("score").alias("score")), "score"),
     """SELECT cutoff, rerun, score FROM (SELECT ticker AS cutoff, year("Date") AS rerun, sum("Volume") AS score FROM bars GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cutoff ORDER BY score DESC, rerun) = 1""", ("cutoff", "rerun"), ["score"])
 add("u01_union_years", lambda s, d: views.bars(s, d).where(F.year("Date") == 1995).unionByName(views.bars(s, d).where(F.year("Date") == 1996)), 'SELECT * FROM bars WHERE year("Date") IN (1995, 1996)', KEY, ["Close"])
-add("u05_new_keys", lambda s, d: _old_new(s, d)[1].select("Date").exceptAll(_old_new(s, d)[0].select("Date")).distinct(), 'SELECT DISTINCT "Date" FROM bars WHERE year("Date") >= 1998', ("Date",))
+add("u05_new_keys", lambda s, d: J.new_keys(*_old_new(s, d)[::-1], ["Date"]), 'SELECT DISTINCT "Date" FROM bars WHERE year("Date") >= 1998', ("Date",))
 add("p02_exact_date", lambda s, d: J.attach(views.ticks(s, d).select("Date").distinct().join(views.asset(s, d).select("ticker")), views.bars(s, d), KEY, ["Close"]), 'SELECT ticker, "Date", "Close" FROM (SELECT * FROM (SELECT DISTINCT "Date" FROM ticks), (SELECT ticker FROM asset)) LEFT JOIN bars USING (ticker, "Date")', KEY, ["Close"], ctes=("bars", "ticks", "asset"))
-add("m03_importances", lambda s, d: learning.importances(s, learning.fit_trees(_panel(s, d), _FEATS, "target_ratio", rounds=3, depth=3), _FEATS, 2))
-
-
-def _screen(s: SparkSession, d: str) -> DataFrame:
-    panel = P.min_max_scale(_panel(s, d), _FEATS)
-    weights = screens.reduce_screen(panel, _FEATS, "target_ratio", iterations=2, ratio=0.7, epochs=2)
-    return screens.hard_mask(panel, panel, weights, 0.9)[0].select(*KEY, "score")
-
-
-add("m06_linear_screen", _screen)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 FILE_PATTERN = r"output_prediction_[A-Za-z]+_(.+)_(\d{2}[A-Za-z]{3}\d{2})_(\d{4})(__completed)?\.parquet"
 
@@ -94,11 +93,18 @@ def read_tolerant(spark: SparkSession, paths: Sequence[str], schema: str) -> Dat
     return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(*paths)
 
 
+def in_order(df: DataFrame, order: Sequence[str] = ("date", "ticker")) -> DataFrame:
+    """K1: the order of written results, by those of the columns that there are (in any case)."""
+    have = {c.lower(): c for c in df.columns}
+    keys = [have[c.lower()] for c in order if c.lower() in have]
+    return df.orderBy(*keys) if keys else df
+
+
 def write_result(df: DataFrame, path: str, complete: str | None = None) -> bool:
-    """Write unless it is there already, or (``complete``) any value of that column is NULL."""
+    """Write in order unless it is there already, or (``complete``) any value of that column is NULL."""
     if _exists(df.sparkSession, path) or (complete and df.where(F.col(complete).isNull()).limit(1).count()):
         return False
-    df.write.parquet(path)
+    in_order(df).write.parquet(path)
     return True
 
 
@@ -117,10 +123,7 @@ def complete_outputs(spark: SparkSession, folder: str, bars: DataFrame, ahead: i
     """Attach realised targets to raw results of a group, write those without a NULL, list the written."""
     from ..operators.windows import with_targets
 
-    try:
-        files = discover_outputs(spark, folder).where(F.col("group") == group).collect()
-    except AnalysisException:
-        return []
+    files = discover_outputs(spark, folder).where(F.col("group") == group).collect()  # names only
     done = {r.path.replace("__completed", "") for r in files if r.completed}
     targets = with_targets(bars, ahead).select("ticker", F.col("Date").alias("date"), "target_ratio")
     out = []

@@ -10,13 +10,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar per supplier and ship date; the price of a line is its unit price."""
+def _lines(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Order lines with their ``ticker``: the supplier, or the brand of the part (fewer and longer histories)."""
+    lines = _table(spark, sf_dir, "lineitem")
+    if key == "brand":
+        parts = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+        return lines.join(parts, lines.l_partkey == parts.p_partkey)
+    return lines.withColumn("ticker", F.col("l_suppkey").cast("string"))
+
+
+def bars(spark: SparkSession, sf_dir: str, key: str = "supplier") -> DataFrame:
+    """One bar per supplier (or brand) and ship date; the price of a line is its unit price."""
     k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     p = F.col("l_extendedprice") / F.col("l_quantity")
     return (
-        _table(spark, sf_dir, "lineitem")
-        .select(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("Date"), k.alias("k"),
+        _lines(spark, sf_dir, key)
+        .select("ticker", F.to_date("l_shipdate").alias("Date"), k.alias("k"),
                 p.alias("p"), (p * (1 - F.col("l_discount"))).alias("adj"), F.col("l_quantity").alias("q"))
         .groupBy("ticker", "Date")
         .agg(F.min_by("p", "k").alias("Open"), F.max("p").alias("High"), F.min("p").alias("Low"),
@@ -25,23 +34,23 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _statement(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
-    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
+def _statement(spark: SparkSession, sf_dir: str, unit: str, key: str = "supplier") -> DataFrame:
+    lines, orders = _lines(spark, sf_dir, key), _table(spark, sf_dir, "orders")
     end = F.date_sub(F.add_months(F.trunc("o_orderdate", unit), 3 if unit == "quarter" else 12).cast("date"), 1)
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .groupBy(F.col("l_suppkey").cast("string").alias("ticker"), end.alias("fiscalDateEnding"))
+        .groupBy("ticker", end.alias("fiscalDateEnding"))
         .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).cast("double").alias("totalRevenue"),
              F.sum(net.cast("decimal(18,4)")).cast("double").alias("grossProfit"),
              F.sum("l_quantity").alias("commonStockSharesOutstanding"), F.count("*").alias("n"))
     )
 
 
-def fin_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fin_q(spark: SparkSession, sf_dir: str, key: str = "supplier") -> DataFrame:
     """Quarterly statements, reported 30 days after the quarter's end."""
     r, g, n = F.col("totalRevenue"), F.col("grossProfit"), F.col("n")
-    return _statement(spark, sf_dir, "quarter").select(
+    return _statement(spark, sf_dir, "quarter", key).select(
         "ticker", "fiscalDateEnding", F.date_add("fiscalDateEnding", 30).alias("reportedDate"),
         F.when(n % 3 == 0, "pre-market").when(n % 3 == 1, "post-market").alias("reportTime"),
         ((g - 0.9 * r) / (1000 * n)).alias("reportedEPS"), ((g - 0.91 * r) / (1000 * n)).alias("estimatedEPS"),
@@ -101,3 +110,9 @@ ASSET_SQL = """asset AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, s_name AS
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 TICKS_SQL = """ticks AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS "Date",
   arg_max(value, {'a': ts, 'b': event_id}) AS price FROM events GROUP BY 1, 2)"""
+
+
+def by_brand(sql: str) -> str:
+    """The same expression over brands instead of suppliers."""
+    lines = "FROM lineitem JOIN part ON l_partkey = p_partkey"
+    return sql.replace("CAST(l_suppkey AS VARCHAR)", "p_brand").replace("FROM lineitem", lines)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import merge_bars
+from ..scratch import materialize
 from ..sources.schemas import SCHEMAS
 from ..sources.stores import AssetStore, _exists
 
@@ -24,9 +25,7 @@ def upsert_bars(spark: SparkSession, incoming: str, store: AssetStore, checkpoin
             merged = merge_bars(old, new)
         else:
             merged = new
-        staged = f"{checkpoint}/staged"
-        merged.write.mode("overwrite").parquet(staged)  # the store can't be read and replaced at once
-        store.save(spark.read.parquet(staged), "bars")
+        store.save(materialize(merged), "bars")  # the store can't be read and replaced at once
 
     stream = spark.readStream.schema(SCHEMAS["bars"]).parquet(incoming)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

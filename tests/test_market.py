@@ -132,11 +132,11 @@ def test_fourier_kernels(spark):
     cos, sin = fourier.coefficients(series)
     assert cos[:4, 0] == pytest.approx([1.5, 2, 0, 0], abs=1e-9) and sin[2, 0] == pytest.approx(-3, abs=1e-9)
     assert sin[1, 1] == pytest.approx(1, abs=1e-9) and cos[3, 1] == pytest.approx(0.5, abs=1e-9)
-    x = np.sin(np.arange(22) / 3)
+    x = np.sin(np.arange(40) / 3)
     c, s, residual = fourier.kernels(22)
-    df = spark.createDataFrame([(x.tolist(),)], "v array<double>")
-    got = df.select(fourier.dot(F.col("v"), s[1]).alias("a"), fourier.quadratic_form(F.col("v"), residual[-1]).alias("b")).first()
-    assert got.a == pytest.approx(s[1] @ x) and got.b == pytest.approx(np.sqrt(np.mean((residual[-1] @ x) ** 2)))
+    got = fourier.window_features(x, 22)
+    assert np.isnan(got[:21]).all() and got[30, 4] == pytest.approx(np.hypot(c[1] @ x[9:31], s[1] @ x[9:31]))
+    assert got[30, -2] == pytest.approx(np.sqrt(np.mean((residual[-1] @ x[9:31]) ** 2)))
     assert np.abs(residual[-1] @ np.linspace(1, 5, 22)).max() < 1e-9
 
 

@@ -11,7 +11,9 @@ import __spark_entry__ as entry
 
 NAMES = ["entry_top_tickers", "w03_differences", "w09_forward_fill", "w11_targets", "w22_band_smooth", "j01_asof", "j02_asof_after_days", "j04_merge_bars", "j12_between",
          "a01_coalesce_gaps", "a11_run_summary", "a13_run_quantiles", "a16_class_rates", "a24_weighted_quantiles", "a29_first_point_line", "p14_stretch", "g05_groups",
-         "b02_financial", "b06_seasonal", "b08_group_dynamics", "t04_bollinger", "t39_mfi", "m10_quantile_screen", "l03_value", "x01_fill_business_days", "s04_symbols"]
+         "b02_financial", "b06_seasonal", "b08_group_dynamics", "t04_bollinger", "t39_mfi", "m10_quantile_screen", "l03_value", "x01_fill_business_days", "s04_symbols",
+         "t02_recursive", "t19_aroon", "b04_mathematical", "b10_fourier_month", "m07_matching_weights", "m10_best_tails", "st1_upsert_bars", "s08_discover_outputs", "s01_read_statements",
+         "a28_cubic_fit", "a20_days_per_year", "u02_resplit"]
 
 
 def cell(v):
