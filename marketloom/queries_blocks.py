@@ -80,7 +80,7 @@ def _financial(s: SparkSession, d: str) -> DataFrame:
     for tag, columns, lags in (("q", B.QUARTER_LAGS, QUARTERS), ("a", B.ANNUAL_LAGS, YEARS)):
         for c in columns:
             new |= {f"{tag}_{c}_quots": digest([f"{tag}_{c}_lagquot_{tag}m{n}" for n in lags]), f"{tag}_{c}_nivs": digest([f"{tag}_{c}_nivRevLag_{tag}m{n}" for n in lags])}
-    return df.withColumns(new)
+    return df.withColumns(new).withColumn("q_reportTime", F.col("q_reportTime").cast("double"))
 
 
 FINANCIAL = [*OWN, *[f"{c}_lags" for c in PE], *[f"{c}_quots" for c in PE], "q_niv", "a_niv", "q_totalRevenue_RANK", "a_totalRevenue_RANK", "q_surprisePercentage", "q_reportTime",
