@@ -10,9 +10,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import slices
+from ._names import Named
 
 #: Samples of a frame and of a payload's unit; frames between two seek points.
 BLOCK, SEEK_EVERY = 192, 64
@@ -485,8 +487,8 @@ def encode_flac(docs: DataFrame, text_col: str = "text", media_col: str = "media
     smallest of a constant, verbatim, fixed-order or linear-predictor subframe is
     stored for each frame.  Rows are independent; equal texts get equal bytes.
     """
-    docs = docs.drop(media_col)
-    columns = docs.columns
+    named = Named(docs, [media_col])
+    text_col, columns = named.plain(text_col), named.kept
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -494,9 +496,10 @@ def encode_flac(docs: DataFrame, text_col: str = "text", media_col: str = "media
             for a, b in slices(raw):
                 piece = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(c) for c in columns), pa.array(encode(raw[a:b]), pa.binary())], names=[*columns, media_col])
+                    [*(piece.column(c) for c in columns), pa.array(encode(raw[a:b]), pa.binary())], names=[*columns, "flac"])
 
-    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField(media_col, T.BinaryType())]))
+    coded = named.df.mapInArrow(apply, T.StructType([*named.fields(), T.StructField("flac", T.BinaryType())]))
+    return named.back(coded, F.col("flac").alias(media_col))
 
 
 def decode_flac(docs: DataFrame, media_col: str = "media", block: int = BLOCK * SEEK_EVERY) -> DataFrame:
@@ -508,7 +511,8 @@ def decode_flac(docs: DataFrame, media_col: str = "media", block: int = BLOCK *
     row without samples.  A null stream gives no row.
     """
     added = ["block_no", "sample_offset", "n_samples", "bits", "pcm", "error"]
-    columns = [c for c in docs.columns if c != media_col and c not in added]
+    named = Named(docs, [*added, media_col])
+    media_col, columns = named.plain(media_col), named.kept
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -531,10 +535,9 @@ def decode_flac(docs: DataFrame, media_col: str = "media", block: int = BLOCK *
                         (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string()))],
                     names=[*columns, *added])
 
-    schema = T.StructType([f for f in docs.schema.fields if f.name in columns]
-                          + [T.StructField(c, t) for c, t in zip(added, (
-                              T.LongType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.StringType()), strict=True)])
-    return docs.mapInArrow(apply, schema)
+    schema = T.StructType(named.fields() + [T.StructField(c, t) for c, t in zip(added, (
+        T.LongType(), T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType(), T.StringType()), strict=True)])
+    return named.back(named.df.mapInArrow(apply, schema), *added)
 
 
 def store_and_read(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -547,8 +550,9 @@ def store_and_read(docs: DataFrame, text_col: str = "text") -> DataFrame:
     equal values; texts are coded whole.  Columns with the names of added ones are replaced.
     """
     added = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    docs = docs.drop(*added)
-    columns = [c for c in docs.columns if c != text_col]
+    named = Named(docs, added)
+    text_col = named.plain(text_col)
+    columns = named.kept = [c for c in named.kept if c != text_col]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -571,6 +575,5 @@ def store_and_read(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     names=[*columns, *added])
 
     kinds = (T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
-    schema = T.StructType([f for f in docs.schema.fields if f.name in columns]
-                          + [T.StructField(c, t) for c, t in zip(added, kinds, strict=True)])
-    return docs.mapInArrow(apply, schema)
+    schema = T.StructType(named.fields() + [T.StructField(c, t) for c, t in zip(added, kinds, strict=True)])
+    return named.back(named.df.mapInArrow(apply, schema), *added)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._names import Named
 from ._scratch import materialize
 
 #: N-grams of a profile, labelled documents used at most a language.
@@ -152,11 +153,12 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     The language with the least out-of-place distance, of equals the first by code
     point; ``score`` is the margin to the next one, from 0 to 1 (1 if there is no other).
     ``und`` with score 0 if the text is null or has no letter, or no language was
-    learned.  Texts are read whole.  Repeated rows get equal values.  Columns of ``docs``
-    with the names of added ones are replaced.
+    learned.  Texts are read whole.  Repeated rows get equal values.  Columns may have
+    any names; those with the names of added ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
-    columns, sent = docs.columns, docs.sparkSession.sparkContext.broadcast(profiles)
+    named = Named(docs, ["lang_pred", "score"])
+    text_col, columns = named.plain(text_col), named.kept
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -181,6 +183,5 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
                 [*(batch.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*columns, "lang_pred", "score"])
 
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]
-                          + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(apply, schema)
+    schema = T.StructType(named.fields() + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return named.back(named.df.mapInArrow(apply, schema), "lang_pred", "score")

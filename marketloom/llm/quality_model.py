@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import GOLDEN, IS_WORD, Words, mix64, slices
+from ._names import Named
 
 #: Weights, labelled documents used at most, passes over them.
 BUCKETS, MAX_TRAINING_DOCS, EPOCHS = 1 << 18, 4000, 3
@@ -147,11 +148,12 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", cut: flo
 
     Each text is scored whole, as a sparse dot product of its n-gram shares and the
     broadcast weights (1 MB, whatever the input).  Null and empty texts get the score of
-    the bias alone.  Repeated rows get equal scores.  Columns of ``docs`` with the names
-    of added ones are replaced.
+    the bias alone.  Repeated rows get equal scores.  Columns may have any names; those with
+    the names of added ones are replaced.
     """
-    docs = docs.drop("score", "predicted")
-    columns, sent = docs.columns, docs.sparkSession.sparkContext.broadcast(weights)
+    named = Named(docs, ["score", "predicted"])
+    text_col, columns = named.plain(text_col), named.kept
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
@@ -168,6 +170,5 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", cut: flo
                 [*(batch.column(c) for c in columns), pa.array(value, pa.float64()),
                  pa.array((value >= cut).astype(np.int32), pa.int32())], names=[*columns, "score", "predicted"])
 
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]
-                          + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(apply, schema)
+    schema = T.StructType(named.fields() + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return named.back(named.df.mapInArrow(apply, schema), "score", "predicted")

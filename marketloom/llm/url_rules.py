@@ -8,6 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._names import Named
+
 #: Fixed values: (verdict, host, path) of the base rules.
 BASE_RULES = (
     ("block", "com", "/en/"),
@@ -76,12 +78,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     Equal URLs are judged once.  A null URL, or one without ``://``, has empty host and
     path and is allowed unless a rule fits them.  Repeated rows get equal values, an
-    empty table stays empty.  Columns of ``pages`` with the names of added ones are
-    replaced.
+    empty table stays empty.  Columns may have any names; those with the names
+    of added ones are replaced.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "_key", "_host", "_path")
-    columns = pages.columns
-    url = F.coalesce(F.col(url_col), F.lit(""))
+    named = Named(pages, ["host", "path", "rule", "verdict"])
+    pages, url = named.df, F.coalesce(F.col(named.plain(url_col)), F.lit(""))
     urls = pages.select(url.alias("_url")).distinct()
     urls = urls.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
     line = F.concat("_host", "_path")
@@ -109,8 +110,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         F.col("_url").alias("_key"), "_host", "_path", F.when(F.col("w.level") == 0, F.col("w.rule")).alias("rule"),
         F.coalesce("w.verdict", F.lit("allow")).alias("verdict"))
     out = pages.join(verdicts, url == F.col("_key"))
-    return out.select(*[F.col(f"`{c}`") for c in columns], F.col("_host").alias("host"),
-                      F.col("_path").alias("path"), "rule", "verdict")
+    return named.back(out, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", "verdict")
 
 
 def base_rules(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = BASE_RULES) -> DataFrame:
