@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._bytes import ranges, text_sizes
+from ._names import Named
 
 # The base kinds, in their order.
 BASE_KINDS = ("assign", "access", "hex")
@@ -62,6 +63,8 @@ ADDED: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[str], bool] | None
     "card": (("card: ", "card number: ", "card="), re.compile(r"(?:card: |card number: |card=)[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", re.I | re.A), luhn),
     "iban": (("iban: ", "iban="), re.compile(r"(?:IBAN: |IBAN=)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), lambda s: iban(s[5:].strip())),
 }
+#: A segment of a web token: whatever fails at its start, fails at every later place in it.
+SEGMENT = re.compile(r"[A-Za-z0-9_-]*")
 KINDS = (*BASE_KINDS, *ADDED)
 
 
@@ -86,7 +89,8 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
 
     One pass of the automaton over the text, A-Z lower-cased, finds keywords; a kind's
     pattern is only tried where one of its keywords starts, from the end of its last
-    match on.  Runs of hex digits have no keyword and are searched as such.
+    match on; where a token failed, not again inside its first segment, which would
+    fail alike.  So the work grows with the text only.  Runs of hex digits have no keyword and are searched as such.
     """
     if not text:
         return []
@@ -106,6 +110,8 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
                     continue
                 if check is None or check(m[0]):
                     found.append((start, end, kind))
+            elif start >= end and kind == "jwt":
+                end = SEGMENT.match(text, start).end()
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -135,12 +141,12 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", replace: bool = False,
     comma-joined; ``base_sha256`` is the SHA-256 of the same over the base kinds.  With
     ``replace`` the text is given back with its secrets replaced.  Null text counts as
     empty and stays null: no spans, the digest of the empty string.  Texts are scanned
-    whole, whatever their length; repeated rows get equal values.  Columns of ``docs``
-    with the names of added ones are replaced.
+    whole, whatever their length; repeated rows get equal values.  Columns may
+    have any names; those with the names of added ones are replaced.
     """
     added = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    docs = docs.drop(*added)
-    columns = docs.columns if carry is None else list(carry)
+    named = Named(docs, added, carry)
+    text_col, columns = named.plain(text_col), named.kept
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(x, y - x) for b in batches for x, y in ranges(text_sizes(b.column(text_col)))):
@@ -159,7 +165,6 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", replace: bool = False,
             arrays += [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *added])
 
-    schema = T.StructType([T.StructField(c, docs.schema[c].dataType, True) for c in columns]
-                          + [T.StructField(c, T.LongType()) for c in added[:3]]
+    schema = T.StructType(named.fields() + [T.StructField(c, T.LongType()) for c in added[:3]]
                           + [T.StructField(c, T.StringType()) for c in added[3:]])
-    return docs.mapInArrow(scan, schema)
+    return named.back(named.df.select(*dict.fromkeys([*columns, text_col])).mapInArrow(scan, schema), *added)
