@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and small tables of a checked size."""
 
 from __future__ import annotations
 
@@ -7,16 +7,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a local session, as in tests) a temporary
-    folder of this machine is used.
+    Only in a local session without that setting (as in tests) a temporary folder of
+    this machine is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_base()
     path = f"{base.rstrip('/')}/marketloom-{spark.sparkContext.applicationId}"
     if path not in _folders:
@@ -44,6 +47,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of a few numbers per row is broadcast (some 10 MB).
+MOST_BROADCAST = 100_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A table of few rows, written once and counted: up to ``most`` rows it is broadcast
+    where it is joined, a larger one is joined by a shuffle, which adaptive execution
+    splits where a key is hot."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def remove_all(spark: SparkSession, path: str | None = None) -> None:
     """Delete this application's intermediate tables."""
     path = path or folder(spark)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._names import Named
+from ._scratch import materialize, small
+
 #: Weights of the sources in order, repeating, and the most repetitions.
 WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
 #: Seeds tried for each source: slices of eight hex digits of the document's SHA-256.
@@ -44,56 +47,66 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     return out.select("source", "source_size", "weight", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
-    """Adds size, source_size, target, copies and taken to ``docs``.
-
-    The repetition rate of a source is target / size.  A document is taken
-    ``floor(rate)`` times, and once more if the number in a slice of its id's SHA-256
-    is below the rate's fraction.  Which slice is the seed of its source: the one whose
-    sum over the source comes nearest to the target, the first of equals, so that
-    sources with few documents meet their targets too.  Nothing depends on partitions
-    or order, so reruns agree.
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], cap: int,
+             carry: Sequence[str] | None) -> tuple[Named, DataFrame]:
+    """Documents under plain names, with ``_size`` (if they are given whole, null), the
+    numbers of their source and ``_copies``.
 
-    Null text has size 0 and is taken as its source's rate says, with no words.  Null
-    sources are one source, the last.  A source without words has target 0 and no
-    copies.  Repeated rows are taken alike; a null id counts as an empty string.  An
-    empty table stays empty.  Columns of ``docs`` with the names of added ones, or
-    beginning with ``_``, are replaced.
+    Sizes and hashes are written once, without texts.  What follows needs one row a
+    source: a table that is broadcast, so no text is shuffled.
     """
-    added = ["size", "source_size", "target", "copies", "taken"]
-    docs = docs.drop(*[c for c in added if c not in (id_col, source_col)],
-                     *[c for c in docs.columns if c.startswith("_") and c not in (id_col, text_col, source_col)])
-    columns = docs.columns
-    sized = docs.withColumns({
-        "_src": F.col(source_col), "_size": document_size(F.col(text_col)),
-        "_hex": F.sha2(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 256)})
+    named = Named(docs, ["size", "source_size", "target", "copies", "taken"], carry)
+    i, text, source = (named.plain(c) for c in (id_col, text_col, source_col))
+    hashed = F.sha2(F.coalesce(F.col(i).cast("string"), F.lit("")), 256).alias("_hex")
+    brief = named.kept if carry is not None else []
+    sized = materialize(named.df.select(*brief, F.col(source).alias("_src"), document_size(F.col(text)).alias("_size"), hashed))
     sizes = sized.groupBy(F.col("_src").alias("source")).agg(F.sum("_size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = source_targets(sizes, weights, cap).withColumn("_rate", rate).withColumn("_whole", F.floor("_rate"))
     edge = F.lower(F.lpad(F.hex(F.floor((F.col("_rate") - F.col("_whole")) * F.lit(2.0**32))), 8, "0"))
-    rates = rates.select(F.col("source").alias("_src2"), "source_size", "target", "_whole", edge.alias("_edge"))
-    same = F.col("_src").eqNullSafe(F.col("_src2"))
-    tries = sized.select("_src", "_size", "_hex").join(rates, same)
+    rates = small(rates.select(F.col("source").alias("_src2"), "source_size", "target", "_whole", edge.alias("_edge")))
+    tries = sized.join(rates, F.col("_src").eqNullSafe(F.col("_src2")))
     sums = tries.groupBy("_src").agg(
         F.first("target").alias("t"),
         F.array(*[F.sum(F.col("_size") * (F.col("_whole") + F.when(F.substring("_hex", k, 8) < F.col("_edge"), 1)
                                           .otherwise(0))) for k in range(1, SEEDS + 1)]).alias("sums"))
     best = F.array_min(F.transform("sums", lambda s, k: F.struct(F.abs(s - F.col("t")).alias("d"), (k + 1).alias("k"))))
     seeds = sums.select(F.col("_src").alias("_src3"), best["k"].alias("_seed"))
-    rates = rates.join(seeds, F.col("_src2").eqNullSafe(F.col("_src3")), "left")
-    out = sized.join(rates, same, "left")
+    rates = small(rates.join(seeds, F.col("_src2").eqNullSafe(F.col("_src3"))).drop("_src3"))
+    if carry is None:
+        sized = named.df.withColumns({"_src": F.col(source), "_size": document_size(F.col(text))}).withColumn("_hex", hashed)
+    out = sized.join(rates, F.col("_src").eqNullSafe(F.col("_src2")), "left")
     extra = F.when(F.expr("substring(_hex, _seed, 8)") < F.col("_edge"), 1).otherwise(0)
-    out = out.withColumn("_copies", F.coalesce(F.col("_whole") + extra, F.lit(0)).cast("long"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in columns], F.col("_size").alias("size"), "source_size", "target",
-        F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return named, out.withColumn("_copies", F.coalesce(F.col("_whole") + extra, F.lit(0)).cast("long"))
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+             weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS, carry: Sequence[str] | None = None) -> DataFrame:
+    """Adds size, source_size, target, copies and taken to ``docs`` (or to its columns
+    ``carry`` only, which saves a second look at the texts).
+
+    The repetition rate of a source is target / size.  A document is taken
+    ``floor(rate)`` times, and once more if the number in a slice of its id's SHA-256
+    is below the rate's fraction.  Which slice is the seed of its source: the one whose
+    sum over the source comes nearest to the target, the first of equals, so that
+    sources with few documents meet their targets too.  Nothing depends on partitions
+    or order, so reruns agree.
+
+    Null text has size 0 and is taken as its source's rate says, with no words.  Null
+    sources are one source, the last.  A source without words has target 0 and no
+    copies.  Repeated rows are taken alike; a null id counts as an empty string.  An
+    empty table stays empty.  Columns may have any names; those with the names of added
+    ones are replaced.
+    """
+    named, out = _planned(docs, id_col, text_col, source_col, weights, cap, carry)
+    return named.back(out, F.col("_size").alias("size"), "source_size", "target",
+                      F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
     """The mixed corpus: every document as often as ``plan_mix`` says, with its number of
-    the copy (``copy``, from 0)."""
-    columns = [c for c in docs.columns if c != "copy"]
-    plan = plan_mix(docs, **options)
-    return plan.where("copies > 0").select(
-        *[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    the copy (``copy``, from 0; it replaces a column of that name)."""
+    named, out = _planned(docs, id_col, text_col, source_col, weights, cap, None)
+    named.kept = [f"c{i}" for i, name in enumerate(named.names) if name.lower() != "copy"]
+    return named.back(out.where("_copies > 0").select(*named.kept, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy")), "copy")

@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._scratch import materialize
+from ._names import Named
+from ._scratch import materialize, small
 
 # White space, symbol characters, base limits.
 SPACES = " \t\n\x0b\x0c\r"
@@ -148,28 +149,26 @@ def judge_quality(docs: DataFrame, text_col: str = "text", groups: Sequence[str]
     ``median + 6 * max(q75 - median, step)``.  The quantiles come from mergeable
     sketches of all documents that pass the base rules, or from stored ones
     (``source_of_sketches``); the thresholds are joined back and compared with the
-    metrics' bins.
+    metrics' bins: a table of one row per group, broadcast up to 100,000 groups.
 
     Null text counts as empty and fails.  Null groups form groups of their own; a group
     without thresholds has base rules only.  Repeated rows are judged alike and count
-    in the sketches as often.  An empty table stays empty.  Columns of ``docs`` with the
-    names of added ones, or beginning with ``_``, are replaced.
+    in the sketches as often.  An empty table stays empty.  Columns may have any names;
+    those with the names of added ones are replaced.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-             *METRICS, *[f"max_{m}" for m in METRICS]]
-    docs = docs.drop(*added, *[c for c in docs.columns if c.startswith("_") and c not in groups])
-    columns = docs.columns if carry is None else list(carry)
-    measured = with_metrics(base_columns(docs, text_col), text_col)
-    measured = materialize(measured.select(*dict.fromkeys([*columns, *groups]), *added[:6], *METRICS))
-    sketches = source_of_sketches
-    if sketches is None:
-        sketches = quantile_sketches(measured.where(~F.col("base_failed")), groups)
-    limits = thresholds(sketches, groups)
-    limits = limits.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)],
-                           *[f"max_{m}" for m in METRICS])
-    on = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(groups)]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *METRICS]
+    named = Named(docs, added, carry)
+    keys = [named.plain(g) for g in groups]
+    measured = with_metrics(base_columns(named.df, named.plain(text_col)), named.plain(text_col))
+    measured = materialize(measured.select(*dict.fromkeys([*named.kept, *keys]), *added[:6], *METRICS))
+    if source_of_sketches is None:
+        limits = thresholds(quantile_sketches(measured.where(~F.col("base_failed")), keys), keys)
+        limits = limits.toDF(*[f"_g{k}" for k in range(len(keys))], *[f"_max_{m}" for m in METRICS])
+    else:
+        limits = thresholds(source_of_sketches, groups).toDF(*[f"_g{k}" for k in range(len(keys))], *[f"_max_{m}" for m in METRICS])
+    on = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(keys)]
     fits = F.lit(True)
     for m in METRICS:
-        fits = fits & (bin_of(F.col(m)) <= F.coalesce(F.col(f"max_{m}"), F.lit(2**40)))
-    out = measured.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & fits)
-    return out.select(*[F.col(f"`{c}`") for c in columns], *added[:7], *METRICS)
+        fits = fits & (bin_of(F.col(m)) <= F.coalesce(F.col(f"_max_{m}"), F.lit(2**40)))
+    out = measured.join(small(limits), on, "left").withColumn("kept", ~F.col("base_failed") & fits)
+    return named.back(out, *added)

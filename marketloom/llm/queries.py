@@ -18,7 +18,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """A null id counts as an empty text, which is held out."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", _held_out())
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    learn = labels.where(F.coalesce(~_held_out(), F.lit(False)))
+    learn = labels.where(~_held_out())
     weights = quality_model.fit(docs.select("doc_id", "text"), learn)
     return quality_model.score(docs, weights).select("doc_id", "held_out", "score", "predicted")
 
@@ -67,7 +68,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan_mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
