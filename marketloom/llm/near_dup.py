@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import GOLDEN, Words, mix64, ranges, shingles, slices, text_sizes
+from ._names import Named
 from ._scratch import materialize
 from .components import connected_components
 
@@ -22,23 +23,15 @@ from .components import connected_components
 SLOTS, BAND_ROWS = 252, 6
 #: Further classes of a bucket that others are compared with; rows of a bucket's block.
 PICKS, BLOCK_ROWS = 8, 1024
+#: Elements whose permutations are held at once (504 bytes each).
+CHUNK = 1 << 15
 _EMPTY = np.iinfo(np.uint64).max
 
 
-def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash signatures of sets of 64-bit hashes, one row per set.
-
-    Each element ranks the slots by its own random permutation and offers
-    ``rank + fraction`` to each; a slot keeps the least offer.  Rank ``j`` is offered by
-    all elements of all sets at once.  A later rank can't beat an earlier one, so a set
-    leaves as soon as its slots are filled.  The value is ``rank << 32 | fraction``.
-    """
-    out = np.full((len(sets), slots), _EMPTY, dtype=np.uint64)
-    if not sets:
-        return out
+def _signatures(items: np.ndarray, owner: np.ndarray, count: int, slots: int) -> np.ndarray:
+    """Signatures of ``count`` sets together; ``owner`` says whose an element is."""
+    out = np.full((count, slots), _EMPTY, dtype=np.uint64)
     flat = out.reshape(-1)
-    items = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     low, perm, rows = np.uint64(0xFFFFFFFF), None, None
     for rank in range(slots):
         draw = mix64(items + np.array(rank + 1, dtype=np.uint64) * GOLDEN)
@@ -59,6 +52,27 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return out
 
 
+def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+    """SuperMinHash signatures of sets of 64-bit hashes, one row per set.
+
+    Each element ranks the slots by its own random permutation and offers
+    ``rank + fraction`` to each; a slot keeps the least offer.  Rank ``j`` is offered by
+    all elements of some sets at once.  A later rank can't beat an earlier one, so a set
+    leaves as soon as its slots are filled.  The value is ``rank << 32 | fraction``.
+
+    ``CHUNK`` elements at most are worked on at once, as each has a permutation; the
+    signature of a larger set is the least of those of its parts.
+    """
+    out = np.full((len(sets), slots), _EMPTY, dtype=np.uint64)
+    pieces = [(i, s[k:k + CHUNK]) for i, s in enumerate(sets) for k in range(0, len(s), CHUNK)]
+    for a, b in ranges([len(p) for _, p in pieces], CHUNK):
+        which = np.array([i for i, _ in pieces[a:b]])
+        items = np.concatenate([p for _, p in pieces[a:b]])
+        owner = np.repeat(np.arange(b - a), [len(p) for _, p in pieces[a:b]])
+        np.minimum.at(out, which, _signatures(items, owner, b - a, slots))
+    return out
+
+
 def _bands(signatures: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     n = signatures.shape[1] // rows
     out = np.empty((len(signatures), n), dtype=np.uint64)
@@ -144,7 +158,7 @@ def _cross(rows: pa.Table, least: float, size: int, num: int, den: int) -> list[
     block, p, root, n = (rows.column(c).to_numpy() for c in ("block", "p", "root", "n"))
     band, first, last = rows.column("t")[0].as_py(), rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
     sig, keys = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=d).reshape(len(p), -1)
-                 for c, d in (("sig", np.uint8), ("keys", np.int32)))
+                 for c, d in (("sig", np.uint8), ("keys", np.int64)))
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == last)
     body, open_ = rows.column("body"), zstandard.ZstdDecompressor().decompress
     sets: dict[int, np.ndarray] = {}
@@ -211,7 +225,7 @@ def _compare(least: float, size: int, num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle_words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+                    shingle_words: int = 5, threshold: tuple[int, int] = (80, 100), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Group documents whose shingle sets are alike; adds four columns to ``docs``.
 
     ``n_shingles`` (size of the set), ``component_id`` (smallest id reachable over links),
@@ -224,27 +238,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates.  In each bucket they are first compared with the class that shares the
     most buckets with others, then those of other components with a few more.  What is
     left, the pairs of a bucket whose components still differ, is compared inside tasks,
-    block by block, and only links that join components leave them.  So a large group
+    block by block (of ``block_rows``), and only links that join components leave them.  So a large group
     never makes all its pairs, and no candidate is left out.  Links are confirmed on
     full sets.
 
     Null or wordless texts have an empty set: linked with nothing, their own id as
     component.  A null id is no group's smallest id unless the group has no other.
     Repeated rows are members of one class.  An empty table gives an empty result.
-    ``docs`` may have any further columns; names starting with ``_`` and the four new
-    ones are replaced.
+    Columns may have any names; those with the names of the four new ones are replaced.
     """
     num, den = threshold
     added = ["n_shingles", "component_id", "kept", "representative"]
-    docs = docs.drop(*added, *[c for c in docs.columns if c.startswith("_")])
-    columns = docs.columns
+    named = Named(docs, added)
+    id_col, text_col = named.plain(id_col), named.plain(text_col)
+    columns = list(dict.fromkeys([*named.kept, id_col, text_col]))
     schema = T.StructType([
-        *[T.StructField(f.name, f.dataType, True) for f in docs.schema],
+        *[T.StructField(c, named.df.schema[c].dataType, True) for c in columns],
         T.StructField("_n", T.LongType()), T.StructField("_print", T.BinaryType()),
         T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_sig", T.BinaryType()),
     ])
     rows = materialize(
-        docs.mapInArrow(_sketch(text_col, shingle_words, columns), schema)
+        named.df.mapInArrow(_sketch(text_col, shingle_words, columns), schema)
         .withColumn("_row", F.monotonically_increasing_id())  # stable, as it is written here
     )
     sketched = rows.where("_print is not null")
@@ -280,6 +294,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"))
         return materialize(named.join(mixed.where("x <> y").select("h", "k"), "h"))
 
+    def with_more(links: DataFrame, roots: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and roots with further links; where there are none, all stays as it is."""
+        if new.isEmpty():
+            return links, roots
+        return links.unionByName(new), connected_components(links.unionByName(new))
+
     hubs = buckets.groupBy("h").agg(F.min(F.struct((-F.col("deg")).alias("d"), "p", "n")).alias("m"))
     stars = materialize(
         buckets.join(hubs.select("h", F.col("m.p").alias("b"), F.col("m.n").alias("n_b")), "h")
@@ -295,21 +315,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .join(rest.select("h", F.col("p").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), ["h", "b"]))
     tries = (rest.join(picked, "h").where((F.col("root") != F.col("root_b")) & like)
              .select(F.greatest("p", "b").alias("a"), F.least("p", "b").alias("b")).distinct())
-    links = links.unionByName(confirmed(alike(tries)))
-    roots = connected_components(links)
+    links, roots = with_more(links, roots, confirmed(alike(tries)))
 
-    rest = (still_open(roots).withColumn("nb", F.ceil(F.col("k") / F.lit(BLOCK_ROWS)).cast("long"))
+    rest = (still_open(roots).withColumn("nb", F.ceil(F.col("k") / F.lit(block_rows)).cast("long"))
             .withColumn("block", F.pmod(F.xxhash64("p"), "nb")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     keyed = nodes.select("p", "body", F.col("_sig").alias("sig"), F.expr(
-        "array_join(transform(_bands, x -> lpad(hex(x & 4294967295), 8, '0')), '')").alias("keys"))
+        "array_join(transform(_bands, x -> lpad(hex(x), 16, '0')), '')").alias("keys"))
     blocks = rest.join(keyed, "p").select(
         "h", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
         "block", "t", "p", "root", "n", "sig", F.unhex("keys").alias("keys"), "body")
     blocks = blocks.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj")
-    links = links.unionByName(materialize(
-        blocks.mapInArrow(_compare(least, shingle_words, num, den), "a long, b long")))
-    roots = connected_components(links)
+    found = materialize(blocks.mapInArrow(_compare(least, shingle_words, num, den), "a long, b long"))
+    links, roots = with_more(links, roots, found)
 
     brief_rows = rows.select("_row", "_print", F.col(id_col).alias("_id"))
     classed = first.select("_print", F.col("_row").alias("p")).join(
@@ -321,9 +339,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     decided = brief_rows.join(groups, "_group", "left").select(
         "_row", alone.alias("_alone"), F.col("_first.id").alias("_first_id"),
         (alone | (F.col("_row") == F.col("_first.row"))).alias("representative"))
-    whole = rows.select("_row", F.col("_n").alias("n_shingles"), *[F.col(f"`{c}`") for c in columns])
+    whole = rows.select("_row", F.col("_n").alias("n_shingles"), *columns)
     out = whole.join(decided, "_row")
     component = F.when(F.col("_alone"), F.col(id_col)).otherwise(F.col("_first_id"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in columns], "n_shingles", component.alias("component_id"),
-        F.col(id_col).eqNullSafe(component).alias("kept"), "representative")
+    return named.back(out, "n_shingles", component.alias("component_id"),
+                      F.col(id_col).eqNullSafe(component).alias("kept"), "representative")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from marketloom.llm.near_dup import near_duplicates
@@ -34,6 +35,8 @@ def test_matches_brute_force(spark, sf_dir):
     out = near_duplicates(docs, shingle_words=4)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()}
     assert got == brute_force(rows, 4)
+    small = near_duplicates(docs, shingle_words=4, block_rows=2)  # buckets of several blocks
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in small.collect()} == got
     assert any(i != c for i, (_, c, _) in got.items())
 
 
@@ -67,3 +70,21 @@ def test_chain_of_near_copies_is_one_component(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, shingle_words=4).collect()}
     assert got == brute_force(rows, 4)
+
+
+def test_a_bucket_of_many_open_classes_in_several_blocks(spark):
+    """Clusters that share bands but aren't alike: pairs meet across the blocks of a bucket."""
+    rng = random.Random(2)
+    rows = []
+    for c in range(12):
+        base = [f"w{i}" for i in range(150)] + [f"c{c}x{i}" for i in range(60)]
+        for k in range(12):
+            t = list(base)
+            for j in rng.sample(range(150), 3):
+                t[j] = f"e{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**6), " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_force(rows, 4)
+    for blocks in (3, 8, 1024):
+        out = near_duplicates(docs, shingle_words=4, block_rows=blocks).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == want
