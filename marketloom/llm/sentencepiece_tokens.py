@@ -14,9 +14,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import ranges, text_sizes
+from ._names import Named
 
 #: Where the public model files are; a parameter of every function that reads them.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -132,21 +134,34 @@ def build(model: Model):
     return out
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+class Mismatch(RuntimeError):
+    """The rebuilt tokenizer and the original library disagree."""
+
+
 class Coder:
     """Encodes and decodes batches with the rebuilt tokenizer.
 
     Where no piece goes on after a word's end, the ids of a text are those of its words
-    in turn.  So a batch's new distinct words are encoded, and decoded again, by the
-    library as one multithreaded batch, and kept (``MOST_WORDS`` at most).  A model
-    without that property encodes whole texts.
+    in turn, and so is the text that they decode to.  So a batch's new distinct words are
+    encoded, and decoded again, by the library as one multithreaded batch, compared with
+    the original library's ids, and kept (``MOST_WORDS`` at most).  Texts with anything
+    else (several markers in a row, NUL) are compared, and decoded, whole as well.  A
+    model without that property, or one that normalises, codes and compares whole texts.
     """
 
-    MOST_WORDS = 600_000
+    MOST_WORDS = 240_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.model = Model.parse(f.read())
-        self.tokenizer = build(self.model)
+        self.tokenizer, self.library = build(self.model), _library(path)
         self.normalizer = self.tokenizer.normalizer
         self.by_word = self.model.escape and not any(MARK in p.lstrip(MARK) for p, *_ in self.model.pieces)
         if self.by_word:  # words come normalised
@@ -173,6 +188,7 @@ class Coder:
     def _learn(self, keys: set[str]) -> None:
         if len(self.known) + len(keys) > self.MOST_WORDS // 2:
             self.old, self.known = self.known, {}  # words still in use come back below
+            self.lossy.intersection_update(self.old)
         missing = keys.difference(self.known)
         again = missing.intersection(self.old)
         self.known.update((k, self.old[k]) for k in again)
@@ -180,23 +196,37 @@ class Coder:
         words = [k[1:] if k[:1] == "\0" else MARK + k for k in new]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         self.known.update(zip(new, (array("i", x).tobytes() for x in ids), strict=True))
+        if self.plain:
+            same = [k for k, key in enumerate(new) if key and key[:1] != "\0"]
+            self._compare([new[k] for k in same], [ids[k] for k in same])
+            if "" in missing and same:  # a blank at the end, behind any other word
+                self._compare([new[same[0]] + " "], [ids[same[0]] + np.frombuffer(self.known[""], dtype="<i4").tolist()])
         for key, word, text in zip(new, words, self.decode(ids), strict=True):
             if text != key and text != word.replace(MARK, " ").removeprefix(" " * self.model.dummy_prefix):
                 self.lossy.add(key)
 
+    def _compare(self, texts: list[str], ids: list[list[int]]) -> None:
+        """Parity with the original library, whose normaliser puts the marker first."""
+        for text, own, other in zip(texts, ids, self.library.encode(texts, num_threads=1), strict=True):
+            if own != other:
+                raise Mismatch(f"ids of a text of {len(text)} characters")
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text as 32-bit numbers, and whether decoding gives the text."""
         if not self.by_word:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._compare(texts, ids)
             back = self.decode(ids)
             return ([np.array(x, dtype="<i4").tobytes() for x in ids], [t == u for t, u in zip(texts, back, strict=True)])
         keys = [self._keys(t) for t in texts]
         self._learn(set().union(*keys))
         ids = [b"".join(map(self.known.__getitem__, k)) for k in keys]
-        if not self.plain:
-            back = self.decode([np.frombuffer(x, dtype="<i4").tolist() for x in ids])
-            return ids, [t == u for t, u in zip(texts, back, strict=True)]
         fine = [MARK not in t and not (self.lossy and not self.lossy.isdisjoint(k)) for t, k in zip(texts, keys, strict=True)]
+        whole = [i for i, k in enumerate(keys) if i == 0 or not self.plain or any(w[:1] == "\0" for w in k)]
+        lists = [np.frombuffer(ids[i], dtype="<i4").tolist() for i in whole]
+        self._compare([texts[i] for i in whole], lists)
+        for i, text in zip(whole, self.decode(lists), strict=True):
+            fine[i] = texts[i] == text
         return ids, fine
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -211,39 +241,29 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-@lru_cache(maxsize=2)
-def _reference(path: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
 def model_path(directory: str | None = None, name: str = MODEL_FILE) -> str:
     return os.path.join(directory or TOKENIZER_DIR, name)
 
 
-class Mismatch(RuntimeError):
-    """The rebuilt tokenizer and the original library disagree."""
-
-
 def encode_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Adds n_tokens, ids_sha256 (of the ids as 32-bit little-endian numbers), round_trip
     and, ``with_ids``, ``ids`` to ``docs``.
 
     Texts are encoded whole, in batches of about 1 MB.  ``round_trip`` says whether
     decoding the ids gives the text back; a model that normalises or lacks byte fallback
-    need not do that, nor does a text that holds the blank's marker itself.  The first text of every batch is compared with
-    the sentencepiece library, and a difference raises ``Mismatch``.
+    need not do that, nor does a text that holds the blank's marker itself.  Ids are
+    compared with the sentencepiece library's: those of every distinct word and of the
+    first text of each batch, or of every text, see ``Coder``; a difference raises ``Mismatch``.
 
     Null text gives null ids, 0 tokens and the digest of nothing.  The model file is
     read by each executor from ``path`` (installed with the tokenizers).  Rows are
-    independent; repeated rows get equal values.  Columns of ``docs`` with the names of
-    added ones are replaced.
+    independent; repeated rows get equal values.  Columns may have any names; those with
+    the names of added ones are replaced.
     """
     path = path or model_path()
     added = ["n_tokens", "ids_sha256", "round_trip"] + ["ids"] * with_ids
-    docs = docs.drop("n_tokens", "ids_sha256", "round_trip", "ids")
-    columns = docs.columns
+    named = Named(docs, ["n_tokens", "ids_sha256", "round_trip", "ids"])
+    text_col, columns = named.plain(text_col), named.kept
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +272,6 @@ def encode_tokens(docs: DataFrame, text_col: str = "text", path: str | None = No
                 raw = piece.column(text_col).to_pylist()
                 texts = [t or "" for t in raw]
                 ids, fine = coder(path).encode(texts)
-                if ids[0] != np.array(_reference(path).encode(texts[0]), dtype="<i4").tobytes():
-                    raise Mismatch(f"ids of a text of {len(texts[0])} characters")
                 arrays = [*(piece.column(c) for c in columns), pa.array([len(x) // 4 for x in ids], pa.int64()),
                           pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(fine, pa.bool_())]
                 if with_ids:
@@ -264,16 +282,15 @@ def encode_tokens(docs: DataFrame, text_col: str = "text", path: str | None = No
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *added])
 
     kinds = [T.LongType(), T.StringType(), T.BooleanType(), T.ArrayType(T.IntegerType())]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]
-                          + [T.StructField(c, t) for c, t in zip(added, kinds, strict=False)])
-    return docs.mapInArrow(apply, schema)
+    schema = T.StructType(named.fields() + [T.StructField(c, t) for c, t in zip(added, kinds, strict=False)])
+    return named.back(named.df.mapInArrow(apply, schema), *added)
 
 
 def decode_tokens(docs: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Replaces or adds ``text_col`` by the decoded ``ids_col``; null ids give null."""
     path = path or model_path()
-    docs = docs.drop(text_col)
-    columns = docs.columns
+    named = Named(docs, [text_col])
+    ids_col, columns = named.plain(ids_col), named.kept
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,6 +298,7 @@ def decode_tokens(docs: DataFrame, ids_col: str = "ids", text_col: str = "text",
             texts = coder(path).decode([x or [] for x in ids])
             out = [None if x is None else t for x, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(out, pa.string())], names=[*columns, text_col])
+                [*(batch.column(c) for c in columns), pa.array(out, pa.string())], names=[*columns, "decoded"])
 
-    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())]))
+    decoded = named.df.mapInArrow(apply, T.StructType([*named.fields(), T.StructField("decoded", T.StringType())]))
+    return named.back(decoded, F.col("decoded").alias(text_col))

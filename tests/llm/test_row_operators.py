@@ -120,6 +120,18 @@ def test_secret_checksums_and_redaction():
     assert secret_scan.redact(text, found) == "x [github] [card], [iban] end card: 4111 1111 1111 1112"
 
 
+def test_secret_scan_takes_linear_time():
+    import time
+
+    ok = "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    assert secret_scan.find_secrets("eyJ" * 5 + ok) == [(0, 15 + len(ok), "jwt")]
+    assert secret_scan.find_secrets("eyJeyJ.x " + ok) == [(9, 9 + len(ok), "jwt")]
+    began = time.process_time()
+    for text in ("eyJ" * 700_000, "eyJabcdefgh." * 150_000, "-----BEGIN PRIVATE KEY-----\n" * 70_000, "token" + " " * 10**6, "secret=" * 300_000):
+        secret_scan.find_secrets(text)
+    assert time.process_time() - began < 20
+
+
 def test_mix_reaches_targets(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = mixing.plan_mix(docs).collect()
@@ -327,7 +339,8 @@ def test_sentencepiece_parity(spark, sf_dir, odd):
     assert fine == [lib.decode(lib.encode(t)) == t for t in odd_texts]
 
 
-def test_sentencepiece_unigram_model():
+def unigram_model(pieces, squeeze, byte_fallback):
+    """A model file by hand: pieces with scores, a unigram model, no character map."""
     def varint(n):
         out = b""
         while n > 127:
@@ -338,17 +351,35 @@ def test_sentencepiece_unigram_model():
     def text(number, value):
         return varint(number << 3 | 2) + varint(len(value)) + value
 
-    pieces = [("<unk>", 0.0, 2), ("\u2581", -2.0, 1), ("\u2581ab", -1.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -5.0, 1)]
     data = b""
     for p, s, k in pieces:
         data += text(1, text(1, p.encode()) + varint(2 << 3 | 5) + np.float32(s).tobytes() + varint(3 << 3) + varint(k))
-    data += text(2, varint(3 << 3) + varint(1))
-    data += text(3, varint(3 << 3) + varint(1) + varint(4 << 3) + varint(1) + varint(5 << 3) + varint(1))
-    model = sp.Model.parse(data)
-    assert model.kind == sp.UNIGRAM and [p for p, *_ in model.pieces] == [p for p, *_ in pieces]
+    data += text(2, varint(3 << 3) + varint(1) + varint(35 << 3) + varint(int(byte_fallback)))
+    return data + text(3, varint(3 << 3) + varint(1) + varint(4 << 3) + varint(int(squeeze)) + varint(5 << 3) + varint(1))
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_sentencepiece_unigram_model(tmp_path, squeeze, byte_fallback):
+    import random
+
     import sentencepiece
 
+    pieces = [("<unk>", 0.0, 2), ("\u2581", -2.0, 1), ("\u2581ab", -1.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -5.0, 1), ("ba", -4.1, 1), ("\u00e9", -6.0, 1)]
+    pieces += [(f"<0x{k:02X}>", -20.0, 6) for k in range(256)] if byte_fallback else []
+    data = unigram_model(pieces, squeeze, byte_fallback)
+    model = sp.Model.parse(data)
+    assert model.kind == sp.UNIGRAM and [p for p, *_ in model.pieces] == [p for p, *_ in pieces] and model.byte_fallback == byte_fallback
     lib = sentencepiece.SentencePieceProcessor(model_proto=data)
     mine = sp.build(model)
     for t in ("ab ab", "  ba  ab ", "abba"):
         assert mine.encode(t, add_special_tokens=False).ids == lib.encode(t)
+    (tmp_path / "unigram.model").write_bytes(data)
+    coder, rng = sp.Coder(str(tmp_path / "unigram.model")), random.Random(1)
+    texts = ["", " ", "ab", "ab "] + ["".join(rng.choices(["a", "b", " ", "ab", "\u00e9", "\u4e2d", "\U0001f389", "x"], k=rng.randrange(1, 30))) for _ in range(300)]
+    for some in (texts, texts[:40]):
+        ids, fine = coder.encode(some)
+        assert [np.frombuffer(x, "<i4").tolist() for x in ids] == [lib.encode(t) for t in some]
+        back = coder.decode([np.frombuffer(x, "<i4").tolist() for x in ids])
+        assert fine == [t == u for t, u in zip(some, back, strict=True)]
+        assert not byte_fallback or squeeze or all(fine)
