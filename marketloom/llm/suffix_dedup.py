@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import GOLDEN, mix64
+from ._names import Named
 from ._scratch import materialize
 from .suffix_array import suffix_array
 
@@ -21,7 +22,7 @@ LENGTH, CORE = 50, 24
 #: Bytes of a window beside its core, and how often a core can grow: 24, 42, 48, 50 bytes.
 SIDE, LEVELS = LENGTH - CORE, 3
 #: Least and most bytes of a block of documents and of a bucket of cores.
-LEAST_PART, MOST_PART = 2 << 20, 256 << 20
+LEAST_PART, MOST_PART = 4 << 20, 256 << 20
 #: Distinct runs (counted per block) up to which a core has one group; beyond, it grows.
 MAX_GROUP = 2000
 #: Symbols that are sorted in one suffix array.
@@ -564,10 +565,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay whole; a text may be of any length; an empty table gives an empty result; further
     columns are ignored.
     """
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    named = Named(docs, [])
+    plain = named.df.select(F.col(named.plain(id_col)).cast("long").alias("id"), F.col(named.plain(text_col)).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a row of a block and a bucket shall have about a hundred cores at any size
-    part = min(max(LEAST_PART, int((1400 * total) ** 0.5)), MOST_PART)
+    # a row of a block and a bucket shall have some hundred cores at any size
+    part = min(max(LEAST_PART, int((5600 * total) ** 0.5)), MOST_PART)
     bits = max(3, (total // part).bit_length())
     blocks = materialize(plain.mapInArrow(_to_blocks(part), "ids array<long>, sizes array<long>, body binary")
                          .withColumn("block", F.monotonically_increasing_id()))  # stable, as it is written here
