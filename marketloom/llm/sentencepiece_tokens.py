@@ -156,7 +156,7 @@ class Coder:
     model without that property, or one that normalises, codes and compares whole texts.
     """
 
-    MOST_WORDS = 240_000
+    MOST_WORDS = 400_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
