@@ -73,7 +73,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    coded = sentencepiece_tokens.encode_tokens(docs, with_ids=False)
+    coded = sentencepiece_tokens.encode_tokens(docs, with_ids=False, most_words=600_000)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "round_trip")
 
 

@@ -156,9 +156,10 @@ class Coder:
     model without that property, or one that normalises, codes and compares whole texts.
     """
 
-    MOST_WORDS = 400_000
+    MOST_WORDS = 240_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
+        self.most_words = most_words
         with open(path, "rb") as f:
             self.model = Model.parse(f.read())
         self.tokenizer, self.library = build(self.model), _library(path)
@@ -186,7 +187,7 @@ class Coder:
         return [w[1:] if w[0] == MARK and w[1:2] not in (MARK, "\0") else "\0" + w for w in _WORDS.findall(norm)]
 
     def _learn(self, keys: set[str]) -> None:
-        if len(self.known) + len(keys) > self.MOST_WORDS // 2:
+        if len(self.known) + len(keys) > self.most_words // 2:
             self.old, self.known = self.known, {}  # words still in use come back below
             self.lossy.intersection_update(self.old)
         missing = keys.difference(self.known)
@@ -237,15 +238,16 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 @lru_cache(maxsize=2)
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(path: str, most_words: int = Coder.MOST_WORDS) -> Coder:
+    return Coder(path, most_words)
 
 
 def model_path(directory: str | None = None, name: str = MODEL_FILE) -> str:
     return os.path.join(directory or TOKENIZER_DIR, name)
 
 
-def encode_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None, with_ids: bool = True,
+                  most_words: int = Coder.MOST_WORDS) -> DataFrame:
     """Adds n_tokens, ids_sha256 (of the ids as 32-bit little-endian numbers), round_trip
     and, ``with_ids``, ``ids`` to ``docs``.
 
@@ -256,7 +258,8 @@ def encode_tokens(docs: DataFrame, text_col: str = "text", path: str | None = No
     first text of each batch, or of every text, see ``Coder``; a difference raises ``Mismatch``.
 
     Null text gives null ids, 0 tokens and the digest of nothing.  The model file is
-    read by each executor from ``path`` (installed with the tokenizers).  Rows are
+    read by each executor from ``path`` (installed with the tokenizers); a worker keeps
+    ``most_words`` coded words at most, which changes no result.  Rows are
     independent; repeated rows get equal values.  Columns may have any names; those with
     the names of added ones are replaced.
     """
@@ -271,7 +274,7 @@ def encode_tokens(docs: DataFrame, text_col: str = "text", path: str | None = No
                 piece = batch.slice(a, b - a)
                 raw = piece.column(text_col).to_pylist()
                 texts = [t or "" for t in raw]
-                ids, fine = coder(path).encode(texts)
+                ids, fine = coder(path, most_words).encode(texts)
                 arrays = [*(piece.column(c) for c in columns), pa.array([len(x) // 4 for x in ids], pa.int64()),
                           pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(fine, pa.bool_())]
                 if with_ids:
