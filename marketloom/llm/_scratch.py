@@ -47,6 +47,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing reads any more, and no other."""
+    spark = df.sparkSession
+    top = folder(spark)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{top.rsplit('/', 1)[1]}/" in path:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 #: Rows up to which a table of a few numbers per row is broadcast (some 10 MB).
 MOST_BROADCAST = 100_000
 
@@ -63,8 +77,7 @@ def remove_all(spark: SparkSession, path: str | None = None) -> None:
     """Delete this application's intermediate tables."""
     path = path or folder(spark)
     try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     except Exception:  # the session may have ended already
         pass
     _folders.pop(path, None)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    flac, language_id, mixing, near_dup, quality_model, quality_rules, secret_scan, sentencepiece_tokens, suffix_dedup,
-    url_rules,
+    centroids, flac, language_id, lexical_search, mixing, near_dup, quality_model, quality_rules, secret_scan,
+    sentencepiece_tokens, simhash, suffix_dedup, url_rules,
 )
 
 
@@ -77,10 +77,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "round_trip")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return simhash.simhash_duplicates(docs, carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return centroids.centroid_clusters(vectors, carry=["vec_id"])
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return lexical_search.lexical_search(_documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash_near_dedup, op2_url_filters, op3_quality_classifier, op4_media_columns, op5_language_id,
         op6_suffix_array_dedup, op7_quality_rules, op8_secret_scans, op9_source_mix, op10_sentencepiece,
+        op11_simhash_near_dedup, op12_centroid_clusters, op13_lexical_search,
     )
 }
 
@@ -142,4 +158,59 @@ SELECT d.doc_id, d.size, e.source_size, e.target,
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": _OP2, "op9_source_mix": _OP9}
+def _op12(rounds: int = 5) -> str:
+    """Every distance of every round."""
+    parts = [r"""v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), x) AS i, * FROM (
+    SELECT vec_id, [floor(256 * e::DOUBLE)::BIGINT for e in embedding] AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len([e for e in embedding if isfinite(e)]) = 64)
+), c0 AS MATERIALIZED (SELECT i - 1 AS j, x AS c FROM v WHERE i <= 40)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT i, j, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM (
+      SELECT i, j, list_sum([(x[p] - c[p]) * (x[p] - c[p]) for p in range(1, 65)])::BIGINT AS d FROM v, c{r})) WHERE k = 1
+)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS MATERIALIZED (
+  SELECT j, list(floor_div ORDER BY p) AS c FROM (
+    SELECT j, p, ((sum(y) - (sum(y) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS floor_div
+    FROM (SELECT j, unnest(x) AS y, generate_subscripts(x, 1) AS p FROM a{r} JOIN v USING (i)) GROUP BY j, p) GROUP BY j
+), c{r + 1} AS MATERIALIZED (
+  SELECT j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j)
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (i) JOIN c{rounds} USING (j)
+"""
+
+
+_OP13 = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), q AS (
+  SELECT item_id, row_number() OVER () AS iq, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), q2 AS (
+  SELECT item_id, iq, term, count(*) AS qn FROM q GROUP BY ALL
+), g AS (
+  SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM t WHERE len(terms) > 0
+), f AS (
+  SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(terms) AS term FROM t) WHERE term IN (SELECT term FROM q2) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term
+), s AS (
+  SELECT item_id, iq, i, sum(qn * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(terms) * n_docs) // n_terms))))::BIGINT AS score
+  FROM q2 JOIN w USING (term) JOIN f USING (term) JOIN t USING (i), g GROUP BY ALL
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY iq ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM s JOIN t USING (i) WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": _OP2, "op9_source_mix": _OP9, "op12_centroid_clusters": _op12(), "op13_lexical_search": _OP13,
+}
