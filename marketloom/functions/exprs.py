@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,3 +110,15 @@ def date_fields(date: Column | str) -> dict[str, Column]:
         "is_month_start": F.day(d) == 1, "is_month_end": d == F.last_day(d),
         "is_year_start": F.dayofyear(d) == 1, "is_year_end": (F.month(d) == 12) & (F.day(d) == 31),
     }
+
+
+def keyed_uniform(keys: Sequence[Column | str], *salt: int | str) -> Column:
+    """A number of (0, 1) drawn from a row's key and a salt: the same on any partitioning and in any engine with MD5."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], *[F.lit(str(x)) for x in salt])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
+
+
+def keyed_normal(keys: Sequence[Column | str], *salt: int | str) -> Column:
+    """A standard normal number drawn likewise, from two uniform ones."""
+    radius = F.sqrt(-2 * F.ln(keyed_uniform(keys, *salt, "r")))
+    return radius * F.cos(2 * math.pi * keyed_uniform(keys, *salt, "a"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, div, ln
-from .quantiles import quantile_row, quantile_table
+from .quantiles import quantile_row, quantile_table, running_totals
 
 
 def _first(c: str, order: str) -> Column:
@@ -223,12 +223,17 @@ def quantiles(df: DataFrame, column: str, levels: Sequence[float], keys: Sequenc
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: Column, levels: Sequence[float], keys: Sequence[str] = ("feature",)) -> DataFrame:
-    """Inverted CDF: the least value whose cumulative weight reaches the level."""
-    w = Window.partitionBy(*keys)
-    run = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    run = run.withColumns({"_run": F.sum("_w").over(w.orderBy(value)), "_all": F.sum("_w").over(w)})
-    hit = run.select(*keys, value, "_run", "_all", F.explode(F.array(*map(F.lit, levels))).alias("q"))
-    return hit.where(F.col("_run") >= F.col("q") * F.col("_all") * (1 - 1e-12)).groupBy(*keys, "q").agg(F.min(value).alias("v"))
+    """Inverted CDF: the least value whose cumulative weight reaches the level; rows without a value don't count.
+
+    The bucket in which a level is reached follows from the buckets' weights; only its values are looked at.
+    """
+    values, buckets = running_totals(df, keys, value, {"_w": weight})
+    reach = F.col("q") * F.col("_w_all") * (1 - 1e-12)
+    wanted = buckets.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in levels])))
+    first = F.row_number().over(Window.partitionBy(*keys, "q").orderBy("_bucket"))
+    wanted = wanted.where(reach <= F.col("_w_before") + F.col("_w")).withColumn("_k", first).where("_k = 1")
+    hit = values.join(wanted.select(*keys, "_bucket", "q", "_w_before", "_w_all"), [*keys, "_bucket"])
+    return hit.where(F.col("_w_before") + F.col("_w_run") >= reach).groupBy(*keys, "q").agg(F.min(value).alias("v"))
 
 
 def distribution_distance(train: DataFrame, test: DataFrame, value: str, n_test: int, weight: Column | None = None,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import div
 from ..sources.schemas import BAR_NUMBERS
+from .quantiles import running_totals
 
 
 def asof(left: DataFrame, right: DataFrame, on: str = "Date", by: Sequence[str] = ("ticker",), right_on: str | None = None,
@@ -140,17 +141,24 @@ def grid(dates: DataFrame, tickers: DataFrame) -> DataFrame:
 def between_neighbours(train: DataFrame, test: DataFrame, value: str, by: Sequence[str] = ("feature",)) -> DataFrame:
     """For successive train values, how many test values lie strictly between (first: 0).
 
-    Counting windows over both, no range join.
+    Running totals over both in two levels (``running_totals``), no range join: within a
+    bucket of values the previous train value is the row before; the first one of a bucket
+    follows the last one of an earlier bucket.
     """
-    both = (train.select(*by, F.col(value).alias("v"), F.lit(0).alias("t"), F.lit(1).alias("train"))
-            .unionByName(test.select(*by, F.col(value).alias("v"), F.lit(1).alias("t"), F.lit(0).alias("train"))))
-    w = Window.partitionBy(*by).orderBy("v")
-    upto, below = F.sum("t").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.sum("t").over(w.rangeBetween(Window.unboundedPreceding, 0))
-    at = F.sum("t").over(Window.partitionBy(*by, "v"))
-    own = both.withColumns({"_upto": upto, "_below": below - at}).where(F.col("train") == 1)
-    order = Window.partitionBy(*by).orderBy("v")
-    gap = F.greatest(F.col("_below") - F.lag("_upto", 1).over(order), F.lit(0))
-    return own.select(*by, F.col("v").alias(value), F.coalesce(gap, F.lit(0)).alias("n_between"))
+    both = (train.select(*by, F.col(value).alias("v"), F.lit(0).alias("t"), F.lit(1).alias("k"))
+            .unionByName(test.select(*by, F.col(value).alias("v"), F.lit(1).alias("t"), F.lit(0).alias("k"))))
+    values, buckets = running_totals(both, by, "v", {"t": F.col("t"), "k": F.col("k")})
+    own = values.where("k > 0")  # t_run: test values up to this one
+    ends = own.groupBy(*by, "_bucket").agg(F.max("t_run").alias("_end"))
+    over = Window.partitionBy(*by).orderBy("_bucket")  # a row a bucket
+    ends = buckets.join(ends, [*by, "_bucket"], "left").withColumn(
+        "_last", F.last(F.col("t_before") + F.col("_end"), True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("v")
+    own = own.withColumn("_lag", F.lag("t_run", 1).over(inside)).join(ends.select(*by, "_bucket", "t_before", "_last"), [*by, "_bucket"])
+    upto = F.coalesce(F.col("t_before") + F.col("_lag"), F.col("_last"))
+    gap = F.coalesce(F.col("t_before") + F.col("t_run") - F.col("t") - upto, F.lit(0))
+    each = own.withColumn("_gap", gap).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))  # repeated train values
+    return each.select(*by, F.col("v").alias(value), F.when(F.col("_i") == 1, F.col("_gap")).otherwise(0).cast("long").alias("n_between"))
 
 
 def split_at(panel: DataFrame, cutoff, test_end, date: str = "Date") -> DataFrame:

@@ -55,3 +55,20 @@ def quantile_row(df: DataFrame, columns: Sequence[str], levels: Sequence[float],
     table = quantile_table(df, columns, levels)
     value = lambda c, k: F.max(F.when((F.col("column") == c) & (F.col("k") == k), F.col("v")))
     return table.agg(*[F.array(*[value(c, k) for k in range(len(levels))]).alias(n) for c, n in zip(columns, names, strict=True)])
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, amounts: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Running totals along a value in two levels, so that no task sorts all values of a key.
+
+    Gives the values, one row (keys, ``_bucket``, value, amounts, ``<amount>_run`` up to the
+    value within its bucket), and the buckets (keys, ``_bucket``, amounts,
+    ``<amount>_before`` of all lower buckets, ``<amount>_all``), a few thousand rows a key.
+    Rows without a value don't count.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("_bucket", _bucket(F.col(value).cast("double")))
+    values = rows.groupBy(*keys, "_bucket", value).agg(*[F.sum(x).alias(a) for a, x in amounts.items()])
+    inside, over = Window.partitionBy(*keys, "_bucket").orderBy(value), Window.partitionBy(*keys)
+    buckets = values.groupBy(*keys, "_bucket").agg(*[F.sum(a).alias(a) for a in amounts])
+    buckets = buckets.withColumns({f"{a}_before": F.coalesce(F.sum(a).over(over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for a in amounts}
+                                  | {f"{a}_all": F.sum(a).over(over) for a in amounts})
+    return values.withColumns({f"{a}_run": F.sum(a).over(inside) for a in amounts}), buckets

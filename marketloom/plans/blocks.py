@@ -19,7 +19,7 @@ from ..functions import fourier
 from ..functions.exprs import clip, div, linear01, ln, log_price_to, sigmoid, tanh01, tanh01_at_one, tanh01_log, week_part
 from ..operators import indicators
 from ..operators.aggregates import first_row_per_year, per_date_extremes, trading_days, weighted_index
-from ..operators.joins import asof, attach, grid, with_member_flags
+from ..operators.joins import asof, with_member_flags
 from ..operators.samples import complete_rows
 from ..operators.windows import (
     by, fill, rolling, with_change, with_differences, with_drawdowns, with_group_rank, with_lag_quotients, with_lags, with_sequence,
@@ -80,34 +80,45 @@ def statement_features(fin: DataFrame, quarterly: bool, n_lags: int) -> DataFram
     return fin.withColumns(new)
 
 
-def price_metrics(bars: DataFrame, fin_q: DataFrame) -> DataFrame:
-    """Earnings and book ratios of each bar by the statements reported until then."""
-    q = statement_features(fin_q, True, 1).select(
-        "ticker", F.col("reportedDate").alias("_at"), "reportedEPS", "estimatedEPS", "totalShareholderEquity", "commonStockSharesOutstanding",
-        "ebit_lagquot_qm1", "totalShareholderEquity_lagquot_qm1")
-    df = asof(bars, q, right_on="_at")
-    book = div("totalShareholderEquity", "commonStockSharesOutstanding")
+BOOK = ["reportedEPS", "estimatedEPS", "totalShareholderEquity", "commonStockSharesOutstanding", "ebit_lagquot_qm1", "totalShareholderEquity_lagquot_qm1"]
+
+
+def price_metrics(bars: DataFrame, fin_q: DataFrame, keep_date: bool = False) -> DataFrame:
+    """Earnings and book ratios of each bar by the statements reported until then (``_q``: when, if ``keep_date``)."""
+    q = statement_features(fin_q, True, 1).select("ticker", F.col("reportedDate").alias("_q"), *[F.col(c).alias(f"_b_{c}") for c in BOOK])
+    df = asof(bars, q, right_on="_q")
+    b = {c: F.col(f"_b_{c}") for c in BOOK}
     df = df.withColumns({
-        "log_trailing_pe_ratio": log_price_to("Close", "reportedEPS", 4), "log_forward_pe_ratio": log_price_to("Close", "estimatedEPS", 4),
-        "log_pb_ratio": log_price_to("Close", book), "close2ebit_lagquot_qm1": F.col("Close") * F.col("ebit_lagquot_qm1"),
-        "close2totalShareholderEquity_lagquot_qm1": F.col("Close") * F.col("totalShareholderEquity_lagquot_qm1")})
-    return df.drop("_at", "reportedEPS", "estimatedEPS", "totalShareholderEquity", "commonStockSharesOutstanding", "ebit_lagquot_qm1",
-                   "totalShareholderEquity_lagquot_qm1")
+        "log_trailing_pe_ratio": log_price_to("Close", b["reportedEPS"], 4), "log_forward_pe_ratio": log_price_to("Close", b["estimatedEPS"], 4),
+        "log_pb_ratio": log_price_to("Close", div(b["totalShareholderEquity"], b["commonStockSharesOutstanding"])),
+        "close2ebit_lagquot_qm1": F.col("Close") * b["ebit_lagquot_qm1"],
+        "close2totalShareholderEquity_lagquot_qm1": F.col("Close") * b["totalShareholderEquity_lagquot_qm1"]})
+    return df.drop(*[f"_b_{c}" for c in BOOK], *([] if keep_date else ["_q"]))
+
+
+def _latest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of several rows with equal keys the greatest, as an as-of join takes it."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
 
 
 @block("financial")
 def financial(bars: DataFrame, p: dict | None = None, *, fin_q: DataFrame, fin_a: DataFrame, quarter_lags: int = 12, annual_lags: int = 3, **_) -> DataFrame:
-    """B2: statements as of each bar (quarters by reported date, years by their end), price metrics and their lags."""
+    """B2: statements as of each bar (quarters by reported date, years by their end), price metrics and their lags.
+
+    The as-of joins run on bars and dates only.  A statement's hundred columns are
+    joined by its date in the end, so they pass no window and no sort of the bars.
+    """
     lags = params(p)["lags"]
-    df = price_metrics(bars, fin_q)
-    df = with_lag_quotients(with_lags(df, PRICE_METRICS, lags), PRICE_METRICS, lags)
     q = statement_features(fin_q, True, quarter_lags)
     a = statement_features(first_row_per_year(fin_a), False, annual_lags)
     names = lambda d, tag: d.select("ticker", F.col("reportedDate" if tag == "q" else "fiscalDateEnding").alias(f"_{tag}"), *[
         F.col(c).alias(f"{tag}_{c}") for c in d.columns if c.endswith(("_nivRev", "_RANK")) or "_lagquot_" in c or "_nivRevLag_" in c
-        or c in ("surprisePercentage", "reportTime")])
-    df = asof(df, names(q, "q"), right_on="_q").drop("_q")
-    return asof(df, names(a, "a"), right_on="_a").drop("_a")
+        or c in ("surprisePercentage", "reportTime")]).where(f"_{tag} is not null")
+    df = asof(price_metrics(bars, fin_q, True), a.select("ticker", F.col("fiscalDateEnding").alias("_a")).distinct(), right_on="_a")
+    df = with_lag_quotients(with_lags(df, PRICE_METRICS, lags), PRICE_METRICS, lags)
+    df = df.join(_latest(names(q, "q"), ["ticker", "_q"]), ["ticker", "_q"], "left")
+    return df.join(_latest(names(a, "a"), ["ticker", "_a"]), ["ticker", "_a"], "left").drop("_q", "_a")
 
 
 @block("financial_sequence")
@@ -345,30 +356,44 @@ def price_volume_sequence(bars: DataFrame, p: dict | None = None, **_) -> DataFr
 
 
 def assemble(bars: DataFrame, features: Sequence[DataFrame], start: str, end: str) -> DataFrame:
-    """Dates by tickers, features as of each date, prices of the exact date, complete rows."""
-    panel = grid(trading_days(bars, start, end), bars)
-    names: list[str] = []
+    """Dates by tickers, features as of each date, prices of the exact date, complete rows.
+
+    Only cells with a price of the exact date remain, so the plan begins with the bars on
+    trading days; the table of all dates and tickers is never made.
+    """
+    panel = bars.where(F.col("ticker").isNotNull()).join(trading_days(bars, start, end), "Date", "left_semi").select("ticker", "Date", "Close", "AdjClose", "Open")
+    panel, names = complete_rows(panel, ["Close", "AdjClose", "Open"]), []
     for f in features:
         columns = [c for c in f.columns if c not in ("ticker", "Date") and c not in bars.columns]
         panel = asof(panel, f.select("ticker", F.col("Date").alias("_at"), *columns), right_on="_at").drop("_at")
         names += columns
-    panel = attach(panel, bars, ["ticker", "Date"], ["Close", "AdjClose", "Open"])
-    return complete_rows(panel, ["Close", "AdjClose", "Open", *names])
+    return complete_rows(panel.select("ticker", "Date", *names, "Close", "AdjClose", "Open"), names)
 
 
 def yearly_features(bars: DataFrame, build: Callable[[DataFrame], DataFrame], membership: DataFrame, groups: Sequence[str], years: Sequence[int], path: str,
                     kind: str = "tree") -> dict[tuple[str, int], str]:
-    """Write the features of each (group, year); an error is kept for its pair and the others go on."""
+    """Write the features of each (group, year); an error is kept for its pair and the others go on.
+
+    A group is built once, for all its years, and written in one go.  Only if that fails
+    its years are tried one by one, so that the error stays with the year that has it.
+    Features may look back over the whole history (the elevated price does), so a year's
+    rows can't be built from a slice of the bars.
+    """
     from ..sources.stores import FeatureStore
 
     store, failed = FeatureStore(bars.sparkSession, path), {}
     for g in groups:
         own = bars.join(membership.where(F.col("group") == g).select("ticker"), "ticker", "left_semi")
+        try:
+            store.write_years(build(own), kind, g, years)
+            continue
+        except Exception as e:
+            error = e
         for y in years:
             try:
                 store.write(build(own).where(F.year("Date") == y), kind, g, y)
-            except Exception as e:  # one group's failure must not stop the rest
-                failed[g, y] = str(e)[:200]
+            except Exception as e:  # one year's failure must not stop the rest
+                failed[g, y] = str(e or error)[:200]
     return failed
 
 

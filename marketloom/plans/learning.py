@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date as Date
 from datetime import timedelta
 
@@ -17,6 +18,7 @@ from ..operators.aggregates import run_summary
 from ..operators.joins import resplit, split_at
 from ..operators.samples import clean_samples
 from ..operators.windows import top_per_date
+from ..scratch import exists, materialize, new_path
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -72,10 +74,10 @@ class RandomProjection:
         w = np.random.default_rng(self.seed).standard_normal((self.width, self.size)) / np.sqrt(self.size)
         return np.hstack([np.abs(x @ w.T), np.ones((len(x), 1))])
 
-    def fit(self, df: DataFrame, vector: str, label: str) -> RandomProjection:
-        """Each task adds up its part of the Gram matrix (``width**2`` numbers); parts are added by key."""
+    def gram(self, df: DataFrame, vector: str, label: str) -> tuple[np.ndarray, np.ndarray]:
+        """X'X and X'Y of all rows.  Each task adds up its part (``width**2`` numbers); parts are added by key."""
         self.kind = df.schema[label].dataType
-        self.labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # classes
+        self.labels = [r[0] for r in df.select(label).distinct().dropna().orderBy(label).collect()]  # classes
         place, me = {v: k for k, v in enumerate(self.labels)}, self
 
         def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,8 +94,11 @@ class RandomProjection:
         rows = df.select(vector, label).dropna().mapInPandas(parts, "i int, row array<double>").groupBy("i").agg(
             F.array(*[F.sum(F.col("row")[k]) for k in range(n)]).alias("row")).orderBy("i").collect()
         g = np.array([r["row"] for r in rows])
-        k = self.width + 1
-        self.weights = np.linalg.solve(g[:, :k] + self.ridge * np.eye(k), g[:, k:])
+        return g[:, :self.width + 1], g[:, self.width + 1:]
+
+    def fit(self, df: DataFrame, vector: str, label: str) -> RandomProjection:
+        xx, xy = self.gram(df, vector, label)
+        self.weights = np.linalg.solve(xx + self.ridge * np.eye(len(xx)), xy)
         return self
 
     def predict(self, df: DataFrame, vector: str) -> DataFrame:
@@ -108,19 +113,49 @@ class RandomProjection:
         return df.withColumn("predicted", best(vector))
 
 
+def ridge_path(model: RandomProjection, train: DataFrame, vector: str, label: str, ridges: Sequence[float]) -> np.ndarray:
+    """M8: weights for each ridge (ridges, features, classes) from one pass: one Gram matrix and its eigenvectors."""
+    xx, xy = model.gram(train, vector, label)
+    values, vectors = np.linalg.eigh(xx)
+    turned = vectors.T @ xy
+    return np.stack([vectors @ (turned / (values + r)[:, None]) for r in ridges])
+
+
+def right_counts(model: RandomProjection, weights: np.ndarray, check: DataFrame, vector: str, label: str) -> list[tuple[int, int]]:
+    """Right answers and rows for each set of weights, in one pass over the check rows."""
+    labels, me = np.array(model.labels), model
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, known = me._features(np.stack(pdf[vector].to_numpy()).astype(float)), pdf[label].to_numpy()
+            right = [int((labels[np.argmax(x @ w, axis=1)] == known).sum()) for w in weights]
+            yield pd.DataFrame({"k": np.arange(len(right)), "right": right, "n": len(pdf)})
+
+    rows = check.select(vector, label).dropna().mapInPandas(count, "k int, right long, n long").groupBy("k").agg(
+        F.sum("right").alias("right"), F.sum("n").alias("n")).collect()
+    found = {r["k"]: (r["right"], r["n"]) for r in rows}
+    return [found.get(k, (0, 0)) for k in range(len(weights))]
+
+
 def best_ridge(train: DataFrame, check: DataFrame, vector: str, label: str, size: int, low: float = -3, high: float = 3, steps: int = 4) -> RandomProjection:
-    """M8: bisection on the logarithm of the ridge by accuracy on the check rows."""
-    def run(x: float) -> tuple[float, RandomProjection]:
-        m = RandomProjection(size, ridge=10.0**x).fit(train, vector, label)
-        return m.predict(check, vector).agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] or 0.0, m
+    """M8: bisection on the logarithm of the ridge by accuracy on the check rows.
 
-    best = max(run(low), run(high), key=lambda r: r[0])
+    The points that bisection can visit are known beforehand, so all are solved from one
+    pass over the training rows and judged by one over the check rows.
+    """
+    n = 2 ** (steps + 1)
+    ridges = [10.0 ** (low + (high - low) * i / n) for i in range(n + 1)]
+    model = RandomProjection(size)
+    weights = ridge_path(model, train, vector, label, ridges)
+    score = [right / rows if rows else 0.0 for right, rows in right_counts(model, weights, check, vector, label)]
+    a, b, best = 0, n, 0 if score[0] >= score[n] else n
     for _ in range(steps):
-        mid = (low + high) / 2
-        left, right = run((low + mid) / 2), run((mid + high) / 2)
-        best = max(best, left, right, key=lambda r: r[0])
-        low, high = (low, mid) if left[0] >= right[0] else (mid, high)
-    return best[1]
+        mid = (a + b) // 2
+        left, right = (a + mid) // 2, (mid + b) // 2
+        best = max([best, left, right], key=lambda i: score[i])
+        a, b = (a, mid) if score[left] >= score[right] else (mid, b)
+    model.ridge, model.weights = ridges[best], weights[best]
+    return model
 
 
 def cutoffs(first: str, n: int, step: int = 7, jitter: int = 3, seed: int = 0) -> list[Date]:
@@ -130,24 +165,45 @@ def cutoffs(first: str, n: int, step: int = 7, jitter: int = 3, seed: int = 0) -
     return [start - timedelta(days=int(step * k + m)) for k, m in enumerate(moves)]
 
 
+def _run_cutoff(panel: DataFrame, features: Sequence[str], target: str, cut: Date, days: int, top: int, fit: Callable | None,
+                train_days: int | None) -> DataFrame:
+    rows = split_at(panel, cut, cut + timedelta(days=days))
+    train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
+    if train_days:
+        train = train.where(F.col("Date") > F.lit(cut - timedelta(days=train_days)))
+    model = (fit or fit_trees)(clean_samples(train, features, target, True), features, target)
+    scored = predict(model, clean_samples(test, features, target, False), features)
+    picks = top_per_date(scored, "prediction_ratio", top).withColumn("run_id", F.lit(str(cut)))
+    return picks.select("run_id", "Date", "ticker", "prediction_ratio", F.col(target).alias("target_ratio"), "rank")
+
+
 def backtest(panel: DataFrame, features: Sequence[str], target: str, dates: Sequence[Date], days: int = 7, top: int = 5,
-             fit: Callable | None = None, train_days: int | None = None) -> DataFrame:
+             fit: Callable | None = None, train_days: int | None = None, path: str | None = None, at_once: int = 4) -> DataFrame:
     """Per cutoff: split, clean, fit on the training rows, rank the test rows; all picks with their cutoff.
 
-    The panel should be stored or cached; each cutoff reads it once for fitting and once for scoring.
+    The panel is stored once; each cutoff reads it for fitting and for scoring.  Each
+    cutoff's picks are written under ``path`` when they are done, and a later call with this
+    path skips the cutoffs that are there, so that a run of a hundred can be resumed.
+    ``at_once`` cutoffs run side by side, which fills the gaps between the many small jobs
+    of a fit.  The first error ends the run; what is finished by then stays.
     """
-    out = None
-    for cut in dates:
-        rows = split_at(panel, cut, cut + timedelta(days=days))
-        train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
-        if train_days:
-            train = train.where(F.col("Date") > F.lit(cut - timedelta(days=train_days)))
-        model = (fit or fit_trees)(clean_samples(train, features, target, True), features, target)
-        scored = predict(model, clean_samples(test, features, target, False), features)
-        picks = top_per_date(scored, "prediction_ratio", top).withColumn("run_id", F.lit(str(cut)))
-        picks = picks.select("run_id", "Date", "ticker", "prediction_ratio", F.col(target).alias("target_ratio"), "rank")
-        out = picks if out is None else out.unionByName(picks)
-    return out
+    spark, path = panel.sparkSession, path or new_path(panel.sparkSession)
+    at = {cut: f"{path}/run_id={cut}" for cut in dates}
+    rest = [cut for cut in dict.fromkeys(dates) if not exists(spark, f"{at[cut]}/_SUCCESS")]
+    if rest:
+        panel = materialize(panel)
+
+    def run(cut: Date) -> None:
+        _run_cutoff(panel, features, target, cut, days, top, fit, train_days).drop("run_id").write.mode("overwrite").parquet(at[cut])
+
+    with ThreadPoolExecutor(at_once) as pool:
+        for done in [pool.submit(run, cut) for cut in rest]:
+            done.result()
+    schema = f"Date date, ticker {panel.schema['ticker'].dataType.simpleString()}, prediction_ratio double, target_ratio double, rank int, run_id string"
+    if not at:
+        return spark.createDataFrame([], schema).select("run_id", "Date", "ticker", "prediction_ratio", "target_ratio", "rank")
+    picks = spark.read.schema(schema).option("basePath", path).parquet(*dict.fromkeys(at.values()))
+    return picks.select("run_id", "Date", "ticker", "prediction_ratio", "target_ratio", "rank")
 
 
 def best_rerun(runs: DataFrame, score: str, key: str = "cutoff") -> DataFrame:

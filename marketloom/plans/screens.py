@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, div
+from ..functions.exprs import clip, div, keyed_normal, keyed_uniform
 from ..operators.aggregates import distribution_distance
+from ..operators.halo import SLICE_ROWS, rolling_mean_by_position, with_positions
 from ..operators.quantiles import quantile_row
 from ..operators.samples import feature_names
-from ..operators.windows import local_minima, rolling
+from ..operators.windows import local_minima
+from ..scratch import materialize, small
 
 
 def unpivot(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -42,21 +45,31 @@ def quantile_screen(df: DataFrame, features: Sequence[str], target: str, levels:
 
     The score is the last rolling mean times (1 - deviation, 0 at least), and 0 with fewer hits than the tail's share
     of all rows or with a gap above ``most_gap`` days; both tails alike.
+
+    The rows are stored once with a flag for each tail; the order of a tail, which may
+    hold nearly all rows, is worked on in slices (``halo``).
     """
+    df = materialize(df.select(date, key, *features, F.col(target).alias("_t")))
     names = [f"_c{k}" for k in range(len(features))]
     cuts = quantile_row(df, features, levels, names).crossJoin(df.agg(F.count("*").alias("_all")))  # a single row
-    hits = [F.when(F.col(f) >= F.col(f"_c{k}")[i] if up else F.col(f) <= F.col(f"_c{k}")[i],
-                   F.struct(F.lit(f).alias("feature"), F.lit(float(q)).alias("q"), F.lit("upper" if up else "lower").alias("tail")))
-            for k, f in enumerate(features) for i, q in enumerate(levels) for up in (True, False)]
-    long = df.join(F.broadcast(cuts)).select(date, key, "_all", F.col(target).alias("t"), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
-    order = Window.partitionBy("h").orderBy(date, key)
-    rolled = long.select("h", date, key, rolling(F.avg, "t", rows, order).alias("r")).where("r is not null")
-    rolled = rolled.groupBy("h").agg(F.avg("r").alias("roll_mean"), F.stddev("r").alias("roll_std"), F.max_by("r", F.struct(date, key)).alias("roll_last"))
-    per = long.groupBy("h", date).agg(F.count("*").alias("n"), F.sum("t").alias("s"), F.avg("t").alias("m"), F.first("_all").alias("all"))
-    gap = F.datediff(date, F.lag(date, 1).over(Window.partitionBy("h").orderBy(date)))
-    out = per.withColumn("gap", gap).groupBy("h").agg(
+    tails = [(k, f, i, q, up) for k, f in enumerate(features) for i, q in enumerate(levels) for up in (True, False)]
+    flags = {f"{k}": F.coalesce(F.col(f) >= F.col(f"_c{j}")[i] if up else F.col(f) <= F.col(f"_c{j}")[i], F.lit(False))
+             for k, (j, f, i, _, up) in enumerate(tails)}
+    marked = materialize(df.join(F.broadcast(cuts)).withColumns({f"_f{k}": x for k, x in flags.items()}).select(
+        date, key, "_t", "_all", *[f"_f{k}" for k in flags]))
+    flags = {k: F.col(f"_f{k}") for k in flags}
+    placed, _ = with_positions(marked, flags, date, key)
+    named = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(q)).alias("q"), F.lit("upper" if up else "lower").alias("tail")) for _, f, _, q, up in tails])
+    long = placed.select("_t", F.posexplode("_pos").alias("k", "pos")).where("pos is not null")
+    rolled = rolling_mean_by_position(long, ["k"], "pos", "_t", rows, "r", max(SLICE_ROWS, rows)).where("r is not null")
+    rolled = rolled.groupBy("k").agg(F.avg("r").alias("roll_mean"), F.stddev("r").alias("roll_std"), F.max_by("r", "pos").alias("roll_last"))
+    per = marked.groupBy(date).agg(F.first("_all").alias("all"), F.array(*[
+        F.struct(F.count_if(x).alias("n"), F.sum(F.when(x, F.col("_t"))).alias("s"), F.avg(F.when(x, F.col("_t"))).alias("m")) for x in flags.values()]).alias("a"))
+    per = per.select(date, "all", F.posexplode("a").alias("k", "v")).where("v.n > 0").select(date, "all", "k", "v.*")
+    gap = F.datediff(date, F.lag(date, 1).over(Window.partitionBy("k").orderBy(date)))  # a row a date
+    out = per.withColumn("gap", gap).groupBy("k").agg(
         F.sum("n").alias("n"), div(F.sum("s"), F.sum("n")).alias("mean_target"), F.avg("m").alias("mean_of_dates"), F.count("*").alias("n_dates"),
-        F.max("gap").alias("max_gap"), F.first("all").alias("all")).join(rolled, "h", "left")
+        F.max("gap").alias("max_gap"), F.first("all").alias("all")).join(rolled, "k", "left").withColumn("h", F.element_at(named, F.col("k") + 1))
     share = F.when(F.col("h.tail") == "upper", 1 - F.col("h.q")).otherwise(F.col("h.q")) * F.col("all")
     good = (F.col("n") >= share) & (F.coalesce("max_gap", F.lit(0)) <= most_gap)
     score = F.when(good, F.col("roll_last") * F.greatest(1 - F.col("roll_std"), F.lit(0.0))).otherwise(0.0)
@@ -97,42 +110,43 @@ def mean_by_score(df: DataFrame, score: str, target: str, q: float, periods: int
 
 
 def linear_screen(df: DataFrame, features: Sequence[str], target: str, q: float = 0.9, rate: float = 0.02, epochs: int = 10, sharpness: float = 1.5,
-                  date: str = "Date", upper: bool = True, noise: float = 0.0, subsample: float = 1.0, init_top: int = 1, seed: int = 0) -> dict[str, float]:
+                  date: str = "Date", upper: bool = True, noise: float = 0.0, subsample: float = 1.0, init_top: int = 1, seed: int = 0,
+                  key: Sequence[str] = ("ticker",)) -> dict[str, float]:
     """M5: weights of a linear score whose soft upper tail has the best mean target per date.
 
-    Per epoch Spark makes one pass for the threshold, one for the dates' sums and one for
-    the gradient; the driver holds the weights only.  The threshold counts as constant
-    within a step.  The weights begin with 1 at one of the ``init_top`` best single
-    features and 0.1 elsewhere.  Each step adds normal ``noise`` to the soft mask (cut to
-    0..1, where the gradient is 0) and uses a ``subsample`` of the rows; both are drawn
-    from ``seed``.
+    Per epoch Spark makes the passes of an exact quantile for the threshold, one for the
+    dates' sums and one for the gradient; the driver holds the weights only.  The threshold
+    counts as constant within a step.  The weights begin with 1 at one of the ``init_top``
+    best single features and 0.1 elsewhere.  Each step adds normal ``noise`` to the soft
+    mask (cut to 0..1, where the gradient is 0) and uses a ``subsample`` of the rows; both
+    are drawn from a row's (date, ``key``), the step and ``seed``, so that the weights don't
+    depend on how the rows are laid out.
     """
-    df = df.select(date, *features, F.col(target).alias("_t")).dropna().persist()
-    try:
-        scores = {r.feature: r.score for r in feature_scores(df, features, "_t", q, upper, date).collect()}
-        a = np.full(len(features), 0.1)
-        best = sorted(range(len(features)), key=lambda k: (-scores[features[k]], k))[:max(init_top, 1)]
-        a[best[int(np.random.default_rng(seed).integers(len(best)))]] = 1.0
-        m, v, sign = np.zeros(len(a)), np.zeros(len(a)), 1.0 if upper else -1.0
-        for step in range(1, epochs + 1):
-            w = sum((F.col(f) * float(x) for f, x in zip(features, a, strict=True)), F.lit(0.0))
-            cut = df.agg(F.percentile_approx(w, F.lit(q), F.lit(10000))).first()[0]
-            p = 1 / (1 + F.exp(-sign * sharpness * (w - cut)))
-            soft = df.withColumn("_s", p)
-            if subsample < 1:
-                soft = soft.where(F.rand(seed * 1000 + 2 * step) < subsample)
-            moved = F.col("_s") + F.lit(noise) * F.randn(seed * 1000 + 2 * step + 1) if noise else F.col("_s")
-            soft = soft.withColumn("_m", moved).withColumns({
-                "_p": clip("_m", 0, 1), "_d": F.when((F.col("_m") > 0) & (F.col("_m") < 1), F.col("_s") * (1 - F.col("_s"))).otherwise(0.0)})
-            dates = soft.groupBy(date).agg(F.sum("_p").alias("_soft_n"), F.sum(F.col("_p") * F.col("_t")).alias("_soft_t"))
-            g = soft.join(dates.where("_soft_n > 0"), date).agg(F.countDistinct(date).alias("n"), *[
-                F.sum((F.col("_t") - F.col("_soft_t") / F.col("_soft_n")) / F.col("_soft_n") * sign * sharpness * F.col("_d") * F.col(f)).alias(f"g{k}")
-                for k, f in enumerate(features)]).first()
-            grad = -np.array([g[f"g{k}"] or 0.0 for k in range(len(a))]) / max(g["n"], 1)
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            a = a - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    finally:
-        df.unpersist()
+    df = materialize(df.select(date, *key, *features, F.col(target).alias("_t")).dropna(subset=[date, *features, "_t"]))
+    drawn = [date, *key]
+    scores = {r.feature: r.score for r in feature_scores(df, features, "_t", q, upper, date).collect()}
+    a = np.full(len(features), 0.1)
+    best = sorted(range(len(features)), key=lambda k: (-scores[features[k]], k))[:max(init_top, 1)]
+    a[best[int(np.random.default_rng(seed).integers(len(best)))]] = 1.0
+    m, v, sign = np.zeros(len(a)), np.zeros(len(a)), 1.0 if upper else -1.0
+    for step in range(1, epochs + 1):
+        w = sum((F.col(f) * float(x) for f, x in zip(features, a, strict=True)), F.lit(0.0))
+        cut = quantile_row(df.select(w.alias("_w")), ["_w"], [q], ["_c"]).first()["_c"][0]
+        if cut is None:
+            break
+        soft = df.withColumn("_s", 1 / (1 + F.exp(-sign * sharpness * (w - cut))))
+        if subsample < 1:
+            soft = soft.where(keyed_uniform(drawn, seed, step, "rows") < subsample)
+        moved = F.col("_s") + F.lit(noise) * keyed_normal(drawn, seed, step, "noise") if noise else F.col("_s")
+        soft = soft.withColumn("_m", moved).withColumns({
+            "_p": clip("_m", 0, 1), "_d": F.when((F.col("_m") > 0) & (F.col("_m") < 1), F.col("_s") * (1 - F.col("_s"))).otherwise(0.0)})
+        dates = soft.groupBy(date).agg(F.sum("_p").alias("_soft_n"), F.sum(F.col("_p") * F.col("_t")).alias("_soft_t"))
+        g = soft.join(dates.where("_soft_n > 0"), date).agg(F.countDistinct(date).alias("n"), *[
+            F.sum((F.col("_t") - F.col("_soft_t") / F.col("_soft_n")) / F.col("_soft_n") * sign * sharpness * F.col("_d") * F.col(f)).alias(f"g{k}")
+            for k, f in enumerate(features)]).first()
+        grad = -np.array([g[f"g{k}"] or 0.0 for k in range(len(a))]) / max(g["n"], 1)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        a = a - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return dict(zip(features, a.tolist(), strict=True))
 
 
@@ -155,53 +169,62 @@ def hard_mask(train: DataFrame, test: DataFrame, weights: dict[str, float], q: f
     return tuple(d.withColumn("score", w).join(F.broadcast(cut)).where(F.col("score") > F.col("_c")[0]).drop("_c") for d in (train, test))
 
 
-def matching_weights(train: DataFrame, test: DataFrame, features: Sequence[str], key: str, bins: int = 10, floor: float = 0.1, passes: int = 5) -> DataFrame:
+def matching_weights(train: DataFrame, test: DataFrame, features: Sequence[str], key: str, bins: int = 10, floor: float = 0.1, passes: int = 5,
+                     tolerance: float = 0.0) -> DataFrame:
     """M7: weights of training rows so that each feature's bins hold the test rows' shares.
 
     Bins are training quantiles.  Each pass multiplies a cell's weight by wanted / present
     of its bin, feature after feature (iterative proportional fitting); weights stay at
-    least ``floor`` and average 1.  Passes work on the table of occupied cells (at most
-    bins ** features rows), whose bins are summed by windows; nothing of it is collected.
+    least ``floor`` and average 1.  Passes work on the stored table of occupied cells (at
+    most bins ** features rows): each feature takes one aggregate of it, whose ``bins`` sums
+    come to the driver, and each pass stores the table anew.  Passes end when no weight
+    moves by more than ``tolerance``.
     """
-    names = [f"_e{k}" for k in range(len(features))]
-    edges = quantile_row(train, features, [k / bins for k in range(1, bins)], names)
+    row = quantile_row(train, features, [k / bins for k in range(1, bins)], [f"_e{k}" for k in range(len(features))]).first()
+    edges = [row[f"_e{k}"] for k in range(len(features))]  # bins - 1 numbers a feature
+    cells = [f"_b{k}" for k in range(len(features))]
 
     def binned(df: DataFrame) -> DataFrame:
-        place = lambda f, e: F.aggregate(e, F.lit(0), lambda n, x: n + F.when(F.col(f) > x, 1).otherwise(0))
-        return df.join(F.broadcast(edges)).withColumns({f"_b{k}": place(f, F.col(e)) for k, (f, e) in enumerate(zip(features, names, strict=True))}).drop(*names)
-
-    tr, te = binned(train), binned(test)
-    cells = [f"_b{k}" for k in range(len(features))]
-    table = tr.groupBy(*cells).agg(F.count("*").alias("_n")).withColumn("weight", F.lit(1.0))
-    every = Window.partitionBy()
-    for k, c in enumerate(cells):
-        share = te.groupBy(c).agg(F.count("*").alias("_k")).withColumn(f"_share{k}", F.col("_k") / F.sum("_k").over(every)).drop("_k")  # one row a bin
-        table = table.join(F.broadcast(share), c, "left").fillna(0.0, [f"_share{k}"])
-    total = table.agg(F.sum("_n").alias("_total"))
-    table = table.join(F.broadcast(total))
+        place = lambda f, e: sum((F.when(F.col(f) > F.lit(x), 1).otherwise(0) for x in e), F.lit(0))
+        return df.withColumns({c: place(f, e) for c, f, e in zip(cells, features, edges, strict=True)})
+
+    tr = binned(train)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("b")) for k, c in enumerate(cells)])).alias("r")
+    rows = binned(test).select(each).groupBy("r.k", "r.b").agg(F.count("*").alias("n")).collect()  # a row a bin
+    wanted = [[0.0] * bins for _ in cells]
+    for r in rows:
+        wanted[r["k"]][r["b"]] = r["n"] / sum(x["n"] for x in rows if x["k"] == r["k"])
+    table = materialize(tr.groupBy(*cells).agg(F.count("*").alias("_n")).withColumn("weight", F.lit(1.0)))
+    total = table.agg(F.sum("_n")).first()[0] or 0
     for _ in range(passes):
-        for k, c in enumerate(cells):
-            now = F.sum(F.col("_n") * F.col("weight")).over(Window.partitionBy(c))
-            table = table.withColumn("weight", F.greatest(F.col("weight") * F.col(f"_share{k}") * F.col("_total") / now, F.lit(floor)))
-    mean = table.agg((F.sum(F.col("_n") * F.col("weight")) / F.sum("_n")).alias("_mean"))
-    weights = table.join(F.broadcast(mean)).select(*cells, (F.col("weight") / F.col("_mean")).alias("weight"))
-    return tr.join(weights, cells).drop(*cells)
+        weight = F.col("weight")
+        for c, share in zip(cells, wanted, strict=True):
+            now = {r[c]: r["s"] for r in table.groupBy(c).agg(F.sum(F.col("_n") * weight).alias("s")).collect()}  # a row a bin
+            factor = F.array(*[F.lit(share[b] * total / now[b] if now.get(b) else 0.0) for b in range(bins)])
+            weight = F.greatest(weight * F.element_at(factor, F.col(c) + 1), F.lit(floor))
+        table = materialize(table.withColumns({"_old": F.col("weight"), "weight": weight}))
+        if tolerance and (table.agg(F.max(F.abs(F.col("weight") - F.col("_old")))).first()[0] or 0.0) <= tolerance:
+            break
+        table = table.drop("_old")
+    mean = table.agg((F.sum(F.col("_n") * F.col("weight")) / F.sum("_n")).alias("m")).first()["m"]
+    weights = table.select(*cells, (F.col("weight") / F.lit(mean)).alias("weight"))
+    return tr.join(small(weights), cells).drop(*cells)
 
 
-#: Families of features that matching can be switched on for.
+#: Families of features that matching can be switched on for, as patterns of this library's column names.
 MATCH_FAMILIES = {
-    "Pricediff": "MathFeature_Price_Diff", "FinData_quar": "FinData_quar", "FinData_metrics": "FinData_metrics", "Fourier_RSME": "Fourier_Price_RSME",
-    "Fourier_Sign": "Fourier_Price_Sign", "TA_trend": "FeatureTA_trend", "FeatureGroup_VolGrLvl": "FeatureGroup_VolGrLvl", "LSTM_Prediction": "LSTM_Prediction"}
+    "price_differences": r"^(log_)?diff2?(_lag_m\d+)?$", "quarters": r"^q_", "price_metrics": r"^log_(trailing_pe|forward_pe|pb)_ratio",
+    "fourier_errors": r"^price_rmse_MH", "fourier_signs": r"^price_sign_", "trend_indicators": r"^FeatureTA_trend", "group_volume": r"^volume_level"}
 
 
 def matching_features(names: Sequence[str], distance: dict[str, float], patterns: Sequence[str], fallback: str, keep: int = 2) -> list[str]:
-    """Of the names with one of the ``patterns`` (else with ``fallback``), the ``keep`` whose distributions differ most."""
-    chosen = [n for n in names if any(p in n for p in patterns)] or [n for n in names if fallback in n]
+    """Of the names that one of the ``patterns`` finds (else ``fallback``), the ``keep`` whose distributions differ most."""
+    chosen = [n for n in names if any(re.search(p, n) for p in patterns)] or [n for n in names if re.search(fallback, n)]
     return feature_names(chosen, without=(), distance=distance, keep=keep) if chosen else []
 
 
 def tree_weights(train: DataFrame, test: DataFrame, features: Sequence[str], key: str, match: bool = True, patterns: Sequence[str] = (),
-                 fallback: str = MATCH_FAMILIES["Pricediff"], keep: int = 2, bins: int = 15, floor: float = 0.4) -> DataFrame:
+                 fallback: str = MATCH_FAMILIES["price_differences"], keep: int = 2, bins: int = 15, floor: float = 0.4) -> DataFrame:
     """A column ``weight`` for the training rows: 1 unless ``match``, else matching weights on the chosen features.
 
     The distance of each feature between train and test is taken over all rows; one number a feature comes to the driver.

@@ -72,7 +72,7 @@ add("m12_minima_grid", lambda s, d: screens.minima_grid(views.bars(s, d), [5, 10
     + " UNION ALL ".join(f"SELECT {k} AS distance, {m} AS least, count(*) FILTER (n >= {m} AND coalesce(inside, false)) AS tickers FROM n{k}" for k in (5, 10) for m in (20, 40)), ("distance", "least", "tickers"))
 
 # -- backtests and predictions -------------------------------------------------------
-add("m14_backtest", lambda s, d: learning.analyse(learning.backtest(materialize(_panel(s, d)), _FEATS, "target_ratio", learning.cutoffs("1998-06-01", 4, 60), 20, 5, None, 400)))
+add("m14_backtest", lambda s, d: learning.analyse(learning.backtest(_panel(s, d), _FEATS, "target_ratio", learning.cutoffs("1998-06-01", 4, 60), 20, 5, None, 400)))
 add("m15_predict_now", lambda s, d: learning.predict_now(materialize(_panel(s, d).withColumn("Close", F.col("Close_lag_m1"))), _FEATS, "target_ratio", learning.Date(1998, 6, 1), 60)[0])
 add("u02_resplit", lambda s, d: (lambda b: (lambda x: x[0].withColumn("role", F.lit("train")).unionByName(x[1].withColumn("role", F.lit("test"))))(
     J.resplit(b.where("Date < '1997-01-01'"), b.where("Date >= '1997-01-01'"), "1995-12-31", "1997-06-30", "1993-01-01")))(views.bars(s, d)),
@@ -102,10 +102,10 @@ add("s01_read_statements", _statements, """SELECT ticker, 'quarter' AS kind, "fi
 
 
 def _asset_store(s: SparkSession, d: str) -> DataFrame:
-    store = stores.AssetStore(s, new_path(s))
+    store = stores.AssetStore(s, new_path(s), 2000)
     old, new = _old_new(s, d)
     store.save(old, "bars")
-    store.save(old.where("ticker % 2 = 0").drop("Volume").withColumn("Volume", F.lit(1.0)), "bars")  # replaces whole buckets
+    store.save(old.where("ticker % 2 = 0").withColumn("Volume", F.lit(1.0)), "bars")  # replaces the rows of these tickers
     store.save(J.merge_new_over_old(old, new, KEY, schemas.BAR_NUMBERS), "bars")
     known = store.exists("bars", "1") and not store.exists("bars", "none") and store.load("bars", "1").where("ticker <> '1'").isEmpty()
     return store.load("bars").withColumn("known", F.lit(known))
@@ -155,20 +155,22 @@ def _outputs(s: SparkSession, d: str) -> tuple[str, list[str]]:
 
 def _completed(s: SparkSession, d: str) -> DataFrame:
     folder, done = _outputs(s, d)
-    s.range(3).select(F.col("id").cast("string")).write.text(f"{folder}/broken")  # no Parquet: skipped
-    return stores.read_tolerant(s, [*done, f"{folder}/broken"], "date date, ticker string, Close double, prediction_ratio double, target_ratio double")
+    s.range(3).select(F.col("id").cast("string")).coalesce(1).write.text(f"{folder}/broken")  # no Parquet: skipped and told
+    schema = "date date, ticker string, Close double, prediction_ratio double, target_ratio double"
+    rows, skipped = stores.read_tolerant(s, [done[0], f"{folder}/broken", *done[1:]], schema)
+    return rows.withColumn("skipped", F.lit(",".join(r["path"].rsplit("/", 1)[1] for r in skipped.collect())))
 
 
 add("s08_discover_outputs", lambda s, d: stores.discover_outputs(s, _outputs(s, d)[0]).drop("path"),
     """SELECT 'group1' AS "group", d AS date, t AS time, c AS completed FROM (VALUES (DATE '2024-01-01', '0930', false), (DATE '2024-01-01', '0930', true), (DATE '2024-07-01', '1600', false), (DATE '2024-07-01', '1600', true),
     (DATE '2024-07-02', '1600', false)) v(d, t, c)""", ("group", "date", "time", "completed"), ctes=())
-add("m16_completed_outputs", _completed, _PRED + ';;SELECT ticker, "Date" AS date, "Close", prediction_ratio, target_ratio FROM pred', ("ticker", "date"), ["Close", "prediction_ratio", "target_ratio"])
+add("m16_completed_outputs", _completed, _PRED + ';;SELECT ticker, "Date" AS date, \'broken\' AS skipped, "Close", prediction_ratio, target_ratio FROM pred', ("ticker", "date", "skipped"), ["Close", "prediction_ratio", "target_ratio"])
 add("s12_empty_tables", lambda s, d: schemas.empty(s, "bars").unionByName(views.bars(s, d)), "SELECT * FROM bars", KEY, ["Close", "Splits"])
 
 
 def _upserted(s: SparkSession, d: str) -> DataFrame:
     """ST1: old bars arrive, then newer ones (volumes differ), then a replay of these."""
-    inbox, store, checkpoint, b = new_path(s), stores.AssetStore(s, new_path(s), 8), new_path(s), views.bars(s, d)
+    inbox, store, checkpoint, b = new_path(s), stores.AssetStore(s, new_path(s), 2000), new_path(s), views.bars(s, d)
     new = b.where(F.year("Date") >= 1996).withColumns({"Volume": F.when(F.col("Volume") % 2 == 0, F.col("Volume")), "AdjClose": F.col("AdjClose") * 1.5})
     for rows in (b.where(F.year("Date") < 1998), new, new):
         rows.select(*[c.split()[0] for c in schemas.SCHEMAS["bars"].split(", ")]).write.mode("append").parquet(inbox)

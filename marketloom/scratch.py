@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _folders: dict[str, SparkSession] = {}
 _local: list[str] = []
@@ -29,6 +30,11 @@ def new_path(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write once as Parquet and read back: lineage ends here, for plans that are used twice."""
     path = new_path(df.sparkSession)
@@ -36,6 +42,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of a few numbers per row is broadcast (some 10 MB).
+MOST_BROADCAST = 100_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A table of few rows, written once and counted: up to ``most`` rows it is broadcast
+    where it is joined, a larger one is joined by a shuffle."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,42 +2,124 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import exists, materialize
+from .manifest import Manifest
+
 FILE_PATTERN = r"output_prediction_[A-Za-z]+_(.+)_(\d{2}[A-Za-z]{3}\d{2})_(\d{4})(__completed)?\.parquet"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+#: Rows of a bucket beyond which it is split, and the most bits of a bucket's name.
+BUCKET_ROWS, MOST_BITS = 5_000_000, 24
 
 
 class AssetStore:
-    """Tables in a folder, partitioned by a bucket of the ticker; one ticker reads one bucket."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _bucket(self, c):
-        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+    """Tables in a folder, in buckets of tickers; one ticker reads one bucket.
 
-    def save(self, df: DataFrame, table: str) -> None:
-        """Replaces the buckets that ``df`` has rows for."""
-        (df.withColumn("bucket", self._bucket(F.col("ticker"))).repartition("bucket").sortWithinPartitions("ticker")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{table}"))
+    A bucket is named by the leading bits of the ticker's hash.  A save writes the touched
+    buckets anew, beside the old ones, and then changes the table's list of buckets
+    (``Manifest``), so that a table is always as it was before a save or after it.  A
+    bucket that grows beyond ``bucket_rows`` falls into smaller ones with longer names
+    when it is written; the others stay.  A ticker's rows are never torn apart.
+    """
 
-    def load(self, table: str, ticker: str | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/{table}")
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows = spark, path, bucket_rows
+
+    def _manifest(self, table: str) -> Manifest:
+        return Manifest(self.spark, f"{self.path}/{table}")
+
+    @staticmethod
+    def _bits(c: Column) -> Column:
+        return F.lpad(F.substring(F.bin(F.xxhash64(c)), -64, 64), 64, "0").substr(1, MOST_BITS)
+
+    @staticmethod
+    def _named(bits: Column, depths: list[int]) -> Column:
+        """Candidate names of a row's bucket, one for each length that occurs."""
+        return F.array(*[F.substring(bits, 1, n) for n in depths])
+
+    def _placed(self, df: DataFrame, buckets: dict) -> DataFrame:
+        """Rows with the ``_bucket`` that their ticker is in: there is one for every ticker."""
+        names = self.spark.createDataFrame([(n,) for n in buckets], "_bucket string")  # one row a bucket
+        depths = sorted({len(n) for n in buckets})
+        keyed = df.withColumn("_bits", self._bits(F.col("ticker"))).withColumn("_bucket", F.explode(self._named(F.col("_bits"), depths)))
+        return keyed.join(F.broadcast(names) if len(buckets) <= 100_000 else names, "_bucket")
+
+    def save(self, df: DataFrame, table: str, batch: tuple[str, int] | None = None) -> bool:
+        """Replace the rows of the tickers in ``df``; those of other tickers stay.
+
+        ``batch`` is (stream, number): a number that this stream has saved already, or a
+        lower one, changes nothing (False).
+        """
+        manifest = self._manifest(table)
+        version, content = manifest.read()
+        buckets, batches = content.get("buckets", {"": None}), content.get("batches", {})
+        if batch and batches.get(batch[0], -1) >= batch[1]:
+            return False
+        placed = materialize(self._placed(df, buckets))
+        touched = [r[0] for r in placed.select("_bucket").distinct().collect()]  # names of buckets
+        kept = [buckets[n]["path"] for n in touched if buckets[n]]
+        if kept:
+            old = self.spark.read.parquet(*[f"{manifest.path}/{p}" for p in kept]).select(*df.columns)
+            old = old.join(placed.select("ticker").distinct(), "ticker", "left_anti").select(*df.columns)
+            placed = placed.unionByName(self._placed(old, buckets))
+        sizes = {r["_bucket"]: r["n"] for r in placed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+        deeper = {n: min(MOST_BITS - len(n), max(0, (k - 1) // self.bucket_rows).bit_length()) for n, k in sizes.items()}
+        more = F.create_map(*[x for n, d in deeper.items() for x in (F.lit(n), F.lit(len(n) + d))]) if deeper else None
+        commit = uuid.uuid4().hex
+        new = {n: v for n, v in buckets.items() if n not in sizes}
+        if deeper:
+            leaf = F.substring("_bits", F.lit(1), F.element_at(more, F.col("_bucket")))
+            out = placed.withColumn("_leaf", F.concat(F.lit("b"), leaf)).drop("_bits", "_bucket")
+            out.repartition("_leaf").sortWithinPartitions("_leaf", "ticker").write.partitionBy("_leaf").parquet(f"{manifest.path}/data/{commit}")
+            written = {r["leaf"]: r["n"] for r in placed.groupBy(leaf.alias("leaf")).agg(F.count("*").alias("n")).collect()}
+            for n, d in deeper.items():
+                for k in range(1 << d):
+                    name = n + (f"{k:0{d}b}" if d else "")
+                    new[name] = {"path": f"data/{commit}/_leaf=b{name}", "rows": written[name]} if name in written else None
+        manifest.commit(version, {"buckets": new, "batches": batches | ({batch[0]: batch[1]} if batch else {})})
+        return True
+
+    def load(self, table: str, ticker: str | None = None, tickers: DataFrame | None = None) -> DataFrame:
+        """The table, of one ticker or of those in the column ``ticker`` of a table; only their buckets are read.
+
+        Raises ``FileNotFoundError`` if there is no table."""
+        manifest = self._manifest(table)
+        _, content = manifest.read()
+        buckets = content.get("buckets")
+        if not buckets:
+            raise FileNotFoundError(f"{self.path}: no table {table}")
+        wanted = None
         if ticker is not None:
-            bucket = self.spark.range(1).select(self._bucket(F.lit(ticker))).first()[0]
-            df = df.where((F.col("bucket") == bucket) & (F.col("ticker") == ticker))
-        return df.drop("bucket")
-
-    def exists(self, table: str, ticker: str) -> bool:
-        return _exists(self.spark, f"{self.path}/{table}") and bool(self.load(table, ticker).limit(1).count())
+            wanted = self.spark.createDataFrame([(ticker,)], "ticker string")
+        elif tickers is not None:
+            wanted = tickers.select("ticker").distinct()
+        names = list(buckets) if wanted is None else [r[0] for r in self._placed(wanted, buckets).select("_bucket").distinct().collect()]
+        full = [n for n in names if buckets[n]]
+        some = full or [n for n in buckets if buckets[n]][:1]
+        df = self.spark.read.parquet(*[f"{manifest.path}/{buckets[n]['path']}" for n in some])
+        df = df if full else df.limit(0)
+        return df.join(wanted, "ticker", "left_semi") if wanted is not None else df
+
+    def exists(self, table: str, ticker: str | None = None) -> bool:
+        if not any(self._manifest(table).read()[1].get("buckets", {}).values()):
+            return False
+        return ticker is None or not self.load(table, ticker).isEmpty()
+
+    def vacuum(self, table: str) -> int:
+        """Delete the folders that the last version doesn't name; nobody may be reading an older one."""
+        manifest = self._manifest(table)
+        _, content = manifest.read()
+        named = {f"{manifest.path}/{b['path']}" for b in content.get("buckets", {}).values() if b}
+        gone = manifest.unnamed(f"{manifest.path}/data", named)
+        for path in gone:
+            manifest.delete(path)
+        return len(gone)
 
 
 class GroupStore:
@@ -65,9 +147,19 @@ class FeatureStore:
     def write(self, df: DataFrame, kind: str, group: str, year: int) -> None:
         df.write.mode("overwrite").parquet(self._at(kind, group, year))
 
+    def write_years(self, df: DataFrame, kind: str, group: str, years: Sequence[int]) -> None:
+        """All years of a group by one pass; years without rows get an empty table."""
+        at, names = f"{self.path}/kind={kind}/group={group}", list(years)
+        own = df.withColumn("year", F.year("Date")).where(F.col("year").isin(names))
+        own.repartition("year", F.pmod(F.xxhash64("ticker"), F.lit(16))).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("year").parquet(at)
+        for y in names:
+            if not exists(self.spark, f"{at}/year={y}"):
+                df.limit(0).write.parquet(f"{at}/year={y}")
+
     def read(self, kind: str, group: str, years: Sequence[int]) -> DataFrame:
         """The years together; a missing one raises ``FileNotFoundError``."""
-        missing = [y for y in years if not _exists(self.spark, self._at(kind, group, y))]
+        missing = [y for y in years if not exists(self.spark, self._at(kind, group, y))]
         if missing:
             raise FileNotFoundError(f"{kind}, {group}: no features of {missing}")
         return self.spark.read.option("basePath", self.path).parquet(*[self._at(kind, group, y) for y in years])
@@ -88,9 +180,33 @@ def discover_outputs(spark: SparkSession, folder: str, pattern: str = FILE_PATTE
     ).orderBy("date", "time", "group")
 
 
-def read_tolerant(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
-    """Result files; unreadable ones are skipped."""
-    return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(*paths)
+def unreadable(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(path, error) of result files without a readable footer, in order.
+
+    The footers of all files are read by one job; only if it fails, halves of the list are
+    tried, so that few broken files among many cost few jobs.
+    """
+    def probe(some: list[str]) -> list[tuple[str, str]]:
+        try:
+            if some:
+                spark.read.option("mergeSchema", True).parquet(*some).schema  # noqa: B018  reads the footers
+            return []
+        except Exception as e:
+            if len(some) == 1:
+                return [(some[0], str(e).strip().splitlines()[0][:300])]
+            return probe(some[:len(some) // 2]) + probe(some[len(some) // 2:])
+    return probe(list(paths))
+
+
+def read_tolerant(spark: SparkSession, paths: Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the result files that can be read, and a table (path, error) of those that were skipped.
+
+    A file is skipped as a whole or not at all: one that breaks off behind a good footer is an error.
+    """
+    skipped = unreadable(spark, paths)
+    good = [p for p in paths if p not in {s[0] for s in skipped}]
+    rows = spark.read.schema(schema).parquet(*good) if good else spark.createDataFrame([], schema)
+    return rows, spark.createDataFrame(skipped, "path string, error string")
 
 
 def in_order(df: DataFrame, order: Sequence[str] = ("date", "ticker")) -> DataFrame:
@@ -102,7 +218,7 @@ def in_order(df: DataFrame, order: Sequence[str] = ("date", "ticker")) -> DataFr
 
 def write_result(df: DataFrame, path: str, complete: str | None = None) -> bool:
     """Write in order unless it is there already, or (``complete``) any value of that column is NULL."""
-    if _exists(df.sparkSession, path) or (complete and df.where(F.col(complete).isNull()).limit(1).count()):
+    if exists(df.sparkSession, path) or (complete and df.where(F.col(complete).isNull()).limit(1).count()):
         return False
     in_order(df).write.parquet(path)
     return True

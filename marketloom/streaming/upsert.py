@@ -6,27 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import merge_bars
-from ..scratch import materialize
 from ..sources.schemas import SCHEMAS
-from ..sources.stores import AssetStore, _exists
+from ..sources.stores import AssetStore
+
+#: Which of two values for one ticker and date is the later one: that of the later file, then by
+#: the file's name, then the later row of a file.
+ORDER = ("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+
+
+def latest(batch: DataFrame) -> DataFrame:
+    """One row for each ticker and date of a batch that carries ``_order``: of each column the last value that is not NULL."""
+    columns = [c for c in batch.columns if c not in ("ticker", "Date", "_order")]
+    return batch.groupBy("ticker", "Date").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in columns])
 
 
 def upsert_bars(spark: SparkSession, incoming: str, store: AssetStore, checkpoint: str) -> None:
     """ST1: read what is new in ``incoming`` (Parquet bars), merge it over the stored bars of the touched
-    tickers, and write their buckets.  New values win; a replayed file changes nothing.
+    tickers, and replace these.
+
+    New values win; among new ones the last that arrived (``ORDER``), whatever the order in
+    which Spark reads them.  A replayed file changes nothing.  The store notes the number
+    of each batch of this ``checkpoint`` together with its rows, so a batch that is run again after a
+    failure is saved once.
     """
-    def merge(batch: DataFrame, _epoch: int) -> None:
-        new = batch.groupBy("ticker", "Date").agg(*[
-            F.last(c, True).alias(c) for c in batch.columns if c not in ("ticker", "Date")])
-        if _exists(spark, f"{store.path}/bars"):
-            # all rows of the touched buckets are written again, as a bucket is the unit of replacement
-            buckets = [r[0] for r in new.select(store._bucket(F.col("ticker"))).distinct().collect()]
-            old = spark.read.parquet(f"{store.path}/bars").where(F.col("bucket").isin(buckets)).drop("bucket")
-            merged = merge_bars(old, new)
-        else:
-            merged = new
-        store.save(materialize(merged), "bars")  # the store can't be read and replaced at once
-
-    stream = spark.readStream.schema(SCHEMAS["bars"]).parquet(incoming)
+    def merge(batch: DataFrame, number: int) -> None:
+        new = latest(batch)
+        if store.exists("bars"):
+            new = merge_bars(store.load("bars", tickers=new), new)
+        store.save(new, "bars", (checkpoint, number))
+
+    stream = spark.readStream.schema(SCHEMAS["bars"]).parquet(incoming).select("*", F.struct(*[F.col(c) for c in ORDER]).alias("_order"))
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -1,17 +1,19 @@
 """Screens, weights, backtests and Fourier features against plain arithmetic."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.functions import fourier
+from marketloom.functions import exprs, fourier
+from marketloom.operators import halo
 from marketloom.operators import joins as J
 from marketloom.operators.aggregates import trading_days
 from marketloom.operators.quantiles import quantile_row, quantile_table
 from marketloom.plans import blocks, learning, screens
-from marketloom.sources import schemas
+from marketloom.sources import schemas, views
 
 
 def d(text):
@@ -102,6 +104,10 @@ def test_matching_weights_bring_bins_together(panel):
     low = lambda rs, w: sum(w(r) for r in rs if r.a <= -0.5) / sum(w(r) for r in rs)
     assert low(rows, lambda r: r.weight) < 0.5 * low(rows, lambda _: 1)
     assert {r.weight for r in screens.tree_weights(train, test, ["a", "b", "c"], "ticker", match=False).collect()} == {1.0}
+    few = screens.matching_weights(train, test, ["a", "b"], "ticker", 4, 0.05, 50, tolerance=1e-9)
+    more = screens.matching_weights(train, test, ["a", "b"], "ticker", 4, 0.05, 60)
+    weights = lambda rows: {(r.ticker, r.Date): r.weight for r in rows.collect()}
+    assert weights(few) == pytest.approx(weights(more), rel=1e-6)
     chosen = screens.matching_features(["MathFeature_Price_Diff1", "a_lag", "Fourier_x", "Fourier_y"], {"Fourier_x": 0.5, "Fourier_y": 0.2}, ["Fourier"], "MathFeature", 1)
     assert chosen == ["Fourier_x"] and screens.matching_features(["MathFeature_Price_Diff1", "b"], {}, ["none"], "MathFeature") == ["MathFeature_Price_Diff1"]
     matched = screens.tree_weights(train, test, ["a", "b", "c"], "ticker", patterns=["a"], keep=1, bins=4, floor=0.05).collect()
@@ -177,3 +183,89 @@ def test_fourier_features_by_definition(spark):
                 else:
                     want = by_definition(values[k - n + 1:k + 1], 8, 5)
                     assert found == pytest.approx(want[:-1].tolist(), abs=1e-9) and r[f"{name}_ratio_MH{m}"] == pytest.approx(want[-2] / want[-1])
+
+
+def test_linear_screen_does_not_depend_on_partitions(panel):
+    got = [screens.linear_screen(panel.repartition(n), ["a", "b"], "t", 0.8, epochs=3, noise=0.05, subsample=0.5, seed=3) for n in (1, 4, 16)]
+    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
+
+
+def test_keyed_random_numbers(spark):
+    df = spark.range(20_000).select("id", exprs.keyed_uniform(["id"], 1).alias("u"), exprs.keyed_normal(["id"], 1).alias("z"))
+    r = df.agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("z"), F.stddev("z"), F.corr("u", "z")).first()
+    assert 0 < r[0] < 0.001 and 0.999 < r[1] < 1 and abs(r[2] - 0.5) < 0.01 and abs(r[3]) < 0.03 and abs(r[4] - 1) < 0.02 and abs(r[5]) < 0.03
+
+
+def test_rolling_by_position_in_slices(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, f"2024-01-{1 + i // 9:02d}", f"{i % 9}", None if rng.random() < 0.02 else float(rng.normal()), bool(rng.random() < 0.7)) for k in (0,) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, Date string, ticker string, x double, on boolean").withColumn("Date", F.to_date("Date"))
+    placed, dates = halo.with_positions(df, {"a": F.col("on"), "b": F.lit(True)})
+    assert dates.count() == 23 and sorted(r.p for r in placed.select(F.col("_pos")[1].alias("p")).collect()) == list(range(200))
+    hits = [r for r in sorted(rows, key=lambda r: (r[1], r[2])) if r[4]]
+    want = []
+    for i in range(len(hits)):
+        frame = [r[3] for r in hits[i - 4:i + 1]] if i >= 4 else []
+        want.append(sum(frame) / 5 if frame and None not in frame else None)
+    on = placed.where("on").select("k", F.col("_pos")[0].alias("pos"), "x")
+    for size in (5, 7, 50, 1000):
+        got = [r.m for r in halo.rolling_mean_by_position(on, ["k"], "pos", "x", 5, "m", size).orderBy("pos").collect()]
+        assert [g is None for g in got] == [w is None for w in want] and all(g == pytest.approx(w, abs=1e-12) for g, w in zip(got, want, strict=True) if w is not None)
+
+
+def test_ridge_path_takes_two_passes_and_equals_single_fits(spark):
+    rng = np.random.default_rng(2)
+    rows = [(x.tolist(), int(abs(x[0]) > abs(x[1]))) for x in rng.normal(size=(400, 5))]
+    df = spark.createDataFrame(rows, "v array<double>, y int")
+    train, check = df.limit(300), df.subtract(df.limit(300))
+    path = learning.ridge_path(learning.RandomProjection(5), train, "v", "y", [0.1, 10.0])
+    for w, ridge in zip(path, (0.1, 10.0), strict=True):
+        assert w == pytest.approx(learning.RandomProjection(5, ridge=ridge).fit(train, "v", "y").weights, abs=1e-6)
+    best = learning.best_ridge(train, check, "v", "y", 5)
+    counts = learning.right_counts(best, path, check, "v", "y")
+    assert counts[0][1] == check.count() and counts[0][0] > 0.65 * counts[0][1]
+    right = best.predict(check, "v").where("predicted = y").count()
+    assert right >= counts[0][0] - 20
+
+
+def test_backtest_resumes(panel, tmp_path):
+    cuts, seen = [learning.Date(2024, 1, 10), learning.Date(2024, 1, 15), learning.Date(2024, 1, 20)], []
+
+    class Model:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("a"))
+
+    def fit(train, *_):
+        seen.append(1)
+        return Model()
+
+    whole = learning.backtest(panel, ["a", "b"], "t", cuts, 5, 2, fit, path=f"{tmp_path}/all").collect()
+
+    def failing(train, *_):
+        seen.append(1)
+        if len(seen) == 5:
+            raise RuntimeError("lost")
+        return Model()
+
+    with pytest.raises(RuntimeError, match="lost"):
+        learning.backtest(panel, ["a", "b"], "t", cuts, 5, 2, failing, path=f"{tmp_path}/part", at_once=1)
+    before = len(seen)
+    again = learning.backtest(panel, ["a", "b"], "t", cuts, 5, 2, fit, path=f"{tmp_path}/part", at_once=2)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, whole)) and len(seen) < before + 3
+    count = len(seen)
+    assert learning.backtest(panel, ["a", "b"], "t", cuts, 5, 2, fit, path=f"{tmp_path}/part").count() == len(whole) and len(seen) == count
+
+
+def test_default_families_find_columns_of_the_blocks(spark, sf_dir):
+    bars = views.bars(spark, sf_dir, "brand")
+    p = {"lags": (1, 2), "months": (1,)}
+    columns = blocks.mathematical(bars, p).columns
+    assert screens.matching_features(columns, {}, [], screens.MATCH_FAMILIES["price_differences"], 50)
+    columns = [*columns, *blocks.group_dynamics(bars, p).columns, *blocks.fourier_block(bars, p).columns, *blocks.indicator_block(bars, p).columns,
+               *blocks.financial(bars, p, fin_q=views.fin_q(spark, sf_dir), fin_a=views.fin_a(spark, sf_dir)).columns]
+    for name, pattern in screens.MATCH_FAMILIES.items():
+        assert any(re.search(pattern, c) for c in columns), name
+    own = blocks.mathematical(bars, p).dropna()
+    train, test = own.where("Date < '1995-06-01'"), own.where("Date >= '1995-06-01'")
+    features = [c for c in own.columns if c not in bars.columns]
+    assert screens.tree_weights(train, test, features, "ticker", bins=5).select("weight").distinct().count() > 1

@@ -2,6 +2,9 @@
 
 import datetime as dt
 import json
+import os
+import shutil
+import tempfile
 
 import numpy as np
 import pytest
@@ -19,7 +22,7 @@ from marketloom.operators import samples as P
 from marketloom.operators import windows as W
 from marketloom.plans import blocks, ledger, learning
 from marketloom.sources import schemas, stores, vendor
-from marketloom.streaming.upsert import upsert_bars
+from marketloom.streaming.upsert import latest, upsert_bars
 
 
 def d(text):
@@ -185,6 +188,87 @@ def test_stores_and_streaming_upsert(spark, tmp_path):
     assert [r.ticker for r in groups.load("g").collect()] == ["A"]
 
 
+def test_the_later_of_two_files_in_one_batch_wins(spark, tmp_path):
+    one = bars(spark, [("A", "2024-01-01", 10.0, 10.0, 1.0, 0.0, 1.0), ("B", "2024-01-01", 1.0, 1.0, 7.0, 0.0, 1.0)])
+    two = bars(spark, [("A", "2024-01-01", 20.0, 20.0, 1.0, 0.0, 1.0), ("B", "2024-01-01", 2.0, 2.0, None, 0.0, 1.0)])
+    for order in ((one, two), (two, one)):
+        home = tempfile.mkdtemp(dir=tmp_path)
+        for k, rows in enumerate(order):
+            rows.coalesce(1).write.parquet(f"{home}/part{k}")
+            os.makedirs(f"{home}/in", exist_ok=True)
+            part = next(f for f in os.listdir(f"{home}/part{k}") if f.endswith(".parquet"))
+            to = f"{home}/in/{'z' if k == 0 else 'a'}.parquet"  # names against the order of arrival
+            shutil.copy(f"{home}/part{k}/{part}", to)
+            os.utime(to, (1_700_000_000 + k, 1_700_000_000 + k))
+        store = stores.AssetStore(spark, f"{home}/store")
+        upsert_bars(spark, f"{home}/in", store, f"{home}/check")
+        got = {r.ticker: (r.Close, r.Volume) for r in store.load("bars").collect()}
+        assert got == ({"A": (20.0, 1.0), "B": (2.0, 7.0)} if order[0] is one else {"A": (10.0, 1.0), "B": (1.0, 7.0)})
+    many = one.withColumn("_order", F.lit(1)).unionByName(two.withColumn("_order", F.lit(2)))
+    assert {r.ticker: (r.Close, r.Volume) for r in latest(many.repartition(5)).collect()} == {"A": (20.0, 1.0), "B": (2.0, 7.0)}
+
+
+def test_a_save_that_breaks_off_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    store = stores.AssetStore(spark, f"{tmp_path}/store")
+    old = spark.createDataFrame([("A", 1), ("B", 2)], "ticker string, x int")
+    assert store.save(old, "t", ("s", 0)) and not store.save(old.limit(0), "t", ("s", 0))
+    new = spark.createDataFrame([("A", 9)], "ticker string, x int")
+
+    def killed(*_):
+        raise RuntimeError("killed before the swap")
+
+    with monkeypatch.context() as m:
+        m.setattr(stores.Manifest, "commit", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            store.save(new, "t", ("s", 1))
+    assert sorted(map(tuple, store.load("t").collect())) == [("A", 1), ("B", 2)]
+    assert store.save(new, "t", ("s", 1)) and not store.save(old, "t", ("s", 1))  # a replay of the batch
+    assert sorted(map(tuple, store.load("t").collect())) == [("A", 9), ("B", 2)]
+    assert store.vacuum("t") == 2 and store.vacuum("t") == 0
+    assert sorted(map(tuple, store.load("t").collect())) == [("A", 9), ("B", 2)]
+    manifest = stores.Manifest(spark, f"{tmp_path}/store/t")
+    version, content = manifest.read()
+    with pytest.raises(RuntimeError, match="changed since"):
+        manifest.commit(version - 1, content)
+
+
+def test_buckets_split_by_size(spark, tmp_path):
+    store = stores.AssetStore(spark, f"{tmp_path}/store", bucket_rows=100)
+    rows = lambda a, b, x: spark.range(a, b).select(F.concat(F.lit("T"), F.col("id") % 40).alias("ticker"), F.lit(x).alias("x"), "id")
+    store.save(rows(0, 60, 0), "t")
+    buckets = lambda: stores.Manifest(spark, f"{tmp_path}/store/t").read()[1]["buckets"]
+    assert set(buckets()) == {""}
+    store.save(rows(0, 1200, 1), "t")
+    assert len(buckets()) == 16 and sum(b["rows"] for b in buckets().values() if b) == 1200
+    assert store.load("t").groupBy("ticker").count().where("count <> 30").isEmpty() and store.load("t").count() == 1200
+    before = buckets()
+    store.save(spark.createDataFrame([("T7", 5, 0)], "ticker string, x int, id long"), "t")
+    changed = [n for n in before if before[n] != buckets()[n]]
+    assert len(changed) == 1 and [tuple(r) for r in store.load("t", "T7").collect()] == [("T7", 5, 0)]
+    assert store.load("t").count() == 1171 and store.load("t", "none").isEmpty() and not store.exists("t", "none")
+    with pytest.raises(FileNotFoundError):
+        store.load("other")
+
+
+def test_years_of_a_group_are_built_once(spark, tmp_path):
+    own = bars(spark, [(t, f"{y}-03-0{k}", float(k), 1.0, 1.0, 0.0, 1.0) for t in "AB" for y in (2020, 2021, 2023) for k in (1, 2)])
+    groups = spark.createDataFrame([("g", "A"), ("h", "B"), ("h", "A")], "group string, ticker string")
+    calls = []
+
+    def build(df):
+        calls.append(df)
+        if len(calls) == 3:
+            raise ValueError("no features")
+        return df.withColumn("f", F.col("Close") * 2)
+
+    assert blocks.yearly_features(own, build, groups, ["g", "h"], [2020, 2021, 2022], str(tmp_path)) == {} and len(calls) == 2
+    store = stores.FeatureStore(spark, str(tmp_path))
+    assert store.read("tree", "h", [2020, 2021]).count() == 8 and store.read("tree", "g", [2022]).isEmpty()
+    failing = lambda df: df.where(F.when(F.year("Date") == 2021, F.raise_error(F.lit("bad year"))).otherwise(True))
+    failed = blocks.yearly_features(own, failing, groups, ["g"], [2020, 2021], f"{tmp_path}/x")
+    assert ("g", 2021) in failed and "bad year" in failed["g", 2021]
+
+
 def test_outputs(spark, tmp_path):
     name = f"{tmp_path}/output_prediction_Model_g1_02Jan24_0930.parquet"
     df = spark.createDataFrame([(d("2024-01-01"), "A", 10.0, 1.1)], "date date, ticker string, Close double, prediction_ratio double")
@@ -194,7 +278,12 @@ def test_outputs(spark, tmp_path):
     found = stores.discover_outputs(spark, str(tmp_path)).collect()
     assert {(r.group, str(r.date), r.time, r.completed) for r in found} == {("g1", "2024-01-02", "0930", False), ("g1", "2024-01-02", "0930", True)}
     (tmp_path / "bad.parquet").write_bytes(b"not parquet")
-    assert stores.read_tolerant(spark, [name, str(tmp_path / "bad.parquet")], df.schema.simpleString()[7:-1].replace(":", " ")).count() == 1
+    schema = df.schema.simpleString()[7:-1].replace(":", " ")
+    rows, skipped = stores.read_tolerant(spark, [name, str(tmp_path / "bad.parquet"), str(tmp_path / "none.parquet")], schema)
+    told = {r.path.rsplit("/", 1)[1]: r.error for r in skipped.collect()}
+    assert rows.count() == 1 and set(told) == {"bad.parquet", "none.parquet"} and all(told.values())
+    rows, skipped = stores.read_tolerant(spark, [str(tmp_path / "bad.parquet")], schema)
+    assert rows.columns == df.columns and rows.isEmpty() and skipped.count() == 1
 
 
 def test_vendor_files(spark, tmp_path):
