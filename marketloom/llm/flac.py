@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import slices
+from ._bytes import ranges, slices, text_sizes
 from ._names import Named
+from ._scratch import materialize
 
 #: Samples of a frame and of a payload's unit; frames between two seek points.
 BLOCK, SEEK_EVERY = 192, 64
@@ -541,39 +542,60 @@ def decode_flac(docs: DataFrame, media_col: str = "media", block: int = BLOCK *
 
 
 def store_and_read(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds what a round trip of each text through FLAC gives.
+    """Stores each text as FLAC, reads the stored bytes back and adds what they give.
 
     ``n_bytes`` (without padding), ``payload_bytes``, ``payload_sha256`` and
     ``tail_crc32`` (last 16 bytes) of the payload as decoded, ``media_bytes`` and
     ``media_sha256`` of the stream, and ``feature``: samples, frames, sum, energy and
-    sign changes of the decoded signal.  Null text counts as empty; equal texts get
-    equal values; texts are coded whole.  Columns with the names of added ones are replaced.
+    sign changes of the decoded signal, added up over its PCM blocks.  Null text counts as
+    empty; equal texts get equal values; texts are coded whole.  Columns with the names of
+    added ones are replaced.
+
+    The streams are written as a Parquet column in the shared folder and decoded by a job
+    of its own that reads only this table.
     """
     added = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     named = Named(docs, added)
     text_col = named.plain(text_col)
     columns = named.kept = [c for c in named.kept if c != text_col]
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             for a, b in slices(texts, 1 << 19):
-                media = encode([pad(t) for t in texts[a:b]])
-                rows = []
-                for text, stored, got in zip(texts[a:b], media, decode(media), strict=True):
-                    s = got.samples
-                    payload = (s + 128).astype(np.uint8).tobytes()
-                    turns = int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))
-                    wide = s.astype(np.int64)
-                    rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
-                                 len(stored), hashlib.sha256(stored).hexdigest(),
-                                 f"{len(s)}:{len(got.sizes)}:{int(wide.sum())}:{int((wide * wide).sum())}:{turns}"))
                 piece = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(c) for c in columns] + [pa.array([r[j] for r in rows], t) for j, t in enumerate((
-                        pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                    [*(piece.column(c) for c in columns), pa.array([len(t) for t in texts[a:b]], pa.int64()),
+                     pa.array(encode([pad(t) for t in texts[a:b]]), pa.binary())], names=[*columns, "n_bytes", "flac"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in ranges(text_sizes(batch.column("flac")), 1 << 19):
+                piece = batch.slice(a, b - a)
+                media = piece.column("flac").to_pylist()
+                rows = [_facts(stored, got) for stored, got in zip(media, decode(media), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(c) for c in [*columns, "n_bytes"]] + [pa.array([r[j] for r in rows], t) for j, t in enumerate((
+                        pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
                     names=[*columns, *added])
 
+    stored = materialize(named.df.mapInArrow(store, T.StructType([
+        *named.fields(), T.StructField("n_bytes", T.LongType()), T.StructField("flac", T.BinaryType())])))
     kinds = (T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
     schema = T.StructType(named.fields() + [T.StructField(c, t) for c, t in zip(added, kinds, strict=True)])
-    return named.back(named.df.mapInArrow(apply, schema), *added)
+    return named.back(stored.mapInArrow(read, schema), *added)
+
+
+def _facts(stored: bytes, got: Decoded, block: int = BLOCK * SEEK_EVERY) -> tuple:
+    """What ``store_and_read`` tells of a stream, block after block of its PCM."""
+    sha, tail, total, energy, turns, last = hashlib.sha256(), b"", 0, 0, 0, None
+    for k in range(0, len(got.samples), block):
+        s = got.samples[k:k + block]
+        payload = (s + 128).astype(np.uint8).tobytes()
+        sha.update(payload)
+        tail, wide = (tail + payload[-16:])[-16:], s.astype(np.int64)
+        total, energy = total + int(wide.sum()), energy + int((wide * wide).sum())
+        turns += int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0))) + int(last is not None and (s[0] < 0) != (last < 0))
+        last = s[-1]
+    return (len(got.samples), sha.hexdigest(), zlib.crc32(tail), len(stored), hashlib.sha256(stored).hexdigest(),
+            f"{len(got.samples)}:{len(got.sizes)}:{total}:{energy}:{turns}")
