@@ -27,6 +27,8 @@ LEAST_PART, MOST_PART = 4 << 20, 256 << 20
 MAX_GROUP = 2000
 #: Symbols that are sorted in one suffix array.
 BATCH = 1 << 16
+#: Greatest period and least length of a stretch that repeats itself.
+MOST_PERIOD, LEAST_REPEAT = 13, 128
 #: Windows whose places are looked for at once, and the bits of a place.
 SPAN, PLACE = 1 << 15, 16
 _U, _LAST = np.uint64, np.iinfo(np.int64).max
@@ -108,8 +110,48 @@ def parts(level: int) -> list[tuple[int, int]]:
     return [(k, k + size - 1) for k in range(0, SIDE + 1, size)]
 
 
-def find_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
-    """Runs of the texts that stand in ``data`` one after another (and 64 bytes more)."""
+def repeats(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, period): stretches of one text in which every byte equals the one
+    ``period`` bytes before, with the least period, of at most MOST_PERIOD.
+
+    In a stretch each window but the first ``period`` ones equals an earlier one of its
+    document, so it has its fate and needs no run.  (Otherwise a text of one byte would
+    have a run for every byte.)  Long stretches are seen at every 64th place.
+    """
+    n, begins = (int(ends[-1]) if len(ends) else 0), np.append(0, ends[:-1])
+    places, found = np.arange(0, max(n - 16 - MOST_PERIOD, 0), 64), []
+    for period in range(1, MOST_PERIOD + 1):
+        hit = places[(_words(data, places) == _words(data, places + period)) & (_words(data, places + 8) == _words(data, places + period + 8))]
+        cut = np.flatnonzero(np.diff(hit) > 64) + 1
+        for area in np.split(hit, cut) if len(hit) else []:
+            low, high = max(int(area[0]) - 64, 0), min(int(area[-1]) + 128, n)
+            same = np.concatenate(([False], data[low:high - period] == data[low + period:high], [False]))
+            edge = np.flatnonzero(same[1:] != same[:-1])
+            for a, b in zip(edge[::2] + low, edge[1::2] + low + period, strict=True):
+                first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b - 1, side="right")
+                for k in range(first, last + 1) if b - a >= LEAST_REPEAT else ():
+                    start, stop = max(a, begins[k]), min(b, ends[k])
+                    if stop - start >= LEAST_REPEAT:
+                        found.append((start, stop, period))
+        if found:  # a stretch has the multiples of its period too
+            start, stop = np.array(sorted(f[:2] for f in found)).T
+            at = np.searchsorted(start, places, side="right") - 1
+            places = places[(at < 0) | (places + 17 + period > stop[at])]
+    return tuple(np.array(sorted(found), dtype=np.int64).reshape(-1, 3).T)
+
+
+def find_runs(data: np.ndarray, ends: np.ndarray, skip: tuple[np.ndarray, np.ndarray] | None = None) -> Runs:
+    """Runs of the texts that stand in ``data`` one after another (and 64 bytes more),
+    without the windows in the ranges ``skip``."""
+    skip_from, skip_to = (np.empty(0, dtype=np.int64),) * 2 if skip is None else skip
+
+    def skipped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Is a window in a range, and where does this end?"""
+        if not len(skip_from):
+            return np.zeros(len(at), dtype=bool), at
+        k = np.searchsorted(skip_from, at, side="right") - 1
+        return (k >= 0) & (at < skip_to[k]), skip_to[k]
+
     n, width = (int(ends[-1]) if len(ends) else 0) - LENGTH + 1, SIDE + 1
     none = np.empty(0, dtype=np.int64)
     if n <= 0:
@@ -118,6 +160,10 @@ def find_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
     changes, places, now = [], [], -1
     for begin in range(0, n, SPAN):
         some, size = min(SPAN, n - begin), 1
+        within, until = skipped(np.array([begin]))
+        if within[0] and until[0] >= begin + some:
+            now = -1
+            continue
         near = np.ndarray((some + width - 1,), "<u8", data, offset=begin, strides=(1,)) * GOLDEN
         least = ((near >> _U(32)).astype(np.uint32) & ~low) | index[:len(near)]
         while size * 2 <= width:
@@ -126,19 +172,21 @@ def find_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
         at = (np.minimum(least[:some], least[width - size:width - size + some]) & low).astype(np.int64) + begin
         new = np.flatnonzero(at[1:] != at[:-1]) + 1
         new = new if at[0] == now else np.append(0, new)
-        changes.append(new + begin)
-        places.append(at[new])
-        now = at[-1]
+        within, until = skipped(new + begin)
+        drop = within & (np.append(new[1:], some) + begin <= until)  # what follows is skipped as well
+        changes.append(new[~drop] + begin)
+        places.append(at[new[~drop]])
+        now = -1 if len(drop) and drop[-1] else at[-1]
     first, at = np.concatenate(changes), np.concatenate(places)
     begins = np.append(0, ends[:-1])
     stops = np.maximum(ends - LENGTH + 1, begins)  # the first window that leaves its text
-    cut = np.sort(np.concatenate((begins, stops)))
+    cut = np.sort(np.concatenate((begins, stops, skip_from, skip_to)))
     cut = cut[np.append(True, cut[1:] != cut[:-1]) & (cut < n)]
     to = np.searchsorted(first, cut, side="right")
     new = first[to - 1] != cut
     first, at = np.insert(first, to[new], cut[new]), np.insert(at, to[new], at[to[new] - 1])
     last = np.append(first[1:], n) - 1
-    inside = first < stops[_owners(first, ends)]
+    inside = (first < stops[_owners(first, ends)]) & ~skipped(first)[0]
     first, last, at = first[inside], last[inside], at[inside]
     return Runs(at, at - last, at - first, np.zeros(len(at), dtype=np.int64), 0)
 
@@ -226,7 +274,9 @@ class Block:
         else:
             self.body = zstandard.ZstdDecompressor().decompress(row["body"])
             self.data, self.ends = np.frombuffer(self.body + _PAD, dtype=np.uint8), np.cumsum(row["sizes"], dtype=np.int64)
-            self.runs = find_runs(self.data, self.ends)
+            self.repeats = repeats(self.data, self.ends)
+            start, stop, period = self.repeats
+            self.runs = find_runs(self.data, self.ends, (start + period, stop - LENGTH + 1))
             ids = np.array([_LAST if i is None else i for i in row["ids"]], dtype=np.int64)
             self.place = self.runs.start
             self.owner = ids[_owners(self.place, self.ends)]
@@ -478,7 +528,7 @@ def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _covered(b: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """What the answers to a block's runs take from it, as stretches of its bytes."""
+    """Windows of a block that the answers to its runs take from it, as ranges of their places."""
     which, new = b.collapse(b.marks(row)[0])
     if not len(which):
         return np.empty((2, 0), dtype=np.int64)
@@ -490,15 +540,27 @@ def _covered(b: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
         masks[edge[k]:edge[k + 1]] = _unpack(answers[number], np.uint32)[0]
     place, size, owner = b.place[which], b.runs.take(which).size, b.owner[which]
     whole = np.minimum.reduceat(owner, np.flatnonzero(new))[group] < owner  # the least id of the block's has sent it
-    start, end = [place[whole]], [(place + size)[whole]]
+    start, end = [place[whole]], [(place + size)[whole] - LENGTH + 1]
     part = np.flatnonzero(~whole & (masks[group] > 0))
     for j in range(SIDE + 1):
         hit = place[part[(masks[group[part]] >> np.uint32(j)) & 1 > 0]] + j
         start.append(hit)
-        end.append(hit + LENGTH)
+        end.append(hit + 1)
     return _merge(np.concatenate(start), np.concatenate(end))
 
 
+def _bytes_of(start: np.ndarray, end: np.ndarray, stretches: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that ranges of windows cover, those of the windows that equal one of them in
+    a stretch that repeats itself included."""
+    more = []
+    for begin, stop, period in zip(*(x.tolist() for x in stretches), strict=True):
+        for k in range(np.searchsorted(end, begin, side="right"), np.searchsorted(start, begin + period)):
+            for place in range(max(int(start[k]), begin), min(int(end[k]), begin + period)):
+                more.append((place, place + (stop - LENGTH - place) // period * period + LENGTH))
+    extra = np.array(more, dtype=np.int64).reshape(-1, 2).T
+    return _merge(np.concatenate([start, extra[0]]), np.concatenate([end + LENGTH - 1, extra[1]]))
+
+
 def _spans(level: int, bits: int):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -520,7 +582,7 @@ def _remove(bits: int, with_text: bool):
             for row in _rows(batch):
                 b = Block(row, 0, bits)
                 found = [_covered(b, row), *(_unpack(x, np.int64, np.int64) for x in row["gone"] or [])]
-                start, end = _merge(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                start, end = _bytes_of(*_merge(*(np.concatenate(c) for c in zip(*found, strict=True))), b.repeats)
                 # what touches at the bound of two texts is two stretches
                 cut = np.unique(b.ends[:-1])
                 at = np.searchsorted(start, cut) - 1

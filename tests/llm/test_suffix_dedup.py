@@ -137,3 +137,36 @@ def test_passages_beyond_16_mib_of_a_text(spark):
     out = {r.doc_id: r for r in repeated_bytes(rows).collect()}
     assert [(s.start, s.end) for s in out[2].spans] == [(at + 1, at + 301)]
     assert (out[1].n_removed, out[3].n_removed) == (0, 400)
+
+
+def test_texts_that_repeat_themselves(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            unit = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 16)))
+            parts.append((unit * 400)[rng.randrange(20):][:rng.choice([40, 130, 300, 1500])])
+            parts.append("".join(rng.choice("abcdefgh ") for _ in range(rng.choice([0, 1, 30, 200]))))
+        rows.append((i, "".join(parts)))
+    rows += [(100, "a" * 5000), (101, "a" * 49), (102, "a" * 50), (103, "a" * 131), (104, "b" + "a" * 700 + "b"), (105, "ab" * 900), (99, "ab" * 70), (106, " " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_force(rows)
+    assert got(df) == want
+    assert got(df.repartition(5), max_group=2) == want
+
+
+def test_stretches_and_memory_of_one_long_repetition():
+    text = b"q" * 200 + b"xyz" * 100_000 + b"\0" * (4 << 20) + b"end" + b"z" * 300
+    data, ends = np.frombuffer(text + bytes(64), dtype=np.uint8), np.array([len(text) - 300, len(text)])
+    start, stop, period = suffix_dedup.repeats(data, ends)
+    assert list(zip(start.tolist(), stop.tolist(), period.tolist(), strict=True)) == [
+        (0, 200, 1), (200, 300_200, 3), (300_200, 300_200 + (4 << 20), 1), (len(text) - 300, len(text), 1)]
+    runs = find_runs(data, ends, (start + period, stop - LENGTH + 1))
+    assert len(runs.at) < 1000
+    whole = find_runs(data, ends)
+    skip = np.zeros(len(text), dtype=bool)
+    for a, b, p in zip(start, stop, period, strict=True):
+        skip[a + p:b - LENGTH + 1] = True
+    windows = lambda r: {(int(a - w), int(a)) for a, lo, hi in zip(r.at, r.low, r.high, strict=True) for w in range(lo, hi + 1)}
+    assert windows(runs) == {w for w in windows(whole) if not skip[w[0]]}
