@@ -299,7 +299,6 @@ _DAYS = """x AS (SELECT *, date_diff('day', DATE '1992-01-01', "Date") / 365.0::
 add("a26_line_fit", lambda s, d: A.line_fit(_days(s, d), "x", "Close"),
     _DAYS + ";;SELECT ticker, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r, sqrt(regr_syy(y, x) * (1 - corr(x, y) ^ 2) / (count(*) - 2) / regr_sxx(y, x)) AS slope_err, regr_syy(y, x) * (1 - corr(x, y) ^ 2) / count(*) AS residual_var FROM x GROUP BY 1",
     ("ticker", "n"), ["slope", "intercept", "r", "slope_err", "residual_var"], digits=4)
-add("a26_p_values", lambda s, d: A.p_values(A.line_fit(_days(s, d), "x", "Close")).select("ticker", "p_value"))
 add("a29_first_point_line", lambda s, d: A.first_point_line(_days(s, d), "Date", "x", "Close"),
     _DAYS + """, f AS (SELECT *, x - first_value(x) OVER w AS dx, y - first_value(y) OVER w AS dy, first_value(y) OVER w AS y0 FROM x WINDOW w AS (PARTITION BY ticker ORDER BY "Date")), g AS (SELECT *, sum(dx * dy) OVER (PARTITION BY ticker) / nullif(sum(dx * dx) OVER (PARTITION BY ticker), 0) AS slope FROM f);;
     SELECT ticker, any_value(slope) AS slope, var_pop((y - (y0 + slope * dx)) / nullif(y0 + slope * dx, 0)) AS residual_var FROM g GROUP BY 1""", ("ticker",), ["slope", "residual_var"])

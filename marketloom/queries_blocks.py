@@ -2,7 +2,8 @@
 
 Blocks have hundreds of columns.  A query returns the columns of the row itself, and for
 each family of lags, or each array, one number: the sum of its values times 1, 2, 3, ...
-(NULL counts as -1), so that every value of a block is computed and compared.
+(NULL counts as a value that no column has), so that every value of a block is computed
+and compared.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +27,20 @@ CTES |= {"brand_bars": views.by_brand(views.BARS_SQL), "brand_fin_q": views.by_b
 _C, _A = '"Close"', '"AdjClose"'
 
 
+#: What NULL counts as: none of the columns' scales gives this number.
+NOTHING = -1.0078125
+
+
 def digest(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [(k + 1) * F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1.0)) for k, c in enumerate(columns)])
+    return reduce(lambda a, b: a + b, [(k + 1) * F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(NOTHING)) for k, c in enumerate(columns)])
 
 
 def digest_sql(values: Sequence[str]) -> str:
-    return " + ".join(f"{k + 1} * coalesce({v}, -1)" for k, v in enumerate(values))
+    return " + ".join(f"{k + 1} * coalesce({v}, {NOTHING}::DOUBLE)" for k, v in enumerate(values))
 
 
 def array_digest(column: str) -> Column:
-    weighted = F.transform(column, lambda x, i: (i + 1) * F.coalesce(x.cast("double"), F.lit(-1.0)))
+    weighted = F.transform(column, lambda x, i: (i + 1) * F.coalesce(x.cast("double"), F.lit(NOTHING)))
     return F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
 
 
@@ -98,8 +104,8 @@ def _statement_sql(tag: str, columns: Sequence[str], numbers: Sequence[str], lag
     return ", ".join(out)
 
 
-def _none(n: int) -> int:
-    return -n * (n + 1) // 2  # the digest of n NULLs
+def _none(n: int) -> str:
+    return f"{NOTHING * n * (n + 1) / 2}::DOUBLE"  # the digest of n NULLs
 
 
 _METRICS = """CASE WHEN eps <= 1e-5 THEN 1e-5 WHEN eps > 0 THEN ln("Close" / (eps * 4)) END AS log_trailing_pe_ratio, CASE WHEN est <= 1e-5 THEN 1e-5 WHEN est > 0 THEN ln("Close" / (est * 4)) END AS log_forward_pe_ratio,
@@ -201,36 +207,67 @@ def _fourier(s: SparkSession, d: str) -> DataFrame:
     return df.select(*KEY, *[c for m in MONTHS for c in _fourier_columns(m)], *lagged)
 
 
-def _numbers(row: Sequence[float]) -> str:
-    return "[" + ", ".join(repr(float(x)) for x in row) + "]::DOUBLE[]"
+def _horizon_sql(m: int) -> str:
+    """CTEs of one horizon: what each window gives, by sums over its values.
+
+    A value belongs to ``n`` windows, at another place in each; so rows are multiplied with
+    the places, and each window sums its values times the kernels.  The residual of a
+    partial sum isn't formed: its squares follow from the sums of the values times the
+    line's, cosine and sine functions, and from the products of these with each other.
+    """
+    n = 21 * m + 1
+    cos, sin, _ = fourier.kernels(n, B.DEFAULTS["factor"], CUT)
+    x, t = np.arange(n) / (n - 1), np.linspace(-np.pi, 0, n)
+    basis = np.array([1 - x, x, *[np.cos(k * t) for k in range(CUT)], *[np.sin(k * t) for k in range(1, CUT)]])
+    kernels = np.vstack([cos, sin[1:], basis])
+    names = [*[f"c{k}" for k in range(CUT)], *[f"s{k}" for k in range(1, CUT)], *[f"b{k}" for k in range(len(basis))]]
+    rows = ", ".join("(" + ", ".join([str(j), *[f"{float(v)!r}" for v in kernels[:, j]]]) + ")" for j in range(n))
+    out = [f"k{m} AS MATERIALIZED (SELECT j, {', '.join(f'{c}::DOUBLE AS {c}' for c in names)} FROM (VALUES {rows}) v(j, {', '.join(names)}))"]
+    sums = [f"count({v}) AS {w}n, sum({v} * {v}) AS {w}yy, sum({v}) FILTER (j = 0) AS {w}y0, sum({v}) FILTER (j = {n - 1}) AS {w}y1, "
+            + ", ".join(f"sum({v} * {c}) AS {w}{c}" for c in names) for w, v in (("p", _A), ("r", "log_return"))]
+    out.append(f"w{m} AS MATERIALIZED (SELECT ticker, i + {n - 1} - j AS i, {', '.join(sums)} FROM x0, k{m} GROUP BY 1, 2)")
+    gram, size = basis @ basis.T, len(basis)
+
+    def residual(w: str, terms: Sequence[int]) -> str:
+        """Mean square of the line plus some terms, less the values."""
+        of = {0: f"{w}y0", 1: f"{w}y1", **{2 + k: f"{w}c{k}" for k in range(CUT)}, **{1 + CUT + k: f"{w}s{k}" for k in range(1, CUT)}}
+        cross = [f"{of[a]} * {w}b{a}" for a in terms]
+        squares = [f"{float(gram[a, b]) * (1 if a == b else 2)!r}::DOUBLE * {of[a]} * {of[b]}" for a in terms for b in terms if a <= b]
+        return f"greatest({w}yy - 2 * ({' + '.join(cross)}) + {' + '.join(squares)}, 0) / {n}"
 
-
-def _month_sql() -> str:
-    """Windows of one month as lists, and their products with the kernels."""
-    n, f = 22, last_rows(22)
-    cos, sin, residual = fourier.kernels(n, B.DEFAULTS["factor"], CUT)
-    dot = lambda row: f"list_dot_product(v, {_numbers(row)})"
-    rms = lambda kernel: "sqrt((" + " + ".join(f"pow({dot(row)}, 2)" for row in kernel) + f") / {n})"
     parts = []
-    for x, value, unit in (("price", _A, _A), ("ret", "log_return", "1")):
-        held = f"SELECT ticker, \"Date\", list_transform(list({value}) OVER {f}, lambda y: y / {unit}) AS v, count({value}) OVER {f} AS n FROM x0"
-        amps, signs = [f"sqrt(pow({dot(cos[k])}, 2) + pow({dot(sin[k])}, 2))" for k in range(1, CUT)], [f"sign({dot(sin[k])})" for k in range(1, CUT)]
-        parts.append(f"{x}0 AS (SELECT * FROM ({held}) WHERE n = {n}), {x}1 AS (SELECT ticker, \"Date\", {digest_sql(signs)} AS {x}_sign_MH1, {digest_sql(amps)} AS {x}_amp_MH1, {rms(residual[-1])} AS {x}_rmse_MH1, {rms(residual[0])} AS {x}_line FROM {x}0)")
-    return _DIFF.replace(";;", f", x0 AS (SELECT *, ln(\"return\") + 1 AS log_return FROM m), {', '.join(parts)},") + ", ".join([
-        "fm AS (SELECT x0.ticker, x0.\"Date\"", *[f"coalesce({x}_{k}_MH1, {_none(4)}) AS {x}_{k}_MH1" for x in SERIES for k in ("sign", "amp")],
-        *[f"{x}_rmse_MH1, {x}_rmse_MH1 / nullif({x}_line, 0) AS {x}_ratio_MH1" for x in SERIES]]) + " FROM x0 LEFT JOIN price1 p USING (ticker, \"Date\") LEFT JOIN ret1 r USING (ticker, \"Date\"));;"
+    for w, x_, unit in (("p", "price", _A), ("r", "ret", "1")):
+        full_ = f"CASE WHEN {w}n = {n} THEN {{}} END"
+        parts += [full_.format(f"sign({w}s{k} / {unit})") + f" AS {x_}_sign_{k}_MH{m}" for k in range(1, CUT)]
+        parts += [full_.format(f"sqrt({w}c{k} * {w}c{k} + {w}s{k} * {w}s{k}) / abs({unit})") + f" AS {x_}_amp_{k}_MH{m}" for k in range(1, CUT)]
+        parts += [full_.format(f"sqrt({residual(w, range(size))}) / abs({unit})") + f" AS {x_}_rmse_MH{m}", full_.format(f"sqrt({residual(w, [0, 1, 2])}) / abs({unit})") + f" AS {x_}_line_MH{m}"]
+    out.append(f"f{m} AS (SELECT x0.ticker, x0.i, {', '.join(parts)} FROM x0 LEFT JOIN w{m} USING (ticker, i))")
+    return ", ".join(out)
 
 
-add("b10_fourier", _fourier)
-add("b10_fourier_month", lambda s, d: B.with_fourier(views.bars(s, d), [1]).select(*KEY, *_fourier_columns(1)), _month_sql() + "SELECT * FROM fm",
+def _fourier_sql(months: Sequence[int]) -> str:
+    head = _DIFF.replace(";;", f", x0 AS MATERIALIZED (SELECT *, ln(\"return\") + 1 AS log_return, row_number() OVER ({BY}) AS i FROM m), ")
+    columns = []
+    for m in months:
+        for x in SERIES:
+            columns += [digest_sql([f"{x}_{kind}_{k}_MH{m}" for k in range(1, CUT)]) + f" AS {x}_{kind}_MH{m}" for kind in ("sign", "amp")]
+            columns += [f"{x}_rmse_MH{m}, {x}_rmse_MH{m} / nullif({x}_line_MH{m}, 0) AS {x}_ratio_MH{m}", *[f"{x}_amp_{k}_MH{m}" for k in range(1, CUT)]]
+    joins = " ".join(f"JOIN f{m} USING (ticker, i)" for m in months)
+    return head + ", ".join(_horizon_sql(m) for m in months) + f", fm AS MATERIALIZED (SELECT x0.ticker, x0.\"Date\", {', '.join(columns)} FROM x0 {joins});;"
+
+
+_FOURIER = [f"{x}_{k}_MH{m}" for m in MONTHS for x in SERIES for k in ("sign", "amp", "rmse", "ratio")]
+_LAGGED = [f"{x}_{k}_MH{m}_lags" for m in MONTHS for k in ("rmse", "amp") for x in SERIES]
+add("b10_fourier", _fourier, _fourier_sql(MONTHS) + "SELECT *, " + ", ".join(
+    [digest_sql([lag(f"{x}_rmse_MH{m}", n) for n in LAGS]) + f" AS {x}_rmse_MH{m}_lags" for m in MONTHS for x in SERIES]
+    + [digest_sql([lag(f"{x}_amp_{k}_MH{m}", n) for k in range(1, CUT) for n in LAGS]) + f" AS {x}_amp_MH{m}_lags" for m in MONTHS for x in SERIES]) + " FROM fm",
+    KEY, [*_FOURIER, *_LAGGED], digits=4)
+add("b10_fourier_month", lambda s, d: B.with_fourier(views.bars(s, d), [1]).select(*KEY, *_fourier_columns(1)), _fourier_sql([1]) + "SELECT * FROM fm",
     KEY, [f"{x}_{k}_MH1" for x in SERIES for k in ("sign", "amp", "rmse", "ratio")])
 add("b11_fourier_sequence", lambda s, d: B.fourier_sequence(views.bars(s, d)).select(*KEY, array_digest("fourier_rmse_seq").alias("rmse"), array_digest("fourier_ratio_seq").alias("ratio")),
-    _month_sql() + f"SELECT ticker, \"Date\", {sequence_sql('tanh(price_rmse_MH1)')} AS rmse, {sequence_sql('tanh(price_ratio_MH1)')} AS ratio FROM fm", KEY, ["rmse", "ratio"])
+    _fourier_sql([1]) + f"SELECT ticker, \"Date\", {sequence_sql('tanh(price_rmse_MH1)')} AS rmse, {sequence_sql('tanh(price_ratio_MH1)')} AS ratio FROM fm", KEY, ["rmse", "ratio"])
 
-# -- indicators ----------------------------------------------------------------------
-add("b12_indicator_block", lambda s, d: B.indicator_block(views.bars(s, d)).select(*KEY, *[
-    digest([f"FeatureTA_{c}" + (f"_lag_m{n}" if n else "") for n in (0, *LAGS)]).alias(c) for c in indicators.COLUMNS]))
-add("b13_indicator_sequence", lambda s, d: B.indicator_sequence(views.bars(s, d)).select(*KEY, *[array_digest(f"{c}_seq").alias(c) for c in B.SEQUENCE_SCALES]))
+# -- bars over the current bar ------------------------------------------------------
 add("t41_bar_columns", lambda s, d: (lambda b: b.select(*KEY, *[x.alias(n) for n, x in indicators.scaled_columns(b, [1], ["Open", "High", "Low", "Volume"])]))(views.bars(s, d)),
     "SELECT *, " + ", ".join(f'"{c}" / nullif("Close", 0) AS "FeatureTA_{c}", {lag(chr(34) + c + chr(34))} / nullif("Close", 0) AS "FeatureTA_{c}_lag_m1"' for c in ("Open", "High", "Low"))
     + f""", "Volume" / v AS "FeatureTA_Volume", {lag('"Volume"')} / v AS "FeatureTA_Volume_lag_m1" FROM (SELECT *, CASE WHEN "Volume" < 2 THEN 1 ELSE "Volume" END AS v FROM bars)""",

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .operators import aggregates as A
 from .operators import checks as C
 from .operators import indicators
+from .plans import blocks as B
 from .queries import _C, _DAYS, _H, _L, _RUN, _TA, _V, BY, KEY, _days, add, lag, last_rows, over
+from .queries_blocks import LAGS, array_digest, digest, digest_sql, sequence_sql
 from .sources import views
 
 # -- arrays over windows -------------------------------------------------------------
@@ -91,7 +93,105 @@ add("t02_recursive", lambda s, d: indicators.recursive_indicators(views.bars(s,
     coalesce(tu, 0) AS trend_psar_up_indicator, coalesce(td, 0) AS trend_psar_down_indicator FROM {_LAST} LEFT JOIN ps ON ps.ticker = {_LAST}.ticker AND ps.i = {_LAST}.i""",
     KEY, indicators.RECURSIVE, digits=4)
 
-# -- fits: successive orthogonal polynomials -----------------------------------------
+# -- the indicator blocks --------------------------------------------------------------
+_PC, _PV = lag(_C), lag(_V)
+_TP = f"({_H} + {_L} + {_C}) / 3"
+_MID = lambda n: f"({over('max', _H, n)} + {over('min', _L, n)}) / 2"
+_FLAG = lambda x: f"CASE WHEN {x} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+_FIRST = {
+    "x_tp": _TP, "x_pc": _PC, "x_pv": _PV, **{f"x_k{r}": f"({_C} - {lag(_C, r)}) / nullif({lag(_C, r)}, 0)" for r in (10, 15, 20, 30)},
+    "x_tr": f"greatest({_H} - {_L}, abs({_H} - {_PC}), abs({_L} - {_PC}))", "x_vp": f"abs({_H} - {lag(_L)})", "x_vm": f"abs({_L} - {lag(_H)})",
+    "x_fall": f"100 * ({_C} - {over('max', _C, 14)}) / nullif({over('max', _C, 14)}, 0)", "x_bp": f"{_C} - least({_L}, {_PC})",
+    "x_rg": f"greatest({_H}, {_PC}) - least({_L}, {_PC})", "x_clv": f"coalesce((2 * {_C} - {_L} - {_H}) / nullif({_H} - {_L}, 0), 0)", "x_tp1": lag(_TP),
+    "volume_em": f"(({_H} - {lag(_H)}) + ({_L} - {lag(_L)})) * ({_H} - {_L}) / nullif(2 * {_V}, 0) * 1e8::DOUBLE",
+    "momentum_stoch": f"100 * ({_C} - {over('min', _L, 14)}) / nullif({over('max', _H, 14)} - {over('min', _L, 14)}, 0)",
+    "x_m": over("avg", _C, 20), "x_s": over("stddev_pop", _C, 20), "volatility_kcc": over("avg", _TP, 10), "volatility_kch": over("avg", f"(4 * {_H} - 2 * {_L} + {_C}) / 3", 10),
+    "volatility_kcl": over("avg", f"(-2 * {_H} + 4 * {_L} + {_C}) / 3", 10), "volatility_dcl": over("min", _L, 20), "volatility_dch": over("max", _H, 20),
+    "trend_ichimoku_conv": _MID(9), "trend_ichimoku_base": _MID(26), "trend_ichimoku_b": _MID(52), "x_hs": f"list({_H}) OVER {last_rows(25)}", "x_ls": f"list({_L}) OVER {last_rows(25)}",
+    "x_hi": over("max", _H, 25), "x_lo": over("min", _L, 25)}
+_SECOND = {
+    "trend_sma_fast": over("avg", _C, 12), "trend_sma_slow": over("avg", _C, 26), "volatility_bbm": "x_m", "volatility_bbh": "x_m + 2 * x_s", "volatility_bbl": "x_m - 2 * x_s",
+    "volatility_bbw": "100 * 4 * x_s / nullif(x_m, 0)", "volatility_bbp": f"({_C} - (x_m - 2 * x_s)) / nullif(4 * x_s, 0)", "volatility_bbhi": _FLAG(f"{_C} > x_m + 2 * x_s"),
+    "volatility_bbli": _FLAG(f"{_C} < x_m - 2 * x_s"), "volatility_kcp": f"({_C} - volatility_kcl) / nullif(volatility_kch - volatility_kcl, 0)",
+    "volatility_kchi": _FLAG(f"{_C} > volatility_kch"), "volatility_kcli": _FLAG(f"{_C} < volatility_kcl"), "volatility_dcm": "(volatility_dcl + volatility_dch) / 2",
+    "volatility_dcp": f"({_C} - volatility_dcl) / nullif(volatility_dch - volatility_dcl, 0)", "volatility_ui": f"sqrt({over('avg', 'x_fall * x_fall', 14)})",
+    "trend_vortex_ind_pos": f"{over('sum', 'x_vp', 14)} / nullif({over('sum', 'x_tr', 14)}, 0)", "trend_vortex_ind_neg": f"{over('sum', 'x_vm', 14)} / nullif({over('sum', 'x_tr', 14)}, 0)",
+    "trend_dpo": f"{lag(_C, 11)} - {over('avg', _C, 20)}",
+    "trend_kst": f"100 * ({over('avg', 'x_k10', 10)} + 2 * {over('avg', 'x_k15', 10)} + 3 * {over('avg', 'x_k20', 10)} + 4 * {over('avg', 'x_k30', 15)})",
+    "x_past": f"list(x_tp) OVER {last_rows(20)}", "x_mean": over("avg", "x_tp", 20), "trend_aroon_up": "4.0::DOUBLE * (25 - (len(x_hs) - list_position(x_hs, x_hi)))",
+    "trend_aroon_down": "4.0::DOUBLE * (25 - (len(x_ls) - list_position(x_ls, x_lo)))",
+    "momentum_uo": "100 * (" + " + ".join(f"{k} * {over('sum', 'x_bp', n)} / nullif({over('sum', 'x_rg', n)}, 0)" for k, n in ((4, 7), (2, 14), (1, 28))) + ") / 7",
+    "momentum_stoch_signal": over("avg", "momentum_stoch", 3), "momentum_wr": f"-100 * ({over('max', _H, 14)} - {_C}) / nullif({over('max', _H, 14)} - {over('min', _L, 14)}, 0)",
+    "momentum_ao": f"{over('avg', f'({_H} + {_L}) / 2', 5)} - {over('avg', f'({_H} + {_L}) / 2', 34)}", "momentum_roc": f"100 * ({_C} - {lag(_C, 12)}) / nullif({lag(_C, 12)}, 0)",
+    "volume_adi": f"sum(x_clv * {_V}) OVER {_RUN}", "volume_obv": f"sum(CASE WHEN {_C} < x_pc THEN -{_V} ELSE {_V} END) OVER {_RUN}",
+    "volume_cmf": f"{over('sum', f'x_clv * {_V}', 20)} / nullif({over('sum', _V, 20)}, 0)", "volume_sma_em": over("avg", "volume_em", 14),
+    "volume_vpt": f"sum({_V} * (({_C} - x_pc) / nullif(x_pc, 0))) OVER {_RUN}", "volume_vwap": f"{over('sum', f'x_tp * {_V}', 14)} / nullif({over('sum', _V, 14)}, 0)",
+    "x_up": over("sum", f"CASE WHEN x_tp > x_tp1 THEN x_tp * {_V} ELSE 0 END", 14), "x_down": over("sum", f"CASE WHEN x_tp < x_tp1 THEN x_tp * {_V} ELSE 0 END", 14),
+    "volume_nvi": f"exp(ln(1000) + sum(CASE WHEN {_V} < x_pv THEN ln({_C} / x_pc) ELSE 0 END) OVER {_RUN})", "trend_ichimoku_a": "(trend_ichimoku_conv + trend_ichimoku_base) / 2"}
+_THIRD = {
+    "trend_vortex_ind_diff": "trend_vortex_ind_pos - trend_vortex_ind_neg", "trend_kst_sig": over("avg", "trend_kst", 9), "trend_aroon_ind": "trend_aroon_up - trend_aroon_down",
+    "trend_cci": "(x_tp - x_mean) / nullif(0.015::DOUBLE * list_avg([abs(y - x_mean) for y in x_past]), 0)", "volume_mfi": "100 * x_up / nullif(x_up + x_down, 0)",
+    "trend_visual_ichimoku_a": lag("trend_ichimoku_a", 26), "trend_visual_ichimoku_b": lag("trend_ichimoku_b", 26)}
+
+
+def _select(columns: dict[str, str]) -> str:
+    return ", ".join(f'{x} AS "{c}"' for c, x in columns.items())
+
+
+def _prepared(c: str) -> str:
+    """A column as the preprocessing leaves it."""
+    if c in indicators.SIGMOID:
+        x = f"CASE WHEN row_number() OVER ({BY}) <= 5 THEN 0.0::DOUBLE ELSE {c} END" if c == "trend_trix" else c
+        return f"1 / (1 + exp(CASE WHEN {x} < {-700 * indicators.SIGMOID[c]} THEN 700 ELSE -({x}) / {indicators.SIGMOID[c]} END))"
+    if c in indicators.HUNDREDTHS:
+        return f"{c} / 100"
+    if c == "volume_nvi":
+        return "ln(volume_nvi / 100)"
+    if c == "volatility_kcp":
+        return "CASE WHEN volatility_kcp < -10 THEN -10 WHEN volatility_kcp > 10 THEN 10 ELSE volatility_kcp END / 10"
+    return f"{c} / nullif({over('max', c, 252)}, 0)" if c in indicators.TO_ROLLING_MAX else f'"{c}"'
+
+
+def _over_bar(c: str, x: str) -> str:
+    """A value, or an earlier one, over the current bar."""
+    if c in indicators.TO_CLOSE:
+        return f"{x} / nullif({_C}, 0)"
+    return f"{x} / vol" if c == "Volume" else f"{x} / nullif(vol * {_C}, 0)" if c == "volume_adi" else x
+
+
+_PREPARED = list(dict.fromkeys([*indicators.COLUMNS, *B.SEQUENCE_SCALES]))
+_ALL = f"""{_CHAIN}, {_PSAR}, rec AS MATERIALIZED (SELECT {_LAST}.*, CASE WHEN ps.i > 1 AND rising THEN stop END AS trend_psar_up, CASE WHEN ps.i > 1 AND NOT rising THEN stop END AS trend_psar_down,
+  coalesce(tu, 0) AS trend_psar_up_indicator, coalesce(td, 0) AS trend_psar_down_indicator FROM {_LAST} LEFT JOIN ps ON ps.ticker = {_LAST}.ticker AND ps.i = {_LAST}.i),
+q1 AS MATERIALIZED (SELECT *, {_select(_FIRST)} FROM rec), q2 AS MATERIALIZED (SELECT *, {_select(_SECOND)} FROM q1), q3 AS MATERIALIZED (SELECT *, {_select(_THIRD)} FROM q2),
+q4 AS MATERIALIZED (SELECT *, trend_kst - trend_kst_sig AS trend_kst_diff FROM q3),
+pp AS MATERIALIZED (SELECT ticker, "Date", {_C}, CASE WHEN {_V} < 2 THEN 1 ELSE {_V} END AS vol, {", ".join(f'{_prepared(c)} AS "p_{c}"' for c in _PREPARED)} FROM q4);;"""
+add("b12_indicator_block", lambda s, d: B.indicator_block(views.bars(s, d)).select(*KEY, *[
+    digest([f"FeatureTA_{c}" + (f"_lag_m{n}" if n else "") for n in (0, *LAGS)]).alias(c) for c in indicators.COLUMNS]),
+    _ALL + 'SELECT ticker, "Date", ' + ", ".join(
+        digest_sql([_over_bar(c, lag(f'"p_{c}"', n) if n else f'"p_{c}"') for n in (0, *LAGS)]) + f' AS "{c}"' for c in indicators.COLUMNS) + " FROM pp", KEY, indicators.COLUMNS, digits=3)
+_SCALES = {
+    "close": f"(tanh({{}} / nullif({_C}, 0) - 1) / 2 + 0.5::DOUBLE)", "volume": "(tanh({} / vol - 1) / 2 + 0.5::DOUBLE)", "plain": "({})",
+    "clip": "(CASE WHEN {0} < 0 THEN 0 WHEN {0} > 1 THEN 1 ELSE {0} END)", "linear": "(CASE WHEN ({0} + 1) / 2 < 0 THEN 0 WHEN ({0} + 1) / 2 > 1 THEN 1 ELSE ({0} + 1) / 2 END)",
+    "tanh": "(tanh({}) / 2 + 0.5::DOUBLE)"}
+add("b13_indicator_sequence", lambda s, d: B.indicator_sequence(views.bars(s, d)).select(*KEY, *[array_digest(f"{c}_seq").alias(c) for c in B.SEQUENCE_SCALES]),
+    _ALL + 'SELECT ticker, "Date", ' + ", ".join(f'{sequence_sql(chr(34) + "p_" + c + chr(34), scale=_SCALES[kind])} AS "{c}"' for c, kind in B.SEQUENCE_SCALES.items()) + " FROM pp",
+    KEY, list(B.SEQUENCE_SCALES), digits=3)
+
+# -- fits: p-values, successive orthogonal polynomials -----------------------------------------
+_SIMPSON = 2000
+
+
+def _integral(low: str) -> str:
+    """Of cos(v) ** (n - 3) from ``low`` to a quarter turn, by Simpson's rule."""
+    h = f"((pi() / 2 - {low}) / {_SIMPSON})"
+    f = lambda k: f"pow(greatest(cos({low} + {h} * ({k})), 0), n - 3)"
+    return f"{h} / 6 * list_sum([{f('k')} + 4 * {f('k + 0.5::DOUBLE')} + {f('k + 1')} for k in range({_SIMPSON})])"
+
+
+# with r the sine of an angle, the density of r is a power of the cosine
+add("a26_p_values", lambda s, d: A.p_values(A.line_fit(_days(s, d), "x", "Close")),
+    _DAYS + f""", f AS (SELECT ticker, count(*) AS n, asin(least(abs(corr(x, y)), 1)) AS a FROM x GROUP BY 1);;
+    SELECT ticker, CASE WHEN n > 2 THEN ({_integral('a')}) / ({_integral('0')}) END AS p_value FROM f""", ("ticker",), ["p_value"])
 _POLY = _DAYS + """, z AS (SELECT ticker, y, (x - avg(x) OVER t) / greatest(stddev_pop(x) OVER t, 1e-12) AS z, stddev_pop(x) OVER t AS s FROM x WINDOW t AS (PARTITION BY ticker)),
 z2 AS (SELECT *, z * z - (regr_intercept(z * z, z) OVER t + regr_slope(z * z, z) OVER t * z) AS p2 FROM z WINDOW t AS (PARTITION BY ticker)),
 z3 AS (SELECT *, z * z * z - (avg(z * z * z) OVER t + regr_slope(z * z * z, z) OVER t * z + regr_slope(z * z * z, p2) OVER t * p2) AS p3 FROM z2 WINDOW t AS (PARTITION BY ticker)),
