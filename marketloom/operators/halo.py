@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import small
+
 #: Rows of a slice; a slice also holds the rows of a frame that come before it.
 SLICE_ROWS = 20_000
 
@@ -14,21 +16,21 @@ SLICE_ROWS = 20_000
 def with_positions(df: DataFrame, flags: dict[str, Column], date: str = "Date", key: str = "ticker") -> tuple[DataFrame, DataFrame]:
     """Number the rows of each flag along (date, key), though one order may hold all rows.
 
-    Gives the rows with ``_pos``, an array with each flag's position from 0 on (NULL where
-    the flag isn't set), and the table of dates with ``_n``, the rows of each flag.  Rows
-    are numbered within their date, and a date's numbers start behind those of all
-    earlier dates: the only order over everything is that of the dates, one row each.
+    Gives one row per row and flag that is set, with ``k``, the flag's place, and ``_pos``,
+    from 0 on; and the table of dates with ``_n``, the rows of each flag.  Rows are
+    numbered within their date, and a date's numbers start behind those of all earlier
+    dates: the only order over everything is that of the dates, one row each.
     """
     names = list(flags)
     count = F.array(*[F.count_if(flags[f]) for f in names])
     dates = df.groupBy(date).agg(count.alias("_n"))
     over = Window.partitionBy().orderBy(date).rowsBetween(Window.unboundedPreceding, -1)  # a row a date
     before = F.array(*[F.coalesce(F.sum(F.col("_n")[k]).over(over), F.lit(0)) for k in range(len(names))])
-    dates = dates.withColumn("_before", before)
     within = Window.partitionBy(date).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("_rank", F.array(*[F.when(flags[f], F.count_if(flags[f]).over(within)) for f in names]))
-    placed = ranked.join(dates.select(F.col(date), "_before"), date)
-    return placed.withColumn("_pos", F.zip_with("_rank", "_before", lambda r, b: r + b - 1)).drop("_rank", "_before"), dates.drop("_before")
+    ranks = {f"_r{k}": F.count_if(flags[f]).over(within) for k, f in enumerate(names)}
+    placed = df.withColumns(ranks).join(small(dates.select(date, before.alias("_before"))), date)
+    each = F.array(*[F.when(flags[f], F.col(f"_r{k}") + F.col("_before")[k] - 1) for k, f in enumerate(names)])
+    return placed.select(*df.columns, F.posexplode(each).alias("k", "_pos")).where("_pos is not null"), dates
 
 
 def rolling_mean_by_position(df: DataFrame, keys: Sequence[str], position: str, value: str, rows: int, name: str,

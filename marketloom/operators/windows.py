@@ -152,9 +152,8 @@ def with_sequence(df: DataFrame, column: str, steps: int, stride: int = 1, name:
     """The last ``steps`` values, ``stride`` rows apart, oldest first; NULL without that many rows."""
     w = w or by()
     size = (steps - 1) * stride + 1
-    got = F.collect_list(F.struct(F.col(column).alias("v"))).over(w.rowsBetween(-(size - 1), 0))
-    every = F.transform(F.filter(got, lambda _, i: i % stride == 0), lambda x: x["v"])
-    return df.withColumn(name or f"{column}_seq", F.when(F.size(got) == size, every))
+    every = F.array(*[F.lag(column, k * stride).over(w) if k else F.col(column) for k in range(steps - 1, -1, -1)])
+    return df.withColumn(name or f"{column}_seq", F.when(F.row_number().over(w) >= size, every))
 
 
 def with_box_smooth(df: DataFrame, column: str, n: int, w) -> DataFrame:

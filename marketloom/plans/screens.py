@@ -60,9 +60,8 @@ def quantile_screen(df: DataFrame, features: Sequence[str], target: str, levels:
     flags = {k: F.col(f"_f{k}") for k in flags}
     placed, _ = with_positions(marked, flags, date, key)
     named = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(q)).alias("q"), F.lit("upper" if up else "lower").alias("tail")) for _, f, _, q, up in tails])
-    long = placed.select("_t", F.posexplode("_pos").alias("k", "pos")).where("pos is not null")
-    rolled = rolling_mean_by_position(long, ["k"], "pos", "_t", rows, "r", max(SLICE_ROWS, rows)).where("r is not null")
-    rolled = rolled.groupBy("k").agg(F.avg("r").alias("roll_mean"), F.stddev("r").alias("roll_std"), F.max_by("r", "pos").alias("roll_last"))
+    rolled = rolling_mean_by_position(placed.select("k", "_pos", "_t"), ["k"], "_pos", "_t", rows, "r", max(SLICE_ROWS, rows)).where("r is not null")
+    rolled = rolled.groupBy("k").agg(F.avg("r").alias("roll_mean"), F.stddev("r").alias("roll_std"), F.max_by("r", "_pos").alias("roll_last"))
     per = marked.groupBy(date).agg(F.first("_all").alias("all"), F.array(*[
         F.struct(F.count_if(x).alias("n"), F.sum(F.when(x, F.col("_t"))).alias("s"), F.avg(F.when(x, F.col("_t"))).alias("m")) for x in flags.values()]).alias("a"))
     per = per.select(date, "all", F.posexplode("a").alias("k", "v")).where("v.n > 0").select(date, "all", "k", "v.*")

@@ -6,7 +6,7 @@ write to the scratch folder of the session and read back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import checks as C
@@ -43,6 +43,44 @@ def _screen(s: SparkSession, d: str) -> DataFrame:
 add("m06_linear_screen", _screen)
 
 
+def _weights(s: SparkSession, d: str) -> DataFrame:
+    """M5: weights of the linear screen after some steps, with noise and a part of the rows."""
+    panel = P.min_max_scale(_panel(s, d), _FEATS)
+    got = screens.linear_screen(panel, _FEATS, "target_ratio", epochs=_STEPS_TAKEN, noise=0.01, subsample=0.5, seed=4)
+    return s.createDataFrame(list(got.items()), "feature string, weight double")
+
+
+def _uniform_sql(*salt: str) -> str:
+    text = "concat_ws('|', \"Date\"::VARCHAR, ticker, " + ", ".join(f"'{x}'" for x in salt) + ")"
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(16**13)!r}::DOUBLE)"
+
+
+def _steps_sql(steps: int, seed: int = 4, noise: float = 0.01, part: float = 0.5, q: float = 0.9, rate: float = 0.02, sharp: float = 1.5) -> str:
+    """Scores of the single features, and then step by step threshold, soft mask, gradient and weights."""
+    n = range(len(_FEATS))
+    scaled = ", ".join(f'("{f}" - min("{f}") OVER ()) / nullif(max("{f}") OVER () - min("{f}") OVER (), 0) AS f{k}' for k, f in enumerate(_FEATS))
+    score = " UNION ALL ".join(f'SELECT {k} AS k, avg(m) AS score FROM (SELECT "Date", coalesce(avg(t) FILTER (f{k} > (SELECT quantile_cont(f{k}, {q}) FROM sx)), 0) AS m FROM sx GROUP BY 1)' for k in n)
+    out = [f'sx AS MATERIALIZED (SELECT ticker, "Date", {scaled}, target_ratio AS t FROM pn)', f"sc AS ({score})",
+           "b AS (SELECT k FROM sc ORDER BY score DESC, k LIMIT 1)",
+           "a0 AS (SELECT " + ", ".join(f"CASE WHEN k = {k} THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS a{k}, 0.0::DOUBLE AS m{k}, 0.0::DOUBLE AS v{k}" for k in n) + " FROM b)"]
+    w = " + ".join(f"f{k} * a{k}" for k in n)
+    for s in range(1, steps + 1):
+        normal = f"sqrt(-2 * ln({_uniform_sql(str(seed), str(s), 'noise', 'r')})) * cos(2 * pi() * {_uniform_sql(str(seed), str(s), 'noise', 'a')})"
+        out += [
+            f"c{s} AS (SELECT quantile_cont({w}, {q}) AS cut FROM sx, a{s - 1})",
+            f"s{s} AS (SELECT sx.*, 1 / (1 + exp(-{sharp}::DOUBLE * ({w} - cut))) AS s FROM sx, a{s - 1}, c{s} WHERE {_uniform_sql(str(seed), str(s), 'rows')} < {part})",
+            f"p{s} AS MATERIALIZED (SELECT *, greatest(0, least(1, mv)) AS p, CASE WHEN mv > 0 AND mv < 1 THEN s * (1 - s) ELSE 0 END AS d FROM (SELECT *, s + {noise}::DOUBLE * {normal} AS mv FROM s{s}))",
+            f'd{s} AS (SELECT "Date", sum(p) AS sn, sum(p * t) AS st FROM p{s} GROUP BY 1 HAVING sum(p) > 0)',
+            f"g{s} AS (SELECT " + ", ".join(f'-sum((t - st / sn) / sn * {sharp}::DOUBLE * d * f{k}) / count(DISTINCT "Date") AS g{k}' for k in n) + f' FROM p{s} JOIN d{s} USING ("Date"))',
+            f"n{s} AS (SELECT *, " + ", ".join(f"0.9::DOUBLE * m{k} + 0.1::DOUBLE * g{k} AS nm{k}, 0.999::DOUBLE * v{k} + 0.001::DOUBLE * g{k} * g{k} AS nv{k}" for k in n) + f" FROM g{s}, a{s - 1})",
+            f"a{s} AS MATERIALIZED (SELECT " + ", ".join(f"a{k} - {rate}::DOUBLE * (nm{k} / {1 - 0.9**s!r}::DOUBLE) / (sqrt(nv{k} / {1 - 0.999**s!r}::DOUBLE) + 1e-8::DOUBLE) AS a{k}, nm{k} AS m{k}, nv{k} AS v{k}" for k in n) + f" FROM n{s})"]
+    return ", ".join(out) + ";;" + " UNION ALL ".join(f"SELECT '{f}' AS feature, a{k} AS weight FROM a{steps}" for k, f in enumerate(_FEATS))
+
+
+_STEPS_TAKEN = 6
+add("m05_linear_steps", _weights, f"{_PANEL}, {_steps_sql(_STEPS_TAKEN)}", ("feature",), ["weight"], digits=5)
+
+
 def _weights_sql(features: list[str], bins: int = 5, floor: float = 0.1, passes: int = 5) -> str:
     """Quantile bins, cells and proportional passes; ``tr``, ``te`` and ``w`` (a weight per cell)."""
     edges = ", ".join(f'quantile_cont("{f}", {k / bins}) AS e{i}_{k}' for i, f in enumerate(features) for k in range(1, bins))
@@ -161,9 +199,34 @@ def _completed(s: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("skipped", F.lit(",".join(r["path"].rsplit("/", 1)[1] for r in skipped.collect())))
 
 
-add("s08_discover_outputs", lambda s, d: stores.discover_outputs(s, _outputs(s, d)[0]).drop("path"),
-    """SELECT 'group1' AS "group", d AS date, t AS time, c AS completed FROM (VALUES (DATE '2024-01-01', '0930', false), (DATE '2024-01-01', '0930', true), (DATE '2024-07-01', '1600', false), (DATE '2024-07-01', '1600', true),
-    (DATE '2024-07-02', '1600', false)) v(d, t, c)""", ("group", "date", "time", "completed"), ctes=())
+def _discovered(s: SparkSession, d: str) -> DataFrame:
+    """S8 with the number of rows and the mean prediction that each discovered result holds."""
+    found = stores.discover_outputs(s, _outputs(s, d)[0])
+    own = None
+    for r in found.collect():  # one row a result
+        one = s.read.parquet(r["path"]).agg(F.count("*").alias("n"), F.avg("prediction_ratio").alias("mean")).withColumn("path", F.lit(r["path"]))
+        own = one if own is None else own.unionByName(one)
+    return found.join(own, "path")
+
+
+add("s08_discover_outputs", _discovered, _PRED + """, l AS (SELECT max("Date") AS last FROM pred), o AS (
+      SELECT DATE '2024-01-01' AS day0, '0930' AS time, true AS targets, * FROM pred WHERE "Date" < DATE '1997-01-01' UNION ALL SELECT DATE '2024-07-01', '1600', true, * FROM pred WHERE "Date" >= DATE '1997-01-01'
+      UNION ALL SELECT DATE '2024-07-02', '1600', false, pred.* FROM pred, l WHERE "Date" + 20000 > last);;
+    SELECT 'group1' AS "group", day0 AS date, time, c AS completed, count(*) AS n, avg(prediction_ratio) AS mean FROM o, (SELECT unnest([false, true]) AS c) WHERE targets OR NOT c GROUP BY 2, 3, 4""",
+    ("group", "date", "time", "completed", "n"), ["mean"])
+
+
+def _written_order(s: SparkSession, d: str) -> DataFrame:
+    """K1: the place that each row of a written result has within its file, and the rows before the file."""
+    path = new_path(s)
+    stores.write_result(predictions(s, d).select(F.col("Date").alias("date"), "ticker", "Close"), path)
+    rows = s.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = rows.groupBy("file").agg(F.count("*").alias("n"))
+    before = files.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a file
+    return rows.join(before, "file").withColumn("place", F.col("before") + F.col("row") + 1)
+
+
+add("k01_written_order", _written_order, _PRED + ';;SELECT "Date" AS date, ticker, "Close", row_number() OVER (ORDER BY "Date", ticker) AS place FROM pred', ("date", "ticker", "place"), ["Close"])
 add("m16_completed_outputs", _completed, _PRED + ';;SELECT ticker, "Date" AS date, \'broken\' AS skipped, "Close", prediction_ratio, target_ratio FROM pred', ("ticker", "date", "skipped"), ["Close", "prediction_ratio", "target_ratio"])
 add("s12_empty_tables", lambda s, d: schemas.empty(s, "bars").unionByName(views.bars(s, d)), "SELECT * FROM bars", KEY, ["Close", "Splits"])
 
