@@ -148,14 +148,14 @@ class FeatureStore:
         df.write.mode("overwrite").parquet(self._at(kind, group, year))
 
     def write_years(self, df: DataFrame, kind: str, group: str, years: Sequence[int]) -> None:
-        """All years of a group by one pass; years without rows get an empty table."""
+        """All years of a group by one pass, each in place of what it had; years without rows get an empty table."""
         at, names = f"{self.path}/kind={kind}/group={group}", list(years)
         own = df.withColumn("year", F.year("Date")).where(F.col("year").isin(names))
         own.repartition("year", F.pmod(F.xxhash64("ticker"), F.lit(16))).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("year").parquet(at)
-        for y in names:
-            if not exists(self.spark, f"{at}/year={y}"):
-                df.limit(0).write.parquet(f"{at}/year={y}")
+        written = {r[0] for r in own.select("year").distinct().collect()} if names else set()
+        for y in (y for y in names if y not in written):
+            df.limit(0).write.mode("overwrite").parquet(f"{at}/year={y}")
 
     def read(self, kind: str, group: str, years: Sequence[int]) -> DataFrame:
         """The years together; a missing one raises ``FileNotFoundError``."""

@@ -13,6 +13,8 @@ NAMES = ["entry_top_tickers", "w03_differences", "w09_forward_fill", "w11_target
          "a01_coalesce_gaps", "a11_run_summary", "a13_run_quantiles", "a16_class_rates", "a24_weighted_quantiles", "a29_first_point_line", "p14_stretch", "g05_groups",
          "b02_financial", "b06_seasonal", "b08_group_dynamics", "t04_bollinger", "t39_mfi", "m10_quantile_screen", "l03_value", "x01_fill_business_days", "s04_symbols",
          "t02_recursive", "t19_aroon", "b04_mathematical", "b10_fourier_month", "m07_matching_weights", "m10_best_tails", "st1_upsert_bars", "s08_discover_outputs", "s01_read_statements",
+         "a25_distribution_distance", "a26_p_values", "b03_financial_sequence", "b10_fourier", "b12_indicator_block", "b13_indicator_sequence", "b15_panel", "k01_written_order",
+         "m05_linear_steps", "m16_completed_outputs", "m17_tree_weights", "s05_asset_store", "s07_feature_store",
          "a28_cubic_fit", "a20_days_per_year", "u02_resplit"]
 
 
