@@ -266,6 +266,7 @@ def test_default_families_find_columns_of_the_blocks(spark, sf_dir):
     for name, pattern in screens.MATCH_FAMILIES.items():
         assert any(re.search(pattern, c) for c in columns), name
     own = blocks.mathematical(bars, p).dropna()
-    train, test = own.where("Date < '1995-06-01'"), own.where("Date >= '1995-06-01'")
+    middle = own.select(F.expr("date_from_unix_date(cast(percentile(unix_date(Date), 0.5) as int))")).first()[0]
+    train, test = own.where(F.col("Date") < F.lit(middle)), own.where(F.col("Date") >= F.lit(middle))
     features = [c for c in own.columns if c not in bars.columns]
     assert screens.tree_weights(train, test, features, "ticker", bins=5).select("weight").distinct().count() > 1
