@@ -270,3 +270,41 @@ def test_default_families_find_columns_of_the_blocks(spark, sf_dir):
     train, test = own.where(F.col("Date") < F.lit(middle)), own.where(F.col("Date") >= F.lit(middle))
     features = [c for c in own.columns if c not in bars.columns]
     assert screens.tree_weights(train, test, features, "ticker", bins=5).select("weight").distinct().count() > 1
+
+
+def plain_tree(x, y, depth, least):
+    """Predictions of a regression tree whose splits take the most from the variance, level by level."""
+    out = np.full(len(y), y.mean())
+    best = (1e-12, None)
+    if depth:
+        for f in range(x.shape[1]):
+            for v in np.unique(x[:, f])[:-1]:
+                left = x[:, f] <= v
+                if min(left.sum(), (~left).sum()) >= least:
+                    gain = y.var() - left.mean() * y[left].var() - (~left).mean() * y[~left].var()
+                    best = max(best, (gain, (f, v)), key=lambda b: b[0])
+    if best[1] is not None:
+        left = x[:, best[1][0]] <= best[1][1]
+        for part in (left, ~left):
+            out[part] = plain_tree(x[part], y[part], depth - 1, least)
+    return out
+
+
+def test_trees_against_plain_python(spark):
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.integers(0, 7, 300), rng.integers(0, 4, 300), rng.integers(0, 3, 300)], axis=1).astype(float)
+    y = np.sin(x[:, 0]) + 0.5 * x[:, 1] * (x[:, 2] > 0) + rng.normal(0, 0.3, 300)
+    df = spark.createDataFrame([(k, *map(float, r), float(t)) for k, (r, t) in enumerate(zip(x, y, strict=True))], "k int, a double, b double, c double, t double")
+    leaves = sorted((r.n, r.total, r.mean) for r in learning.tree_leaves(df, ["a", "b", "c"], "t", 3, 15).collect())
+    own = plain_tree(x, y, 3, 15)
+    want = sorted((int((own == m).sum()), float(y[own == m].sum()), float(m)) for m in np.unique(own))
+    assert [w[0] for w in want] == [g[0] for g in leaves] and np.allclose(want, leaves)
+    model = learning.fit_trees(df, ["a", "b", "c"], "t", rounds=4, depth=2, rate=0.1, least_rows=10)
+    total = plain_tree(x, y, 2, 10)
+    for _ in range(3):  # further trees follow the gradient of the squared error
+        total = total + 0.1 * plain_tree(x, 2 * (y - total), 2, 10)
+    got = {r.k: r.prediction_ratio for r in learning.predict(model, df, ["a", "b", "c"]).collect()}
+    assert np.allclose([got[k] for k in range(300)], total)
+    assert learning.rmse(learning.predict(model, df, ["a", "b", "c"]), "prediction_ratio", "t").first()[0] == pytest.approx(float(np.sqrt(np.mean((total - y) ** 2))))
+    top = learning.importances(spark, model, ["a", "b", "c"]).collect()
+    assert [r.importance for r in top] == sorted((r.importance for r in top), reverse=True) and sum(r.importance for r in top) == pytest.approx(1) and {r.feature for r in top} == {"a", "b", "c"}
