@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._bytes import ranges, text_sizes
 from ._names import Named
 from ._scratch import materialize
 
@@ -132,11 +133,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            whose, gram, count = count_grams(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()).take(pa.array(whose)), pa.array(gram), pa.array(count, pa.int64())],
-                names=["lang", "gram", "n"])
+            for a, b in ranges(text_sizes(batch.column(1)), 500_000):
+                langs, texts = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
+                whose, gram, count = count_grams(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [langs.cast(pa.string()).take(pa.array(whose)), pa.array(gram), pa.array(count, pa.int64())],
+                    names=["lang", "gram", "n"])
 
     grams = sample.mapInArrow(grams_of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

@@ -23,6 +23,10 @@ from .components import connected_components
 SLOTS, BAND_ROWS = 252, 6
 #: Further classes of a bucket that others are compared with; rows of a bucket's block.
 PICKS, BLOCK_ROWS = 8, 1024
+#: Shingles of a bucket's block, which bounds it where texts are long.
+BLOCK_SHINGLES = 1 << 22
+#: Where a row is in the blocks of a bucket.
+PLACE = ["h", "bi", "bj", "block", "t", "p", "root", "n"]
 #: Elements whose permutations are held at once (504 bytes each).
 CHUNK = 1 << 15
 _EMPTY = np.iinfo(np.uint64).max
@@ -148,33 +152,17 @@ def _confirm(size: int, num: int, den: int):
     return confirm
 
 
-def _cross(rows: pa.Table, least: float, size: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between the components of one bucket (or of two of its blocks).
+def _survivors(rows: pa.Table, least: float, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of one bucket (or of two of its blocks) that full sets decide.
 
-    Pairs in different components, of like size and signature, that share no earlier
-    band (else another bucket has them) are confirmed on full sets.  A link joins its
-    components at once, so that of the links found none closes a circle.
+    They are in different components, of like size and signature, and share no earlier
+    band (else another bucket has them).
     """
     block, p, root, n = (rows.column(c).to_numpy() for c in ("block", "p", "root", "n"))
     band, first, last = rows.column("t")[0].as_py(), rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
     sig, keys = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=d).reshape(len(p), -1)
                  for c, d in (("sig", np.uint8), ("keys", np.int64)))
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == last)
-    body, open_ = rows.column("body"), zstandard.ZstdDecompressor().decompress
-    sets: dict[int, np.ndarray] = {}
-    above: dict[int, int] = {}
-    found = []
-
-    def set_of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = text_sets([open_(body[i].as_py())], size)[0]
-        return sets[i]
-
-    def top(r: int) -> int:
-        while r in above:
-            r = above[r]
-        return r
-
     for k in range(0, len(left), 256):
         i = left[k:k + 256]
         near = root[i][:, None] != root[right][None, :]
@@ -187,19 +175,57 @@ def _cross(rows: pa.Table, least: float, size: int, num: int, den: int) -> list[
             good = (sig[x] == sig[y]).sum(axis=1) >= least
             x, y = x[good], y[good]
             new = ~(keys[x, :band] == keys[y, :band]).any(axis=1)
-            for u, v in zip(x[new].tolist(), y[new].tolist(), strict=True):
+            yield x[new], y[new]
+
+
+def _sift(least: float, num: int, den: int):
+    """Rows of a group that are in any surviving pair, without signatures and keys."""
+    def sift(rows: pa.Table) -> pa.Table:
+        wanted = np.zeros(rows.num_rows, dtype=bool)
+        for x, y in _survivors(rows, least, num, den):
+            wanted[x] = wanted[y] = True
+        return rows.filter(pa.array(wanted)).select(PLACE)
+    return sift
+
+
+def _link(least: float, size: int, num: int, den: int):
+    """Links between the components of a group: its surviving pairs confirmed on full sets.
+
+    A link joins its components at once, so that of the links found none closes a circle.
+    """
+    def link(rows: pa.Table) -> pa.Table:
+        p, root, n = (rows.column(c).to_numpy() for c in ("p", "root", "n"))
+        body, open_ = rows.column("body"), zstandard.ZstdDecompressor().decompress
+        sets: dict[int, np.ndarray] = {}
+        above: dict[int, int] = {}
+        found = []
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = text_sets([open_(body[i].as_py())], size)[0]
+            return sets[i]
+
+        def top(r: int) -> int:
+            while r in above:
+                r = above[r]
+            return r
+
+        for x, y in _survivors(rows, least, num, den):
+            for u, v in zip(x.tolist(), y.tolist(), strict=True):
                 r, q = top(int(root[u])), top(int(root[v]))
                 if r != q:
                     both = len(np.intersect1d(set_of(u), set_of(v), assume_unique=True))
                     if den * both >= num * (int(n[u]) + int(n[v]) - both):
                         above[max(r, q)] = min(r, q)
                         found.append((int(max(p[u], p[v])), int(min(p[u], p[v]))))
-    return found
+        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate("ab")})
+    return link
 
 
-def _compare(least: float, size: int, num: int, den: int):
-    """Over partitions sorted by bucket and blocks: a group is complete when the next begins."""
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _each_group(work):
+    """``work`` on each group of partitions sorted by bucket and blocks: a group is
+    complete when the next begins."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def groups(table: pa.Table) -> list[int]:
@@ -207,21 +233,21 @@ def _compare(least: float, size: int, num: int, den: int):
             new = (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             return [0, *(np.flatnonzero(new) + 1).tolist(), len(h)]
 
-        def pairs(table: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+        def results(table: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
             for x, y in zip(bounds, bounds[1:], strict=False):
-                if y > x + 1 and (found := _cross(table.slice(x, y - x), least, size, num, den)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                if y > x + 1:
+                    yield from work(table.slice(x, y - x)).to_batches()
 
         for batch in batches:
             if batch.num_rows:
                 table = pa.Table.from_batches([batch])
                 table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
                 bounds = groups(table)
-                yield from pairs(table, bounds[:-1])
+                yield from results(table, bounds[:-1])
                 held = table.slice(bounds[-2])
         if held is not None:
-            yield from pairs(held, groups(held))
-    return compare
+            yield from results(held, groups(held))
+    return each
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -238,9 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates.  In each bucket they are first compared with the class that shares the
     most buckets with others, then those of other components with a few more.  What is
     left, the pairs of a bucket whose components still differ, is compared inside tasks,
-    block by block (of ``block_rows``), and only links that join components leave them.  So a large group
-    never makes all its pairs, and no candidate is left out.  Links are confirmed on
-    full sets.
+    block by block (of ``block_rows``): first by signature alone, then by the texts of
+    those rows that are in a surviving pair, and only links that join components leave
+    the tasks.  So a large group never makes all its pairs, and no candidate is left out.
+    Links are confirmed on full sets.
 
     Null or wordless texts have an empty set: linked with nothing, their own id as
     component.  A null id is no group's smallest id unless the group has no other.
@@ -291,8 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def still_open(roots: DataFrame) -> DataFrame:
         named = (buckets.join(roots.withColumnRenamed("node", "p"), "p", "left")
                  .withColumn("root", F.coalesce("root", "p")))
-        mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"))
-        return materialize(named.join(mixed.where("x <> y").select("h", "k"), "h"))
+        mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"), F.sum("n").alias("in_all"))
+        return materialize(named.join(mixed.where("x <> y").select("h", "k", "in_all"), "h"))
 
     def with_more(links: DataFrame, roots: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links and roots with further links; where there are none, all stays as it is."""
@@ -317,16 +344,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select(F.greatest("p", "b").alias("a"), F.least("p", "b").alias("b")).distinct())
     links, roots = with_more(links, roots, confirmed(alike(tries)))
 
-    rest = (still_open(roots).withColumn("nb", F.ceil(F.col("k") / F.lit(block_rows)).cast("long"))
-            .withColumn("block", F.pmod(F.xxhash64("p"), "nb")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    keyed = nodes.select("p", "body", F.col("_sig").alias("sig"), F.expr(
-        "array_join(transform(_bands, x -> lpad(hex(x), 16, '0')), '')").alias("keys"))
-    blocks = rest.join(keyed, "p").select(
-        "h", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-        "block", "t", "p", "root", "n", "sig", F.unhex("keys").alias("keys"), "body")
-    blocks = blocks.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj")
-    found = materialize(blocks.mapInArrow(_compare(least, shingle_words, num, den), "a long, b long"))
+    parts = F.ceil(F.greatest(F.col("k") / F.lit(block_rows), F.col("in_all") / F.lit(BLOCK_SHINGLES)))
+    rest = still_open(roots).withColumn("nb", parts.cast("long")).withColumn("block", F.pmod(F.xxhash64("p"), "nb"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select(
+        "h", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "t", "p", "root", "n")
+    keyed = nodes.select("p", F.col("_sig").alias("sig"), F.unhex(F.expr(
+        "array_join(transform(_bands, x -> lpad(hex(x), 16, '0')), '')")).alias("keys"), "body")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj")
+
+    places = ", ".join(f"{c} {'int' if c == 't' else 'long'}" for c in PLACE)
+    sifted = grouped(rest.join(keyed.drop("body"), "p").select(*PLACE, "sig", "keys")).mapInArrow(
+        _each_group(_sift(least, num, den)), places)
+    found = materialize(grouped(sifted.join(keyed, "p").select(*PLACE, "sig", "keys", "body")).mapInArrow(
+        _each_group(_link(least, shingle_words, num, den)), "a long, b long"))
     links, roots = with_more(links, roots, found)
 
     brief_rows = rows.select("_row", "_print", F.col(id_col).alias("_id"))

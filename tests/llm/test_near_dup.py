@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from marketloom.llm import near_dup
 from marketloom.llm.near_dup import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,7 +76,7 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert got == brute_force(rows, 4)
 
 
-def test_a_bucket_of_many_open_classes_in_several_blocks(spark):
+def test_a_bucket_of_many_open_classes_in_several_blocks(spark, monkeypatch):
     """Clusters that share bands but aren't alike: pairs meet across the blocks of a bucket."""
     rng = random.Random(2)
     rows = []
@@ -88,3 +92,25 @@ def test_a_bucket_of_many_open_classes_in_several_blocks(spark):
     for blocks in (3, 8, 1024):
         out = near_duplicates(docs, shingle_words=4, block_rows=blocks).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == want
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 700)  # blocks of about three texts
+    out = near_duplicates(docs, shingle_words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == want
+
+
+def test_only_rows_with_a_surviving_pair_get_their_texts():
+    """Rows 1 and 2 are alike, 3 has another signature, 4 is as row 1 but of its component,
+    5 is too long, 6 shares an earlier band with row 1 and 2."""
+    one, other = bytes(252), bytes([1]) * 252
+    bands = [np.arange(42) + 100 * k for k in range(7)]
+    for k in (1, 2, 6):
+        bands[k][3] = 7
+    bands[6][0], bands[1][0], bands[2][0] = 5, 5, 6
+    bands[6][1], bands[2][1] = 8, 8
+    rows = pa.table({
+        "h": pa.array([9] * 6, pa.int64()), "bi": pa.array([0] * 6, pa.int64()), "bj": pa.array([0] * 6, pa.int64()),
+        "block": pa.array([0] * 6, pa.int64()), "t": pa.array([3] * 6, pa.int32()),
+        "p": pa.array([1, 2, 3, 4, 5, 6], pa.int64()), "root": pa.array([1, 2, 3, 1, 5, 6], pa.int64()),
+        "n": pa.array([100, 100, 100, 400, 400, 100], pa.int64()),
+        "sig": pa.array([one, one, other, one, other, one], pa.binary()),
+        "keys": pa.array([bands[k].astype(np.int64).tobytes() for k in range(1, 7)], pa.binary())})
+    assert near_dup._sift(173, 80, 100)(rows).column("p").to_pylist() == [1, 2]
