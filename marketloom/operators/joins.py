@@ -41,6 +41,21 @@ def asof(left: DataFrame, right: DataFrame, on: str = "Date", by: Sequence[str]
     return out.select("_left.*", *[F.col(f"_found.{names[c]}") for c in names])
 
 
+def asof_few(left: DataFrame, right: DataFrame, on: str = "Date", right_on: str = "_at", by: str = "ticker") -> DataFrame:
+    """J1 for a right side with few rows a key, whose columns may be many: rows already dealt out by ``by`` stay where they are.
+
+    A right row holds from its own date until the next one's, so a left row meets the
+    handful of right rows of its key and keeps one.  Only the right side is shuffled and
+    sorted; its columns pass no shuffle together with the left rows.  Of several right rows
+    with one date the greatest (by its columns) is taken, as ``asof`` does.
+    """
+    rest = [c for c in right.columns if c not in (by, right_on)]
+    held = right.where(F.col(right_on).isNotNull()).select(F.col(by).alias("_of"), right_on, F.struct(*rest).alias("_row"))
+    held = held.withColumn("_until", F.lead(right_on).over(Window.partitionBy("_of").orderBy(right_on, "_row")))
+    met = (F.col(by) == F.col("_of")) & (F.col(on) >= F.col(right_on)) & (F.col("_until").isNull() | (F.col(on) < F.col("_until")))
+    return left.join(held, met, "left").select(*left.columns, right_on, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def asof_after_days(left: DataFrame, right: DataFrame, days: int, value: str, on: str = "Date") -> DataFrame:
     """The last known ``value`` at ``date + days``."""
     ahead = left.withColumn("_ahead", F.date_add(on, days))

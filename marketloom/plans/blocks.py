@@ -19,11 +19,12 @@ from ..functions import fourier
 from ..functions.exprs import clip, div, linear01, ln, log_price_to, sigmoid, tanh01, tanh01_at_one, tanh01_log, week_part
 from ..operators import indicators
 from ..operators.aggregates import first_row_per_year, per_date_extremes, trading_days, weighted_index
-from ..operators.joins import asof, with_member_flags
+from ..operators.joins import asof, asof_few, with_member_flags
 from ..operators.samples import complete_rows
 from ..operators.windows import (
     by, fill, rolling, with_change, with_differences, with_drawdowns, with_group_rank, with_lag_quotients, with_lags, with_sequence,
 )
+from ..scratch import materialize
 
 # Defaults of a run.
 LAGS, MONTHS = (1, 2, 5, 10, 20, 50, 100, 200, 300, 500), (1, 2, 4, 6, 8, 12)
@@ -83,42 +84,36 @@ def statement_features(fin: DataFrame, quarterly: bool, n_lags: int) -> DataFram
 BOOK = ["reportedEPS", "estimatedEPS", "totalShareholderEquity", "commonStockSharesOutstanding", "ebit_lagquot_qm1", "totalShareholderEquity_lagquot_qm1"]
 
 
-def price_metrics(bars: DataFrame, fin_q: DataFrame, keep_date: bool = False) -> DataFrame:
-    """Earnings and book ratios of each bar by the statements reported until then (``_q``: when, if ``keep_date``)."""
+def price_metrics(bars: DataFrame, fin_q: DataFrame, look_up: Callable[..., DataFrame] = asof) -> DataFrame:
+    """Earnings and book ratios of each bar by the statements reported until then."""
     q = statement_features(fin_q, True, 1).select("ticker", F.col("reportedDate").alias("_q"), *[F.col(c).alias(f"_b_{c}") for c in BOOK])
-    df = asof(bars, q, right_on="_q")
+    df = look_up(bars, q, right_on="_q")
     b = {c: F.col(f"_b_{c}") for c in BOOK}
     df = df.withColumns({
         "log_trailing_pe_ratio": log_price_to("Close", b["reportedEPS"], 4), "log_forward_pe_ratio": log_price_to("Close", b["estimatedEPS"], 4),
         "log_pb_ratio": log_price_to("Close", div(b["totalShareholderEquity"], b["commonStockSharesOutstanding"])),
         "close2ebit_lagquot_qm1": F.col("Close") * b["ebit_lagquot_qm1"],
         "close2totalShareholderEquity_lagquot_qm1": F.col("Close") * b["totalShareholderEquity_lagquot_qm1"]})
-    return df.drop(*[f"_b_{c}" for c in BOOK], *([] if keep_date else ["_q"]))
-
-
-def _latest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of several rows with equal keys the greatest, as an as-of join takes it."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+    return df.drop(*[f"_b_{c}" for c in BOOK], "_q")
 
 
 @block("financial")
 def financial(bars: DataFrame, p: dict | None = None, *, fin_q: DataFrame, fin_a: DataFrame, quarter_lags: int = 12, annual_lags: int = 3, **_) -> DataFrame:
     """B2: statements as of each bar (quarters by reported date, years by their end), price metrics and their lags.
 
-    The as-of joins run on bars and dates only.  A statement's hundred columns are
-    joined by its date in the end, so they pass no window and no sort of the bars.
+    The bars are dealt out by ticker once, and each join leaves them there.  A statement's
+    hundred columns come last, so that they pass no shuffle, window or sort of the bars.
     """
     lags = params(p)["lags"]
+    fin_q, fin_a = materialize(fin_q), materialize(fin_a)
     q = statement_features(fin_q, True, quarter_lags)
     a = statement_features(first_row_per_year(fin_a), False, annual_lags)
     names = lambda d, tag: d.select("ticker", F.col("reportedDate" if tag == "q" else "fiscalDateEnding").alias(f"_{tag}"), *[
         F.col(c).alias(f"{tag}_{c}") for c in d.columns if c.endswith(("_nivRev", "_RANK")) or "_lagquot_" in c or "_nivRevLag_" in c
         or c in ("surprisePercentage", "reportTime")]).where(f"_{tag} is not null")
-    df = asof(price_metrics(bars, fin_q, True), a.select("ticker", F.col("fiscalDateEnding").alias("_a")).distinct(), right_on="_a")
-    df = with_lag_quotients(with_lags(df, PRICE_METRICS, lags), PRICE_METRICS, lags)
-    df = df.join(_latest(names(q, "q"), ["ticker", "_q"]), ["ticker", "_q"], "left")
-    return df.join(_latest(names(a, "a"), ["ticker", "_a"]), ["ticker", "_a"], "left").drop("_q", "_a")
+    df = with_lags(price_metrics(bars, fin_q, asof_few), PRICE_METRICS, lags)
+    df = with_lag_quotients(df, PRICE_METRICS, lags)
+    return asof_few(asof_few(df, names(q, "q"), right_on="_q"), names(a, "a"), right_on="_a").drop("_q", "_a")
 
 
 @block("financial_sequence")

@@ -19,14 +19,28 @@ def _lines(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     return lines.withColumn("ticker", F.col("l_suppkey").cast("string"))
 
 
+#: Lines that one task groups into bars (and passes on to the windows of their tickers) or joins with their orders.
+TASK_LINES = 500_000
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    """A number of tasks that grows with the lines (Parquet footers tell their number)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_table(spark, sf_dir, "lineitem").count() // TASK_LINES))
+
+
 def bars(spark: SparkSession, sf_dir: str, key: str = "supplier") -> DataFrame:
-    """One bar per supplier (or brand) and ship date; the price of a line is its unit price."""
+    """One bar per supplier (or brand) and ship date; the price of a line is its unit price.
+
+    A supplier's lines go to one task, which groups and sorts them: windows over tickers
+    need no further shuffle, and a task holds no more rows when the table grows.  The few
+    brands are grouped before the shuffle instead.
+    """
     k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     p = F.col("l_extendedprice") / F.col("l_quantity")
+    lines = _lines(spark, sf_dir, key).select(
+        "ticker", F.to_date("l_shipdate").alias("Date"), k.alias("k"), p.alias("p"), (p * (1 - F.col("l_discount"))).alias("adj"), F.col("l_quantity").alias("q"))
     return (
-        _lines(spark, sf_dir, key)
-        .select("ticker", F.to_date("l_shipdate").alias("Date"), k.alias("k"),
-                p.alias("p"), (p * (1 - F.col("l_discount"))).alias("adj"), F.col("l_quantity").alias("q"))
+        (lines.repartition(_tasks(spark, sf_dir), "ticker") if key == "supplier" else lines)
         .groupBy("ticker", "Date")
         .agg(F.min_by("p", "k").alias("Open"), F.max("p").alias("High"), F.min("p").alias("Low"),
              F.max_by("p", "k").alias("Close"), F.max_by("adj", "k").alias("AdjClose"), F.sum("q").alias("Volume"))
@@ -38,6 +52,9 @@ def _statement(spark: SparkSession, sf_dir: str, unit: str, key: str = "supplier
     lines, orders = _lines(spark, sf_dir, key), _table(spark, sf_dir, "orders")
     end = F.date_sub(F.add_months(F.trunc("o_orderdate", unit), 3 if unit == "quarter" else 12).cast("date"), 1)
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    n = _tasks(spark, sf_dir)
+    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        lines = lines.repartition(n, "l_orderkey")
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .groupBy("ticker", end.alias("fiscalDateEnding"))
