@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import exists, materialize
+from ..scratch import MOST_BROADCAST, exists, materialize
 from .manifest import Manifest
 
 FILE_PATTERN = r"output_prediction_[A-Za-z]+_(.+)_(\d{2}[A-Za-z]{3}\d{2})_(\d{4})(__completed)?\.parquet"
@@ -16,16 +17,21 @@ FILE_PATTERN = r"output_prediction_[A-Za-z]+_(.+)_(\d{2}[A-Za-z]{3}\d{2})_(\d{4}
 
 #: Rows of a bucket beyond which it is split, and the most bits of a bucket's name.
 BUCKET_ROWS, MOST_BITS = 5_000_000, 24
+#: Rows of a file of the store.
+FILE_ROWS = 500_000
 
 
 class AssetStore:
     """Tables in a folder, in buckets of tickers; one ticker reads one bucket.
 
     A bucket is named by the leading bits of the ticker's hash.  A save writes the touched
-    buckets anew, beside the old ones, and then changes the table's list of buckets
-    (``Manifest``), so that a table is always as it was before a save or after it.  A
+    buckets anew, all into one folder whose files are sorted by bucket, and then changes the
+    table's list of buckets (``Manifest``), so that a table is always as it was before a
+    save or after it: a bucket's rows are those of the folder that its entry names.  A
     bucket that grows beyond ``bucket_rows`` falls into smaller ones with longer names
-    when it is written; the others stay.  A ticker's rows are never torn apart.
+    when it is written; the others stay.  A ticker's rows are never torn apart.  The number
+    of files follows the rows, not the buckets.  A folder of which less than half is still
+    in use is written anew by the next save.
     """
 
     def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS):
@@ -38,17 +44,30 @@ class AssetStore:
     def _bits(c: Column) -> Column:
         return F.lpad(F.substring(F.bin(F.xxhash64(c)), -64, 64), 64, "0").substr(1, MOST_BITS)
 
-    @staticmethod
-    def _named(bits: Column, depths: list[int]) -> Column:
-        """Candidate names of a row's bucket, one for each length that occurs."""
-        return F.array(*[F.substring(bits, 1, n) for n in depths])
+    def _few(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A table of a row a bucket, broadcast unless there are very many."""
+        df = self.spark.createDataFrame(rows, schema)
+        return F.broadcast(df) if len(rows) <= MOST_BROADCAST else df
 
     def _placed(self, df: DataFrame, buckets: dict) -> DataFrame:
         """Rows with the ``_bucket`` that their ticker is in: there is one for every ticker."""
-        names = self.spark.createDataFrame([(n,) for n in buckets], "_bucket string")  # one row a bucket
+        df = df.withColumn("_bits", self._bits(F.col("ticker")))
         depths = sorted({len(n) for n in buckets})
-        keyed = df.withColumn("_bits", self._bits(F.col("ticker"))).withColumn("_bucket", F.explode(self._named(F.col("_bits"), depths)))
-        return keyed.join(F.broadcast(names) if len(buckets) <= 100_000 else names, "_bucket")
+        if len(depths) == 1:
+            return df.withColumn("_bucket", F.substring("_bits", 1, depths[0]))
+        names = F.array(*[F.substring("_bits", 1, n) for n in depths])  # a candidate for each length that occurs
+        return df.withColumn("_bucket", F.explode(names)).join(self._few([(n,) for n in buckets], "_bucket string"), "_bucket")
+
+    def _stored(self, manifest: Manifest, content: dict, names: list[str]) -> DataFrame:
+        """The rows of some buckets, with ``_save`` and ``_leaf`` (folder and bucket that they are stored in)."""
+        buckets, rows = content["buckets"], content["folders"]
+        folders = sorted({buckets[n]["path"] for n in names})
+        df = self.spark.read.parquet(*[f"{manifest.path}/{p}" for p in folders])
+        if sum(buckets[n]["rows"] for n in names) == sum(rows[p] for p in folders):
+            return df  # all that is in these folders
+        if len(names) == 1:
+            df = df.where(F.col("_leaf") == f"b{names[0]}")  # files are sorted by it
+        return df.join(self._few([(buckets[n]["path"].split("/")[1], f"b{n}") for n in names], "_save string, _leaf string"), ["_save", "_leaf"], "left_semi")
 
     def save(self, df: DataFrame, table: str, batch: tuple[str, int] | None = None) -> bool:
         """Replace the rows of the tickers in ``df``; those of other tickers stay.
@@ -58,31 +77,43 @@ class AssetStore:
         """
         manifest = self._manifest(table)
         version, content = manifest.read()
-        buckets, batches = content.get("buckets", {"": None}), content.get("batches", {})
+        buckets, batches, folders = content.get("buckets", {"": None}), content.get("batches", {}), content.get("folders", {})
         if batch and batches.get(batch[0], -1) >= batch[1]:
             return False
         placed = materialize(self._placed(df, buckets))
-        touched = [r[0] for r in placed.select("_bucket").distinct().collect()]  # names of buckets
-        kept = [buckets[n]["path"] for n in touched if buckets[n]]
+        touched = {r[0] for r in placed.select("_bucket").distinct().collect()}  # names of buckets
+        if touched:
+            used = Counter()
+            for n, b in buckets.items():
+                if b and n not in touched:
+                    used[b["path"]] += b["rows"]
+            touched |= {n for n, b in buckets.items() if b and 2 * used[b["path"]] < folders[b["path"]]}
+        kept = [n for n in touched if buckets[n]]
         if kept:
-            old = self.spark.read.parquet(*[f"{manifest.path}/{p}" for p in kept]).select(*df.columns)
-            old = old.join(placed.select("ticker").distinct(), "ticker", "left_anti").select(*df.columns)
-            placed = placed.unionByName(self._placed(old, buckets))
+            old = self._stored(manifest, content, kept).withColumns({"_bits": self._bits(F.col("ticker")), "_bucket": F.expr("substring(_leaf, 2)")})
+            placed = placed.unionByName(old.select(*placed.columns).join(placed.select("ticker").distinct(), "ticker", "left_anti"))
         sizes = {r["_bucket"]: r["n"] for r in placed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
         deeper = {n: min(MOST_BITS - len(n), max(0, (k - 1) // self.bucket_rows).bit_length()) for n, k in sizes.items()}
-        more = F.create_map(*[x for n, d in deeper.items() for x in (F.lit(n), F.lit(len(n) + d))]) if deeper else None
         commit = uuid.uuid4().hex
         new = {n: v for n, v in buckets.items() if n not in sizes}
         if deeper:
-            leaf = F.substring("_bits", F.lit(1), F.element_at(more, F.col("_bucket")))
-            out = placed.withColumn("_leaf", F.concat(F.lit("b"), leaf)).drop("_bits", "_bucket")
-            out.repartition("_leaf").sortWithinPartitions("_leaf", "ticker").write.partitionBy("_leaf").parquet(f"{manifest.path}/data/{commit}")
-            written = {r["leaf"]: r["n"] for r in placed.groupBy(leaf.alias("leaf")).agg(F.count("*").alias("n")).collect()}
+            at = f"data/{commit}/rows"
+            if len(set(deeper.values())) > 1:
+                placed = placed.join(self._few(list(deeper.items()), "_bucket string, _more int"), "_bucket")
+            else:
+                placed = placed.withColumn("_more", F.lit(next(iter(deeper.values()))))
+            out = placed.withColumns({"_leaf": F.expr("concat('b', substring(_bits, 1, length(_bucket) + _more))"), "_save": F.lit(commit)}).drop("_bits", "_bucket", "_more")
+            files = max(min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), sum(1 << d for d in deeper.values())), -(-sum(sizes.values()) // FILE_ROWS))
+            out.repartition(files, "_leaf").sortWithinPartitions("_leaf", "ticker").write.parquet(f"{manifest.path}/{at}")
+            found = self.spark.read.parquet(f"{manifest.path}/{at}").groupBy("_leaf").agg(F.count("*").alias("n")).collect()  # a row a bucket
+            written = {r["_leaf"][1:]: r["n"] for r in found}
             for n, d in deeper.items():
                 for k in range(1 << d):
                     name = n + (f"{k:0{d}b}" if d else "")
-                    new[name] = {"path": f"data/{commit}/_leaf=b{name}", "rows": written[name]} if name in written else None
-        manifest.commit(version, {"buckets": new, "batches": batches | ({batch[0]: batch[1]} if batch else {})})
+                    new[name] = {"path": at, "rows": written[name]} if name in written else None
+            folders = folders | {at: sum(written.values())}
+        named = {b["path"] for b in new.values() if b}
+        manifest.commit(version, {"buckets": new, "batches": batches | ({batch[0]: batch[1]} if batch else {}), "folders": {p: n for p, n in folders.items() if p in named}})
         return True
 
     def load(self, table: str, ticker: str | None = None, tickers: DataFrame | None = None) -> DataFrame:
@@ -102,7 +133,7 @@ class AssetStore:
         names = list(buckets) if wanted is None else [r[0] for r in self._placed(wanted, buckets).select("_bucket").distinct().collect()]
         full = [n for n in names if buckets[n]]
         some = full or [n for n in buckets if buckets[n]][:1]
-        df = self.spark.read.parquet(*[f"{manifest.path}/{buckets[n]['path']}" for n in some])
+        df = self._stored(manifest, content, some).drop("_save", "_leaf")
         df = df if full else df.limit(0)
         return df.join(wanted, "ticker", "left_semi") if wanted is not None else df
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import merge_bars
+from ..scratch import materialize
 from ..sources.schemas import SCHEMAS
 from ..sources.stores import AssetStore
 
@@ -30,7 +31,7 @@ def upsert_bars(spark: SparkSession, incoming: str, store: AssetStore, checkpoin
     failure is saved once.
     """
     def merge(batch: DataFrame, number: int) -> None:
-        new = latest(batch)
+        new = materialize(latest(batch))  # used three times
         if store.exists("bars"):
             new = merge_bars(store.load("bars", tickers=new), new)
         store.save(new, "bars", (checkpoint, number))

@@ -1,8 +1,10 @@
 """Plans and stores that must not grow faster than their input."""
 
+from pyspark.sql import functions as F
+
 from marketloom.operators import joins as J
 from marketloom.plans import blocks
-from marketloom.sources import views
+from marketloom.sources import stores, views
 
 
 def test_asof_few_equals_asof_and_leaves_the_left_rows_where_they_are(spark):
@@ -28,3 +30,22 @@ def test_tasks_of_bars_grow_with_the_lines(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(views, "TASK_LINES", 100)
     n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100)
     assert views.bars(spark, sf_dir).rdd.getNumPartitions() == n > 8
+
+
+def test_files_of_a_store_follow_its_rows_and_not_its_buckets(spark, tmp_path):
+    store = stores.AssetStore(spark, f"{tmp_path}/store", bucket_rows=4)
+    rows = lambda x, some: spark.range(2000).where(some).select(F.concat(F.lit("T"), F.col("id") % 500).alias("ticker"), F.lit(x).alias("x"), "id")
+    want = {(f"T{i % 500}", 0, i) for i in range(2000)}
+    assert store.save(rows(0, "true"), "t") and {tuple(r) for r in store.load("t").collect()} == want
+    content = lambda: stores.Manifest(spark, f"{tmp_path}/store/t").read()[1]
+    assert len(content()["buckets"]) == 512 and len(list(tmp_path.rglob("*.parquet"))) <= 8 + 1
+    first = next(iter(content()["folders"]))
+    for x, some in ((1, "id % 500 < 200"), (2, "id % 500 between 190 and 400")):  # the second leaves less than half of the first folder in use
+        assert store.save(rows(x, some), "t")
+        new = {int(r.id): r for r in rows(x, some).collect()}
+        want = {w for w in want if w[0] not in {r.ticker for r in new.values()}} | {tuple(r) for r in new.values()}
+        assert {tuple(r) for r in store.load("t").collect()} == want
+        assert sum(b["rows"] for b in content()["buckets"].values() if b) == 2000
+    assert first not in content()["folders"]
+    assert sorted(tuple(r) for r in store.load("t", "T450").collect()) == sorted(w for w in want if w[0] == "T450")
+    assert store.vacuum("t") >= 1 and {tuple(r) for r in store.load("t").collect()} == want
