@@ -183,7 +183,7 @@ add("s07_feature_store", _features, f"f AS ({_OF});;SELECT 'sp500' AS \"group\",
 def _outputs(s: SparkSession, d: str) -> tuple[str, list[str]]:
     """Raw results of two runs, completed with targets; the folder and what was completed."""
     folder = new_path(s)
-    p = predictions(s, d).select(F.col("Date").alias("date"), "ticker", "Close", "prediction_ratio")
+    p = materialize(predictions(s, d).select(F.col("Date").alias("date"), "ticker", "Close", "prediction_ratio"))
     last = p.agg(F.max("date")).first()[0]
     for name, part in (("01Jan24_0930", p.where("date < '1997-01-01'")), ("01Jul24_1600", p.where("date >= '1997-01-01'")),
                        ("02Jul24_1600", p.withColumn("date", F.date_add("date", 20_000)).where(F.col("date") > last))):  # the third has no targets yet

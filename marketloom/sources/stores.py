@@ -272,12 +272,14 @@ def complete_outputs(spark: SparkSession, folder: str, bars: DataFrame, ahead: i
 
     files = discover_outputs(spark, folder).where(F.col("group") == group).collect()  # names only
     done = {r.path.replace("__completed", "") for r in files if r.completed}
+    todo = [r for r in files if not r.completed and r.path not in done]
     targets = with_targets(bars, ahead).select("ticker", F.col("Date").alias("date"), "target_ratio")
+    targets = materialize(targets) if todo else targets  # every result looks them up
     out = []
-    for r in files:
-        if not r.completed and r.path not in done:
-            got = spark.read.parquet(r.path).drop("target_ratio").join(targets, ["date", "ticker"], "left")
-            to = r.path.replace(".parquet", "__completed.parquet")
+    for r in todo:
+        to = r.path.replace(".parquet", "__completed.parquet")
+        if not exists(spark, to):
+            got = materialize(spark.read.parquet(r.path).drop("target_ratio").join(targets, ["date", "ticker"], "left"))  # checked, sorted and written
             if write_result(got, to, "target_ratio"):
                 out.append(to)
     return out

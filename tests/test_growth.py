@@ -1,9 +1,14 @@
 """Plans and stores that must not grow faster than their input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from marketloom.functions import fourier
 from marketloom.operators import joins as J
+from marketloom.operators import quantiles
 from marketloom.plans import blocks
+from marketloom.scratch import materialize
 from marketloom.sources import stores, views
 
 
@@ -49,3 +54,35 @@ def test_files_of_a_store_follow_its_rows_and_not_its_buckets(spark, tmp_path):
     assert first not in content()["folders"]
     assert sorted(tuple(r) for r in store.load("t", "T450").collect()) == sorted(w for w in want if w[0] == "T450")
     assert store.vacuum("t") >= 1 and {tuple(r) for r in store.load("t").collect()} == want
+
+
+def test_quantiles_shuffle_no_values_beyond_the_wanted_buckets(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003 + 1).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.sin("id")).alias("y"))
+    plan = quantiles.quantile_table(df, ["x", "y"], [0.1, 0.5])._jdf.queryExecution().optimizedPlan().toString()
+    sums = [x for x in plan.splitlines() if "Aggregate [column" in x and ", x#" in x.split("]")[0]]
+    assert sums and plan.count("LeftSemi") >= len(sums)  # values are counted behind the choice of buckets only
+    x, y = (sorted(v for v in c if v is not None) for c in zip(*df.collect(), strict=True))
+    got = {(r["column"], r.q): r.v for r in quantiles.quantile_table(df, ["x", "y"], [0.1, 0.5]).collect()}
+    for name, values in (("x", x), ("y", y)):
+        assert [got[name, q] for q in (0.1, 0.5)] == pytest.approx(list(np.quantile(values, [0.1, 0.5])))
+
+
+def test_targets_are_made_once_for_all_results(spark, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(stores, "materialize", lambda df: calls.append(df.columns) or materialize(df))
+    days = spark.sql("SELECT 'A' AS ticker, date_add(date'2024-01-01', id) AS Date, 1.0D + id AS Open, 1.0D + id AS Close, 1.0D + id AS AdjClose FROM range(20)".replace("id", "cast(id AS int)"))
+    for k, name in enumerate(("01Jan24_0930", "02Jan24_0930")):
+        days.select(F.col("Date").alias("date"), "ticker").where(F.dayofmonth("Date") == k + 2).write.parquet(f"{tmp_path}/output_prediction_M_g_{name}.parquet")
+    assert len(stores.complete_outputs(spark, str(tmp_path), days, 3, "g")) == 2
+    assert calls.count(["ticker", "date", "target_ratio"]) == 1 and len(calls) == 3
+
+
+def test_residuals_of_windows_equal_those_by_kernels():
+    values = np.cumsum(np.random.default_rng(3).normal(size=300)) + 50
+    values[140] = np.nan
+    for size in (22, 43):
+        _, _, residual = fourier.kernels(size)
+        got = fourier.window_features(values, size)
+        for k, column in ((-1, -2), (0, -1)):
+            want = [np.sqrt(np.mean((residual[k] @ values[i - size + 1:i + 1]) ** 2)) for i in range(size - 1, 300)]
+            np.testing.assert_allclose(got[size - 1:, column], want, rtol=1e-9)
