@@ -65,11 +65,32 @@ def with_differences(df: DataFrame, price: str = "AdjClose", w=None) -> DataFram
 
 def with_drawdowns(df: DataFrame, months: Sequence[int], price: str = "AdjClose", rows: int = ROWS_PER_MONTH, w=None) -> DataFrame:
     """Distance from the highest and lowest price of the last ``21 * m`` rows."""
-    w, new = w or by(), {}
+    w, new, keep = w or by(), {}, df.columns
+    df = with_extremes(df, price, [rows * m for m in months], w)
     for m in months:
-        high, low = rolling(F.max, price, rows * m, w), rolling(F.min, price, rows * m, w)
+        high, low = F.col(f"_high_{rows * m}"), F.col(f"_low_{rows * m}")
         new[f"drawdown_{m}"], new[f"drawup_{m}"] = div(F.col(price) - high, high), div(F.col(price) - low, low)
-    return df.withColumns(new)
+    return df.withColumns(new).select(*[c for c in keep if c not in new], *new)
+
+
+def with_extremes(df: DataFrame, price: str, sizes: Sequence[int], w) -> DataFrame:
+    """Highest and lowest value of the last ``n`` rows, as ``_high_<n>`` and ``_low_<n>``, NULL unless all rows have one.
+
+    Only the shortest frame is gone through for each row.  A longer one, of up to twice the
+    rows, is put together from a shorter one here and the same some rows before (they may overlap).
+    """
+    have = 0
+    for n in sorted(set(sizes)):
+        while have < n:
+            size = min(2 * have, n) if have else n
+            if have:
+                pairs = {k: [F.col(f"_{k}_{have}"), F.lag(f"_{k}_{have}", size - have).over(w)] for k in ("high", "low")}
+                whole = pairs["high"][0].isNotNull() & pairs["high"][1].isNotNull()
+                df = df.withColumns({f"_high_{size}": F.when(whole, F.greatest(*pairs["high"])), f"_low_{size}": F.when(whole, F.least(*pairs["low"]))})
+            else:
+                df = df.withColumns({f"_high_{size}": rolling(F.max, price, size, w), f"_low_{size}": rolling(F.min, price, size, w)})
+            have = size
+    return df
 
 
 def with_rolling_mean(df: DataFrame, column: str, n: int, name: str, minimum: int | None = None, w=None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import fourier
 from marketloom.operators import joins as J
 from marketloom.operators import quantiles
+from marketloom.operators import windows as W
 from marketloom.plans import blocks
 from marketloom.scratch import materialize
 from marketloom.sources import stores, views
@@ -86,3 +87,16 @@ def test_residuals_of_windows_equal_those_by_kernels():
         for k, column in ((-1, -2), (0, -1)):
             want = [np.sqrt(np.mean((residual[k] @ values[i - size + 1:i + 1]) ** 2)) for i in range(size - 1, 300)]
             np.testing.assert_allclose(got[size - 1:, column], want, rtol=1e-9)
+
+
+def test_long_frames_are_put_together_from_shorter_ones(spark):
+    rows = [(t, i, None if i in (40, 41) and t == "a" else float(i * 37 % 101)) for t in "ab" for i in range(120)]
+    df = spark.createDataFrame(rows, "ticker string, Date int, AdjClose double")
+    sizes = [3, 7, 28, 30]
+    got = W.with_extremes(df, "AdjClose", sizes, W.by())
+    want = got.withColumns({f"{k}{n}": W.rolling(f, "AdjClose", n, W.by()) for n in sizes for k, f in (("high", F.max), ("low", F.min))})
+    assert want.where("b.high30 is not null".replace("b.", "")).count() > 100
+    for n in sizes:
+        assert want.where(f"not (high{n} <=> _high_{n} and low{n} <=> _low_{n})").isEmpty()
+    plan = W.with_drawdowns(df, [1, 12])._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, -20, currentrow$())" in plan and "RowFrame, -251" not in plan
