@@ -117,107 +117,183 @@ RECURSIVE = ["trend_ema_fast", "trend_ema_slow", "trend_macd", "trend_macd_signa
              "momentum_pvo", "momentum_pvo_signal", "momentum_pvo_hist", "volume_fi"]
 
 
+#: Rows of the histories that one pass works on; a ticker's history is never torn apart.
+HISTORY_ROWS = 65_536
+
+
+def _averages(*series: tuple[np.ndarray, float]) -> np.ndarray:
+    """Exponential averages (values, factor) down the rows, all at once; what is missing adds nothing and ages what was before."""
+    x, a = np.stack([v for v, _ in series]).swapaxes(0, 1), np.array([f for _, f in series])[:, None]
+    out, mean, age = np.empty_like(x), x[0], np.ones_like(x[0])
+    out[0] = mean
+    for i in range(1, len(x)):
+        now, age = x[i], age * (1 - a)
+        seen = ~np.isnan(now)
+        moved = np.where(np.isnan(mean) | (mean == now), now, (age * mean + a * now) / (age + a))
+        mean, age = np.where(seen, moved, mean), np.where(seen, 1.0, age)
+        out[i] = mean
+    return out.swapaxes(0, 1)
+
+
+def _span(n: int) -> float:
+    return 1 / (1 + (n - 1) / 2)
+
+
+def _before(x: np.ndarray, n: int = 1) -> np.ndarray:
+    """The values ``n`` rows before."""
+    out = np.full_like(x, np.nan)
+    out[n:] = x[:-n] if n else x
+    return out
+
+
+def _rolling(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least, most, sum and mean of the finite values of the last ``n`` rows; NaN without one."""
+    x = np.where(np.isinf(x), np.nan, x)
+    low, high, total, count = x, x, np.nan_to_num(x), (~np.isnan(x)).astype(float)
+    for k in range(1, n):
+        past = _before(x, k)
+        low, high, total, count = np.fmin(low, past), np.fmax(high, past), total + np.nan_to_num(past), count + ~np.isnan(past)
+    total = np.where(count > 0, total, np.nan)
+    return low, high, total, total / count
+
+
+def _filled(x: np.ndarray) -> np.ndarray:
+    out = x.copy()
+    for i in range(1, len(out)):
+        out[i] = np.where(np.isnan(out[i]), out[i - 1], out[i])
+    return out
+
+
 def _psar(high: np.ndarray, low: np.ndarray, close: np.ndarray, step: float, most: float):
-    n = len(close)
-    stop, rising = close.astype(float).copy(), True
-    up, down = np.full(n, np.nan), np.full(n, np.nan)
-    turn_up, turn_down = np.zeros(n), np.zeros(n)
-    pace, best, worst = step, high[0], low[0]
-    for i in range(2, n):
-        edge = best if rising else worst
-        stop[i] = stop[i - 1] + pace * (edge - stop[i - 1])
-        turned = False
-        if rising:
-            if low[i] < stop[i]:
-                turned, stop[i], worst, pace = True, best, low[i], step
-            else:
-                if high[i] > best:
-                    best, pace = high[i], min(pace + step, most)
-                stop[i] = min(stop[i], low[i - 1], low[i - 2])
-        else:
-            if high[i] > stop[i]:
-                turned, stop[i], best, pace = True, worst, high[i], step
-            else:
-                if low[i] < worst:
-                    worst, pace = low[i], min(pace + step, most)
-                stop[i] = max(stop[i], high[i - 1], high[i - 2])
-        if turned:
-            (turn_down if rising else turn_up)[i] = 1.0
-            rising = not rising
-        (up if rising else down)[i] = stop[i]
+    stop, rising = close.copy(), np.ones(close.shape[1], bool)
+    up, down = np.full_like(close, np.nan), np.full_like(close, np.nan)
+    turn_up, turn_down = np.zeros_like(close), np.zeros_like(close)
+    pace, best, worst = np.full(close.shape[1], step), high[0], low[0]
+    for i in range(2, len(close)):
+        h, lo = high[i], low[i]
+        edge = np.where(rising, best, worst)
+        at = stop[i - 1] + pace * (edge - stop[i - 1])
+        turned = np.where(rising, lo < at, h > at)
+        farther = ~turned & np.where(rising, h > best, lo < worst)
+        kept = at  # below the last two lows, or above the last two highs
+        for k in (1, 2):
+            kept = np.where(np.where(rising, low[i - k] < kept, high[i - k] > kept), np.where(rising, low[i - k], high[i - k]), kept)
+        at = np.where(turned, edge, kept)
+        best, worst = (np.where(np.where(rising, farther, turned), h, best), np.where(np.where(rising, turned, farther), lo, worst))
+        pace = np.where(turned, step, np.where(farther, np.where(most < pace + step, most, pace + step), pace))
+        turn_down[i], turn_up[i] = turned & rising, turned & ~rising
+        rising, stop[i] = rising ^ turned, at
+        up[i], down[i] = np.where(rising, at, np.nan), np.where(rising, np.nan, at)
     return up, down, turn_up, turn_down
 
 
+def _histories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of whole histories; ``_row`` is 1 in the first row of each."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        starts = np.flatnonzero(pdf["_row"].to_numpy() == 1)
+        if n >= HISTORY_ROWS and len(starts):
+            rest = pdf[starts[-1]:]
+            held[-1] = pdf[:starts[-1]]
+            if n > len(rest):
+                yield pd.concat(held, ignore_index=True)
+            held, n = [rest], len(rest)
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of histories, together if the shortest has at least half the rows of the longest."""
+    order = np.argsort(-sizes, kind="stable")
+    while len(order):
+        many = 2 * sizes[order] >= sizes[order[0]]
+        yield order[many]
+        order = order[~many]
+
+
 def recursive_indicators(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, atr: int = 10, trix: int = 15, adx: int = 14,
                          rsi: int = 14, psar: tuple[float, float] = (0.02, 0.20), force: int = 13, carry: bool = False) -> DataFrame:
-    """One grouped pass per ticker.
+    """One pass over the histories of the tickers.
 
-    A group is the history of one ticker, whose length is bounded by its trading days.
+    Spark deals out and sorts the tickers; the recursions go down the rows of many
+    histories side by side, so that a step is taken for all of them at once.  The length of
+    a history is bounded by the trading days.
     Averages start with a ticker's first value; what needs an earlier row is NULL there.
     ``carry`` keeps all columns of ``bars``, so that further windows need no join.
     """
     keep = bars.columns if carry else ["ticker", "Date"]
+    wild = lambda n: 1 / (1 + (1 - 1 / n) / (1 / n))  # noqa: E731  Wilder's factor
+    nonzero = lambda x: np.where(x != 0, x, np.nan)
+
+    def scaled(x: np.ndarray, n: int) -> np.ndarray:
+        low, high = _rolling(x, n)[:2]
+        return (x - low) / np.where(high - low > 1e-9, high - low, np.nan)  # NULL where the values are all the same
 
-    def ema(x: pd.Series, n: int) -> pd.Series:
-        return x.ewm(span=n, adjust=False).mean()
-
-    def wilder(x: pd.Series, n: int) -> pd.Series:
-        return x.ewm(alpha=1 / n, adjust=False).mean()
-
-    def scaled(x: pd.Series, n: int) -> pd.Series:
-        low, high = x.rolling(n, min_periods=1).min(), x.rolling(n, min_periods=1).max()
-        return (x - low) / (high - low).where(high - low > 1e-9)  # NULL where the values are all the same
-
-    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Date").reset_index(drop=True)
-        h, low, c, v = (pdf[x] for x in ("High", "Low", "Close", "Volume"))
-        pc, out = c.shift(1), pdf[keep].copy()
-        out["trend_ema_fast"], out["trend_ema_slow"] = ema(c, fast), ema(c, slow)
-        out["trend_macd"] = out.trend_ema_fast - out.trend_ema_slow
-        out["trend_macd_signal"] = ema(out.trend_macd, signal)
-        out["trend_macd_diff"] = out.trend_macd - out.trend_macd_signal
-        tr = pd.concat([h - low, (h - pc).abs(), (low - pc).abs()], axis=1).max(axis=1)
-        out["volatility_atr"] = wilder(tr, atr)
-        e3 = ema(ema(ema(c, trix), trix), trix)
-        out["trend_trix"] = 100 * (e3 - e3.shift(1)) / e3.shift(1)
-        e1 = ema(h - low, 9)
-        out["trend_mass_index"] = (e1 / ema(e1, 9)).rolling(25, min_periods=1).sum()
-        k1 = 100 * scaled(ema(c, 23) - ema(c, 50), 10).ffill()  # without a range it keeps its last value
-        out["trend_stc"] = ema(100 * scaled(ema(k1, 3), 10).ffill(), 3)
-        move_up, move_down = h.diff(), -low.diff()
-        plus, minus = move_up.where((move_up > move_down) & (move_up > 0), 0.0), move_down.where((move_down > move_up) & (move_down > 0), 0.0)
-        true = wilder(tr, adx)
-        out["trend_adx_pos"], out["trend_adx_neg"] = 100 * wilder(plus, adx) / true, 100 * wilder(minus, adx) / true
-        both = out.trend_adx_pos + out.trend_adx_neg
-        out["trend_adx"] = wilder(100 * (out.trend_adx_pos - out.trend_adx_neg).abs() / both.where(both != 0), adx)
-        p = _psar(h.to_numpy(float), low.to_numpy(float), c.to_numpy(float), *psar)
-        out["trend_psar_up"], out["trend_psar_down"], out["trend_psar_up_indicator"], out["trend_psar_down_indicator"] = p
-        d = c.diff()
-        gain, loss = wilder(d.clip(lower=0), rsi), wilder(-d.clip(upper=0), rsi)
-        out["momentum_rsi"] = (100 * gain / (gain + loss).where(gain + loss != 0))
-        out["momentum_stoch_rsi"] = scaled(out.momentum_rsi, rsi)
-        out["momentum_stoch_rsi_k"] = out.momentum_stoch_rsi.rolling(3, min_periods=1).mean()
-        out["momentum_stoch_rsi_d"] = out.momentum_stoch_rsi_k.rolling(3, min_periods=1).mean()
-        strength = ema(ema(d.abs(), 25), 13)
-        out["momentum_tsi"] = 100 * ema(ema(d, 25), 13) / strength.where(strength != 0)
-        change, path = (c - c.shift(10)).abs(), d.abs().rolling(10, min_periods=1).sum()
-        ratio = (change / path.where(path != 0)).fillna(0.0).to_numpy()
+    def compute(h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        out, pc, d = {}, _before(c), c - _before(c)
+        tr = np.fmax(np.fmax(h - low, np.abs(h - pc)), np.abs(low - pc))
+        rise, fall = h - _before(h), _before(low) - low
+        plus, minus = np.where((rise > fall) & (rise > 0), rise, 0.0), np.where((fall > rise) & (fall > 0), fall, 0.0)
+        (out["trend_ema_fast"], out["trend_ema_slow"], c23, c50, e1, m1, v_fast, v_slow, out["volatility_atr"], true, pos, neg, gain, loss, d1, a1,
+         out["volume_fi"]) = _averages(
+            (c, _span(fast)), (c, _span(slow)), (c, _span(23)), (c, _span(50)), (c, _span(trix)), (h - low, _span(9)), (v, _span(fast)), (v, _span(slow)),
+            (tr, wild(atr)), (tr, wild(adx)), (plus, wild(adx)), (minus, wild(adx)), (np.maximum(d, 0), wild(rsi)), (-np.minimum(d, 0), wild(rsi)),
+            (d, _span(25)), (np.abs(d), _span(25)), (d * v, _span(force)))
+        out["trend_macd"] = out["trend_ema_fast"] - out["trend_ema_slow"]
+        out["trend_adx_pos"], out["trend_adx_neg"] = 100 * pos / true, 100 * neg / true
+        both = out["trend_adx_pos"] + out["trend_adx_neg"]
+        out["momentum_ppo"] = 100 * out["trend_macd"] / nonzero(out["trend_ema_slow"])
+        out["momentum_pvo"] = 100 * (v_fast - v_slow) / nonzero(v_slow)
+        k1 = 100 * _filled(scaled(c23 - c50, 10))  # without a range it keeps its last value
+        (out["trend_macd_signal"], e2, m2, d2, a2, out["trend_adx"], out["momentum_ppo_signal"], out["momentum_pvo_signal"], k2) = _averages(
+            (out["trend_macd"], _span(signal)), (e1, _span(trix)), (m1, _span(9)), (d1, _span(13)), (a1, _span(13)),
+            (100 * np.abs(out["trend_adx_pos"] - out["trend_adx_neg"]) / nonzero(both), wild(adx)), (out["momentum_ppo"], _span(signal)),
+            (out["momentum_pvo"], _span(signal)), (k1, _span(3)))
+        e3, out["trend_stc"] = _averages((e2, _span(trix)), (100 * _filled(scaled(k2, 10)), _span(3)))
+        out["trend_macd_diff"] = out["trend_macd"] - out["trend_macd_signal"]
+        out["trend_trix"] = 100 * (e3 - _before(e3)) / _before(e3)
+        out["trend_mass_index"] = _rolling(m1 / m2, 25)[2]
+        for name in ("momentum_ppo", "momentum_pvo"):
+            out[f"{name}_hist"] = out[name] - out[f"{name}_signal"]
+        out["trend_psar_up"], out["trend_psar_down"], out["trend_psar_up_indicator"], out["trend_psar_down_indicator"] = _psar(h, low, c, *psar)
+        out["momentum_rsi"] = 100 * gain / nonzero(gain + loss)
+        out["momentum_stoch_rsi"] = scaled(out["momentum_rsi"], rsi)
+        out["momentum_stoch_rsi_k"] = _rolling(out["momentum_stoch_rsi"], 3)[3]
+        out["momentum_stoch_rsi_d"] = _rolling(out["momentum_stoch_rsi_k"], 3)[3]
+        out["momentum_tsi"] = 100 * d2 / nonzero(a2)
+        ratio = np.nan_to_num(np.abs(c - _before(c, 10)) / nonzero(_rolling(np.abs(d), 10)[2]))
         pace = (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2
-        kama = c.to_numpy(float).copy()
+        kama = c.copy()
         for i in range(1, len(kama)):
             kama[i] = kama[i - 1] + pace[i] * (kama[i] - kama[i - 1])
-        out["momentum_kama"] = kama
-        for name, x in (("momentum_ppo", c), ("momentum_pvo", v)):
-            base = ema(x, slow)
-            out[name] = 100 * (ema(x, fast) - base) / base.where(base != 0)
-            out[f"{name}_signal"] = ema(out[name], signal)
-            out[f"{name}_hist"] = out[name] - out[f"{name}_signal"]
-        out["volume_fi"] = ema(d * v, force)
-        return out
+        return out | {"momentum_kama": kama}
+
+    def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _histories(batches):
+            row = pdf["_row"].to_numpy() - 1
+            starts = np.flatnonzero(row == 0)
+            sizes, own = np.diff(np.append(starts, len(row))), np.cumsum(row == 0) - 1
+            values = [pdf[x].to_numpy(float, na_value=np.nan) for x in ("High", "Low", "Close", "Volume")]
+            found = np.empty((len(RECURSIVE), len(row)))
+            for group in _alike(sizes):
+                place = np.full(len(sizes), -1)
+                place[group] = np.arange(len(group))
+                at = np.flatnonzero(place[own] >= 0)
+                cell = row[at], place[own[at]]
+                tables = [np.full((sizes[group].max(), len(group)), np.nan) for _ in values]
+                for table, x in zip(tables, values, strict=True):
+                    table[cell] = x[at]
+                with np.errstate(all="ignore"):
+                    got = compute(*tables)
+                for k, name in enumerate(RECURSIVE):
+                    found[k, at] = got[name][cell]
+            yield pd.concat([pdf[keep], pd.DataFrame(found.T, columns=RECURSIVE)], axis=1)
 
     need = bars if carry else bars.select("ticker", "Date", "High", "Low", "Close", "Volume")
     schema = T.StructType([*[need.schema[c] for c in keep], *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
-    out = need.groupBy("ticker").applyInPandas(compute, schema)
+    out = need.withColumn("_row", F.row_number().over(by(order=F.asc_nulls_last("Date")))).mapInPandas(many, schema)
     return out.select(*keep, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in RECURSIVE])
 
 

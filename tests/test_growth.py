@@ -100,3 +100,27 @@ def test_long_frames_are_put_together_from_shorter_ones(spark):
         assert want.where(f"not (high{n} <=> _high_{n} and low{n} <=> _low_{n})").isEmpty()
     plan = W.with_drawdowns(df, [1, 12])._jdf.queryExecution().optimizedPlan().toString()
     assert "specifiedwindowframe(RowFrame, -20, currentrow$())" in plan and "RowFrame, -251" not in plan
+
+
+def test_recursions_step_through_many_histories_at_once(spark, monkeypatch):
+    from marketloom.operators import indicators
+
+    rng, frames = np.random.default_rng(3), []
+    for k, n in enumerate([1, 2, 40, 3, 75, 18, 33, 60]):
+        x = rng.integers(1, 9, (n, 4)).astype(float)
+        x[rng.random((n, 4)) < 0.1 * (k % 2)] = np.nan  # without a value
+        frames += [(f"t{k}", i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)]
+    bars = spark.createDataFrame(frames, "ticker string, i int, High double, Low double, Close double, Volume double").select(
+        "ticker", F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")).alias("Date"), "High", "Low", "Close", "Volume")
+    rows = lambda df: {(r.ticker, r.Date): [r[c] for c in indicators.RECURSIVE] for r in df.collect()}
+    got = rows(indicators.recursive_indicators(bars))
+    assert got == {k: v for n in range(8) for k, v in rows(indicators.recursive_indicators(bars.where(F.col("ticker") == f"t{n}"))).items()}  # one by one
+    for t, pdf in bars.toPandas().sort_values("Date").groupby("ticker"):
+        for name, x in (("trend_ema_fast", pdf.Close.ewm(span=12, adjust=False).mean()), ("volume_fi", (pdf.Close.diff() * pdf.Volume).ewm(span=13, adjust=False).mean())):
+            k = indicators.RECURSIVE.index(name)
+            np.testing.assert_allclose([np.nan if got[t, d][k] is None else got[t, d][k] for d in pdf.Date], x.to_numpy(), rtol=1e-12)
+    batches = [b.assign(_row=np.arange(len(b)) + 1) for _, b in bars.toPandas().groupby("ticker")]
+    monkeypatch.setattr(indicators, "HISTORY_ROWS", 50)
+    cut = [b for x in batches for b in (x[:7], x[7:]) if len(b)]  # batches end anywhere
+    whole = list(indicators._histories(iter(cut)))
+    assert sum(map(len, whole)) == len(frames) and all(b._row.iloc[0] == 1 for b in whole) and max(b.ticker.nunique() for b in whole) > 1
