@@ -1,6 +1,7 @@
 """Plans and stores that must not grow faster than their input."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,8 +120,33 @@ def test_recursions_step_through_many_histories_at_once(spark, monkeypatch):
         for name, x in (("trend_ema_fast", pdf.Close.ewm(span=12, adjust=False).mean()), ("volume_fi", (pdf.Close.diff() * pdf.Volume).ewm(span=13, adjust=False).mean())):
             k = indicators.RECURSIVE.index(name)
             np.testing.assert_allclose([np.nan if got[t, d][k] is None else got[t, d][k] for d in pdf.Date], x.to_numpy(), rtol=1e-12)
-    batches = [b.assign(_row=np.arange(len(b)) + 1) for _, b in bars.toPandas().groupby("ticker")]
+    batches = [pa.RecordBatch.from_pandas(b.assign(_row=np.arange(len(b)) + 1), preserve_index=False) for _, b in bars.toPandas().groupby("ticker")]
     monkeypatch.setattr(indicators, "HISTORY_ROWS", 50)
     cut = [b for x in batches for b in (x[:7], x[7:]) if len(b)]  # batches end anywhere
-    whole = list(indicators._histories(iter(cut)))
+    whole = [t.to_pandas() for t in indicators._histories(iter(cut))]
     assert sum(map(len, whole)) == len(frames) and all(b._row.iloc[0] == 1 for b in whole) and max(b.ticker.nunique() for b in whole) > 1
+
+
+def test_frames_of_many_histories_equal_windows(spark):
+    from marketloom.operators import indicators
+
+    rng, rows = np.random.default_rng(4), []
+    for k, n in enumerate([1, 2, 9, 30, 64]):
+        for i, x in enumerate(rng.integers(1, 4, n)):
+            rows.append((f"t{k}", i, 2.0, 1.0, 1.5, 1.0, None if k == 2 and x == 3 or k == 3 and i < 12 else float(x)))
+    df = spark.createDataFrame(rows, "ticker string, Date int, High double, Low double, Close double, Volume double, x double")
+    wanted = {f"{kind}_{n}": (kind, "x", n) for kind in ("mean", "sum", "max", "min", "std", "deviation", "since_max", "since_min") for n in (1, 3, 10)}
+    found = lambda d: {(r.ticker, r.Date): [np.nan if r[c] is None else r[c] for c in wanted] for r in d.collect()}
+    got, want = found(indicators.recursive_indicators(df, carry=True, wanted=wanted)), found(indicators.window_frames(df, wanted))
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12, nan_ok=True), k
+
+
+def test_indicator_blocks_go_through_no_long_frame_for_each_row(spark, sf_dir):
+    import re
+
+    for build in (blocks.indicator_block, blocks.indicator_sequence):
+        plan = build(views.bars(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+        frames = [int(n) for n in re.findall(r"RowFrame, -(\d+), currentrow", plan)]
+        assert frames and max(frames) < 20, sorted(frames)
