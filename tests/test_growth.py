@@ -150,3 +150,8 @@ def test_indicator_blocks_go_through_no_long_frame_for_each_row(spark, sf_dir):
         plan = build(views.bars(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
         frames = [int(n) for n in re.findall(r"RowFrame, -(\d+), currentrow", plan)]
         assert frames and max(frames) < 20, sorted(frames)
+
+
+def test_indicator_sequence_collects_the_last_rows_once(spark, sf_dir):
+    plan = blocks.indicator_sequence(views.bars(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
