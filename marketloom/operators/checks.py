@@ -105,13 +105,13 @@ def statements_since(fin_q: DataFrame, fin_a: DataFrame, bars: DataFrame, year:
 def regular_bars(bars: DataFrame) -> DataFrame:
     """250 bars a year, no NULL but in the first and last row, no repeated bars, no empty volume."""
     w = Window.partitionBy("ticker").orderBy("Date")
-    df = with_repeats(bars).withColumns({"_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("ticker"))})
+    df = with_repeats(bars).withColumns({"_inside": F.lag(F.lit(1), 1).over(w).isNotNull() & F.lead(F.lit(1), 1).over(w).isNotNull()})
     gap = F.lit(False)
     for c in PRICES[:4]:
         gap = gap | F.col(c).isNull() | F.isnan(c)
     f = df.groupBy("ticker").agg(
         F.count("*").alias("n"), F.min("Date").alias("a"), F.max("Date").alias("b"), F.count_if(F.col("repeats")).alias("r"),
-        F.count_if("no_volume").alias("v"), F.count_if(gap & (F.col("_k") > 1) & (F.col("_k") < F.col("_n"))).alias("g"))
+        F.count_if("no_volume").alias("v"), F.count_if(gap & F.col("_inside")).alias("g"))
     ok = (F.col("n") >= F.floor(250 * F.datediff("b", "a") / 365.0)) & (F.col("r") == 0) & (F.col("v") == 0) & (F.col("g") == 0)
     return f.select("ticker", F.coalesce(ok, F.lit(False)).alias("ok"))
 

@@ -232,8 +232,8 @@ def with_repeats(df: DataFrame, w=None) -> DataFrame:
             out = out & (F.abs(a - b) <= 1e-10 * F.abs(b))
         return F.coalesce(out, F.lit(False))
 
-    back = F.row_number().over(w.orderBy(F.desc("Date")) if hasattr(w, "orderBy") else w)
-    return df.withColumns({"repeats": same(0, 3) & same(1, 2), "no_volume": (F.col("Volume") == 0) & (back > 2)})
+    two_more = F.lead(F.lit(1), 2).over(w).isNotNull()
+    return df.withColumns({"repeats": same(0, 3) & same(1, 2), "no_volume": (F.col("Volume") == 0) & two_more})
 
 
 def with_row_number(df: DataFrame, w=None) -> DataFrame:

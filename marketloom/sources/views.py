@@ -20,7 +20,7 @@ def _lines(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 
 #: Lines that one task groups into bars (and passes on to the windows of their tickers) or joins with their orders.
-TASK_LINES = 500_000
+TASK_LINES = 100_000
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> int:

@@ -155,3 +155,15 @@ def test_indicator_blocks_go_through_no_long_frame_for_each_row(spark, sf_dir):
 def test_indicator_sequence_collects_the_last_rows_once(spark, sf_dir):
     plan = blocks.indicator_sequence(views.bars(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1
+
+
+def test_repeats_and_regular_bars_sort_a_ticker_once(spark, sf_dir):
+    from marketloom.operators import checks
+
+    for df in (W.with_repeats(views.bars(spark, sf_dir)), checks.regular_bars(views.bars(spark, sf_dir))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "DESC" not in plan and "row_number" not in plan and "unboundedfollowing" not in plan.lower()
+    assert views.TASK_LINES <= 100_000  # what a task holds at most
+    rows = [("a", d, *[v] * 4, 0.0) for d, v in enumerate([1.0, 2.0, 2.0, 1.0])] + [("b", 0, *[1.0] * 4, 0.0)]
+    got = W.with_repeats(spark.createDataFrame(rows, "ticker string, Date int, Open double, High double, Low double, Close double, Volume double")).collect()
+    assert [(r.ticker, r.Date) for r in got if r.no_volume] == [("a", 0), ("a", 1)] and [(r.ticker, r.Date) for r in got if r.repeats] == [("a", 0)]
