@@ -167,3 +167,21 @@ def test_repeats_and_regular_bars_sort_a_ticker_once(spark, sf_dir):
     rows = [("a", d, *[v] * 4, 0.0) for d, v in enumerate([1.0, 2.0, 2.0, 1.0])] + [("b", 0, *[1.0] * 4, 0.0)]
     got = W.with_repeats(spark.createDataFrame(rows, "ticker string, Date int, Open double, High double, Low double, Close double, Volume double")).collect()
     assert [(r.ticker, r.Date) for r in got if r.no_volume] == [("a", 0), ("a", 1)] and [(r.ticker, r.Date) for r in got if r.repeats] == [("a", 0)]
+
+
+def test_an_upsert_goes_through_no_open_frame_and_sorts_no_paths(spark, tmp_path):
+    from marketloom.sources import schemas
+    from marketloom.streaming import upsert
+
+    row = lambda t, day, c, a: (t, day, c, c, c, c, a, 1.0, 0.0, 1.0)
+    old = spark.createDataFrame([row("A", k, 10.0 + k, 9.0) for k in range(6)], schemas.SCHEMAS["bars"].replace("Date date", "Date int"))
+    new = old.where("Date in (2, 4)").withColumn("AdjClose", F.col("Close") * 0.5)
+    merged = J.merge_bars(old, new)
+    assert "currentrow$(), unboundedfollowing$()" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.AdjClose for r in merged.orderBy("Date").collect()] == pytest.approx([(10 + k) / 2 for k in range(6)])
+    for k, name in enumerate("ba"):
+        new.withColumn("Close", F.lit(float(k))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    read = spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b").select("*", F.struct(*[F.col(c) for c in upsert.ORDER]).alias("_order"))
+    got = upsert.latest(upsert.ranked(read))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.Date, r.Close, r.AdjClose) for r in got.collect()} == {(2, 1.0, 6.0), (4, 1.0, 7.0)}  # the later file's, whatever its name
