@@ -121,6 +121,8 @@ add("p08_feature_names", lambda s, d: (lambda b: b.select(*KEY, *P.feature_names
 
 # -- stores --------------------------------------------------------------------------
 _FIELDS = ["fiscalDateEnding", "ebit", "totalRevenue"]
+#: Companies whose files one task writes.
+TASK_FILES = 100
 
 
 def _statements(s: SparkSession, d: str) -> DataFrame:
@@ -128,8 +130,10 @@ def _statements(s: SparkSession, d: str) -> DataFrame:
     report = lambda df, name: df.groupBy("ticker").agg(F.collect_list(F.struct(*[F.col(c).cast("string").alias(c) for c in _FIELDS])).alias(name))
     both = report(views.fin_q(s, d), "quarterlyReports").join(report(views.fin_a(s, d), "annualReports"), "ticker")
     doc = F.to_json(F.struct(F.col("ticker").alias("symbol"), "annualReports", "quarterlyReports"))
-    path = new_path(s)
-    both.select(doc.alias("value"), F.col("ticker").alias("of")).repartition("of").write.partitionBy("of").text(path)
+    path, docs = new_path(s), materialize(both.select(doc.alias("value")))
+    # a file a row in one folder: a task has a fixed number of them and puts them into place itself (else one thread moves all at the end)
+    files = docs.repartition(max(1, -(-docs.count() // TASK_FILES))).write.option("maxRecordsPerFile", 1)
+    files.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     got = vendor.read_statements(s, {"income": path}, {"income": _FIELDS})
     whole = got["income_quarterly"].withColumn("kind", F.lit("quarter")).unionByName(got["income_annual"].withColumn("kind", F.lit("year")))
     return schemas.typed(P.numbers_from_text(whole, ["ticker", "kind", "fiscalDateEnding"]), ["fiscalDateEnding"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 # Vendor column names, sector names, exchange names in order of precedence.
 BAR_NAMES = {"date": "Date", "1. open": "Open", "2. high": "High", "3. low": "Low", "4. close": "Close", "5. adjusted close": "AdjClose",
              "6. volume": "Volume", "7. dividend amount": "Dividends", "8. split coefficient": "Splits"}
@@ -22,12 +24,13 @@ def read_statements(spark: SparkSession, paths: dict[str, str], fields: dict[str
     """Vendor JSON (one document per company, ``symbol`` and two arrays of reports) to eight flat tables.
 
     ``fields`` names the report fields of each file; all are read as text with an explicit schema.
+    The files, one a company, are opened once for both tables.
     """
     out = {}
     for name, path in paths.items():
         row = "array<struct<" + ", ".join(f"{c}: string" for c in fields[name]) + ">>"
         schema = "symbol string, " + ", ".join(f"{a} {row}" for a in REPORTS[name])
-        df = spark.read.schema(schema).option("multiLine", True).json(path)
+        df = materialize(spark.read.schema(schema).option("multiLine", True).json(path).select("symbol", *REPORTS[name]))
         for kind, array in zip(("annual", "quarterly"), REPORTS[name], strict=True):
             out[f"{name}_{kind}"] = df.select(F.col("symbol").alias("ticker"), F.inline(array))
     return out

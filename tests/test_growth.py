@@ -199,3 +199,17 @@ def test_tasks_of_a_fit_grow_with_its_rows(spark, tmp_path, monkeypatch):
     assert len(sizes) == 50 and max(sizes) <= 150 and sum(sizes) == 5000 and "unused" not in seen[0].columns
     monkeypatch.setattr(learning, "TASK_VALUES", 100)  # two features: 50 rows
     assert learning.training(df, ["a", "b"], "t").rdd.getNumPartitions() == 100
+
+
+def test_statements_are_one_file_a_company_in_one_folder_and_read_once(spark, sf_dir, tmp_path, monkeypatch):
+    from marketloom import queries_learning
+    from marketloom.sources import vendor
+
+    monkeypatch.setattr(queries_learning, "new_path", lambda s: f"{tmp_path}/vendor")
+    got = queries_learning._statements(spark, sf_dir)
+    companies = got.select("ticker").distinct().count()
+    files = [f for f in (tmp_path / "vendor").iterdir() if f.name.startswith("part-")]
+    assert len(files) == companies > 5 and all(f.is_file() for f in files)
+    tables = vendor.read_statements(spark, {"income": f"{tmp_path}/vendor"}, {"income": ["fiscalDateEnding"]})
+    assert sum(t.count() for t in tables.values()) == got.count()
+    assert not any("json" in p for t in tables.values() for p in t.inputFiles()) and not any(f"{tmp_path}/vendor" in p for t in tables.values() for p in t.inputFiles())
