@@ -71,10 +71,10 @@ def per_date_extremes(df: DataFrame, columns: Sequence[str], date: str = "Date")
 
 
 def weighted_index(bars: DataFrame, rows: int = 126) -> DataFrame:
-    """Per date, adjusted closes weighted by mean volume over ``rows`` rows."""
+    """Per date, adjusted closes weighted by mean volume over ``rows`` rows (the column ``_w``, if it is there)."""
     from .windows import by, rolling
 
-    w = bars.withColumn("_w", rolling(F.avg, "Volume", rows, by()))
+    w = bars if "_w" in bars.columns else bars.withColumn("_w", rolling(F.avg, "Volume", rows, by()))
     return w.groupBy("Date").agg(div(F.sum(F.col("AdjClose") * F.col("_w")), F.sum("_w")).alias("weighted_index"))
 
 

@@ -22,9 +22,9 @@ from ..operators.aggregates import first_row_per_year, per_date_extremes, tradin
 from ..operators.joins import asof, asof_few, with_member_flags
 from ..operators.samples import complete_rows
 from ..operators.windows import (
-    by, fill, rolling, with_change, with_differences, with_drawdowns, with_group_rank, with_lag_quotients, with_lags, with_sequence,
+    by, fill, rolling, with_change, with_differences, with_drawdowns, with_lag_quotients, with_lags, with_sequence,
 )
-from ..scratch import materialize
+from ..scratch import materialize, small
 
 # Defaults of a run.
 LAGS, MONTHS = (1, 2, 5, 10, 20, 50, 100, 200, 300, 500), (1, 2, 4, 6, 8, 12)
@@ -212,16 +212,19 @@ def seasonal_sequence(bars: DataFrame, p: dict | None = None, *, holidays: DataF
 GROUP = ["return_level", "volume_level", "return_rank", "volume_rank", "avg_return", "index_pct"]
 
 
-def _group_dynamics(bars: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    df = bars.withColumn("return_pct", div("AdjClose", F.lag("AdjClose", 1).over(by())) - 1)
-    ranked = with_group_rank(df, ["return_pct", "Volume"])
-    means = per_date_extremes(df, ["return_pct"]).select("Date", F.col("avg_return_pct").alias("avg_return"))
-    index = weighted_index(bars, rows * 6).withColumn("_g", F.lit(1))
+def _group_dynamics(bars: DataFrame, rows: int) -> DataFrame:
+    """Bars with the group fields.  What needs a ticker's order is stored once; dates are summed up from that and looked up."""
+    df = materialize(bars.withColumns({"return_pct": div("AdjClose", F.lag("AdjClose", 1).over(by())) - 1, "_w": rolling(F.avg, "Volume", rows * 6, by())}))
+    index = weighted_index(df).withColumn("_g", F.lit(1))
     w = Window.partitionBy("_g").orderBy("Date")  # one row per date
-    index = with_change(index, "weighted_index", 1, 1e-6, w).withColumnRenamed("weighted_index_pct1", "index_pct")
-    ranked = ranked.withColumnsRenamed({"return_pct_level": "return_level", "Volume_level": "volume_level",
-                                        "return_pct_rank": "return_rank", "Volume_rank": "volume_rank"})
-    return ranked.join(means, "Date").join(index.select("Date", "index_pct", "weighted_index"), "Date"), index
+    index = with_change(index, "weighted_index", 1, 1e-6, w).withColumnRenamed("weighted_index_pct1", "index_pct").drop("_g")
+    dates = small(per_date_extremes(df, ["return_pct", "Volume"]).join(index, "Date"))
+    df = df.drop("_w").join(dates, "Date")
+    for name, c in (("return", "return_pct"), ("volume", "Volume")):
+        low, high = F.col(f"min_{c}"), F.col(f"max_{c}")
+        df = df.withColumns({f"{name}_level": div(F.col(c) - low, high - low), f"{name}_rank": F.cume_dist().over(Window.partitionBy("Date").orderBy(c))})
+    df = df.withColumnRenamed("avg_return_pct", "avg_return")
+    return df.drop(*[f"{f}_{c}" for c in ("return_pct", "Volume") for f in ("min", "max")], "avg_Volume")
 
 
 @block("group_dynamics")
@@ -231,20 +234,18 @@ def group_dynamics(bars: DataFrame, p: dict | None = None, **_) -> DataFrame:
     A ticker's weight is divided once per date by the sum of the date.
     """
     q = params(p)
-    df, _index = _group_dynamics(bars, q["rows_per_month"])
-    w, new = by(), {}
-    for n in q["lags"]:
-        for m in q["months"]:
-            now, then = F.lag("weighted_index", n).over(w), F.lag("weighted_index", n + m * q["rows_per_month"] + 1).over(w)
-            new[f"index_pct_lag_m{n}_MH_{m}"] = div(now, then + 1e-6) - 1
-    return with_lags(df, GROUP, q["lags"]).withColumns(new).drop("weighted_index", "return_pct")
+    df, month = _group_dynamics(bars, q["rows_per_month"]), q["rows_per_month"]
+    back = sorted({k for n in q["lags"] for k in (n, *[n + m * month + 1 for m in q["months"]])})  # each looked up once
+    new = {f"index_pct_lag_m{n}_MH_{m}": div(f"_index_{n}", F.col(f"_index_{n + m * month + 1}") + 1e-6) - 1 for n in q["lags"] for m in q["months"]}
+    df = with_lags(df, GROUP, q["lags"]).withColumns({f"_index_{k}": F.lag("weighted_index", k).over(by()) for k in back})
+    return df.withColumns(new).drop("weighted_index", "return_pct", *[f"_index_{k}" for k in back])
 
 
 @block("group_dynamics_sequence")
 def group_dynamics_sequence(bars: DataFrame, p: dict | None = None, **_) -> DataFrame:
     """The group fields as arrays over steps, on closes."""
     q = params(p)
-    df, _index = _group_dynamics(bars.withColumn("AdjClose", F.col("Close")), q["rows_per_month"])
+    df = _group_dynamics(bars.withColumn("AdjClose", F.col("Close")), q["rows_per_month"])
     df = df.withColumns({"avg_return": tanh01("avg_return", 0.1), "index_pct": tanh01("index_pct", 0.1)})
     for c in GROUP:
         df = with_sequence(df, c, q["steps"])

@@ -213,3 +213,15 @@ def test_statements_are_one_file_a_company_in_one_folder_and_read_once(spark, sf
     tables = vendor.read_statements(spark, {"income": f"{tmp_path}/vendor"}, {"income": ["fiscalDateEnding"]})
     assert sum(t.count() for t in tables.values()) == got.count()
     assert not any("json" in p for t in tables.values() for p in t.inputFiles()) and not any(f"{tmp_path}/vendor" in p for t in tables.values() for p in t.inputFiles())
+
+
+def test_group_dynamics_make_bars_once(spark, sf_dir):
+    bars = views.bars(spark, sf_dir)
+    df = blocks.group_dynamics(bars)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "lineitem" not in plan  # bars are stored, not made again for each of the dates' figures
+    two = df.where("index_pct_lag_m2_MH_1 is not null").select("ticker", "Date", "index_pct_lag_m2_MH_1")
+    w = W.by()
+    at = df.select("ticker", "Date", F.col("index_pct_lag_m1_MH_1").alias("x"))
+    want = at.withColumn("y", F.lag("x", 1).over(w)).where("y is not null").select("ticker", "Date", "y")
+    assert {tuple(r) for r in two.collect()} == {tuple(r) for r in want.collect()} and two.count() > 0
