@@ -268,7 +268,7 @@ add("b11_fourier_sequence", lambda s, d: B.fourier_sequence(views.bars(s, d)).se
     _fourier_sql([1]) + f"SELECT ticker, \"Date\", {sequence_sql('tanh(price_rmse_MH1)')} AS rmse, {sequence_sql('tanh(price_ratio_MH1)')} AS ratio FROM fm", KEY, ["rmse", "ratio"])
 
 # -- bars over the current bar ------------------------------------------------------
-add("t41_bar_columns", lambda s, d: (lambda b: b.select(*KEY, *[x.alias(n) for n, x in indicators.scaled_columns(b, [1], ["Open", "High", "Low", "Volume"])]))(views.bars(s, d)),
+add("t41_bar_columns", lambda s, d: indicators.scaled_columns(views.bars(s, d), [1], ["Open", "High", "Low", "Volume"]),
     "SELECT *, " + ", ".join(f'"{c}" / nullif("Close", 0) AS "FeatureTA_{c}", {lag(chr(34) + c + chr(34))} / nullif("Close", 0) AS "FeatureTA_{c}_lag_m1"' for c in ("Open", "High", "Low"))
     + f""", "Volume" / v AS "FeatureTA_Volume", {lag('"Volume"')} / v AS "FeatureTA_Volume_lag_m1" FROM (SELECT *, CASE WHEN "Volume" < 2 THEN 1 ELSE "Volume" END AS v FROM bars)""",
     KEY, [f"FeatureTA_{c}{x}" for c in ("Open", "High", "Low", "Volume") for x in ("", "_lag_m1")])
