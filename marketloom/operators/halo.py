@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ def with_positions(df: DataFrame, flags: dict[str, Column], date: str = "Date",
     Gives one row per row and flag that is set, with ``k``, the flag's place, and ``_pos``,
     from 0 on; and the table of dates with ``_n``, the rows of each flag.  Rows are
     numbered within their date, and a date's numbers start behind those of all earlier
-    dates: the only order over everything is that of the dates, one row each.
+    dates: the only order over everything is that of the dates, one row each.  Rows without
+    a flag take part in neither.
     """
     names = list(flags)
     count = F.array(*[F.count_if(flags[f]) for f in names])
@@ -28,7 +30,8 @@ def with_positions(df: DataFrame, flags: dict[str, Column], date: str = "Date",
     before = F.array(*[F.coalesce(F.sum(F.col("_n")[k]).over(over), F.lit(0)) for k in range(len(names))])
     within = Window.partitionBy(date).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     ranks = {f"_r{k}": F.count_if(flags[f]).over(within) for k, f in enumerate(names)}
-    placed = df.withColumns(ranks).join(small(dates.select(date, before.alias("_before"))), date)
+    some = reduce(lambda a, b: a | b, (F.coalesce(flags[f], F.lit(False)) for f in names))
+    placed = df.where(some).withColumns(ranks).join(small(dates.select(date, before.alias("_before"))), date)
     each = F.array(*[F.when(flags[f], F.col(f"_r{k}") + F.col("_before")[k] - 1) for k, f in enumerate(names)])
     return placed.select(*df.columns, F.posexplode(each).alias("k", "_pos")).where("_pos is not null"), dates
 

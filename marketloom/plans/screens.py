@@ -39,7 +39,7 @@ def feature_scores(df: DataFrame, features: Sequence[str], target: str, q: float
 
 
 def quantile_screen(df: DataFrame, features: Sequence[str], target: str, levels: Sequence[float], date: str = "Date",
-                    key: str = "ticker", rows: int = 200, most_gap: int = 100) -> DataFrame:
+                    key: str = "ticker", rows: int = 200, most_gap: int = 100, only: Sequence[tuple[float, str]] | None = None) -> DataFrame:
     """For each feature, level and tail: rows, mean target, dates and the largest gap between them; mean,
     deviation and last value of the target's mean over ``rows`` successive hits (by date and ``key``, full windows
     only); and a score.
@@ -48,12 +48,14 @@ def quantile_screen(df: DataFrame, features: Sequence[str], target: str, levels:
     of all rows or with a gap above ``most_gap`` days; both tails alike.
 
     The rows are stored once with a flag for each tail; the order of a tail, which may
-    hold nearly all rows, is worked on in slices (``halo``).
+    hold nearly all rows, is worked on in slices (``halo``).  ``only`` names the tails that
+    are wanted as (level, "upper" or "lower"); rows in none of them are numbered in none.
     """
     df = materialize(df.select(date, key, *features, F.col(target).alias("_t")))
     names = [f"_c{k}" for k in range(len(features))]
     cuts = quantile_row(df, features, levels, names, True).crossJoin(df.agg(F.count("*").alias("_all")))  # a single row
-    tails = [(k, f, i, q, up) for k, f in enumerate(features) for i, q in enumerate(levels) for up in (True, False)]
+    tails = [(k, f, i, q, up) for k, f in enumerate(features) for i, q in enumerate(levels) for up in (True, False)
+             if only is None or (q, "upper" if up else "lower") in only]
     flags = {f"{k}": F.coalesce(F.col(f) >= F.col(f"_c{j}")[i] if up else F.col(f) <= F.col(f"_c{j}")[i], F.lit(False))
              for k, (j, f, i, _, up) in enumerate(tails)}
     marked = materialize(df.join(F.broadcast(cuts)).withColumns({f"_f{k}": x for k, x in flags.items()}).select(
@@ -76,6 +78,12 @@ def quantile_screen(df: DataFrame, features: Sequence[str], target: str, levels:
     return out.select("h.*", "n", "mean_target", "mean_of_dates", "n_dates", "max_gap", "roll_mean", "roll_std", "roll_last", score.alias("score"))
 
 
+def tails_within(levels: Sequence[float], most: Sequence[float]) -> list[tuple[float, str]]:
+    """Those tails of ``levels`` that ``best_tails`` compares for the levels ``most``: no other score enters its result."""
+    wanted = {round(float(q), 9) for q in most}
+    return [(q, tail) for q in levels for tail, x in (("upper", 1 - q), ("lower", q)) if round(x, 9) in wanted]
+
+
 def best_tails(screen: DataFrame, levels: Sequence[float]) -> DataFrame:
     """For each feature and level, the better score of its lower tail and of the upper one at ``1 - level``."""
     q = F.round(F.when(F.col("tail") == "upper", 1 - F.col("q")).otherwise(F.col("q")), 9)

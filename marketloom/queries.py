@@ -421,7 +421,8 @@ _HITS = _PANEL + ", hits AS (" + " UNION ALL ".join(
       FROM su LEFT JOIN rs USING (feature, q, tail));;"""
 _screened = lambda s, d: screens.quantile_screen(_panel(s, d), _FEATS, "target_ratio", _LEVELS)
 add("m10_quantile_screen", _screened, _HITS + "SELECT * FROM sc", ("feature", "tail", "n", "n_dates", "max_gap"), ["q", "mean_target", "mean_of_dates", "roll_mean", "roll_std", "roll_last", "score"])
-add("m10_best_tails", lambda s, d: screens.best_tails(_screened(s, d), _LEVELS[:3]),
+add("m10_best_tails", lambda s, d: screens.best_tails(screens.quantile_screen(
+    _panel(s, d), _FEATS, "target_ratio", _LEVELS, only=screens.tails_within(_LEVELS, _LEVELS[:3])), _LEVELS[:3]),
     _HITS + "SELECT feature, q0 AS q, max(score) AS score FROM (SELECT *, round(CASE tail WHEN 'upper' THEN 1 - q ELSE q END, 9) AS q0 FROM sc) WHERE q0 < 0.1 GROUP BY 1, 2", ("feature",), ["q", "score"])
 add("m11_predicates", lambda s, d: screens.predicate_screen(_panel(s, d), {"low": F.col("drawdown_1") < -0.4, "busy": F.col("Volume") > 60, "either": (F.col("drawdown_1") < -0.4) | (F.col("Volume") > 60)}, "target_ratio"),
     _PANEL + ";;" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, avg(target_ratio) AS mean_target FROM pn WHERE {c}" for n, c in (("low", "drawdown_1 < -0.4"), ("busy", '"Volume" > 60'), ("either", 'drawdown_1 < -0.4 OR "Volume" > 60'))), ("name", "n"), ["mean_target"])
