@@ -21,7 +21,7 @@ from .sources import schemas, stores, vendor, views
 from .streaming.upsert import upsert_bars
 
 # -- trees, projections, screens -----------------------------------------------------
-add("m01_trees", lambda s, d: (lambda p: learning.rmse(learning.predict(learning.fit_trees(p, _FEATS, "target_ratio"), p, _FEATS), "prediction_ratio", "target_ratio"))(materialize(_panel(s, d))))
+add("m01_trees", lambda s, d: (lambda p: learning.rmse(learning.predict(learning.fit_trees(p, _FEATS, "target_ratio", stored=True), p, _FEATS), "prediction_ratio", "target_ratio"))(materialize(_panel(s, d))))
 add("m03_importances", lambda s, d: learning.importances(s, learning.fit_trees(_panel(s, d), _FEATS, "target_ratio"), _FEATS, 2))
 add("m09_leaves", lambda s, d: learning.tree_leaves(_panel(s, d), _FEATS, "target_ratio"))
 
